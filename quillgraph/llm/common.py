@@ -50,7 +50,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
 
 def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Split on ASCII white space: (code of each word, dictionary of distinct words, offsets of each text in the codes)."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # a copy without an offset: some Arrow kernels misread slices
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)

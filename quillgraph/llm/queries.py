@@ -5,12 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .bayes_dedup import near_duplicates
+from .packing import pack
+from .pivot_dedup import near_vectors
+from .sharding import shards
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def op1_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(_read(spark, sf_dir, "documents"))
+
+
+def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs, words_per_shingle=3, percent=85)
+    return near_duplicates(_read(spark, sf_dir, "documents"), words_per_shingle=3, percent=85)
 
 
-QUERIES = {"op10_bayes_minhash": op10_bayes_minhash}
+QUERIES = {
+    "op1_pivot_dedup": op1_pivot_dedup,
+    "op5_sampled_splitters": op5_sampled_splitters,
+    "op9_harmonic_packing": op9_harmonic_packing,
+    "op10_bayes_minhash": op10_bayes_minhash,
+}
 SQL: dict[str, str] = {}
