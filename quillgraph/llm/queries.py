@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bayes_dedup import near_duplicates
+from .ivfpq import nearest
+from .langid import identify
+from .mixing import mix
 from .packing import pack
+from .pages import extract
 from .pivot_dedup import near_vectors
 from .sharding import shards
+from .toolcalls import link
+from .weak_quality import score_quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,10 +25,38 @@ def op1_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op2_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op3_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(_read(spark, sf_dir, "conversations"))
+
+
+def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.col("_rate").alias("rate"), F.col("_copies").cast("long").alias("copies"), F.col("_copy").cast("long").alias("copy"), F.col("_order").alias("shuffle_key"))
+
+
 def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(_read(spark, sf_dir, "documents"))
 
 
+def op6_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_read(spark, sf_dir, "pages"))
+
+
+def op7_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = identify(docs, lambda d: d.where(fold != 1))
+    return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op8_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_read(spark, sf_dir, "documents"))
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,8 +69,71 @@ def op10_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pivot_dedup": op1_pivot_dedup,
+    "op2_ivfpq": op2_ivfpq,
+    "op3_toolcalls": op3_toolcalls,
+    "op4_poisson_mix": op4_poisson_mix,
     "op5_sampled_splitters": op5_sampled_splitters,
+    "op6_url_differencing": op6_url_differencing,
+    "op7_word_backoff": op7_word_backoff,
+    "op8_weak_labels": op8_weak_labels,
     "op9_harmonic_packing": op9_harmonic_packing,
     "op10_bayes_minhash": op10_bayes_minhash,
 }
-SQL: dict[str, str] = {}
+
+SQL = {
+    "op1_pivot_dedup": """
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+            WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.95
+        ), reach AS (
+            SELECT vec_id AS n, vec_id AS r FROM usable
+            UNION
+            SELECT reach.n, links.b FROM reach JOIN links ON links.a = reach.r
+        ), roots AS (SELECT n, min(r) AS root FROM reach GROUP BY n),
+        degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, root AS component_id, e.vec_id = root AS kept
+        FROM embeddings e JOIN roots ON roots.n = e.vec_id LEFT JOIN degrees d ON d.a = e.vec_id
+    """,
+    "op3_toolcalls": """
+        SELECT conv_id, turn, CAST(0 AS INTEGER) AS item, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS BOOLEAN) AS linked,
+            CAST(NULL AS VARCHAR) AS problem, turn AS at_turn, CAST(0 AS INTEGER) AS level, CAST(json_object('content', text, 'role', role) AS VARCHAR) AS json
+        FROM conversations
+        WHERE NOT (coalesce(role, '') IN ('assistant', 'tool') AND coalesce(text, '') LIKE '{%')
+    """,
+    "op4_poisson_mix": """
+        WITH sizes AS (
+            SELECT source, CAST(sum(coalesce(strlen(text), 0)) AS DOUBLE) AS n_bytes FROM documents GROUP BY source
+        ), rates AS (
+            SELECT source, round(CASE WHEN n_bytes > 0 THEN (pow(n_bytes, 0.5) / (SELECT sum(pow(n_bytes, 0.5)) FROM sizes)) * (SELECT sum(n_bytes) FROM sizes) / n_bytes ELSE 0 END, 9) AS rate FROM sizes
+        ), chances AS (
+            SELECT source, rate, i, sum(CASE WHEN rate > 0 THEN exp(i * ln(rate) - rate - lgamma(i + 1)) WHEN i = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY i) AS cdf
+            FROM rates, range(0, 200) AS steps(i)
+        ), drawn AS (
+            SELECT doc_id, source, (CAST('0x' || substr(md5('17:' || doc_id || ':1'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents
+        ), counts AS (
+            SELECT doc_id, d.source, rate, count(*) AS copies FROM drawn d JOIN chances c ON d.source = c.source AND c.cdf < d.u GROUP BY ALL
+        )
+        SELECT doc_id, source, rate, CAST(copies AS BIGINT) AS copies, CAST(copy AS BIGINT) AS copy, md5('17:order:' || doc_id || ':' || copy) AS shuffle_key
+        FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counts)
+    """,
+    "op10_bayes_minhash": """
+        WITH RECURSIVE listed AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM listed
+        ), grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+        both_ AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+            FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id AND least(a.n, b.n) * 100 >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id
+        ), links AS (SELECT a, b FROM both_ WHERE 100 * c >= 85 * (na + nb - c)),
+        reach AS (
+            SELECT doc_id AS n, doc_id AS r FROM documents
+            UNION
+            SELECT reach.n, links.b FROM reach JOIN links ON links.a = reach.r
+        ), roots AS (SELECT n, min(r) AS root FROM reach GROUP BY n)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, root AS component_id, s.doc_id = root AS kept FROM sets s JOIN roots ON roots.n = s.doc_id
+    """,
+}
