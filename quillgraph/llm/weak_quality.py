@@ -20,6 +20,7 @@ from .common import materialise, slices, words
 
 BUCKETS = 1 << 14
 CACHE = 200_000
+FALSE_ALARMS = 0.002
 #: Frequent function words of the languages at hand.
 STOP = frozenset(
     "the of and to in that is was for it with as on be by this are or from at not "
@@ -63,9 +64,9 @@ def votes(n: np.ndarray, s: dict[str, np.ndarray], repeats: np.ndarray) -> np.nd
     cols = [
         _vote(some & (caps > 0.15), some & (caps < 0.02)),
         _vote(some & (symbols > 0.03), some & (symbols < 0.005)),
-        _vote(some & (repeated > 0.08), some & (repeated < 0.01)),
+        _vote(some & (repeated > 0.08) & (repeats >= 3), some & (repeated < 0.01)),
         _vote(some & (bare > 0.06), some & (bare < 0.01)),
-        _vote(some & (function < 0.01), some & (function > 0.04)),
+        _vote((n >= 50) & (function < 0.01), some & (function > 0.04)),
         _vote(some & (loud > 0.08) | (n >= 60) & (ends < 0.002), some & (ends > 0.01) & (ends < 0.3) & (loud < 0.01)),
     ]
     return np.stack(cols, axis=1)
@@ -112,7 +113,8 @@ def _features(batches):
 def accuracies(patterns: dict[str, int], rounds: int = 200) -> tuple[float, np.ndarray, dict[str, float]]:
     """EM over vote patterns: (share of good documents, P(good vote | good, bad) of each labeller, P(good) of each pattern).
 
-    An abstention says nothing. Starts from labellers that seldom vote against a good document and miss most bad ones, each knowing one kind.
+    An abstention says nothing. Each labeller knows one kind of bad document, so it may miss most bad ones but is built
+    to vote against hardly any good one: its false alarms on good documents are held to at most FALSE_ALARMS.
     """
     if not patterns:
         return 0.5, np.zeros((0, 2)), {}
@@ -127,6 +129,7 @@ def accuracies(patterns: dict[str, int], rounds: int = 200) -> tuple[float, np.n
         # one made-up vote of each kind in each class keeps every rate off 0 and 1
         yes = (v == 1).T @ w + 1
         new = yes / ((v != 0).T @ w + 2)
+        new[:, 0] = np.maximum(new[:, 0], 1 - FALSE_ALARMS)
         prior = float(np.clip(w[:, 0].sum() / n.sum(), 0.01, 0.99))
         if np.abs(new - right).max() < 1e-9:
             break
