@@ -4,9 +4,9 @@ Documents become sets of word shingles. Bands of a MinHash signature give candid
 batches, and a pair is dropped as soon as the posterior probability (uniform prior) that its similarity reaches the
 threshold falls under `miss`. Survivors are checked exactly on the full sets.
 
-No group is expanded into all its pairs: documents with the same shingle set form one class, each bucket first links
-its members to its smallest one, and only members of a bucket that are in different components afterwards are
-compared with each other. Small buckets do that by a join, large ones in block pairs of bounded size, of which only
+No group is expanded into all its pairs: documents with the same shingle set form one class, each document is first
+compared with one bucket leader (the smallest member of a bucket; the one with which it shares most bands), and only
+members of a bucket that are in different components afterwards are compared with each other. Small buckets do that by a join, large ones in block pairs of bounded size, of which only
 pairs that pass the Bayesian test leave the task.
 """
 
@@ -249,30 +249,22 @@ def near_duplicates(
     leaders = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")
     crowded = materialise(buckets.join(leaders, "key").select("key", "id", "a", "size"))
     sigs = reps.groupBy("id").agg(F.min("sig").alias("sig"))
-    first = materialise(crowded.where("a < id").select("a", F.col("id").alias("b")).distinct())
-    passed = materialise(_bayes(first, sigs, hashes, table))
+    # each document meets the leader with which it shares most bands; every other pair waits until it joins components
+    shared = crowded.where("a < id").groupBy("id", "a").agg(F.count("*").alias("n"))
+    first = shared.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    first = materialise(first)
     texts = base.where("id is not null and text is not null")
-    best = passed.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
-    links = materialise(_exact(best, texts, words_per_shingle, percent))
+    links = materialise(_exact(_bayes(first, sigs, hashes, table), texts, words_per_shingle, percent))
     found = components(links)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components so far."""
-        ca = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        cb = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        both = pairs.join(ca, "a", "left").join(cb, "b", "left")
-        return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    rest = apart(passed.select("a", "b").join(best, ["a", "b"], "left_anti"))
     own = found.select(F.col("node").alias("id"), "component")
-    inside = crowded.where("size > 2").join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    inside = crowded.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     inside = materialise(inside.join(mixed, "key", "left_semi").select("key", "id", "size", "component"))
     x = inside.where(F.col("size") <= SMALL_BUCKET).select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
     y = x.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
     pairs = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     wide = _block_pairs(inside.where(F.col("size") > SMALL_BUCKET), sigs, hashes, table)
-    more = _bayes(pairs, sigs, hashes, table).union(wide).select("a", "b").union(rest).distinct()
+    more = _bayes(pairs, sigs, hashes, table).union(wide).select("a", "b").distinct()
     more = materialise(_exact(materialise(more), texts, words_per_shingle, percent))
     final = components(links.union(more))
     grouped = feats.select("id", "n", "print").join(classes, "print", "left").withColumn("rep", F.coalesce("rep", "id"))
