@@ -30,8 +30,9 @@ CACHE = 300_000
 class WordTokenizer:
     """Ids of a word-end BPE vocabulary; equals encoding each text whole, but works on distinct words.
 
-    Tokens never span white space, so a text's ids are those of its words. The ids of each distinct lower-cased piece
-    of a word are kept in a cache of bounded size; unusual words are encoded by the library as they stand.
+    Tokens never span white space, so a text's ids are those of its words. The ids of words, and those of their
+    lower-cased pieces, are kept as bytes in caches of bounded size; unusual words are encoded by the library as they
+    stand.
     """
 
     def __init__(self, path: str):
@@ -41,61 +42,71 @@ class WordTokenizer:
         vocab = self.lib.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, np.ndarray] = {}
-
-    def _ids(self, wanted: set[str]) -> dict[str, np.ndarray]:
-        """The ids of lower-cased pieces; the ids of new ones are computed together and cached."""
-        known = {p: self.cache[p] for p in wanted if p in self.cache}
-        new = [p for p in wanted if p not in known]
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            ids = np.array(self.lib.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _raw(self, text: str) -> bytes:
+        return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()  # without offsets
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of lower-cased pieces that no cache holds, many in one call: a piece ends where a word-end id is."""
+        found: dict[str, bytes] = {}
+        for at in range(0, len(new), 4000):
+            some = new[at : at + 4000]
+            raw = self._raw(" ".join(some))
+            cuts = (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1) * 4
             if len(cuts) == len(some):
-                known.update(zip(some, np.split(ids, cuts[:-1]), strict=True))
+                ends = cuts.tolist()
+                found.update(zip(some, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
             else:
-                known.update((w, np.array(self.lib.encode(w, add_special_tokens=False).ids, np.uint32)) for w in some)
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-        self.cache.update((p, known[p].copy()) for p in new[:CACHE])
-        return known
-
-    def encode_words(self, distinct: list[str]) -> list[np.ndarray]:
-        parts: list = []
-        for w in distinct:
-            if PLAIN.fullmatch(w) and "<|" not in w:
-                low = w.lower()
-                parts.append((low,) if low.isalpha() else tuple(PIECES.findall(low)))
-            else:
-                parts.append(None)
-        known = self._ids({p for ps in parts if ps for p in ps})
-        out = []
-        for w, ps in zip(distinct, parts, strict=True):
-            if ps is None:
-                out.append(np.array(self.lib.encode(w, add_special_tokens=False).ids, np.uint32))
-            elif len(ps) == 1:
-                out.append(known[ps[0]])
-            else:
-                out.append(np.concatenate([known[p] for p in ps]) if ps else np.zeros(0, np.uint32))
+                found.update((w, self._raw(w)) for w in some)
+        return found
+
+    @staticmethod
+    def _split(word: str) -> tuple | None:
+        """The pieces of a lower-cased word, or None if only the library can tell."""
+        if not (word.isprintable() if word.isascii() else PLAIN.fullmatch(word)) or "<|" in word:
+            return None
+        low = word.lower()
+        if low.isalpha():
+            return (low,)
+        if low[:-1].isalpha() and low[-1] in ".,;:!?":
+            return (low[:-1], low[-1])
+        return tuple(PIECES.findall(low))
+
+    def encode_words(self, distinct: list[str]) -> list[bytes]:
+        out = [self.words.get(w) for w in distinct]
+        missing = [i for i, v in enumerate(out) if v is None]
+        parts = [self._split(distinct[i]) for i in missing]
+        wanted = {p for ps in parts if ps for p in ps}
+        known = {p: v for p in wanted if (v := self.pieces.get(p)) is not None}
+        fresh = self._learn([p for p in wanted if p not in known])
+        known.update(fresh)
+        for i, ps in zip(missing, parts, strict=True):
+            out[i] = self._raw(distinct[i]) if ps is None else known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+        for cache, new in ((self.pieces, fresh.items()), (self.words, ((distinct[i], out[i]) for i in missing))):
+            if len(cache) > CACHE:
+                cache.clear()
+            cache.update(new)
         return out
 
     def encode(self, texts: pa.Array, closing: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text followed by the closing id, and the offsets of the texts."""
         codes, distinct, offsets = words(texts)
         pieces = self.encode_words(distinct.to_pylist())
-        pieces.append(np.array([closing], np.uint32))
-        lengths = np.array([len(p) for p in pieces], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        bank = np.concatenate(pieces)
+        pieces.append(np.array([closing], "<u4").tobytes())
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        starts = (np.cumsum(lengths) - lengths).astype(np.int32)
+        bank = np.frombuffer(b"".join(pieces), "<u4")
         n = len(offsets) - 1
-        sequence = np.empty(len(codes) + n, np.int64)
+        sequence = np.empty(len(codes) + n, np.int32)
         at = offsets[1:] + np.arange(n)
         body = np.ones(len(sequence), bool)
         body[at] = False
         sequence[body], sequence[at] = codes, len(pieces) - 1
         each = lengths[sequence]
         ends = np.cumsum(each)
-        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[sequence] - (ends - each), each)
+        where = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(starts[sequence] - (ends - each).astype(np.int32), each)
         return bank[where], np.concatenate([[0], ends[at]]).astype(np.int64)
 
 
@@ -118,9 +129,8 @@ def cuts(length: int, capacity: int, tail: int) -> list[int]:
 def _cut(tokenizer: str, capacity: int, tail: int, closing: int, with_ids: bool):
     def run(batches):
         model = _LOADED.get(tokenizer) or _LOADED.setdefault(tokenizer, WordTokenizer(tokenizer))
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             ids, offsets = model.encode(batch.column("text"), closing)
-            ids = ids.astype("<u4")
             rows, start, length, crc, kept = [], [], [], [], []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 at = a
