@@ -1 +1 @@
-"""functions"""
+"""Column functions: pattern text, normalised strings, similarities."""

@@ -1 +1 @@
-"""operators"""
+"""Relational operators of the question-answering pipeline, on DataFrames."""
