@@ -77,7 +77,7 @@ def _problem(params: Column) -> Column:
 def _checked(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """calls with `problem`: why they do not fit their tool's declaration, or null."""
     declared = tools.select(F.col("name").alias("tool"), "parameter", F.lower("type").alias("type"), F.coalesce("required", F.lit(False)).alias("required"))
-    # one declaration per tool, not data: gathering its parameters is bounded by the declaration
+    # one declaration a tool, not data: gathering its parameters is bounded by the declaration
     shapes = declared.groupBy("tool").agg(F.array_sort(F.collect_set(F.struct("parameter", "type", "required"))).alias("params"))
     kinds, wrong = _problem(F.filter("params", lambda p: p["parameter"].isNotNull()))
     parsed = F.try_parse_json("arguments")
@@ -94,8 +94,8 @@ def _checked(calls: DataFrame, tools: DataFrame) -> DataFrame:
 
 def _first(items: DataFrame) -> DataFrame:
     """items with `again`: whether an earlier one of the same conversation has the same identifier."""
-    first = items.groupBy("conv", "call_id").agg(F.min(F.struct("turn", "item")).alias("first"))
-    marked = items.join(first, items["conv"].eqNullSafe(first["conv"]) & (items["call_id"] == first["call_id"]), "left").drop(first["conv"]).drop(first["call_id"])
+    first = items.groupBy(F.col("conv").alias("_c"), F.col("call_id").alias("_i")).agg(F.min(F.struct("turn", "item")).alias("first"))
+    marked = items.join(first, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("call_id") == F.col("_i")), "left").drop("_c", "_i")
     return marked.withColumn("again", F.col("call_id").isNotNull() & (F.struct("turn", "item") > F.col("first"))).drop("first")
 
 
