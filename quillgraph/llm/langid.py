@@ -21,7 +21,7 @@ from .common import materialise, slices, words
 
 LETTERS = regex.compile(r"\p{L}+")
 LONGEST = 4
-CACHE = 200_000
+CACHE = 100_000
 UNKNOWN = "und"
 
 
@@ -90,7 +90,7 @@ class Model:
 
 
 def _count_words(batches):
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 8 << 20):
         codes, distinct, offsets = words(batch.column("text"))
         langs = batch.column("lang").to_pylist()
         rank = {name: i for i, name in enumerate(sorted(set(langs)))}
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         own = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             langs, score = own.predict(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(langs, pa.string()), pa.array(np.round(score, 9))], names=["id", "lang_pred", "score"])
 
