@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import materialise, slices, words
 
 BUCKETS = 1 << 14
-CACHE = 200_000
+CACHE = 100_000
 FALSE_ALARMS = 0.002
 #: Frequent function words of the languages at hand.
 STOP = frozenset(
@@ -74,7 +74,7 @@ def votes(n: np.ndarray, s: dict[str, np.ndarray], repeats: np.ndarray) -> np.nd
 
 def _features(batches):
     cache: dict[str, tuple] = {}
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 8 << 20):
         codes, distinct, offsets = words(batch.column("text"))
         if len(cache) > CACHE:
             cache.clear()
