@@ -4,10 +4,10 @@ Documents become sets of word shingles. Bands of a MinHash signature give candid
 batches, and a pair is dropped as soon as the posterior probability (uniform prior) that its similarity reaches the
 threshold falls under `miss`. Survivors are checked exactly on the full sets.
 
-No group is expanded into all its pairs: documents with the same shingle set form one class, each document is first
-compared with one bucket leader (the smallest member of a bucket; the one with which it shares most bands), and only
-members of a bucket that are in different components afterwards are compared with each other. Small buckets do that by a join, large ones in block pairs of bounded size, of which only
-pairs that pass the Bayesian test leave the task.
+No group is expanded into all its pairs. Documents with the same shingle set form one class; each document is first
+compared with one bucket leader (the member of most company; of its leaders the one with which it shares most bands),
+and only members of a bucket that are in different components afterwards are compared with each other. Small buckets
+do that by a join, large ones in block pairs of bounded size, which only links leave.
 """
 
 from __future__ import annotations
@@ -156,35 +156,51 @@ def _bayes(pairs: DataFrame, sigs: DataFrame, hashes: int, table: list[tuple[int
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, matches long")
 
 
-def _block_pairs(members: DataFrame, sigs: DataFrame, hashes: int, table: list[tuple[int, int]]) -> DataFrame:
-    """The plausible pairs between components inside large buckets: members meet in block pairs of bounded size."""
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+def _block_links(members: DataFrame, described: DataFrame, texts: DataFrame, size: int, percent: int, hashes: int, table: list[tuple[int, int]]) -> DataFrame:
+    """The links between components inside large buckets, one row a link that is needed to join two of them.
+
+    Members meet in block pairs of bounded size, where a pair passes the same tests as elsewhere: set sizes, the
+    posterior bound on signatures, then the exact sets. It is the business of the first bucket that both share only.
+    """
     spread = (
-        members.withColumn("parts", parts)
+        members.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("key", "id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        .join(sigs, "id")
+        .join(described, "id")
+        .join(texts.select("id", "text"), "id")
     )
 
     def run(group):
         import pandas as pd
 
         group = group.sort_values("id")
-        ids, comps, blocks = (group[c].to_numpy() for c in ("id", "component", "block"))
+        ids, component, blocks = (group[c].to_numpy() for c in ("id", "component", "block"))
+        component = component.copy()
         sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, hashes)
-        lo, hi = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
+        keys = np.stack(group["keys"].to_numpy())
+        sets = [frozenset(x.tolist()) for x in _shingles(pa.array(group["text"]), size)]
+        n = np.array([len(x) for x in sets])
+        key, lo, hi = (int(group[c].iloc[0]) for c in ("key", "lo", "hi"))
         found = []
         for i in range(len(ids) - 1):
             # a pair belongs to the one block pair that both of its blocks name
-            ok = (comps[i + 1 :] != comps[i]) & ((lo == hi) | (blocks[i + 1 :] != blocks[i]))
+            ok = (lo == hi) | (blocks[i + 1 :] != blocks[i])
+            ok &= (component[i + 1 :] != component[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
             at = i + 1 + np.flatnonzero(ok)
+            if len(at):
+                at = at[keys[i][(keys[at] == keys[i]).argmax(axis=1)] == key]
             if len(at):
                 m = _plausible(np.broadcast_to(sig[i], (len(at), hashes)), sig[at], table)
-                found += [(ids[i], ids[j], k) for j, k in zip(at, m, strict=True) if k >= 0]
-        return pd.DataFrame(found, columns=["a", "b", "matches"]).astype("int64")
+                for j in at[np.argsort(-m, kind="stable")][: int((m >= 0).sum())]:
+                    if component[i] != component[j]:
+                        both = len(sets[i] & sets[j])
+                        if 100 * both >= percent * (n[i] + n[j] - both):
+                            found.append((ids[i], ids[j]))
+                            component[component == component[j]] = component[i]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return spread.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long, matches long")
+    return spread.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
 
 
 def _exact(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -246,11 +262,15 @@ def near_duplicates(
     )
     # an id whose rows hold different texts is one node with several sets; its rows stay apart by set up to here
     buckets = reps.select("id", F.explode("keys").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")
-    crowded = materialise(buckets.join(leaders, "key").select("key", "id", "a", "size"))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = materialise(buckets.join(sizes, "key").select("key", "id", "size"))
     sigs = reps.groupBy("id").agg(F.min("sig").alias("sig"))
+    # a bucket's leader is the member of most company in all its buckets: the text that a group's copies come from agrees
+    # with the majority in every band, so it leads each of their buckets, whatever its id
+    company = crowded.groupBy("id").agg(F.sum("size").alias("company"))
+    leaders = crowded.join(company, "id").groupBy("key").agg(F.max_by("id", F.struct("company", -F.col("id"))).alias("a"))
     # each document meets the leader with which it shares most bands; every other pair waits until it joins components
-    shared = crowded.where("a < id").groupBy("id", "a").agg(F.count("*").alias("n"))
+    shared = crowded.join(leaders, "key").where("a <> id").groupBy("id", "a").agg(F.count("*").alias("n"))
     first = shared.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     first = materialise(first)
     texts = base.where("id is not null and text is not null")
@@ -262,10 +282,12 @@ def near_duplicates(
     inside = materialise(inside.join(mixed, "key", "left_semi").select("key", "id", "size", "component"))
     x = inside.where(F.col("size") <= SMALL_BUCKET).select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
     y = x.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
-    pairs = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    wide = _block_pairs(inside.where(F.col("size") > SMALL_BUCKET), sigs, hashes, table)
-    more = _bayes(pairs, sigs, hashes, table).union(wide).select("a", "b").distinct()
-    more = materialise(_exact(materialise(more), texts, words_per_shingle, percent))
+    pairs = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    pairs = pairs.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = materialise(_exact(_bayes(pairs, sigs, hashes, table), texts, words_per_shingle, percent))
+    described = reps.groupBy("id").agg(F.min(F.struct("print", "sig", "keys")).alias("r")).select("id", "r.sig", "r.keys")
+    wide = _block_links(inside.where(F.col("size") > SMALL_BUCKET), described, texts, words_per_shingle, percent, hashes, table)
+    more = more.union(materialise(wide))
     final = components(links.union(more))
     grouped = feats.select("id", "n", "print").join(classes, "print", "left").withColumn("rep", F.coalesce("rep", "id"))
     roots = final.select(F.col("node").alias("rep"), "component")
