@@ -24,7 +24,7 @@ from .common import materialise, slices, words
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Within these characters Unicode composition changes nothing and lower-casing goes character by character.
 PLAIN = regex.compile(r"[\x21-\x7e¡-į]+")
-CACHE = 300_000
+CACHE = 200_000
 
 
 class WordTokenizer:
@@ -129,7 +129,7 @@ def cuts(length: int, capacity: int, tail: int) -> list[int]:
 def _cut(tokenizer: str, capacity: int, tail: int, closing: int, with_ids: bool):
     def run(batches):
         model = _LOADED.get(tokenizer) or _LOADED.setdefault(tokenizer, WordTokenizer(tokenizer))
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 12 << 20):
             ids, offsets = model.encode(batch.column("text"), closing)
             rows, start, length, crc, kept = [], [], [], [], []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
