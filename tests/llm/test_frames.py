@@ -139,6 +139,11 @@ def test_lcs():
         assert all(x in it for x in (a[i] for i in at))  # a subsequence of b
 
 
+def test_cut_off_tag():
+    assert [t for t, *_ in lines('<p>one 1 < 2</p><p>two <a href="http://x')] == ["one 1 < 2", "two"]
+    assert [t for t, *_ in lines("<p>one</p")] == ["one"]
+
+
 def test_lines_flags():
     got = lines("<body>x<article><header><h1>Title</h1><p>by me</p></header><p><a>Only</a> <a>links</a></p>y</article></body>")
     assert [t for t, *_ in got] == ["x", "Title", "Only links", "y"] and [c for _, c, _ in got] == [False, True, True, True] and got[2][2]
