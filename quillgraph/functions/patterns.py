@@ -242,24 +242,31 @@ def clean_cypher(text: str) -> str:
     return "\n".join(rows[begin:end]).strip()
 
 
+def _each(texts: pd.Series, scan) -> list:
+    """scan of every text, once for each distinct one: questions and queries repeat."""
+    codes, distinct = pd.factorize(texts, use_na_sentinel=True)
+    known = [scan(t) for t in distinct]
+    return [known[k] if k >= 0 else scan(None) for k in codes]
+
+
 @pandas_udf(_TEXT)
 def extract_schema_pattern(cypher: pd.Series) -> pd.Series:
-    return cypher.map(schema_pattern)
+    return pd.Series(_each(cypher, schema_pattern), dtype=object)
 
 
 @pandas_udf(PARSED)
 def parse_schema_pattern(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_pattern(t) for t in text], columns=["nodes", "rels", "ok"])
+    return pd.DataFrame(_each(text, parse_pattern), columns=["nodes", "rels", "ok"])
 
 
 @pandas_udf(_TEXT)
 def extract_json_object(text: pd.Series) -> pd.Series:
-    return text.map(json_object)
+    return pd.Series(_each(text, json_object), dtype=object)
 
 
 @pandas_udf(_TEXT)
 def cleaned_cypher(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else clean_cypher(t))
+    return pd.Series(_each(text, lambda t: None if t is None else clean_cypher(t)), dtype=object)
 
 
 def first_line(text: Column | str) -> Column:

@@ -365,15 +365,20 @@ class Compiler:
         if r.hi < 0 or r.hi > MOST_HOPS:
             raise CypherError(f"a variable length needs an upper bound of at most {MOST_HOPS}")
         every = Bound("node", frozenset(self.graph.nodes), (), True)
-        edges = self.edge_frame(r, every, every)
         front, front_label, ids = f"{r.var}__front", f"{r.var}__front_label", f"{r.var}__ids"
-        edges = edges.select(
-            c(f"{r.var}__from").alias(front), c(f"{r.var}__from_label").alias(front_label), c(f"{r.var}__to").alias("__next"), c(f"{r.var}__to_label").alias("__next_label"), c(_id(r.var)).alias("__edge")
-        )
         carried = df.columns
         step = df.withColumn(front, c(_id(a)).cast("string")).withColumn(front_label, c(_label(a))).withColumn(ids, F.array().cast("array<string>"))
-        walks = [step] if r.lo == 0 else []
+        walks, at = [step] if r.lo == 0 else [], known[a].labels
         for n in range(1, r.hi + 1):
+            # only relationships that leave a label which n - 1 hops can reach
+            here = Bound("node", at, (), True)
+            fits = self.tables(r, at, every.labels)
+            if not fits:
+                break
+            at = frozenset(e.source if against else e.target for e, against in fits)
+            edges = self.edge_frame(r, here, every).select(
+                c(f"{r.var}__from").alias(front), c(f"{r.var}__from_label").alias(front_label), c(f"{r.var}__to").alias("__next"), c(f"{r.var}__to_label").alias("__next_label"), c(_id(r.var)).alias("__edge")
+            )
             step = (
                 step.join(edges, [front, front_label])
                 .where(~F.array_contains(c(ids), c("__edge")))
@@ -381,6 +386,8 @@ class Compiler:
             )
             if n >= r.lo:
                 walks.append(step)
+        if not walks:
+            raise CypherError(f"no walk of {r.lo} hops leaves {sorted(known[a].labels)}")
         out = reduce(DataFrame.unionByName, walks)
         known[r.var] = Bound("rels")
         if b in known:
