@@ -55,7 +55,7 @@ def row_sets_equal(left: DataFrame, right: DataFrame) -> DataFrame:
 def similar_sets(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], embedding_of: dict[str, str], threshold: float = 0.95) -> DataFrame:
     """One row (similar): results of equal length aligned by their sorted keys, texts compared by cosine.
 
-    Values with an embedding column pass if the cosine reaches the threshold; other values must be equal.
+    For results a person reads: the alignment ranks all rows in one task. Values with an embedding column pass if the cosine reaches the threshold; other values must be equal.
     """
     def placed(df: DataFrame, tag: str) -> DataFrame:
         order = Window.partitionBy(F.lit(0)).orderBy(*(F.col(k).cast("string") for k in keys))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import parse_pattern, signature  # noqa: F401
-
 
 def roc_auc(df: DataFrame, score: str, positive: Column, keys: list[str] | None = None) -> DataFrame:
     """(keys, n_pos, n_neg, auc): Mann-Whitney with mid-ranks, 0.5 if a class is empty.
