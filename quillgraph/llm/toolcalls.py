@@ -59,8 +59,9 @@ def _level(calls: DataFrame) -> DataFrame:
     )
 
 
-def _problem(params: Column) -> Column:
-    """The first violation among a tool's parameters, by name: one missing, or one whose value has another type."""
+def _problem(params: Column) -> tuple[Column, Column]:
+    """The types of the arguments by name (to be called _kinds), and from them the first violation among a tool's
+    parameters, by name: one missing, or one whose value has another type."""
     kinds = F.transform_values(F.from_json("arguments", "map<string,variant>"), lambda _, v: F.schema_of_variant(v))
 
     def wrong(p: Column) -> Column:
