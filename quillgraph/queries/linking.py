@@ -5,6 +5,8 @@ The event stream stands in for model output: a user is a question, events are be
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +20,11 @@ BOOK = Book()
 LEGAL = ("click", "purchase", "signup", "view")
 
 
-def beams(spark, sf_dir, k: int = 5) -> DataFrame:
-    """(question_id, rank, kind, score): the first k events of each user as scored beams."""
+def beams(spark, sf_dir, k: int | None = 5) -> DataFrame:
+    """(question_id, rank, kind, score): the first k events of each user as scored beams, or all of them without k."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    e = table(spark, sf_dir, "events").withColumn("rank", F.row_number().over(w))
+    e = e if k is None else e.where(F.col("rank") <= k)
     return e.select(F.col("user_id").alias("question_id"), F.col("rank").cast("long").alias("rank"), F.col("event_type").alias("kind"), (-F.col("value") / 10).alias("score"))
 
 
@@ -34,30 +37,30 @@ SCORED = f"""WITH {BEAMS}, tops AS (SELECT question_id, kind, max(score) AS top,
         row_number() OVER (PARTITION BY question_id ORDER BY score DESC, first_seen) AS rank FROM lse JOIN best USING (question_id))"""
 
 
-def merged(spark, sf_dir) -> DataFrame:
-    b = beams(spark, sf_dir)
+def merged(spark, sf_dir, k: int | None = 5) -> DataFrame:
+    b = beams(spark, sf_dir, k)
     first = b.groupBy("question_id", "kind").agg(F.min("rank").alias("first_seen"))
     return candidates.logsumexp(b, ["question_id", "kind"], "score").join(first, ["question_id", "kind"])
 
 
-def ranked(spark, sf_dir) -> DataFrame:
-    out = candidates.softmax_rank(merged(spark, sf_dir), ["question_id"], "score", [F.asc("first_seen")])
+def ranked(spark, sf_dir, k: int | None = 5) -> DataFrame:
+    out = candidates.softmax_rank(merged(spark, sf_dir, k), ["question_id"], "score", [F.asc("first_seen")])
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 @BOOK.add("c_logsumexp", SCORED + " SELECT question_id, kind, round(score, 6) AS score FROM lse")
-def c_logsumexp(spark, sf_dir):
-    return merged(spark, sf_dir).select("question_id", "kind", F.round("score", 6).alias("score"))
+def c_logsumexp(spark, sf_dir, k: int | None = 5):
+    return merged(spark, sf_dir, k).select("question_id", "kind", F.round("score", 6).alias("score"))
 
 
 @BOOK.add("c_softmax_rank", SCORED + " SELECT question_id, kind, round(prob, 6) AS prob, rank FROM ranked")
-def c_softmax_rank(spark, sf_dir):
-    return ranked(spark, sf_dir).select("question_id", "kind", F.round("prob", 6).alias("prob"), "rank")
+def c_softmax_rank(spark, sf_dir, k: int | None = 5):
+    return ranked(spark, sf_dir, k).select("question_id", "kind", F.round("prob", 6).alias("prob"), "rank")
 
 
 @BOOK.add("c_top1", SCORED + " SELECT question_id, kind, round(prob, 6) AS prob FROM ranked WHERE rank = 1")
-def c_top1(spark, sf_dir):
-    return candidates.top1(ranked(spark, sf_dir), ["question_id"]).select("question_id", "kind", F.round("prob", 6).alias("prob"))
+def c_top1(spark, sf_dir, k: int | None = 5):
+    return candidates.top1(ranked(spark, sf_dir, k), ["question_id"]).select("question_id", "kind", F.round("prob", 6).alias("prob"))
 
 
 @BOOK.add(
@@ -65,15 +68,15 @@ def c_top1(spark, sf_dir):
     SCORED + """ SELECT DISTINCT question_id, CAST(0 AS BIGINT) AS choice, CAST(NULL AS VARCHAR) AS slot, CAST(NULL AS VARCHAR) AS kind FROM ranked
     UNION ALL SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY prob DESC, rank), 'rel_1', kind FROM ranked WHERE rank > 1""",
 )
-def c_substitutions(spark, sf_dir):
-    return candidates.substitutions(ranked(spark, sf_dir).withColumn("slot", F.lit("rel_1")), "question_id", "slot", "kind")
+def c_substitutions(spark, sf_dir, k: int | None = 5):
+    return candidates.substitutions(ranked(spark, sf_dir, k).withColumn("slot", F.lit("rel_1")), "question_id", "slot", "kind")
 
 
-def completions(spark, sf_dir) -> DataFrame:
+def completions(spark, sf_dir, k: int | None = 5) -> DataFrame:
     """Beams as pattern text: the event type is the relationship, every other beam is written from the far end."""
     kind, back = F.upper("kind"), F.col("rank") % 2 == 0
     text = F.when(back, F.concat(F.lit("(d:Day)<-[:"), kind, F.lit("]-(u:User)"))).otherwise(F.concat(F.lit("\n(u:User)-[:"), kind, F.lit("]->(d:Day)")))
-    return beams(spark, sf_dir).select(F.col("question_id").cast("string").alias("question_id"), F.col("rank").cast("int").alias("rank"), text.alias("text"), "score")
+    return beams(spark, sf_dir, k).select(F.col("question_id").cast("string").alias("question_id"), F.col("rank").cast("int").alias("rank"), text.alias("text"), "score")
 
 
 EVENT_SCHEMA = GraphSchema(["User", "Day"], [PathDecl(k.upper(), "User", "Day") for k in LEGAL])
@@ -94,9 +97,9 @@ EVENT_SCHEMA = GraphSchema(["User", "Day"], [PathDecl(k.upper(), "User", "Day")
     )
     SELECT CAST(question_id AS VARCHAR) AS question_id, slot, name, round(exp(score) / sum(exp(score)) OVER (PARTITION BY question_id, slot), 6) AS prob FROM slots""",
 )
-def c_candidate_mapping(spark, sf_dir):
+def c_candidate_mapping(spark, sf_dir, k: int | None = 5):
     """Parse, validate, align, merge and normalise beams of pattern text; error events are out of the schema."""
-    mapping, _ = candidates.candidate_mapping(completions(spark, sf_dir), EVENT_SCHEMA)
+    mapping, _ = candidates.candidate_mapping(completions(spark, sf_dir, k), EVENT_SCHEMA)
     return mapping.select("question_id", "slot", "name", F.round("prob", 6).alias("prob"))
 
 
@@ -118,8 +121,8 @@ def c_prefilter_cosine(spark, sf_dir):
     SCORED + """, h AS (SELECT question_id, count(*) AS k, -sum(prob * log2(prob)) AS h FROM ranked WHERE prob > 0 GROUP BY 1)
     SELECT question_id, round(CASE WHEN k <= 1 THEN 0 ELSE h / log2(k) END, 6) AS entropy FROM h""",
 )
-def a_entropy_candidates(spark, sf_dir):
-    out = ambiguity.entropy_of_candidates(ranked(spark, sf_dir), ["question_id"], "prob")
+def a_entropy_candidates(spark, sf_dir, k: int | None = 5):
+    out = ambiguity.entropy_of_candidates(ranked(spark, sf_dir, k), ["question_id"], "prob")
     return out.select("question_id", F.round("entropy", 6).alias("entropy"))
 
 
@@ -128,13 +131,13 @@ def a_entropy_candidates(spark, sf_dir):
     f"""WITH {BEAMS}, c AS (SELECT question_id, kind, count(*) AS c FROM beams GROUP BY ALL), n AS (SELECT question_id, sum(c) AS n FROM c GROUP BY 1)
     SELECT question_id, round(CASE WHEN max(n) > 1 THEN -sum(c / n * ln(c / n)) / ln(max(n)) ELSE 0 END, 6) AS entropy FROM c JOIN n USING (question_id) GROUP BY 1""",
 )
-def a_entropy_beams(spark, sf_dir):
-    return ambiguity.entropy_of_beams(beams(spark, sf_dir), ["question_id"], "kind").select("question_id", F.round("entropy", 6).alias("entropy"))
+def a_entropy_beams(spark, sf_dir, k: int | None = 5):
+    return ambiguity.entropy_of_beams(beams(spark, sf_dir, k), ["question_id"], "kind").select("question_id", F.round("entropy", 6).alias("entropy"))
 
 
 @BOOK.add("a_dominance", f"WITH {BEAMS}, c AS (SELECT question_id, kind, count(*) AS c FROM beams GROUP BY ALL) SELECT question_id, round(1 - max(c) / sum(c), 6) AS dominance FROM c GROUP BY 1")
-def a_dominance(spark, sf_dir):
-    return ambiguity.dominance(beams(spark, sf_dir), ["question_id"], "kind").select("question_id", F.round("dominance", 6).alias("dominance"))
+def a_dominance(spark, sf_dir, k: int | None = 5):
+    return ambiguity.dominance(beams(spark, sf_dir, k), ["question_id"], "kind").select("question_id", F.round("dominance", 6).alias("dominance"))
 
 
 @BOOK.add(
@@ -142,9 +145,9 @@ def a_dominance(spark, sf_dir):
     SCORED + """, h AS (SELECT question_id, count(*) AS k, -sum(prob * log2(prob)) AS h FROM ranked WHERE prob > 0 GROUP BY 1), x AS (SELECT question_id, CASE WHEN k <= 1 THEN 0 ELSE h / log2(k) END AS s FROM h)
     SELECT c_custkey AS question_id, round(coalesce(s, 0), 6) AS schema_entropy, CAST(0 AS DOUBLE) AS entity_entropy FROM customer LEFT JOIN x ON c_custkey = question_id""",
 )
-def a_scores(spark, sf_dir):
+def a_scores(spark, sf_dir, k: int | None = 5):
     asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("question_id"))
-    slots = ranked(spark, sf_dir).withColumn("slot", F.lit("rel_1"))
+    slots = ranked(spark, sf_dir, k).withColumn("slot", F.lit("rel_1"))
     spans = slots.select("question_id", F.lit("one").alias("span"), F.col("prob").alias("posterior")).where("false")
     out = ambiguity.ambiguity_scores(asked, slots, spans)
     return out.select("question_id", F.round("schema_entropy", 6).alias("schema_entropy"), "entity_entropy")
@@ -229,12 +232,12 @@ def p_clean_fence(spark, sf_dir):
     "p_render",
     SCORED + " SELECT question_id, '(u:User)-[:' || upper(kind) || ']->(d:Day), (x:Xtra)' AS pattern FROM ranked WHERE rank = 1",
 )
-def p_render(spark, sf_dir):
+def p_render(spark, sf_dir, k: int | None = 5):
     def element(kind, name, source=None, target=None):
         return F.struct(F.lit(kind).alias("element_type"), name.alias("name"), F.lit(source).cast("string").alias("source_label"), F.lit(target).cast("string").alias("target_label"), F.lit(False).alias("active"))
 
     parts = F.array(element("relationship_type", F.upper("kind"), "User", "Day"), element("node_label", F.lit("User")), element("node_label", F.lit("Xtra")))
-    best = candidates.top1(ranked(spark, sf_dir), ["question_id"])
+    best = candidates.top1(ranked(spark, sf_dir, k), ["question_id"])
     return best.select("question_id", candidates.render(parts).alias("pattern"))
 
 
@@ -305,21 +308,30 @@ def e_spans(spark, sf_dir):
     "q_coverage",
     f"WITH {BEAMS} SELECT question_id, bool_or(kind = 'purchase') AS covered, bool_or(kind = 'purchase' AND rank = 1) AS em_at_1 FROM beams GROUP BY 1",
 )
-def q_coverage(spark, sf_dir):
-    b = beams(spark, sf_dir)
+def q_coverage(spark, sf_dir, k: int | None = 5):
+    b = beams(spark, sf_dir, k)
     gold = b.select("question_id").distinct().withColumn("kind", F.lit("purchase"))
     return stats.coverage(b, gold, "question_id", "kind", "rank")
 
 
 @BOOK.add("q_hallucination", f"WITH {BEAMS} SELECT question_id, round(avg(CASE WHEN kind = 'error' THEN 1.0 ELSE 0.0 END), 6) AS share FROM beams GROUP BY 1")
-def q_hallucination(spark, sf_dir):
+def q_hallucination(spark, sf_dir, k: int | None = 5):
     legal = F.array(*map(F.lit, LEGAL))
-    out = stats.hallucination(beams(spark, sf_dir).withColumn("names", F.array("kind")), "question_id", "names", legal)
+    out = stats.hallucination(beams(spark, sf_dir, k).withColumn("names", F.array("kind")), "question_id", "names", legal)
     return out.select("question_id", F.round("share", 6).alias("share"))
 
 
 @BOOK.add("q_signatures", f"WITH {BEAMS} SELECT question_id, rank, 'User>' || upper(kind) || '>Day/' AS signature FROM beams")
-def q_signatures(spark, sf_dir):
+def q_signatures(spark, sf_dir, k: int | None = 5):
     """The canonical form of beams written from either end is the same."""
-    parsed = candidates.parse_beams(completions(spark, sf_dir), EVENT_SCHEMA, check=False)
+    parsed = candidates.parse_beams(completions(spark, sf_dir, k), EVENT_SCHEMA, check=False)
     return parsed.select(F.col("question_id").cast("long").alias("question_id"), F.col("rank").cast("long").alias("rank"), patterns.signature(F.col("parsed")).alias("signature"))
+
+
+#: The same queries over every event of a user, each with a twin of its own: the SQL of the ones above stops at rank 5.
+ALL_BEAMS = BEAMS.replace(" WHERE rank <= 5", "")
+for _query in (
+    c_logsumexp, c_softmax_rank, c_top1, c_substitutions, c_candidate_mapping, a_entropy_candidates, a_entropy_beams, a_dominance, a_scores, p_render, q_coverage, q_hallucination,
+    q_signatures,
+):
+    BOOK.add(f"{_query.__name__}_all", BOOK.sql[_query.__name__].replace(BEAMS, ALL_BEAMS))(partial(_query, k=None))

@@ -43,3 +43,14 @@ def test_query(spark, db, book, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert got == sorted((tuple(cell(r[i]) for i in at) for r in rel.fetchall()), key=str)
+
+
+def test_every_event_is_a_beam(spark):
+    """The queries over all beams read the whole table; their SQL has no rank filter."""
+    book = BOOKS[1]
+    whole = [n for n in book.queries if n.endswith("_all")]
+    assert len(whole) == 13 and not any("rank <= 5" in book.sql[n] for n in whole)
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    assert book.queries["q_signatures_all"](spark, SF).count() == events.count()
+    bought = {r[0] for r in events.where("event_type = 'purchase'").select("user_id").distinct().collect()}
+    assert {r["question_id"] for r in book.queries["q_coverage_all"](spark, SF).where("covered").collect()} == bought
