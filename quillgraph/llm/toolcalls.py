@@ -35,26 +35,32 @@ def _level(calls: DataFrame) -> DataFrame:
     what still rises after that many rounds lies in a cycle or behind one: its level is -1.
     """
     edges = calls.select("conv", "call_id", F.explode("depends_on").alias("needs")).distinct()
-    now = calls.select("conv", "call_id", F.struct(F.col("turn").alias("at_turn"), F.lit(0).alias("level")).alias("place"))
-    edges = materialise(edges.join(now.select("conv", F.col("call_id").alias("needs")), ["conv", "needs"], "left_semi"))
+    # rows of a table may repeat: one row for each call of a conversation
+    now = calls.groupBy("conv", "call_id").agg(F.struct(F.min("turn").alias("at_turn"), F.lit(0).alias("level")).alias("place"))
+
+    def at(df: DataFrame, call: str = "call_id") -> Column:
+        """The rows of df of the same conversation (a null one is like any other) and call."""
+        return df["conv"].eqNullSafe(F.col("_conv")) & (df[call] == F.col("_id"))
+
+    known = now.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"))
+    edges = materialise(edges.join(known, at(edges, "needs"), "left_semi"))
     if not edges.limit(1).count():
         return calls.withColumn("at_turn", F.col("turn")).withColumn("level", F.lit(0))
-    rounds = calls.groupBy("conv").count().agg(F.max("count")).first()[0]
+    rounds = now.groupBy("conv").count().agg(F.max("count")).first()[0]
     now = materialise(now)
     moved = None
     for _ in range(rounds + 1):
-        above = now.select("conv", F.col("call_id").alias("needs"), F.col("place").alias("under"))
-        least = edges.join(above, ["conv", "needs"]).groupBy("conv", "call_id").agg(F.max("under").alias("under"))
+        above = now.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), F.col("place").alias("under"))
+        least = edges.join(above, at(edges, "needs")).groupBy(F.col("conv").alias("_conv"), F.col("call_id").alias("_id")).agg(F.max("under").alias("under"))
         after = F.struct(F.col("under.at_turn").alias("at_turn"), (F.col("under.level") + 1).alias("level"))
-        step = now.join(least, ["conv", "call_id"], "left").withColumn("new", F.when(F.col("under").isNull(), F.col("place")).otherwise(F.greatest("place", after)))
+        step = now.join(least, at(now), "left").withColumn("new", F.when(F.col("under").isNull(), F.col("place")).otherwise(F.greatest("place", after)))
         step = materialise(step.select("conv", "call_id", F.col("new").alias("place"), (F.col("new") > F.col("place")).alias("moved")))
         moved = step.where("moved")
         now = step.drop("moved")
         if not moved.limit(1).count():
             break
-    loose = moved.select("conv", "call_id", F.lit(True).alias("loose"))
-    both = calls.join(now, ["conv", "call_id"]).join(loose, ["conv", "call_id"], "left")
-    return both.select(
+    places = step.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), "place", F.col("moved").alias("loose"))
+    return calls.join(places, at(calls)).select(
         *calls.columns, F.when(F.col("loose"), F.col("turn")).otherwise(F.col("place.at_turn")).alias("at_turn"), F.when(F.col("loose"), F.lit(-1)).otherwise(F.col("place.level")).alias("level")
     )
 
@@ -141,11 +147,12 @@ def link(
     sound = _level(materialise(sound)).withColumn("problem", F.when(F.col("level") < 0, "cycle").otherwise(F.col("problem"))).withColumn("level", F.greatest("level", F.lit(0)) + 1)
     odd = called.where("call_id is null or again").withColumn("at_turn", F.col("turn")).withColumn("level", F.lit(1))
     returned = _first(tooling.where("kind = 'result'"))
-    ends = returned.where("not again").select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id")).hint("shuffle_hash")
+    # rows of a table may repeat: one end and one head for each identifier
+    ends = returned.where("not again").select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id")).distinct().hint("shuffle_hash")
     sound = sound.join(ends, sound["conv"].eqNullSafe(F.col("_conv")) & (sound["call_id"] == F.col("_id")), "left").withColumn("linked", F.col("_id").isNotNull())
     heads = sound.select(
         F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), F.col("at_turn"), F.col("level"), F.col("turn").alias("of_turn"), F.col("item").alias("of_item")
-    ).hint("shuffle_hash")
+    ).distinct().hint("shuffle_hash")
     back = returned.join(heads, returned["conv"].eqNullSafe(F.col("_conv")) & (returned["call_id"] == F.col("_id")), "left")
     back = back.withColumn("linked", F.col("_id").isNotNull() & ~F.col("again")).withColumn(
         "problem", F.when(F.col("again"), "repeated identifier").when(F.col("_id").isNull(), "no call")

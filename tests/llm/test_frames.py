@@ -185,3 +185,18 @@ def test_toolcalls(spark):
     levels = {r["call_id"]: (r["level"], r["problem"]) for r in got if r["conv_id"] == 2 and r["kind"] == "call"}
     assert levels["d2"][0] < levels["d1"][0] and levels["k1"][1] == levels["k2"][1] == "cycle" and levels["d1"][1] is None
     assert link(df.limit(0)).count() == 0
+
+
+def test_toolcalls_null_conversation_and_repeats(spark):
+    """Calls without a conversation and repeated rows stay as they are when a call depends on another."""
+    deps = json.dumps({"tool_calls": [{"id": "d1", "name": "ping", "arguments": {}, "depends_on": ["d2"]}, {"id": "d2", "name": "ping", "arguments": {}}]})
+    back = json.dumps({"tool_call_id": "d1", "content": 1})
+    for convs in ([None], [1], [1, None]):
+        rows = [(c, 0, "assistant", deps) for c in convs for _ in range(3)] + [(c, 1, "tool", back) for c in convs for _ in range(2)]
+        got = link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+        for c in convs:
+            calls = [r for r in got if r["conv_id"] == c and r["kind"] == "call"]
+            assert sorted(r["call_id"] for r in calls) == ["d1"] * 3 + ["d2"] * 3
+            level = {r["call_id"]: r["level"] for r in calls}
+            assert level["d2"] < level["d1"] and all(r["linked"] == (r["call_id"] == "d1") for r in calls)
+            assert [(r["linked"], r["problem"]) for r in got if r["conv_id"] == c and r["kind"] == "result"] == [(True, None)] * 2
