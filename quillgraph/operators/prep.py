@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import extract_schema_pattern, has_relationship_type
-from ..functions.strings import indel, normalised_question
+from ..functions.strings import TextList, normalised_question
 
 
 def hash_order(seed: int, key: Column | str) -> Column:
@@ -35,23 +36,21 @@ def first_wins(rows: DataFrame, text: str, position: list[str]) -> DataFrame:
     return both.drop("_norm", "_first")
 
 
-def disjoint(rows: DataFrame, blocked: DataFrame, text: str, block_text: str, ratio: float = 0.9, tokens_in_common: int = 2) -> DataFrame:
-    """Rows whose text is neither equal to a blocked one (normalised) nor within `ratio` of one by Indel.
+def disjoint(rows: DataFrame, blocked: DataFrame, text: str, block_text: str, ratio: float = 0.9) -> DataFrame:
+    """Rows whose text is neither equal to a blocked one (normalised) nor within `ratio` of one by token sets.
 
-    Exact copies go by an anti-join. A fuzzy pair at this ratio shares most of its characters, so candidates are pairs
-    that share a word and whose lengths fit: 2 * min / (a + b) bounds the ratio.
+    Exact copies go by an anti-join. Every other text is compared with the whole list, which is bounded: it is broadcast.
     """
     norm = normalised_question(text)
     block = blocked.select(normalised_question(block_text).alias("_b")).distinct()
     left = rows.withColumn("_n", norm).join(block, F.col("_n") == F.col("_b"), "left_anti")
-    grams = lambda c: F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    texts = left.select("_n").distinct()
-    a = texts.select("_n", F.explode(grams(F.col("_n"))).alias("_w"))
-    b = block.select("_b", F.explode(grams(F.col("_b"))).alias("_w"))
-    shorter, longer = F.least(F.length("_n"), F.length("_b")), F.greatest(F.length("_n"), F.length("_b"))
-    shared = a.join(b, "_w").where(2 * shorter >= ratio * (shorter + longer)).groupBy("_n", "_b").agg(F.count("*").alias("_c"))
-    near = shared.where(F.col("_c") >= F.least(F.lit(tokens_in_common), F.size(grams(F.col("_b"))))).where(indel(F.col("_n"), F.col("_b")) >= ratio)
-    return left.join(near.select("_n").distinct(), "_n", "left_anti").drop("_n")
+    shared = rows.sparkSession.sparkContext.broadcast(TextList([r["_b"] for r in block.where("_b is not null").collect()]))
+
+    def near(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.near(t, ratio) for t in texts.to_pylist()], pa.bool_())
+
+    near.__annotations__ = {"texts": pa.Array, "return": pa.Array}  # the names are strings here
+    return left.where(~F.arrow_udf(near, "boolean")("_n")).drop("_n")
 
 
 def split(rows: DataFrame, key: str, seed: int = 13, share: float = 0.1) -> DataFrame:

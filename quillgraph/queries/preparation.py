@@ -34,10 +34,8 @@ def t_gate_exact(spark, sf_dir):
 
 @BOOK.add("t_gate_fuzzy")
 def t_gate_fuzzy(spark, sf_dir):
-    """Part names that are neither equal to a name on the list nor within 0.9 of one."""
-    part = table(spark, sf_dir, "part")
-    blocked = spark.createDataFrame([("Small  RING",), ("red widgets",)], "q string")
-    return prep.disjoint(part.select("p_partkey", "p_name"), blocked, "p_name", "q", 0.9, 1).select("p_partkey", "p_name")
+    """Documents that are neither equal to a text of the benchmark nor within 0.9 of one."""
+    return prep.disjoint(docs(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"), "text", "text", 0.9).select("doc_id")
 
 
 @BOOK.add(

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.functions import strings
 from quillgraph.operators import ambiguity, entities, evaluate, metrics, prep, retry, stats, walks
 from quillgraph.plans.catalog import GraphSchema, PathDecl
 from quillgraph.sources import benchmark
@@ -190,3 +191,16 @@ def test_streams(spark, tmp_path):
         q = stream.writeStream.format("memory").queryName(name).outputMode("append" if name == "dedup" else "complete").option("checkpointLocation", str(tmp_path / f"c{name}")).trigger(availableNow=True).start()
         q.awaitTermination(60)
     assert spark.table("dedup").count() == 5 and spark.table("days").agg(F.sum("n")).first()[0] == 10
+
+
+def test_disjoint_is_complete(spark):
+    """Every pair is held against token_set() itself: reordered, added, joined and misspelt words."""
+    texts = ["ring small", "small ring in a box", "smallring", "smal ring", "small rings", "big ring", "a", "", None, "where is the nearest stations please", "stations please where the nearest is", "something else"]
+    blocks = ["Small  RING", "where is the nearest station please", "ab", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, q string")
+    blocked = spark.createDataFrame([(b,) for b in blocks], "b string")
+    norm = strings.normalised_question
+    pairs = rows.crossJoin(blocked).where((norm("q") == norm("b")) | (strings.token_set(norm("q"), norm("b")) >= 0.9))
+    gone = {r["id"] for r in pairs.collect()}
+    assert {r["id"] for r in prep.disjoint(rows, blocked, "q", "b").collect()} == set(range(len(texts))) - gone
+    assert gone >= {0, 1, 3, 4, 7, 9, 10} and not gone & {2, 5, 6, 8, 11}
