@@ -204,3 +204,17 @@ def test_disjoint_is_complete(spark):
     gone = {r["id"] for r in pairs.collect()}
     assert {r["id"] for r in prep.disjoint(rows, blocked, "q", "b").collect()} == set(range(len(texts))) - gone
     assert gone >= {0, 1, 3, 4, 7, 9, 10} and not gone & {2, 5, 6, 8, 11}
+
+
+def test_resolve_is_complete(spark):
+    """Every pair at the threshold, errors at the start of a name and short names among them."""
+    texts = ["johnson", "smith", "katherine", "steven", "aXbYc", "ab", "Mary Anne Lee"]
+    names = ["jhonson", "msith", "catherine", "estevan", "abc", "ba", "b", "maryanne lee", "Anne", "lee mary", "unrelated"]
+    spans = spark.createDataFrame([("q", t) for t in texts], "question_id string, span string")
+    cache = spark.createDataFrame([(n, "Person", [n], n) for n in names], "node_id string, label string, name_values array<string>, display_name string")
+    every = spans.crossJoin(cache).withColumn("s", strings.token_set(F.col("span"), F.col("node_id")))
+    for least in (0.75, 0.6):
+        want = {(r["span"], r["node_id"]): r["s"] for r in every.where(F.col("s") >= least).collect()}
+        got = {(r["span"], r["node_id"]): r["match_score"] for r in entities.resolve(spans, cache, threshold=least, most=99).collect()}
+        assert got == want
+        assert {("johnson", "jhonson"), ("smith", "msith"), ("katherine", "catherine"), ("steven", "estevan"), ("aXbYc", "abc")} <= set(got)
