@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.bayes_dedup import near_duplicates
 from quillgraph.llm.common import materialise
-from quillgraph.llm.langid import UNKNOWN, identify
+from quillgraph.llm.langid import UNKNOWN, fit, measure
 from quillgraph.llm.mixing import mix
 from quillgraph.llm.packing import pack
 from quillgraph.llm.weak_quality import score_quality
@@ -33,9 +33,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those of no letters or without one of at least LEAST_SCORE go."""
-    found = identify(docs, lambda d: d)
-    return _kept(docs, found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)))
+    """Documents with a language: those of no letters or without one of at least LEAST_SCORE go, and those that have
+    less than half the share of known words, or half the margin per word over the second language, of the median row
+    that is labelled and found to be of that language. A score alone says nothing of long texts: it grows with them.
+    """
+    found = materialise(measure(docs, fit(docs)))
+    usual = found.where("lang = lang_pred").groupBy("lang_pred").agg(F.percentile_approx("known", 0.5).alias("_known"), F.percentile_approx("margin", 0.5).alias("_margin"))
+    sure = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).join(F.broadcast(usual), "lang_pred")
+    return _kept(docs, sure.where("2 * known >= _known and 2 * margin >= _margin"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,30 +63,37 @@ class Model:
         return np.zeros(len(self.langs))
 
     def chunk(self, text: str) -> np.ndarray:
-        """Evidence of a run of characters without white space, and in the last place its number of words."""
+        """Evidence of a run of characters without white space, and in the last places its number of words and of known ones."""
         known = self.cache.get(text)
         if known is None:
-            known = np.zeros(len(self.langs) + 1)
+            known = np.zeros(len(self.langs) + 2)
             for w in LETTERS.findall(text.lower()):
-                known[:-1] += self.word(w)
-                known[-1] += 1
+                known[:-2] += self.word(w)
+                known[-2] += 1
+                known[-1] += w in self.words
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[text] = known
         return known
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def measure(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, share of known words and margin over the second language per word of each text."""
         codes, distinct, offsets = words(texts)
         n = len(offsets) - 1
         if not self.langs or not len(codes):
-            return [UNKNOWN] * n, np.zeros(n)
+            return [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.zeros(n)
         each = np.stack([self.chunk(t) for t in distinct.to_pylist()])
         owner = np.repeat(np.arange(n), np.diff(offsets))
         sums = np.stack([np.bincount(owner, weights=each[codes, k], minlength=n) for k in range(each.shape[1])], axis=1)
-        evidence, some = sums[:, :-1], sums[:, -1] > 0
+        evidence, some, count = sums[:, :-2], sums[:, -2] > 0, np.maximum(sums[:, -2], 1)
         best = evidence.argmax(axis=1)
         score = 1 / np.exp(evidence - evidence.max(axis=1, keepdims=True)).sum(axis=1)
-        return [self.langs[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0)
+        two = np.sort(evidence, axis=1)[:, -2:]
+        langs = [self.langs[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
+        return langs, np.where(some, score, 0.0), sums[:, -1] / count, (two[:, -1] - two[:, 0]) / count
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        return self.measure(texts)[:2]
 
 
 def _count_words(batches):
@@ -174,6 +181,24 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return base.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def measure(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """predict() with the label (lang_col) and two measures that do not grow with a text: `known`, the share of its words
+    that the model knows, and `margin`, the evidence per word over that of the second language (0 if there is one only).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = shared.value
+        for batch in slices(batches, "text", 4 << 20):
+            langs, *numbers = own.measure(batch.column("text"))
+            columns = [batch.column("id"), batch.column("lang"), pa.array(langs, pa.string()), *(pa.array(np.round(x, 9)) for x in numbers)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "lang", "lang_pred", "score", "known", "margin"])
+
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    out = base.mapInArrow(run, "id long, lang string, lang_pred string, score double, known double, margin double")
+    return out.withColumnsRenamed({"id": id_col, "lang": lang_col})
+
+
 def identify(docs: DataFrame, learn_from: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Fit on the rows that `learn_from` selects and predict every row: (id_col, lang_pred, score).
 

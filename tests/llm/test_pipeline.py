@@ -78,6 +78,24 @@ def test_pipeline(spark, tmp_path):
     assert sorted(tuple(r[k] for k in key) for r in again.collect()) == sorted(tuple(r[k] for k in key) for r in kept[4])
 
 
+def test_language_rejects_what_is_none(spark):
+    """Gibberish, an unlearned language, repeated base64 and a mix of two languages go, however long; others stay."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(5)
+    own = {
+        "en": "the of and to in house water thing walking green was is that garden stone light paper river winter answer".split(),
+        "de": "der die und das ist nicht haus wasser ding gehen gruen war garten stein licht papier fluss winterzeit antwort".split(),
+    }
+    text = lambda of, n: " ".join(rng.choice(of) for _ in range(n))
+    data = [(i, text(own[lang], 10 + 5 * i), lang) for i in range(40) for lang in [("en", "de")[i % 2]]]
+    polish = "wszyscy ludzie rodza sie wolni rowni pod wzgledem swej godnosci swych praw oni obdarzeni rozumem sumieniem powinni postepowac wobec innych duchu braterstwa".split()
+    gibberish = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(n))
+    data += [(100, gibberish(300), None), (101, gibberish(40), "en"), (102, text(polish, 300), None), (103, " ".join(["UmVwZWF0ZWQgYmFzZTY0IHRleHQ"] * 200), None)]
+    data += [(104, " ".join(f"{a} {b}" for a, b in zip(text(own["en"], 300).split(), text(own["de"], 300).split())), None), (105, "123 -- 456", None), (106, text(own["de"], 300), None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in data], "doc_id long, text string, lang string, source string, n_chars int")
+    assert {r["doc_id"] for r in pipeline.language(spark, docs, "").collect()} == set(range(40)) | {106}
+
+
 CONTRACT = {
     "op1_pivot_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean", "op2_ivfpq": "query_id bigint, rank int, vec_id bigint, score double",
     "op5_sampled_splitters": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int", "op6_url_differencing": "page_id bigint, url string, text string, n_chars bigint",
