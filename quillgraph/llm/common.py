@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -16,21 +19,68 @@ SLICE_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is set only where the session names none (tests)."""
+    """The folder that all executors share, as the session names it.
+
+    Where none is named, a session whose executors are threads of this machine gets a folder of its own, which goes
+    when the driver ends; on a cluster a machine-local folder would lose results without an error, so that raises.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
         found = sc.getCheckpointDir()
     return found
 
 
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df once under the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing will read again."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path:
+            own = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            own.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(own, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
+    """Let the session hand whole texts to Python in batches of few rows: a batch of the usual 10,000 rows of text is
+    held by the JVM and by the worker at once. Settings that are lower already stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+HOT_SHARE = 1000
+EDGES_PER_TASK = 200_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """left joined to right, which has one row for each key and in `n` the number of rows of left that have it.
+
+    Keys with more than one in HOT_SHARE of the `total` rows, fewer than HOT_SHARE keys whatever the input, are
+    broadcast, so that no task gets all rows of one; the others are shuffled. `n` is left out of the result.
+    """
+    hot = F.broadcast(right.where(F.col(n) * HOT_SHARE > total).drop(n))
+    cold = right.where(F.col(n) * HOT_SHARE <= total).drop(n)
+    return left.join(hot, key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -48,13 +98,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         yield batch.slice(start)
 
 
-def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Split on ASCII white space: (code of each word, dictionary of distinct words, offsets of each text in the codes)."""
+def words(texts: pa.Array, lower: bool = False, letters: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Split on ASCII white space: (code of each word, dictionary of distinct words, offsets of each text in the codes).
+
+    With `lower` A-Z become a-z; with `letters` words are the runs of letters of the lower-cased text.
+    """
     # a copy without an offset: some Arrow kernels misread slices
     texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
     if lower:
         texts = pc.ascii_lower(texts)
-    lists = pc.ascii_split_whitespace(texts)
+    lists = pc.split_pattern_regex(pc.utf8_lower(texts), r"\P{L}+") if letters else pc.ascii_split_whitespace(texts)
     flat = lists.flatten()
     counts = np.asarray(pc.list_value_length(lists), dtype=np.int64)
     full = np.asarray(pc.binary_length(flat), dtype=np.int64) > 0
@@ -78,32 +131,30 @@ def _signature(edges: DataFrame) -> tuple:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links as (node, component): each linked node and the smallest node it reaches.
 
-    Alternates large-star and small-star steps; every step is an aggregation and an equi-join, so hubs are
-    pre-aggregated and no neighbourhood is gathered in one place. Self-links and repeats are ignored; nodes
-    without a link to another node are absent from the result.
+    Alternates large-star and small-star steps; every step is an aggregation and an equi-join in which the centres of
+    large stars are broadcast, a bounded number of them, so no neighbourhood is gathered in one place. Self-links and
+    repeats are ignored; nodes without a link to another node are absent from the result.
     """
-    edges = materialise(
-        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    )
+    # few links need few tasks, however many partitions a shuffle has
+    parts = max(1, links.count() // EDGES_PER_TASK)
+    keep = lambda df: materialise(df.coalesce(parts))
+    edges = keep(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = _signature(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        )
-        large = materialise(large.distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .union(least.select("u", F.col("m").alias("v")))
-        )
-        edges = materialise(small.distinct())
+        low = keep(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = join_counted(both, low, "u", "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = keep(large.distinct())
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        stars = least.select("u", F.col("m").alias("v"))
+        small = join_counted(large, least, "u", "n", before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(stars)
+        old, edges = (edges, low, large, least), keep(small.distinct())
+        discard(*old)
         after = _signature(edges)
         if after == before:
             break
         before = after
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return materialise(stars.union(stars.select(F.col("component").alias("node"), "component")).distinct())
+    out = keep(stars.union(stars.select(F.col("component").alias("node"), "component")).distinct())
+    discard(edges)
+    return out
