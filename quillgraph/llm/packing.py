@@ -1,9 +1,10 @@
 """Harmonic packing of token sequences.
 
 Each document is tokenised, ends with one closing id and is cut into pieces whose lengths fall into reciprocal-capacity
-classes: class k holds lengths in (C/(k+1), C/k], and every bin of class k takes k pieces. Whole capacities and the
-powers of two down to `tail` fill their bins exactly (class k has pieces of C/k); what is left over, under `tail` ids,
-goes as it is to the class of its length. So a bin wastes less than `tail` ids. Workers number their pieces by class
+classes: class k holds lengths in (C/(k+1), C/k], and every bin of class k takes k pieces. Cuts are made at whole
+capacities and at the largest C/k that still fits, down to `tail`, so these pieces fill the bins of their class but for
+a division's remainder; what is left over, under `tail` ids, goes as it is to the class of its length. So a bin wastes
+less than `tail` ids. Workers number their pieces by class
 independently: the count of pieces a worker has of each class gives its first bin and slot, so no bin needs two passes
 and nothing but (workers x classes) counts is shared. The few pieces that do not fill a last bin of their class, a number that the capacity bounds, share bins by best fit.
 """
@@ -14,25 +15,35 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, words
+from .common import materialise, slices, small_batches, words
 
 #: Fixed values of the vocabulary's pre-tokenizer: contractions, runs of letters, single digits, runs of others.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Within these characters Unicode composition changes nothing and lower-casing goes character by character.
 PLAIN = regex.compile(r"[\x21-\x7e¡-į]+")
-CACHE = 200_000
+#: A run of letters among them, with at most one mark after it.
+SIMPLE = r"^[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}]+[.,;:!?]?$"
+MARKS = ".,;:!?"
+KNOWN = 1_000_000
+SLICE = 8 << 20
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions starts[0], starts[0] + 1, ... of runs of the given sizes, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
 
 
 class WordTokenizer:
     """Ids of a word-end BPE vocabulary; equals encoding each text whole, but works on distinct words.
 
-    Tokens never span white space, so a text's ids are those of its words. The ids of words, and those of their
-    lower-cased pieces, are kept as bytes in caches of bounded size; unusual words are encoded by the library as they
-    stand.
+    Tokens never span white space, so a text's ids are those of its words. The ids of the lower-cased pieces of words
+    are kept, in arrays, up to a bounded number of pieces; unusual words are encoded by the library as they stand.
     """
 
     def __init__(self, path: str):
@@ -42,111 +53,128 @@ class WordTokenizer:
         vocab = self.lib.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self._forget()
 
-    def _raw(self, text: str) -> bytes:
-        return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()  # without offsets
+    def _forget(self) -> None:
+        self.known, self.bank, self.sizes = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of lower-cased pieces that no cache holds, many in one call: a piece ends where a word-end id is."""
-        found: dict[str, bytes] = {}
+    def _raw(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # without offsets
+
+    def _learn(self, new: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of lower-cased pieces and their counts, many in one call: a piece ends where a word-end id is."""
+        ids, sizes = [], []
         for at in range(0, len(new), 4000):
             some = new[at : at + 4000]
             raw = self._raw(" ".join(some))
-            cuts = (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1) * 4
-            if len(cuts) == len(some):
-                ends = cuts.tolist()
-                found.update(zip(some, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+            stops = np.flatnonzero(self.ends[raw]) + 1
+            if len(stops) == len(some):
+                ids.append(raw), sizes.append(np.diff(stops, prepend=0))
             else:
-                found.update((w, self._raw(w)) for w in some)
-        return found
+                each = [self._raw(w) for w in some]
+                ids.extend(each), sizes.append(np.array([len(x) for x in each], np.int64))
+        return ids, sizes
 
     @staticmethod
-    def _split(word: str) -> tuple | None:
-        """The pieces of a lower-cased word, or None if only the library can tell."""
+    def _split(word: str) -> list[str] | None:
+        """The pieces of a word, or None if only the library can tell."""
         if not (word.isprintable() if word.isascii() else PLAIN.fullmatch(word)) or "<|" in word:
             return None
-        low = word.lower()
-        if low.isalpha():
-            return (low,)
-        if low[:-1].isalpha() and low[-1] in ".,;:!?":
-            return (low[:-1], low[-1])
-        return tuple(PIECES.findall(low))
-
-    def encode_words(self, distinct: list[str]) -> list[bytes]:
-        out = [self.words.get(w) for w in distinct]
-        missing = [i for i, v in enumerate(out) if v is None]
-        parts = [self._split(distinct[i]) for i in missing]
-        wanted = {p for ps in parts if ps for p in ps}
-        known = {p: v for p in wanted if (v := self.pieces.get(p)) is not None}
-        fresh = self._learn([p for p in wanted if p not in known])
-        known.update(fresh)
-        for i, ps in zip(missing, parts, strict=True):
-            out[i] = self._raw(distinct[i]) if ps is None else known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
-        for cache, new in ((self.pieces, fresh.items()), (self.words, ((distinct[i], out[i]) for i in missing))):
-            if len(cache) > CACHE:
-                cache.clear()
-            cache.update(new)
-        return out
+        return PIECES.findall(word.lower())
+
+    def _lookup(self, pieces: pa.Array) -> np.ndarray:
+        """Where in the bank each of the distinct pieces is; new ones are learned."""
+        if len(self.known) > KNOWN:
+            self._forget()
+        at = np.asarray(pc.fill_null(pc.index_in(pieces, value_set=self.known), -1), np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = pieces.take(pa.array(new))
+            ids, sizes = self._learn(fresh.to_pylist())
+            at[new] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.bank, self.sizes = np.concatenate([self.bank, *ids]), np.concatenate([self.sizes, *sizes])
+        return at
+
+    def encode_words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after the other, and how many each has."""
+        easy = np.asarray(pc.match_substring_regex(distinct, SIMPLE))
+        simple, odd = np.flatnonzero(easy), np.flatnonzero(~easy)
+        low = pc.utf8_lower(distinct.take(pa.array(simple)))
+        stems = pc.ascii_rtrim(low, MARKS)
+        marked = np.asarray(pc.binary_length(low)) > np.asarray(pc.binary_length(stems))
+        mark = pc.utf8_slice_codeunits(low.filter(pa.array(marked)), -1)
+        others = [self._split(w) for w in distinct.take(pa.array(odd)).to_pylist()]
+        loose = [p for ps in others if ps for p in ps]
+        coded = pa.concat_arrays([stems, mark, pa.array(loose, pa.large_string())]).dictionary_encode()
+        place = self._lookup(coded.dictionary)[np.asarray(coded.indices, np.int64)]
+        # the pieces of every word in order: stem, then mark, or those of an odd word
+        owner = np.concatenate([simple, simple[marked], np.repeat(odd, [len(ps or ()) for ps in others])])
+        order = np.argsort(owner, kind="stable")
+        place, owner = place[order], owner[order]
+        starts = np.cumsum(self.sizes) - self.sizes
+        many = self.sizes[place]
+        ids = self.bank[_spread(starts[place], many)]
+        sizes = np.bincount(owner, weights=many, minlength=len(distinct)).astype(np.int64)
+        raw = [(i, self._raw(distinct[i].as_py())) for i, ps in zip(odd.tolist(), others, strict=True) if ps is None]
+        if raw:
+            first = np.cumsum(sizes) - sizes
+            ids = np.insert(ids, np.repeat([first[i] for i, _ in raw], [len(x) for _, x in raw]), np.concatenate([x for _, x in raw]))
+            sizes[[i for i, _ in raw]] = [len(x) for _, x in raw]
+        return ids, sizes
 
     def encode(self, texts: pa.Array, closing: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text followed by the closing id, and the offsets of the texts."""
         codes, distinct, offsets = words(texts)
-        pieces = self.encode_words(distinct.to_pylist())
-        pieces.append(np.array([closing], "<u4").tobytes())
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        starts = (np.cumsum(lengths) - lengths).astype(np.int32)
-        bank = np.frombuffer(b"".join(pieces), "<u4")
+        bank, sizes = self.encode_words(distinct)
+        bank, sizes = np.append(bank, np.uint32(closing)).astype("<u4"), np.append(sizes, 1)
+        starts = np.cumsum(sizes) - sizes
         n = len(offsets) - 1
-        sequence = np.empty(len(codes) + n, np.int32)
+        sequence = np.full(len(codes) + n, len(sizes) - 1, np.int32)
         at = offsets[1:] + np.arange(n)
         body = np.ones(len(sequence), bool)
         body[at] = False
-        sequence[body], sequence[at] = codes, len(pieces) - 1
-        each = lengths[sequence]
-        ends = np.cumsum(each)
-        where = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(starts[sequence] - (ends - each).astype(np.int32), each)
-        return bank[where], np.concatenate([[0], ends[at]]).astype(np.int64)
+        sequence[body] = codes
+        each = sizes[sequence]
+        return bank[_spread(starts[sequence], each)], np.concatenate([[0], np.cumsum(each)[at]]).astype(np.int64)
 
 
 _LOADED: dict[str, WordTokenizer] = {}
 
 
-def cuts(length: int, capacity: int, tail: int) -> list[int]:
-    """Lengths of a document's pieces: whole capacities, powers of two from large to `tail`, then the rest."""
-    out = [capacity] * (length // capacity)
-    rest = length % capacity
-    piece = 1 << (capacity.bit_length() - 1)
-    while piece >= tail:
-        if rest >= piece:
-            out.append(piece)
-            rest -= piece
-        piece >>= 1
-    return [*out, rest] if rest else out
+def cuts(lengths: np.ndarray, capacity: int, tail: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, length) of each piece, in order: whole capacities, then the largest C/k that fits and so on down to
+    `tail`, then the rest.
+    """
+    sizes = [capacity // k for k in range(2, capacity // tail + 1)]
+    many = np.zeros((len(lengths), len(sizes) + 2), np.int64)
+    size = np.tile(np.array([capacity, *sizes, 0]), (len(lengths), 1))
+    many[:, 0], rest = lengths // capacity, lengths % capacity
+    for k, s in enumerate(sizes):
+        many[:, k + 1] = rest >= s
+        rest = rest - s * many[:, k + 1]
+    many[:, -1], size[:, -1] = rest > 0, rest
+    many = many.ravel()
+    return np.repeat(np.arange(len(lengths)).repeat(len(sizes) + 2), many), np.repeat(size.ravel(), many)
 
 
 def _cut(tokenizer: str, capacity: int, tail: int, closing: int, with_ids: bool):
     def run(batches):
         model = _LOADED.get(tokenizer) or _LOADED.setdefault(tokenizer, WordTokenizer(tokenizer))
-        for batch in slices(batches, "text", 12 << 20):
+        for batch in slices(batches, "text", SLICE):
             ids, offsets = model.encode(batch.column("text"), closing)
-            rows, start, length, crc, kept = [], [], [], [], []
-            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                at = a
-                for n in cuts(b - a, capacity, tail):
-                    rows.append(i), start.append(at - a), length.append(n), crc.append(zlib.crc32(ids[at : at + n]))
-                    if with_ids:
-                        kept.append(ids[at : at + n])
-                    at += n
-            where = np.array(rows, np.int64)
+            row, length = cuts(np.diff(offsets), capacity, tail)
+            begin = np.cumsum(length) - length
+            bounds, memory = np.append(begin, len(ids)).tolist(), memoryview(ids).cast("B")
+            crc = [zlib.crc32(memory[4 * i : 4 * j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+            where = pa.array(row)
             cols = [
-                batch.column("id").take(pa.array(where)), batch.column("row").take(pa.array(where)), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                pa.array(crc, pa.int64()), pa.array(np.diff(offsets)[where], pa.int64()),
+                batch.column("id").take(where), batch.column("row").take(where), pa.array(begin - offsets[row]), pa.array(length),
+                pa.array(crc, pa.int64()), pa.array(np.diff(offsets)[row]),
             ]
             names = ["id", "row", "start", "length", "ids_crc32", "doc_tokens"]
             if with_ids:
-                cols.append(pa.array([k.astype(np.int64) for k in kept], pa.list_(pa.int64())))
+                cols.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int64))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -160,9 +188,11 @@ def pack(
 
     Returns id_col, start, length, ids_crc32, doc_tokens, sequence_id and offset (and `ids`, if asked for). A null or
     empty text is one piece that holds the closing id. Each row of docs is a document of its own, repeated rows and
-    null ids too; other columns are ignored. Sequence ids are unique, not gapless. An empty table gives no rows.
-    `capacity` is a power of two.
+    null ids too; very long texts are cut into as many pieces as they need; other columns, whatever their names, are
+    ignored. Pieces of equal length are placed in the order of id and start. Sequence ids are unique, not gapless. An
+    empty table gives no rows.
     """
+    small_batches(docs.sparkSession, rows=2000, size=8 << 20)
     kinds = "id long, row long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<long>" if with_ids else "")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("row"))
     pieces = base.mapInArrow(_cut(tokenizer, capacity, tail, closing, with_ids), kinds)
