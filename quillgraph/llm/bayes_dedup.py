@@ -4,10 +4,14 @@ Documents become sets of word shingles. Bands of a MinHash signature give candid
 batches, and a pair is dropped as soon as the posterior probability (uniform prior) that its similarity reaches the
 threshold falls under `miss`. Survivors are checked exactly on the full sets.
 
-No group is expanded into all its pairs. Documents with the same shingle set form one class; each document is first
-compared with one bucket leader (the member of most company; of its leaders the one with which it shares most bands),
-and only members of a bucket that are in different components afterwards are compared with each other. Small buckets
-do that by a join, large ones in block pairs of bounded size, which only links leave.
+No group is expanded into all its pairs. Documents with the same shingle set are one node; each node is first compared
+with one bucket leader (the member of most company; of its leaders the one with which it shares most bands), by the
+first bands alone, then by all bands where a bucket still spans components. Only members of such a bucket that are in
+different components afterwards are compared with each other: in small buckets by a join, in large ones in block pairs
+of bounded size, where signatures alone decide first who has a partner at all, and which only links leave.
+
+Joins on a key that many rows may share broadcast the few commonest keys (common.join_counted) or end in a write, where
+adaptive execution splits the partition of such a key.
 """
 
 from __future__ import annotations
@@ -21,10 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, slices, words
+from .common import components, discard, join_counted, materialise, slices, small_batches, words
 
 BATCH = 32
+FIRST_BANDS = 8
 SMALL_BUCKET = 32
+WIDE_BLOCK = 1024
+#: Rows of 16 bytes that a broadcast may have; beyond it a shuffle takes its place.
+BROADCAST_ROWS = 500_000
 BLOCK = 256
 
 
@@ -109,12 +117,13 @@ def _features(size: int, hashes: int, rows: int, bands: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.cast(pa.int64()),
+                    batch.column("h"),
                     pa.array(n, pa.int64()),
                     pa.array(prints, pa.binary()),
                     pa.array(signatures, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat, pa.int64())),
                 ],
-                names=["id", "n", "print", "sig", "keys"],
+                names=["id", "h", "n", "print", "sig", "keys"],
             )
 
     return run
@@ -138,73 +147,160 @@ def _matrix(column: pa.Array, hashes: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, hashes)
 
 
-def _bayes(pairs: DataFrame, sigs: DataFrame, hashes: int, table: list[tuple[int, int]]) -> DataFrame:
-    """Pairs (a, b) that pass the sequential test, with their matches."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                m = _plausible(_matrix(batch.column("sa"), hashes), _matrix(batch.column("sb"), hashes), table)
-                at = np.flatnonzero(m >= 0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("a").take(pa.array(at)), batch.column("b").take(pa.array(at)), pa.array(m[at], pa.int64())],
-                    names=["a", "b", "matches"],
-                )
+class _Corpus:
+    """Nodes (distinct shingle sets), the texts they stand for, and the tests a pair of them has to pass."""
+
+    def __init__(self, nodes: DataFrame, texts: DataFrame, size: int, percent: int, hashes: int, miss: float):
+        self.nodes, self.texts, self.size, self.percent, self.hashes = nodes, texts, size, percent, hashes
+        self.table = least_matches(percent / 100, hashes, miss)
+        self.count = nodes.count()
+
+    def members(self, found: DataFrame | None, bands: int | None = None) -> DataFrame:
+        """(key, node, component, size): the members of all buckets that span components, by the first bands or all."""
+        own = self.nodes.select("node", "keys" if bands is None else F.slice("keys", 1, bands).alias("keys"))
+        if found is not None:
+            own = own.join(found, "node", "left")
+        own = own.select("node", (F.coalesce("component", "node") if found is not None else F.col("node")).alias("component"), F.explode("keys").alias("key"))
+        sizes = own.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        return materialise(own.join(sizes.select("key", "size"), "key"))
+
+    def leaders(self, members: DataFrame) -> DataFrame:
+        """(a, b): each member b with the leader it shares most buckets with, of another component.
+
+        A bucket's leader is the member of most company in all its buckets: the text that a group's copies come from
+        agrees with the majority in every band, so it leads each of their buckets, whatever its id.
+        """
+        company = members.groupBy("node").agg(F.sum("size").alias("company"), F.collect_list(F.struct("key", "component")).alias("of"))
+        spread = company.select("node", "company", F.inline("of"))
+        lead = spread.groupBy("key").agg(F.max_by(F.struct("node", "component"), F.struct("company", -F.col("node"))).alias("lead"))
+        met = members.join(lead, "key").where("component <> lead.component").groupBy(F.col("node").alias("b"), F.col("lead.node").alias("a")).agg(F.count("*").alias("n"))
+        return materialise(met.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that pass the sequential test on signatures and then reach the threshold on full sets."""
+        hashes, table = self.hashes, self.table
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    m = _plausible(_matrix(batch.column("sa"), hashes), _matrix(batch.column("sb"), hashes), table)
+                    at = pa.array(np.flatnonzero(m >= 0))
+                    yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in names], names=names)
+
+        names = ["a", "b", "ia", "ha", "ib", "hb"]
+        left = self.nodes.select(F.col("node").alias("a"), F.col("id").alias("ia"), F.col("h").alias("ha"), F.col("sig").alias("sa"))
+        right = self.nodes.select(F.col("node").alias("b"), F.col("id").alias("ib"), F.col("h").alias("hb"), F.col("sig").alias("sb"))
+        degrees = pairs.groupBy("a").agg(F.count("*").alias("degree"))
+        total = pairs.count()
+        led = join_counted(pairs, left.join(degrees, "a"), "a", "degree", total)
+        open_ = materialise(led.join(right, "b").select(*names, "sa", "sb").mapInArrow(run, ", ".join(f"{c} long" for c in names)))
+        texts = self.texts_of(open_.select(F.col("ia").alias("id"), F.col("ha").alias("h")).union(open_.select("ib", "hb")).distinct())
+        x = texts.select(F.col("id").alias("ia"), F.col("h").alias("ha"), F.col("text").alias("ta"))
+        y = texts.select(F.col("id").alias("ib"), F.col("h").alias("hb"), F.col("text").alias("tb"))
+        both = open_.join(x, ["ia", "ha"]).join(y, ["ib", "hb"]).select("a", "b", "ta", "tb")
+        return materialise(both.mapInArrow(_exact(self.size, self.percent), "a long, b long"))
+
+    def texts_of(self, wanted: DataFrame) -> DataFrame:
+        """The texts of the wanted (id, h): few enough of those to be broadcast keep the others out of a shuffle."""
+        wanted = materialise(wanted)
+        if wanted.count() <= BROADCAST_ROWS:
+            return self.texts.join(F.broadcast(wanted), ["id", "h"], "left_semi")
+        return self.texts
+
+    def pairs(self, members: DataFrame) -> DataFrame:
+        """The pairs across components in small buckets: at most SMALL_BUCKET for each member."""
+        x = members.where(F.col("size") <= SMALL_BUCKET).select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
+        y = x.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
+        return x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+
+    def block_links(self, members: DataFrame) -> DataFrame:
+        """The links across components in large buckets, one row a link that is needed to join two of them.
+
+        Members meet in block pairs, where a pair passes the same tests as elsewhere: set sizes, the posterior bound on
+        signatures, then the exact sets. It is the business of the first bucket that both share only. Signatures go
+        first, in wide blocks without texts, and only members with a plausible partner go on with theirs.
+        """
+        kinds = self.nodes.select("node", "n", "sig", "keys")
+        signed = _dealt(members.where(F.col("size") > SMALL_BUCKET), WIDE_BLOCK).join(kinds, "node")
+        open_ = signed.groupBy("key", "lo", "hi").applyInPandas(_partners(self.percent, self.hashes, self.table), "key long, node long, component long").distinct()
+        open_ = materialise(open_)
+        sizes = open_.groupBy("key").agg(F.count("*").alias("size"))
+        named = self.nodes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "id", "h")
+        texts = named.join(self.texts_of(named.select("id", "h")), ["id", "h"]).select("node", "text")
+        dealt = _dealt(open_.join(sizes, "key"), BLOCK).join(kinds, "node").join(texts, "node")
+        return materialise(dealt.groupBy("key", "lo", "hi").applyInPandas(_links(self.size, self.percent, self.hashes, self.table), "a long, b long"))
+
+
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """Members once for each pair of blocks (lo, hi) of their bucket that theirs is one of."""
+    return (
+        members.withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("key", "node", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    )
 
-    left = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
-    right = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, matches long")
 
+class _Group:
+    """The members in one pair of blocks, and which later ones a member has to be compared with."""
+
+    def __init__(self, group, percent: int, hashes: int, table: list[tuple[int, int]]):
+        self.rows = group = group.sort_values("node")
+        self.nodes, self.component, self.blocks, self.n = (group[c].to_numpy().copy() for c in ("node", "component", "block", "n"))
+        self.sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, hashes)
+        self.keys = np.stack(group["keys"].to_numpy())
+        self.key, self.lo, self.hi = (int(group[c].iloc[0]) for c in ("key", "lo", "hi"))
+        self.percent, self.table = percent, table
+
+    def partners(self, i: int) -> np.ndarray:
+        """Later members of other components that pass the bound on signatures with i, most matches first."""
+        # a pair belongs to the one block pair that both of its blocks name
+        ok = (self.blocks[i + 1 :] != self.blocks[i]) | (self.lo == self.hi)
+        ok &= self.component[i + 1 :] != self.component[i]
+        ok &= 100 * np.minimum(self.n[i], self.n[i + 1 :]) >= self.percent * np.maximum(self.n[i], self.n[i + 1 :])
+        at = i + 1 + np.flatnonzero(ok)
+        if len(at):
+            at = at[self.keys[i][(self.keys[at] == self.keys[i]).argmax(axis=1)] == self.key]
+        if not len(at):
+            return at
+        m = _plausible(np.broadcast_to(self.sig[i], (len(at), self.sig.shape[1])), self.sig[at], self.table)
+        return at[np.argsort(-m, kind="stable")][: int((m >= 0).sum())]
+
+
+def _partners(percent: int, hashes: int, table: list[tuple[int, int]]):
+    def run(group):
+        own = _Group(group, percent, hashes, table)
+        some = np.zeros(len(own.nodes), bool)
+        for i in range(len(own.nodes) - 1):
+            at = own.partners(i)
+            some[at] = True
+            some[i] |= len(at) > 0
+        return own.rows[["key", "node", "component"]][some]
 
-def _block_links(members: DataFrame, described: DataFrame, texts: DataFrame, size: int, percent: int, hashes: int, table: list[tuple[int, int]]) -> DataFrame:
-    """The links between components inside large buckets, one row a link that is needed to join two of them.
+    return run
 
-    Members meet in block pairs of bounded size, where a pair passes the same tests as elsewhere: set sizes, the
-    posterior bound on signatures, then the exact sets. It is the business of the first bucket that both share only.
-    """
-    spread = (
-        members.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        .join(described, "id")
-        .join(texts.select("id", "text"), "id")
-    )
 
+def _links(size: int, percent: int, hashes: int, table: list[tuple[int, int]]):
     def run(group):
         import pandas as pd
 
-        group = group.sort_values("id")
-        ids, component, blocks = (group[c].to_numpy() for c in ("id", "component", "block"))
-        component = component.copy()
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, hashes)
-        keys = np.stack(group["keys"].to_numpy())
-        sets = [frozenset(x.tolist()) for x in _shingles(pa.array(group["text"]), size)]
-        n = np.array([len(x) for x in sets])
-        key, lo, hi = (int(group[c].iloc[0]) for c in ("key", "lo", "hi"))
+        own = _Group(group, percent, hashes, table)
+        sets = _shingles(pa.array(own.rows["text"]), size)
         found = []
-        for i in range(len(ids) - 1):
-            # a pair belongs to the one block pair that both of its blocks name
-            ok = (lo == hi) | (blocks[i + 1 :] != blocks[i])
-            ok &= (component[i + 1 :] != component[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
-            at = i + 1 + np.flatnonzero(ok)
-            if len(at):
-                at = at[keys[i][(keys[at] == keys[i]).argmax(axis=1)] == key]
-            if len(at):
-                m = _plausible(np.broadcast_to(sig[i], (len(at), hashes)), sig[at], table)
-                for j in at[np.argsort(-m, kind="stable")][: int((m >= 0).sum())]:
-                    if component[i] != component[j]:
-                        both = len(sets[i] & sets[j])
-                        if 100 * both >= percent * (n[i] + n[j] - both):
-                            found.append((ids[i], ids[j]))
-                            component[component == component[j]] = component[i]
+        for i in range(len(own.nodes) - 1):
+            for j in own.partners(i):
+                if own.component[i] != own.component[j]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        found.append((own.nodes[i], own.nodes[j]))
+                        own.component[own.component == own.component[j]] = own.component[i]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return spread.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
+    return run
 
 
-def _exact(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold."""
+def _exact(size: int, percent: int):
+    """Which of the pairs (a, b) with texts ta and tb have full shingle sets that reach the threshold."""
 
     def shingle_set(text: str):
         w = text.encode("utf-8", "surrogatepass").lower().split()
@@ -233,9 +329,7 @@ def _exact(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([cols[0].take(at), cols[1].take(at)], names=["a", "b"])
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return run
 
 
 def near_duplicates(
@@ -246,54 +340,69 @@ def near_duplicates(
     Returns, for each row, (id, n_shingles, component_id, kept): the size of its set, the smallest id reachable by
     links (itself included) and whether that is its own id. Only A-Z are lower-cased; words are runs of other than
     ASCII white space; a text with fewer words than a shingle is one shingle; a null, empty or blank text has none
-    and links with nothing. Rows that repeat an id are one node and each keep a row; a row with a null id links with
-    nothing, has a null component and is kept. An empty table gives an empty result. `miss` bounds the probability of
-    losing one pair at the threshold, once in the bands and once in the sequential test.
+    and links with nothing. Rows that repeat an id are one document, which has the links of all its texts, and each
+    keep a row with the set size of their own text; a row with a null id links with nothing, has a null component and
+    is kept. Very long texts are read whole; other columns, whatever their names, are ignored; an empty table gives an
+    empty result. `miss` bounds the probability of losing one pair at the threshold, once in the bands and once in the
+    sequential test.
     """
+    small_batches(docs.sparkSession)
     rows, bands = banding(percent / 100, hashes, miss)
-    table = least_matches(percent / 100, hashes, miss)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     feats = materialise(
-        base.mapInArrow(_features(words_per_shingle, hashes, rows, bands), "id long, n long, print binary, sig binary, keys array<long>")
+        base.mapInArrow(_features(words_per_shingle, hashes, rows, bands), "id long, h long, n long, print binary, sig binary, keys array<long>")
     )
-    classes = feats.where("print is not null").groupBy("print").agg(F.min("id").alias("rep"))
-    reps = materialise(
-        feats.select("id", "print", "keys", "sig").join(classes, "print").where("id = rep").dropDuplicates(["id", "print"]).select("id", "print", "keys", "sig")
+    sets = feats.where("print is not null")
+    nodes = sets.groupBy("print").agg(
+        F.min(F.struct("id", "h")).alias("own"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")
     )
-    # an id whose rows hold different texts is one node with several sets; its rows stay apart by set up to here
-    buckets = reps.select("id", F.explode("keys").alias("key"))
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    crowded = materialise(buckets.join(sizes, "key").select("key", "id", "size"))
-    sigs = reps.groupBy("id").agg(F.min("sig").alias("sig"))
-    # a bucket's leader is the member of most company in all its buckets: the text that a group's copies come from agrees
-    # with the majority in every band, so it leads each of their buckets, whatever its id
-    company = crowded.groupBy("id").agg(F.sum("size").alias("company"))
-    leaders = crowded.join(company, "id").groupBy("key").agg(F.max_by("id", F.struct("company", -F.col("id"))).alias("a"))
-    # each document meets the leader with which it shares most bands; every other pair waits until it joins components
-    shared = crowded.join(leaders, "key").where("a <> id").groupBy("id", "a").agg(F.count("*").alias("n"))
-    first = shared.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    first = materialise(first)
+    nodes = materialise(nodes.select("print", "own.id", "own.h", "copies", "n", "sig", "keys", F.monotonically_increasing_id().alias("node")))
+    repeated = materialise(sets.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1"))
     texts = base.where("id is not null and text is not null")
-    links = materialise(_exact(_bayes(first, sigs, hashes, table), texts, words_per_shingle, percent))
-    found = components(links)
-    own = found.select(F.col("node").alias("id"), "component")
-    inside = crowded.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    inside = materialise(inside.join(mixed, "key", "left_semi").select("key", "id", "size", "component"))
-    x = inside.where(F.col("size") <= SMALL_BUCKET).select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    y = x.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
-    pairs = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    pairs = pairs.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialise(_exact(_bayes(pairs, sigs, hashes, table), texts, words_per_shingle, percent))
-    described = reps.groupBy("id").agg(F.min(F.struct("print", "sig", "keys")).alias("r")).select("id", "r.sig", "r.keys")
-    wide = _block_links(inside.where(F.col("size") > SMALL_BUCKET), described, texts, words_per_shingle, percent, hashes, table)
-    more = more.union(materialise(wide))
-    final = components(links.union(more))
-    grouped = feats.select("id", "n", "print").join(classes, "print", "left").withColumn("rep", F.coalesce("rep", "id"))
-    roots = final.select(F.col("node").alias("rep"), "component")
-    return grouped.join(roots, "rep", "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "rep").alias("component_id"),
-        F.col("id").eqNullSafe(F.coalesce("component", "rep")).alias("kept"),
+    links = []
+    if repeated.limit(1).count():
+        # the texts of one id hang together, and each is read once
+        texts = texts.dropDuplicates(["id", "h"])
+        whose = sets.select("id", "print").join(repeated.select("id"), "id", "left_semi").distinct().join(nodes.select("print", "node"), "print")
+        least = whose.groupBy("id").agg(F.min("node").alias("b"))
+        links.append(materialise(whose.join(least, "id").select(F.col("node").alias("a"), "b").where("a <> b")))
+    corpus = _Corpus(nodes, texts, words_per_shingle, percent, hashes, miss)
+    found, tested = None, None
+    for upto in (FIRST_BANDS, None):
+        members = corpus.members(found, upto)
+        if found is not None and not members.limit(1).count():
+            break
+        first = corpus.leaders(members)
+        if tested is not None:
+            first = materialise(first.join(tested, ["a", "b"], "left_anti"))
+        links.append(corpus.verified(first))
+        if found is None or links[0].limit(1).count():
+            stars = [] if found is None else [found.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+            found = components(_union([*stars, *links]))
+        discard(members, *links)
+        tested, links = first if tested is None else tested.union(first), []
+    members = corpus.members(found)
+    if members.limit(1).count():
+        ordered = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = [corpus.verified(materialise(corpus.pairs(members).join(ordered, ["a", "b"], "left_anti")))]
+        if members.where(F.col("size") > SMALL_BUCKET).limit(1).count():
+            more.append(corpus.block_links(members))
+        if any(m.limit(1).count() for m in more):
+            found = components(_union([found.select(F.col("node").alias("a"), F.col("component").alias("b")), *more]))
+    # the smallest id of each component, for every node
+    lows = found.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("root"))
+    counts = found.groupBy("component").agg(F.count("*").alias("size"))
+    roots = join_counted(found, lows.join(counts, "component"), "component", "size", corpus.count).select("node", "root")
+    named = materialise(nodes.select("print", "node", "id", "copies").join(roots, "node", "left").select("print", F.coalesce("root", "id").alias("root"), "copies"))
+    known = join_counted(sets.select("id", "n", "print"), named, "print", "copies", feats.count()).select("id", "n", "root")
+    alone = feats.where("print is null").select("id", "n", F.col("id").alias("root"))
+    return known.union(alone).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.col("id").eqNullSafe(F.col("root")).alias("kept")
     )
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.select("a", "b").union(p.select("a", "b"))
+    return out
