@@ -29,8 +29,41 @@ def op2_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def tool_chats(chats: DataFrame) -> DataFrame:
+    """Conversations with tools, made of the rows of a table that has none: every row stays, at four times its turn, and
+    each assistant turn is followed by a call that measures it and, in two of three conversations, by its result.
+
+    Calls of every fifth conversation need the call two turns later, others the one two turns before, and some both,
+    which is a cycle. Some calls have an argument of a wrong type, lack one or name no tool, and some results no call.
+    """
+    conv, turn, start = F.col("conv_id"), F.col("turn"), F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 8)
+    said = chats.where("role = 'assistant'")
+    size = F.char_length("text")
+    arguments = F.struct(
+        F.when(conv % 4 == 1, F.to_variant_object(F.struct(size.cast("string").alias("is")))).otherwise(F.to_variant_object(F.struct(size.alias("is")))).alias("chars"),
+        F.when(conv % 4 != 2, start).alias("start"),
+    )
+    arguments = F.regexp_replace(F.to_json(arguments), r'\{"is":("?[0-9]+"?)\}', "$1")
+    needs = F.array_compact(F.array(
+        F.when((conv % 5 == 0) | (conv % 7 == 3), F.concat(F.lit("c"), (turn + 2).cast("string"))), F.when((conv % 5 != 0) & (turn >= 2), F.concat(F.lit("c"), (turn - 2).cast("string")))
+    ))
+    call = F.concat(
+        F.lit('{"tool_calls":[{"id":"c'), turn.cast("string"), F.lit('","name":"'), F.when(conv % 6 == 5, "weigh").otherwise("measure"), F.lit('","arguments":'), arguments,
+        F.lit(',"depends_on":'), F.to_json(needs), F.lit("}]}"),
+    )
+    result = F.concat(F.lit('{"tool_call_id":"'), F.when(conv % 9 == 4, "x").otherwise("c"), turn.cast("string"), F.lit('","content":{"ok":true,"n":'), size.cast("string"), F.lit("}}"))
+    parts = [
+        chats.select(conv, (turn * 4).alias("turn"), "role", "text"),
+        said.select(conv, (turn * 4 + 1).alias("turn"), F.lit("assistant").alias("role"), call.alias("text")),
+        said.where(conv % 3 != 2).select(conv, (turn * 4 + 2).alias("turn"), F.lit("tool").alias("role"), result.alias("text")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def op3_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(_read(spark, sf_dir, "conversations"))
+    """Messages, calls and results of tool_chats(), linked, ordered and checked against the tools declared here."""
+    tools = spark.sql("SELECT * FROM VALUES ('measure', 'chars', 'integer', true), ('measure', 'start', 'string', true), ('measure', 'note', 'boolean', false) AS t(name, parameter, type, required)")
+    return link(tool_chats(_read(spark, sf_dir, "conversations")), tools)
 
 
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +130,49 @@ SQL = {
         FROM embeddings e JOIN roots ON roots.n = e.vec_id LEFT JOIN degrees d ON d.a = e.vec_id
     """,
     "op3_toolcalls": """
-        SELECT conv_id, turn, CAST(0 AS INTEGER) AS item, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS BOOLEAN) AS linked,
-            CAST(NULL AS VARCHAR) AS problem, turn AS at_turn, CAST(0 AS INTEGER) AS level, CAST(json_object('content', text, 'role', role) AS VARCHAR) AS json
-        FROM conversations
-        WHERE NOT (coalesce(role, '') IN ('assistant', 'tool') AND coalesce(text, '') LIKE '{%')
+        WITH RECURSIVE said AS (
+            SELECT conv_id AS conv, turn, length(text) AS size, substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 8) AS start FROM conversations WHERE role = 'assistant'
+        ), called AS (
+            SELECT conv, turn * 4 + 1 AS turn, json_object('tool_calls', json_array(json_object(
+                'id', 'c' || turn, 'name', CASE WHEN conv % 6 = 5 THEN 'weigh' ELSE 'measure' END,
+                'arguments', CASE WHEN conv % 4 = 1 THEN json_object('chars', CAST(size AS VARCHAR), 'start', start) WHEN conv % 4 = 2 THEN json_object('chars', size) ELSE json_object('chars', size, 'start', start) END,
+                'depends_on', to_json(list_filter([CASE WHEN conv % 5 = 0 OR conv % 7 = 3 THEN 'c' || (turn + 2) END, CASE WHEN conv % 5 <> 0 AND turn >= 2 THEN 'c' || (turn - 2) END], lambda x: x IS NOT NULL))
+            ))) AS j FROM said
+        ), returned AS (
+            SELECT conv, turn * 4 + 2 AS turn, json_object('tool_call_id', CASE WHEN conv % 9 = 4 THEN 'x' ELSE 'c' END || turn, 'content', json_object('ok', true, 'n', size)) AS j FROM said WHERE conv % 3 <> 2
+        ), tools(name, parameter, kind, required) AS (
+            VALUES ('measure', 'chars', 'UBIGINT', true), ('measure', 'start', 'VARCHAR', true), ('measure', 'note', 'BOOLEAN', false)
+        ), calls AS (
+            SELECT conv, turn, j ->> '$.tool_calls[0].id' AS id, j ->> '$.tool_calls[0].name' AS name, json_extract(j, '$.tool_calls[0].arguments') AS arguments,
+                CAST(json_extract(j, '$.tool_calls[0].depends_on') AS VARCHAR[]) AS needs FROM called
+        ), results AS (SELECT conv, turn, j ->> '$.tool_call_id' AS id, json_extract(j, '$.content') AS content FROM returned),
+        edges AS (
+            SELECT e.conv, e.id, e.need FROM (SELECT conv, id, unnest(needs) AS need FROM calls) e JOIN calls c ON c.conv = e.conv AND c.id = e.need
+        ), amounts AS (SELECT conv, count(*) AS n FROM calls GROUP BY conv),
+        reach AS (
+            SELECT conv, id, turn AS at_turn, 0 AS level FROM calls
+            UNION
+            SELECT e.conv, e.id, r.at_turn, r.level + 1 FROM reach r JOIN edges e ON e.conv = r.conv AND e.need = r.id JOIN amounts a ON a.conv = r.conv WHERE r.level < a.n
+        ), places AS (
+            SELECT r.conv, r.id, max(struct_pack(at_turn := r.at_turn, level := r.level)) AS place, max(r.level) >= any_value(a.n) AS loose
+            FROM reach r JOIN amounts a ON a.conv = r.conv GROUP BY r.conv, r.id
+        ), wrong AS (
+            SELECT c.conv, c.id, arg_min(CASE WHEN json_extract(c.arguments, '$.' || t.parameter) IS NULL THEN 'missing ' ELSE 'type of ' END || t.parameter, t.parameter) AS problem
+            FROM calls c JOIN tools t ON t.name = c.name
+            WHERE CASE WHEN json_extract(c.arguments, '$.' || t.parameter) IS NULL THEN t.required ELSE json_type(c.arguments, '$.' || t.parameter) <> t.kind END GROUP BY c.conv, c.id
+        ), sound AS (
+            SELECT c.*, r.id IS NOT NULL AS linked, CASE WHEN p.loose THEN 'cycle' WHEN c.name NOT IN (SELECT name FROM tools) THEN 'unknown tool' ELSE w.problem END AS problem,
+                CASE WHEN p.loose THEN c.turn ELSE p.place.at_turn END AS at_turn, CASE WHEN p.loose THEN 1 ELSE p.place.level + 1 END AS level
+            FROM calls c JOIN places p ON p.conv = c.conv AND p.id = c.id LEFT JOIN results r ON r.conv = c.conv AND r.id = c.id LEFT JOIN wrong w ON w.conv = c.conv AND w.id = c.id
+        )
+        SELECT conv_id, turn * 4 AS turn, CAST(0 AS INTEGER) AS item, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS BOOLEAN) AS linked, CAST(NULL AS VARCHAR) AS problem, turn * 4 AS at_turn,
+            CAST(0 AS INTEGER) AS level, CAST(json_object('content', text, 'role', role) AS VARCHAR) AS json FROM conversations
+        UNION ALL
+        SELECT conv, turn, 1, 'call', id, linked, problem, at_turn, level, CAST(json_object('arguments', arguments, 'id', id, 'name', name, 'role', 'assistant', 'type', 'call') AS VARCHAR) FROM sound
+        UNION ALL
+        SELECT r.conv, r.turn, 0, 'result', r.id, s.id IS NOT NULL, CASE WHEN s.id IS NULL THEN 'no call' END, coalesce(s.at_turn, r.turn), coalesce(s.level, 1),
+            CAST(json_object('content', json_object('n', json_extract(content, '$.n'), 'ok', json_extract(content, '$.ok')), 'id', r.id, 'role', 'tool', 'type', 'result') AS VARCHAR)
+        FROM results r LEFT JOIN sound s ON s.conv = r.conv AND s.id = r.id
     """,
     "op4_poisson_mix": """
         WITH sizes AS (

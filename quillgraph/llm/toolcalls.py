@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>>"
 RESULT = "struct<tool_call_id:string,content:variant>"
@@ -28,15 +28,20 @@ def no_tools(like: DataFrame) -> DataFrame:
     return like.sparkSession.createDataFrame([], "name string, parameter string, type string, required boolean")
 
 
+GATHERED = 64
+
+
 def _level(calls: DataFrame) -> DataFrame:
     """calls with `at_turn` and `level`: the turn after which a call can come, and its depth below others of that turn.
 
-    Levels rise along depends_on until nothing changes. A chain has at most as many calls as its conversation, so
-    what still rises after that many rounds lies in a cycle or behind one: its level is -1.
+    A call comes after the latest place of what it needs: places rise along depends_on until nothing changes. A chain
+    has at most as many calls as its conversation, so a call with a longer chain lies in a cycle or behind one: its
+    level is -1. A conversation of at most GATHERED calls is settled in one row, whatever the number of
+    conversations; longer ones, which no row could hold, are settled by joins, a round for each link of their chains.
     """
     edges = calls.select("conv", "call_id", F.explode("depends_on").alias("needs")).distinct()
     # rows of a table may repeat: one row for each call of a conversation
-    now = calls.groupBy("conv", "call_id").agg(F.struct(F.min("turn").alias("at_turn"), F.lit(0).alias("level")).alias("place"))
+    now = materialise(calls.groupBy("conv", "call_id").agg(F.min("turn").alias("turn")))
 
     def at(df: DataFrame, call: str = "call_id") -> Column:
         """The rows of df of the same conversation (a null one is like any other) and call."""
@@ -46,25 +51,58 @@ def _level(calls: DataFrame) -> DataFrame:
     edges = materialise(edges.join(known, at(edges, "needs"), "left_semi"))
     if not edges.limit(1).count():
         return calls.withColumn("at_turn", F.col("turn")).withColumn("level", F.lit(0))
-    rounds = now.groupBy("conv").count().agg(F.max("count")).first()[0]
-    now = materialise(now)
-    moved = None
-    for _ in range(rounds + 1):
-        above = now.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), F.col("place").alias("under"))
-        least = edges.join(above, at(edges, "needs")).groupBy(F.col("conv").alias("_conv"), F.col("call_id").alias("_id")).agg(F.max("under").alias("under"))
-        after = F.struct(F.col("under.at_turn").alias("at_turn"), (F.col("under.level") + 1).alias("level"))
-        step = now.join(least, at(now), "left").withColumn("new", F.when(F.col("under").isNull(), F.col("place")).otherwise(F.greatest("place", after)))
-        step = materialise(step.select("conv", "call_id", F.col("new").alias("place"), (F.col("new") > F.col("place")).alias("moved")))
-        moved = step.where("moved")
-        now = step.drop("moved")
-        if not moved.limit(1).count():
-            break
-    places = step.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), "place", F.col("moved").alias("loose"))
+    sizes = now.groupBy(F.col("conv").alias("_conv")).agg(F.count("*").alias("calls"))
+    short = sizes.where(F.col("calls") <= GATHERED)
+    places = _gathered(*(df.join(short.select("_conv"), df["conv"].eqNullSafe(F.col("_conv")), "left_semi") for df in (now, edges)))
+    long = materialise(sizes.where(F.col("calls") > GATHERED))
+    most = long.agg(F.max("calls")).first()[0]
+    if most:
+        places = places.union(_by_rounds(*(df.join(long.select("_conv"), df["conv"].eqNullSafe(F.col("_conv")), "left_semi") for df in (now, edges)), most, at))
     return calls.join(places, at(calls)).select(
         *calls.columns, F.when(F.col("loose"), F.col("turn")).otherwise(F.col("place.at_turn")).alias("at_turn"), F.when(F.col("loose"), F.lit(-1)).otherwise(F.col("place.level")).alias("level")
     )
 
 
+def _gathered(now: DataFrame, edges: DataFrame) -> DataFrame:
+    """(_conv, _id, place, loose) of each call, conversation by conversation in arrays of at most GATHERED calls."""
+    each = now.groupBy(F.col("conv").alias("_conv")).agg(F.sort_array(F.collect_list(F.struct("call_id", "turn"))).alias("calls"))
+    needed = edges.groupBy("conv").agg(F.collect_list(F.struct("call_id", "needs")).alias("edges"))
+    both = each.join(needed, F.col("_conv").eqNullSafe(F.col("conv")), "left").drop("conv")
+    ids = F.col("calls.call_id")
+    under = F.transform(
+        "calls", lambda c: F.transform(F.filter(F.coalesce("edges", F.array().cast("array<struct<call_id:string,needs:string>>")), lambda e: e["call_id"] == c["call_id"]), lambda e: F.array_position(ids, e["needs"]).cast("int"))
+    )
+    start = F.transform("calls", lambda c: F.struct(F.struct(c["turn"].cast("long").alias("at_turn"), F.lit(0).alias("level")).alias("place"), F.lit(0).alias("depth")))
+
+    def risen(known: Column) -> Column:
+        after = lambda j: F.struct(F.element_at(known, j)["place"]["at_turn"].alias("at_turn"), (F.element_at(known, j)["place"]["level"] + 1).alias("level"))
+        deeper = lambda j: F.element_at(known, j)["depth"] + 1
+        most = lambda js, of, own: F.greatest(own, F.coalesce(F.array_max(F.transform(js, of)), own))
+        return F.zip_with(known, "under", lambda p, js: F.struct(most(js, after, p["place"]).alias("place"), most(js, deeper, p["depth"]).alias("depth")))
+
+    settled = both.withColumn("under", under).withColumn("known", F.aggregate(F.sequence(F.lit(1), F.size("calls")), start, lambda s, _: risen(s)))
+    rows = settled.select("_conv", F.size("calls").alias("n"), F.explode(F.arrays_zip("calls", "known")).alias("r"))
+    return rows.select("_conv", F.col("r.calls.call_id").alias("_id"), F.col("r.known.place").alias("place"), (F.col("r.known.depth") >= F.col("n")).alias("loose"))
+
+
+def _by_rounds(now: DataFrame, edges: DataFrame, most: int, at) -> DataFrame:
+    """(_conv, _id, place, loose) of each call, by a join for each link of the longest chain."""
+    place = F.struct(F.col("turn").cast("long").alias("at_turn"), F.lit(0).alias("level")).alias("place")
+    now = materialise(now.select("conv", "call_id", place, F.lit(0).alias("depth"), F.lit(True).alias("moved")))
+    for _ in range(most):
+        above = now.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), F.col("place").alias("under"), F.col("depth").alias("below"))
+        least = edges.join(above, at(edges, "needs")).groupBy(F.col("conv").alias("_conv"), F.col("call_id").alias("_id")).agg(F.max("under").alias("under"), F.max("below").alias("below"))
+        after = F.struct(F.col("under.at_turn").alias("at_turn"), (F.col("under.level") + 1).alias("level"))
+        risen = now.drop("moved").join(least, at(now), "left").select(
+            "conv", "call_id", "place", "depth", F.when(F.col("under").isNull(), F.col("place")).otherwise(F.greatest("place", after)).alias("new"), F.greatest("depth", F.coalesce(F.col("below") + 1, F.lit(0))).alias("deep")
+        )
+        old, now = now, materialise(risen.select("conv", "call_id", F.col("new").alias("place"), F.col("deep").alias("depth"), ((F.col("new") > F.col("place")) | (F.col("deep") > F.col("depth"))).alias("moved")))
+        discard(old)
+        if not now.where("moved").limit(1).count():
+            break
+    return now.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), "place", (F.col("depth") >= most).alias("loose"))
+
+
 def _problem(params: Column) -> tuple[Column, Column]:
     """The types of the arguments by name (to be called _kinds), and from them the first violation among a tool's
     parameters, by name: one missing, or one whose value has another type."""
