@@ -4,7 +4,9 @@ Centroids and codebooks are fitted on a bounded sample; every vector is indexed
 codes of its residual and the length of its quantisation error. Lists are laid out in shards of bounded size (a long
 list is dealt over several), and a block of queries meets the shards that hold lists it probes. There an asymmetric
 distance table per query estimates the inner product of every row of the probed lists; the best rows are scored
-exactly, and so is every other row whose estimate plus its error margin could still reach the k-th of them.
+exactly, and so is every other row whose estimate plus its error could still reach the k-th of them, so nothing that is
+probed is missed. How many lists are probed is learned: a few queries are answered exactly over all rows, and as many
+lists are taken as hold the wanted share of those answers.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ class Index:
         return out
 
 
-def _search(index: Index, dim: int, k: int, slack: float):
+def _search(index: Index, dim: int, k: int):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or queries.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
@@ -85,7 +87,7 @@ def _search(index: Index, dim: int, k: int, slack: float):
                 probed[i, np.asarray(p)] = True
             guess = index.estimate(q, lists, codes)
             guess[~probed[:, lists] | (ids[None, :] == own[:, None])] = -np.inf
-            reach = guess + slack * np.sqrt((q * q).sum(axis=1))[:, None] * err
+            reach = guess + np.sqrt((q * q).sum(axis=1))[:, None] * err * (1 + 1e-9) + 1e-9
             for i in range(len(q)):
                 open_ = np.flatnonzero(guess[i] > -np.inf)
                 if not len(open_):
@@ -105,24 +107,51 @@ def _search(index: Index, dim: int, k: int, slack: float):
     return run
 
 
+def _probes(index: Index, rows: DataFrame, asked: DataFrame, dim: int, k: int, recall: float, probe_on: int, seed: int) -> int:
+    """How many lists, nearest first, hold `recall` of the true neighbours of a bounded sample of queries."""
+    some = asked.orderBy(F.xxhash64(F.lit(seed + 7), "id"), "id").limit(probe_on).collect()
+    if not some:
+        return 1
+    ids, q = np.array([r["id"] for r in some]), matrix([bytes(r["vec"]) for r in some], dim)
+
+    def best(batches):
+        for batch in batches:
+            if batch.num_rows:
+                own, lists = np.asarray(batch.column("id")), np.asarray(batch.column("list"))
+                score = q @ matrix(batch.column("vec"), dim).T
+                score[ids[:, None] == own[None, :]] = -np.inf
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                which = np.repeat(np.arange(len(ids)), top.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(lists[top.ravel()]), pa.array(own[top.ravel()]), pa.array(score[which, top.ravel()])], names=["q", "list", "id", "score"])
+
+    order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("id"))
+    # probe_on * k rows
+    true = rows.mapInArrow(best, "q long, list int, id long, score double").withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") > float("-inf"))).select("q", "list").collect()
+    rank = np.argsort(np.argsort(-(q @ index.centres.T), axis=1, kind="stable"), axis=1)
+    needed = np.sort([rank[r["q"], r["list"]] for r in true])
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1 if len(needed) else 1
+
+
 def nearest(
-    vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, lists: int | None = None, probe_share: float = 0.6, least_rows: int = 20, parts: int = 16, fit_on: int = 16_384, slack: float = 0.4, seed: int = 3
+    vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, lists: int | None = None, recall: float = 0.95, least_rows: int = 20, parts: int = 16, fit_on: int = 16_384, probe_on: int = 64, seed: int = 3
 ) -> DataFrame:
     """The k rows of largest inner product found for each query: (query_id, rank from 1, vec_id, score).
 
     `is_query` is a condition on the column `id` that tells which rows are queries; a query's own row is no candidate
     of its own. Scores are inner products of the original vectors in double precision, ties go to the smaller id.
-    A query probes its nearest `probe_share` of the lists, and further ones until they hold least_rows * k rows, so
-    a small table is searched whole. Vectors that are null, zero, not finite, have null components or another than
-    the commonest length take no part, nor do null ids; rows of a repeated id are one vector, the smallest. An empty
-    table gives no rows. The index is fitted on at most `fit_on` vectors and holds all of them.
+    A query probes as many of its nearest lists as hold `recall` of the true neighbours of `probe_on` queries drawn by a
+    hash, and further ones until they hold least_rows * k rows, so a small table is searched whole. Vectors that are
+    null, zero, not finite, have null components or another than the commonest length take no part, nor do null ids;
+    rows of a repeated id are one vector, the smallest; other columns, whatever their names, are ignored. An empty table
+    gives no rows. There are about as many lists as the square root of the rows. The index is fitted on at most
+    `fit_on` vectors, or four a list if that is more, and holds all of them.
     """
     usable, dim = read(vectors, id_col, vec_col)
     usable = materialise(usable)
     spark, n = usable.sparkSession, usable.count()
     if lists is None:
-        lists = min(4096, max(1, 1 << round(np.log2(max(n, 1) ** 0.5))))
-    index = Index(sample(usable, fit_on, dim, seed) if n else np.ones((1, dim)), lists, parts, seed)
+        lists = max(1, 1 << round(np.log2(max(n, 1) ** 0.5)))
+    index = Index(sample(usable, max(fit_on, 4 * lists), dim, seed) if n else np.ones((1, dim)), lists, parts, seed)
 
     def assign(batches):
         for batch in batches:
@@ -135,7 +164,7 @@ def nearest(
                 )
 
     rows = materialise(usable.mapInArrow(assign, "id long, vec binary, list int, codes binary, err double"))
-    # as many counts as there are lists, 4096 at most, whatever the input
+    # as many counts as there are lists: the square root of the rows
     counts = np.zeros(len(index.centres), np.int64)
     for own, c in rows.groupBy("list").count().collect():
         counts[own] = c
@@ -148,6 +177,8 @@ def nearest(
         held += c
         if c > SHARD:
             shard, held = shard + int(spread[i]), 0
+    asked = usable.where(is_query)
+    probes = _probes(index, rows, asked, dim, k, recall, probe_on, seed)
     layout = spark.createDataFrame(pd.DataFrame({"list": np.arange(len(counts), dtype=np.int32), "first": first, "spread": spread}))
     placed = rows.join(F.broadcast(layout), "list").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("spread"))).drop("first", "spread")
 
@@ -160,7 +191,7 @@ def nearest(
                 order = np.argsort(-(q @ index.centres.T), axis=1, kind="stable")
                 seen = np.cumsum(counts[order], axis=1)
                 for i in range(len(q)):
-                    many = max(int(np.ceil(probe_share * len(counts))), int(np.searchsorted(seen[i], least_rows * k)) + 1)
+                    many = max(probes, int(np.searchsorted(seen[i], least_rows * k)) + 1)
                     p = np.sort(order[i, :many])
                     home = np.repeat(first[p], spread[p])
                     home = np.unique(home + np.arange(len(home)) - np.repeat(np.cumsum(spread[p]) - spread[p], spread[p]))
@@ -170,10 +201,9 @@ def nearest(
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, kinds, strict=True)], names=["shard", "id", "vec", "probes"])
 
-    asked = usable.where(is_query)
     blocks = max(1, -(-asked.count() // QUERIES))
     asked = asked.mapInArrow(probe, "shard long, id long, vec binary, probes array<int>").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     needed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = needed.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_search(index, dim, k, slack), "query_id long, vec_id long, score double")
+    found = needed.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_search(index, dim, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
