@@ -18,7 +18,6 @@ from .common import materialise
 
 OVERHEAD = 16
 DRAWS = 40.0
-MOST_RANGES = 20_000
 
 
 def _uniform(*parts: Column | str, seed: int) -> Column:
@@ -45,8 +44,8 @@ def shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     Returns id_col, size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in each shard) and grown_shard
     (null under this law). Shards differ from each other by at most about the size of one record. Equal texts stand
     together, so a group of copies shares a shard unless it lies across a boundary. A null text has size 16 and a null
-    checksum; a null id counts as the smallest; repeated rows are placed one by one; other columns are ignored; an
-    empty table gives no rows.
+    checksum; a null id counts as the smallest; repeated rows are placed one by one, ties by size and checksum; very long
+    texts count by their size; other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     text = F.col(text_col)
     rows = materialise(
@@ -59,15 +58,15 @@ def shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
         )
     )
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    wanted, total = min(max(8 * shards, ceil(n / rows_per_range)), MOST_RANGES), max(total, 1)
+    wanted, total = max(8 * shards, ceil(n / rows_per_range)), max(total, 1)
     cut = materialise(_splitters(rows.select("h", "key", "size"), F.col("size") * (DRAWS * wanted / total), F.lit(0), seed))
-    placed, sums = _placed(rows, cut)
+    placed, sums = _placed(rows, cut, wanted)
     # a range overfull in bytes is cut again by boundaries drawn inside it; at most a third of the ranges can be
     over = sums.where((F.col("n_bytes") > 3.0 * total / wanted) & (F.col("n_rows") > 1))
     if over.limit(1).count():
         full = placed.join(F.broadcast(over.select("range")), "range")
         cut = materialise(cut.union(_splitters(full, F.col("size") * (DRAWS * wanted / total), F.col("range"), seed + 1)).distinct())
-        placed, sums = _placed(rows, cut)
+        placed, sums = _placed(rows, cut, wanted)
     # rows of `sums`: the ranges; their running totals need one task, over as many rows as there are ranges
     ahead = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
@@ -91,18 +90,21 @@ def shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     )
 
 
-def _placed(rows: DataFrame, cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _placed(rows: DataFrame, cut: DataFrame, wanted: int) -> tuple[DataFrame, DataFrame]:
     """Records with their ranges, and the rows and bytes of each range."""
-    placed = materialise(_place(rows, cut))
+    placed = materialise(_place(rows, cut, wanted))
     return placed, placed.groupBy("range").agg(F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes"))
 
 
-def _place(rows: DataFrame, cut: DataFrame, bits: int = 12) -> DataFrame:
+def _place(rows: DataFrame, cut: DataFrame, wanted: int) -> DataFrame:
     """The range of each record: how many boundaries (h, key) are at or before it.
 
-    The hash space is split into 2 ** bits slots; a slot carries the boundaries inside it, in order, and the number of
-    those in earlier slots, so a record looks at the few boundaries of its own slot only.
+    The hash space is split into slots, about as many as ranges; a slot carries the boundaries inside it, in order, and
+    the number of those in earlier slots, so a record looks at the few boundaries of its own slot only. A text with very
+    many copies has all its boundaries in one slot: there a record looks at every s-th of them first, s being the root
+    of their number, and then at s more.
     """
+    bits = max(12, wanted.bit_length())
     slot = F.shiftright("h", 64 - bits)
     inside = cut.withColumn("slot", slot).groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("h", "key"))).alias("cuts"))
     before = Window.partitionBy(F.lit(0)).orderBy("slot")
@@ -110,8 +112,13 @@ def _place(rows: DataFrame, cut: DataFrame, bits: int = 12) -> DataFrame:
     # every slot has a row, so that records of slots without a boundary know the boundaries before them too
     every = cut.sparkSession.range(-(1 << (bits - 1)), 1 << (bits - 1)).select(F.col("id").alias("slot"))
     every = every.join(upto, "slot", "left").withColumn("before", F.coalesce(F.max("upto").over(before), F.lit(0)) - F.coalesce(F.size("cuts"), F.lit(0)))
-    # 2 ** bits rows and all boundaries: bounded by the number of ranges, not by the input
-    table = F.broadcast(every.select("slot", "before", F.coalesce("cuts", F.array().cast("array<struct<h:bigint,key:bigint>>")).alias("cuts")))
+    every = every.withColumn("cuts", F.coalesce("cuts", F.array().cast("array<struct<h:bigint,key:bigint>>")))
+    step = F.greatest(F.ceil(F.sqrt(F.size("cuts"))), F.lit(1)).cast("int")
+    heads = F.filter("cuts", lambda _, i: i % F.col("step") == 0)
+    # a row a slot and all boundaries: as many as ranges, one in rows_per_range records
+    table = F.broadcast(every.withColumn("step", step).select("slot", "before", "cuts", "step", heads.alias("heads")))
     own = F.struct("h", "key")
-    passed = F.size(F.filter("cuts", lambda c: c <= own))
-    return rows.withColumn("slot", slot).join(table, "slot").withColumn("range", F.col("before") + passed).drop("slot", "before", "cuts")
+    passed = lambda of: F.size(F.filter(of, lambda c: c <= own))
+    block = F.greatest(passed("heads") - 1, F.lit(0)) * F.col("step")
+    within = passed(F.slice("cuts", block + 1, F.col("step")))
+    return rows.withColumn("slot", slot).join(table, "slot").withColumn("range", F.col("before") + block + within).drop("slot", "before", "cuts", "step", "heads")
