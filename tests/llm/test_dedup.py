@@ -56,6 +56,8 @@ def corpus(seed=0):
 def test_against_brute_force(spark, k, percent, monkeypatch):
     monkeypatch.setattr(bayes_dedup, "SMALL_BUCKET", 3)  # the block pairs are used too
     monkeypatch.setattr(bayes_dedup, "BLOCK", 4)
+    monkeypatch.setattr(bayes_dedup, "WIDE_BLOCK", 6)
+    monkeypatch.setattr(bayes_dedup, "FIRST_BANDS", 1)
     rows = corpus(k)
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA), words_per_shingle=k, percent=percent).collect()
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute(rows, k, percent)
@@ -75,6 +77,14 @@ def test_edges(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeated_ids(spark):
+    """An id with several texts is one document with the links of all of them; copies of one row change nothing."""
+    text = lambda seed: " ".join(f"t{seed}w{i}" for i in range(40))
+    rows = [(5, text(1)), (5, text(2)), (3, text(1) + " more"), (9, text(2) + " end"), (9, text(2) + " end"), (7, text(3)), (7, text(3)), (1, text(4))]
+    got = near_duplicates(spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA), words_per_shingle=3, percent=85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 38, 1), (3, 39, 3), (5, 38, 3), (5, 38, 3), (7, 38, 7), (7, 38, 7), (9, 39, 3), (9, 39, 3)]
+
+
 def test_bounds():
     for percent in (80, 85, 95):
         rows, bands = banding(percent / 100, 256, 1e-5)

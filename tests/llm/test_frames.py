@@ -36,6 +36,23 @@ def test_shards(spark, hot):
     assert max(usual) < 1.5 * min(usual)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_shards_against_brute_force(spark, hot):
+    """Every placement against one sorted list of all records."""
+    rows = [(i, ("copy" if hot and i % 2 else f"text {i}") * (1 + i % 5), "a") for i in range(2500)] + [(3, "again", "a"), (3, "again", "a"), (9000, None, "a"), (9001, "long " * 20_000, "a")]
+    df = docs(spark, rows)
+    keyed = df.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("size"), F.crc32("text").alias("crc")).collect()
+    order = sorted((r["h"], r["doc_id"], r["size"], -1 if r["crc"] is None else r["crc"]) for r in keyed)
+    total, at, want, front = sum(r[2] for r in order), 0, [], {}
+    for place, (_, i, size, _) in enumerate(order):
+        shard = min(39, int((at + size / 2) * 40 / total))
+        front.setdefault(shard, place)
+        want.append((i, size, shard, place - front[shard]))
+        at += size
+    got = [(r["doc_id"], r["size"], r["shard"], r["slot"]) for r in shards(df, rows_per_range=100).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_shards_few(spark):
     got = shards(docs(spark, [(1, "a", "s"), (2, "b", "s")])).collect()
     assert len(got) == 2 and all(r["slot"] == 0 for r in got)
@@ -63,6 +80,15 @@ def test_mix(spark):
     assert mix(df.limit(0)).count() == 0
 
 
+def test_mix_edges(spark):
+    """Rows without an id, repeated ids and very long texts draw as others do."""
+    rows = [(None, "no id", "a"), (None, "none either", "a"), (5, "x", "a"), (5, "y", "a"), (6, "long " * 50_000, "b")]
+    got = mix(docs(spark, rows), total=8.0).groupBy("doc_id", "text").agg(F.max("_copies").alias("c"), F.count("*").alias("n")).collect()
+    per = {(r["doc_id"], r["text"][:9]): r["c"] for r in got}
+    assert all(r["c"] == r["n"] for r in got)
+    assert per.get((5, "x")) == per.get((5, "y")) and per.get((None, "no id")) == per.get((None, "none eith"))
+
+
 def test_mix_weights_and_large_rates(spark):
     df = docs(spark, [(i, "0123456789", "a" if i < 40 else "b") for i in range(400)])
     weights = spark.createDataFrame([("a", 1.0)], "source string, weight double")
@@ -120,9 +146,75 @@ def test_differencing(spark):
     assert "Alone" in got[4] and "Welcome to the site" in got[4]
 
 
-def test_lcs():
+def site(rng, n):
+    """Pages of two sites without an element for the article, some copies among them."""
+    rows = []
+    for i in range(n):
+        host = rng.choice(["a", "b"])
+        same = [r[2] for r in rows if r[1].startswith(f"http://{host}.")]
+        own = rng.choice(same) if same and rng.random() < 0.2 else None
+        body = "".join(f"<p>{rng.choice(['story', 'tale'])} {rng.randrange(400)}</p>" for _ in range(rng.randrange(1, 5)))
+        page = f"<div>Welcome to {host}</div><ul><li><a href='/'>Home</a></li></ul>{body}<div>Rights {host}</div>" + ("<article><p>x</p><p><a>more</a></p></article>" if rng.random() < 0.2 else "")
+        rows.append((i, f"http://{host}.example/{rng.randrange(5)}/{rng.randrange(50)}", own or page))
+    return rows
+
+
+def brute_extract(rows):
+    """Every page against the different pages beside it, in one list of all pages."""
+    from quillgraph.llm.pages import NEIGHBOURS, main_text
+
+    order = sorted((u.split("/")[2], "/" + "/".join(u.split("/")[3:]), i, lines(h)) for i, u, h in rows)
+    out = {}
+    for at, (host, path, i, own) in enumerate(order):
+        near = []
+        for step in (-1, 1):
+            k, last, seen = at + step, own, []
+            while 0 <= k < len(order) and order[k][0] == host and len(seen) < NEIGHBOURS:
+                if order[k][3] != last:
+                    seen.append((order[k][1], order[k][3]))
+                    last = order[k][3]
+                elif seen:
+                    seen[-1] = (order[k][1], last) if step < 0 else seen[-1]
+                k += step
+            near += seen[::-1] if step < 0 else seen
+        mine = path
+        while at > 0 and order[at - 1][0] == host and order[at - 1][3] == own:
+            at -= 1
+            mine = order[at][1]
+        prefix = lambda p, q: next((n for n, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q)))
+        near.sort(key=lambda r: -prefix(r[0], mine))
+        out[i] = main_text(own, [r[1] for r in near])
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_extraction_against_brute_force(spark, parts):
+    """The same texts however the order of pages is cut, and those of a plain scan; the template goes, stories stay."""
     import random
 
+    rows = site(random.Random(9), 150)
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in extract(df, parts=parts).collect()}
+    assert got == brute_extract(rows)
+    bare = [t for i, t in got.items() if "<article>" not in rows[i][2]]
+    assert not any("Welcome" in t or "Rights" in t or "Home" in t for t in bare) and all("story" in t or "tale" in t for t in bare)
+
+
+def test_names():
+    from quillgraph.llm.pages import NAMES, _names
+
+    assert all(_names(v, NAMES) for v in ("ad", "ad-box", "site-footer", "comments", "cookie_notice", "related-posts"))
+    assert not any(_names(v, NAMES) for v in ("related-work", "share-price", "nav-open", "has-sidebar", "comments-closed", "post", "article-body"))
+
+
+@pytest.mark.parametrize("cells", [1 << 24, 4])
+def test_lcs(monkeypatch, cells):
+    import random
+
+    from quillgraph.llm import pages
+
+    monkeypatch.setattr(pages, "CELLS", cells)
+
     def brute(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
@@ -187,6 +279,41 @@ def test_toolcalls(spark):
     assert link(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("gathered", [64, 1])
+def test_toolcall_levels(spark, monkeypatch, gathered):
+    """Places of calls against a walk by hand, settled in one row or by joins alike; cycles and what is behind them."""
+    import random
+
+    from quillgraph.llm import toolcalls
+
+    monkeypatch.setattr(toolcalls, "GATHERED", gathered)
+    rng = random.Random(3)
+    rows, needs = [], {}
+    for conv in range(6):
+        for turn in range(8):
+            of = [f"c{rng.randrange(8)}" for _ in range(rng.randrange(3))] if conv else [f"c{turn - 1}"]
+            needs[conv, f"c{turn}"] = {n for n in of if n != "c-1"}
+            rows.append((conv, turn, "assistant", json.dumps({"tool_calls": [{"id": f"c{turn}", "name": "ping", "arguments": {"text": "long " * 2000}, "depends_on": of}]})))
+    got = link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+
+    def place(conv, call, above=()):
+        """(at_turn, level), or None in or behind a cycle."""
+        if call in above:
+            return None
+        best = (int(call[1:]), 0)
+        for n in needs[conv, call]:
+            under = place(conv, n, (*above, call))
+            if under is None:
+                return None
+            best = max(best, (under[0], under[1] + 1))
+        return best
+
+    for r in got:
+        want = place(r["conv_id"], r["call_id"])
+        assert (r["problem"] == "cycle") == (want is None)
+        assert (r["at_turn"], r["level"]) == ((r["turn"], 1) if want is None else (want[0], want[1] + 1))
+
+
 def test_toolcalls_null_conversation_and_repeats(spark):
     """Calls without a conversation and repeated rows stay as they are when a call depends on another."""
     deps = json.dumps({"tool_calls": [{"id": "d1", "name": "ping", "arguments": {}, "depends_on": ["d2"]}, {"id": "d2", "name": "ping", "arguments": {}}]})

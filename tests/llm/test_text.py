@@ -43,9 +43,13 @@ def test_tokenizer_equals_library():
 
 
 def test_cuts():
-    for n in [1, 5, 63, 64, 65, 127, 2047, 2048, 2049, 5000, 40_000]:
-        parts = cuts(n, 2048, 64)
-        assert sum(parts) == n and all(p == 2048 or p & (p - 1) == 0 or p < 64 for p in parts)
+    """Each document's pieces are whole, exact reciprocals of the capacity or a tail, largest first."""
+    lengths = np.array([1, 5, 63, 64, 65, 127, 2047, 2048, 2049, 5000, 40_000])
+    row, length = cuts(lengths, 2048, 64)
+    for i, n in enumerate(lengths.tolist()):
+        parts = length[row == i].tolist()
+        assert sum(parts) == n and parts == sorted(parts, reverse=True)
+        assert all(p in {2048 // k for k in range(1, 33)} or p < 64 for p in parts)
 
 
 def test_pack(spark):
@@ -154,3 +158,104 @@ def test_em():
     prior, found, post = accuracies(counts)
     assert prior == pytest.approx(0.8, abs=0.03) and np.allclose(found[:, 1], [b for _, b in right], atol=0.06)
     assert post["----"] < 0.01 < 0.95 < post["++++"]
+
+
+def brute_language(pairs, texts):
+    """The model's formulas word by word, in dictionaries: (language, score, known share, margin) of each text."""
+    import math
+
+    import regex
+
+    letters, langs = regex.compile(r"\p{L}+"), sorted({v for _, v in pairs})
+    words_, grams_ = {}, {n: {} for n in range(1, 5)}
+
+    def pieces(w, n):
+        m = f"<{w}>" if n > 1 else w
+        return [m[i : i + n] for i in range(len(m) - n + 1)]
+
+    for text, lang in pairs:
+        for w in letters.findall(text.lower()):
+            words_.setdefault(w, {}).setdefault(lang, 0)
+            words_[w][lang] += 1
+            for n in grams_:
+                for g in pieces(w, n):
+                    grams_[n].setdefault(g, {}).setdefault(lang, 0)
+                    grams_[n][g][lang] += 1
+
+    def logs(table):
+        totals = {v: 1 + sum(c.get(v, 0) for c in table.values()) + 0.5 * (len(table) + 1) for v in langs}
+        out = {}
+        for key, c in table.items():
+            raw = [math.log((c.get(v, 0) + 0.5) / totals[v]) for v in langs]
+            z = math.log(sum(math.exp(x) for x in raw))
+            out[key] = [x - z for x in raw]
+        return out
+
+    word_logs, gram_logs = logs(words_), {n: logs(t) for n, t in grams_.items()}
+    out = []
+    for text in texts:
+        found = letters.findall((text or "").lower())
+        total, known = [0.0] * len(langs), 0
+        for w in found:
+            known += sum(words_.get(w, {}).values()) >= 2
+            own = word_logs.get(w)
+            for n in range(4, 0, -1):
+                if own is None and (hits := [gram_logs[n][g] for g in pieces(w, n) if g in gram_logs[n]]):
+                    own = [sum(x) / len(hits) for x in zip(*hits, strict=True)]
+            total = [a + b for a, b in zip(total, own or [0.0] * len(langs), strict=True)]
+        best = max(range(len(langs)), key=lambda k: (total[k], -k))
+        score = 1 / sum(math.exp(x - total[best]) for x in total)
+        two = sorted(total)[-2:]
+        out.append((langs[best] if found else "und", score if found else 0.0, known / max(len(found), 1), (two[1] - two[0]) / max(len(found), 1)))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    """Every measure of every text against the formulas by hand, many languages, very long texts and ties among them."""
+    rng = random.Random(12)
+    pools = {f"l{k:03}": ["".join(rng.choice("abcdefghij"[k % 5 : k % 5 + 6]) for _ in range(rng.randrange(1, 7))) for _ in range(12)] for k in range(230)}
+    pairs = [(" ".join(rng.choice(pool) for _ in range(rng.randrange(3, 30))), lang) for lang, pool in pools.items() for _ in range(2)]
+    model = fit(spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(pairs)], "doc_id long, text string, lang string"))
+    assert len(model.langs) == 230  # no language is left out
+    texts = [t for t, _ in pairs[::9]] + ["zzz qqq", "Éa-b c1d", "", None, "1 2 3", "a", "abc " * 4000, "x" * 20_000, pairs[0][0] + " " + pairs[5][0]]
+    got = model.measure(pa.array(texts, pa.string()))
+    for own, want in zip(zip(*(list(x) for x in got), strict=True), brute_language(pairs, texts), strict=True):
+        assert own[0] == want[0] and own[1:] == pytest.approx(want[1:], abs=1e-4)
+
+
+def test_quality_votes_by_hand():
+    """Sums over words against a loop over words; long words count whole, and scripts without white space are judged."""
+    from quillgraph.llm.weak_quality import LABELLERS, _features
+
+    rng = random.Random(13)
+    texts = ["", None, "  ", "one", "日本語の文章です。" * 40, "§¶†" * 100, "A" * 300] + [" ".join(rng.choice(["Word", "word", "WORD", "a%b", "|", "end.", "wow!!", "x1", "12"]) for _ in range(rng.randrange(1, 200))) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "text"])
+    rows = [r for b in _features(iter([batch])) for r in b.to_pylist()]
+    plain = ".,;:!?'\"()-"
+    for text, r in zip(texts, rows, strict=True):
+        w = (text or "").split()
+        n, chars = len(w), sum(map(len, w))
+        letters = sum(c.isalpha() for x in w for c in x)
+        caps = sum(c.isupper() for x in w for c in x[1:]) / max(letters, 1)
+        symbols = sum(not c.isalnum() and c not in plain for x in w for c in x) / max(chars, 1)
+        some = n >= 8 or chars >= 200
+        again = sum(a == b for a, b in zip(w, w[1:], strict=False))
+        bare, ends = sum(not any(map(str.isalnum, x)) for x in w) / max(n, 1), sum(x[-1] in ".?!" for x in w) / max(n, 1)
+        loud, recurring = sum(x.endswith(("!!", "??")) for x in w) / max(n, 1), sum(w.count(x) > 1 for x in w) / max(n, 1)
+        vote = lambda bad, good: "-" if bad else "+" if good else "0"
+        want = [
+            vote(some and caps > 0.15, some and caps < 0.02), vote(some and symbols > 0.03, some and symbols < 0.005), vote(n >= 8 and again / max(n - 1, 1) > 0.08 and again >= 3, n >= 8 and again / max(n - 1, 1) < 0.01),
+            vote(n >= 8 and bare > 0.06, n >= 8 and bare < 0.01), vote(n >= 100 and recurring < 0.02, n >= 100 and recurring > 0.1), vote(n >= 8 and loud > 0.08 or n >= 60 and ends < 0.002, n >= 8 and 0.01 < ends < 0.3 and loud < 0.01),
+        ]
+        assert (r["n_words"], r["votes"]) == (n, "".join(want)), (text or "")[:80]
+        assert len(r["votes"]) == len(LABELLERS)
+    # a long word has as many shapes as it has pieces: its end counts
+    one, other = (next(_features(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([t])], names=["id", "text"])]))).column("at")[0].as_py() for t in ("aB1" * 40 + "x", "aB1" * 40 + "%"))
+    assert one != other
+
+
+def test_quality_edges(spark):
+    """Very long texts, repeated rows and ties of the score get one answer each."""
+    rows = [(1, "the house is green and the garden is quiet. " * 3000), (2, "same words here. " * 20), (2, "same words here. " * 20), (3, "same words here. " * 20), (None, "no id but text.")]
+    got = score_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and len({(r["score"], r["keep"]) for r in got if r["doc_id"] in (2, 3)}) == 1

@@ -62,6 +62,22 @@ def test_near_vectors_blocks(spark, monkeypatch):
     assert [(r["n_links"], r["component_id"]) for r in got] == list(zip(n.tolist(), component.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_recall_on_planted_pairs(spark, n):
+    """Pairs of cosine just over the threshold among random vectors: at least 0.95 of them are found, and no other."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 32))
+    for i in range(0, n // 4, 2):
+        u, v = x[i] / np.linalg.norm(x[i]), rng.normal(size=32)
+        v -= (v @ u) * u
+        x[i + 1] = (0.955 * u + np.sqrt(1 - 0.955**2) * v / np.linalg.norm(v)) * rng.uniform(0.5, 2)
+    x = x.astype(np.float32).astype(float)
+    got = near_vectors(table(spark, x)).where("n_links > 0").collect()
+    links, _ = brute_links(x)
+    assert all(r["n_links"] <= links[r["vec_id"]] for r in got)
+    assert sum(r["n_links"] for r in got) >= 0.95 * links.sum()
+
+
 def test_repeats_and_empty(spark):
     rows = [(5, [1.0, 0.0], 0, ""), (5, [1.0, 0.0], 0, ""), (3, [2.0, 0.0], 1, ""), (None, [1.0, 0.0], 1, "")]
     df = spark.createDataFrame(rows, SCHEMA)
