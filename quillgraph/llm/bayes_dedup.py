@@ -25,14 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, join_counted, materialise, slices, small_batches, words
+from .common import BROADCAST_ROWS, components, discard, join_counted, materialise, slices, small_batches, words
 
 BATCH = 32
 FIRST_BANDS = 8
 SMALL_BUCKET = 32
 WIDE_BLOCK = 1024
-#: Rows of 16 bytes that a broadcast may have; beyond it a shuffle takes its place.
-BROADCAST_ROWS = 500_000
 BLOCK = 256
 
 
@@ -190,10 +188,9 @@ class _Corpus:
         names = ["a", "b", "ia", "ha", "ib", "hb"]
         left = self.nodes.select(F.col("node").alias("a"), F.col("id").alias("ia"), F.col("h").alias("ha"), F.col("sig").alias("sa"))
         right = self.nodes.select(F.col("node").alias("b"), F.col("id").alias("ib"), F.col("h").alias("hb"), F.col("sig").alias("sb"))
-        degrees = pairs.groupBy("a").agg(F.count("*").alias("degree"))
-        total = pairs.count()
-        led = join_counted(pairs, left.join(degrees, "a"), "a", "degree", total)
-        open_ = materialise(led.join(right, "b").select(*names, "sa", "sb").mapInArrow(run, ", ".join(f"{c} long" for c in names)))
+        if not pairs.limit(1).count():
+            return pairs
+        open_ = materialise(pairs.join(left, "a").join(right, "b").select(*names, "sa", "sb").mapInArrow(run, ", ".join(f"{c} long" for c in names)))
         texts = self.texts_of(open_.select(F.col("ia").alias("id"), F.col("ha").alias("h")).union(open_.select("ib", "hb")).distinct())
         x = texts.select(F.col("id").alias("ia"), F.col("h").alias("ha"), F.col("text").alias("ta"))
         y = texts.select(F.col("id").alias("ib"), F.col("h").alias("hb"), F.col("text").alias("tb"))
@@ -390,11 +387,10 @@ def near_duplicates(
         if any(m.limit(1).count() for m in more):
             found = components(_union([found.select(F.col("node").alias("a"), F.col("component").alias("b")), *more]))
     # the smallest id of each component, for every node
-    lows = found.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("root"))
-    counts = found.groupBy("component").agg(F.count("*").alias("size"))
-    roots = join_counted(found, lows.join(counts, "component"), "component", "size", corpus.count).select("node", "root")
+    lows = materialise(found.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("root"), F.count("*").alias("size")))
+    roots = join_counted(found, lows, "component", "size", corpus.count, lows.count()).select("node", "root")
     named = materialise(nodes.select("print", "node", "id", "copies").join(roots, "node", "left").select("print", F.coalesce("root", "id").alias("root"), "copies"))
-    known = join_counted(sets.select("id", "n", "print"), named, "print", "copies", feats.count()).select("id", "n", "root")
+    known = join_counted(sets.select("id", "n", "print"), named, "print", "copies", feats.count(), corpus.count).select("id", "n", "root")
     alone = feats.where("print is null").select("id", "n", F.col("id").alias("root"))
     return known.union(alone).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.col("id").eqNullSafe(F.col("root")).alias("kept")

@@ -70,14 +70,20 @@ def small_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) ->
 
 HOT_SHARE = 1000
 EDGES_PER_TASK = 200_000
+#: Rows of a few dozen bytes that a broadcast may have; beyond it another way takes its place.
+BROADCAST_ROWS = 500_000
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """left joined to right, which has one row for each key and in `n` the number of rows of left that have it.
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int, rows: int) -> DataFrame:
+    """left joined to right, a written table of at most `rows` rows, one for each key, which has in `n` the number of
+    rows of left with that key; `n` is left out of the result.
 
-    Keys with more than one in HOT_SHARE of the `total` rows, fewer than HOT_SHARE keys whatever the input, are
-    broadcast, so that no task gets all rows of one; the others are shuffled. `n` is left out of the result.
+    A table of at most BROADCAST_ROWS is broadcast. Of a larger one, the keys with more than one in HOT_SHARE of the
+    `total` rows, fewer than HOT_SHARE keys whatever the input, are broadcast, so that no task gets all rows of one, and
+    the others are shuffled.
     """
+    if rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right.drop(n)), key)
     hot = F.broadcast(right.where(F.col(n) * HOT_SHARE > total).drop(n))
     cold = right.where(F.col(n) * HOT_SHARE <= total).drop(n)
     return left.join(hot, key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
@@ -128,6 +134,15 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each larger end has one link and is no smaller end: then the smaller ends are the components."""
+    tips, n = edges.agg(F.approx_count_distinct("u", 0.01), F.count("*")).first()
+    if tips < 0.9 * n:
+        return False
+    ends = edges.select("u", F.lit(1).alias("up")).union(edges.select("v", F.lit(2)))
+    return not ends.groupBy("u").agg(F.count_if(F.col("up") == 1).alias("up"), F.count_if(F.col("up") == 2).alias("down")).where("up > 1 or up = 1 and down > 0").limit(1).count()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links as (node, component): each linked node and the smallest node it reaches.
 
@@ -140,15 +155,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     keep = lambda df: materialise(df.coalesce(parts))
     edges = keep(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = _signature(edges)
-    while before[0]:
+    while before[0] and not _stars(edges):
+        n = before[0]
+        small = n <= BROADCAST_ROWS
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = keep(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
-        large = join_counted(both, low, "u", "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        low = low if small else keep(low)
+        large = join_counted(both, low, "u", "n", 2 * n, 2 * n if not small else n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = keep(large.distinct())
-        least = keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        least = least if small else keep(least)
         stars = least.select("u", F.col("m").alias("v"))
-        small = join_counted(large, least, "u", "n", before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(stars)
-        old, edges = (edges, low, large, least), keep(small.distinct())
+        old = (edges, low, large, least)
+        edges = keep(join_counted(large, least, "u", "n", n, n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(stars).distinct())
         discard(*old)
         after = _signature(edges)
         if after == before:
