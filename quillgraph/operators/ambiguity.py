@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import extract_json_object
+from ..functions.patterns import extract_json_object, normalised_pattern
 
 TYPES = ("schema", "entity", "intent", "temporal")
 T_SCHEMA, T_ENTITY = 0.6, 0.8
@@ -28,6 +28,11 @@ def entropy_of_beams(df: DataFrame, keys: list[str], beam: str, out: str = "entr
     return agg.select(*keys, F.when(F.col("_n") > 1, F.col("_h") / F.ln(F.col("_n").cast("double"))).otherwise(F.lit(0.0)).alias(out))
 
 
+def with_normal_beams(df: DataFrame, beam: str) -> DataFrame:
+    """df with the beam's pattern without white space and variable names, for the measures over normalised patterns."""
+    return df.withColumn(beam, normalised_pattern(beam))
+
+
 def dominance(df: DataFrame, keys: list[str], beam: str, out: str = "dominance") -> DataFrame:
     """One less the share of the commonest beam."""
     counts = df.groupBy(*keys, beam).agg(F.count("*").alias("_c"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import first_line, parse_schema_pattern
+from ..functions.patterns import first_line, label_of, parse_schema_pattern
 from ..plans.catalog import GraphSchema
 
 
@@ -41,9 +41,8 @@ def parse_beams(completions: DataFrame, schema: GraphSchema, check: bool = True)
 
 def _elements(valid: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Relationships and labelled nodes of valid beams by position, relationships from source to target."""
-    labels = F.map_from_entries(F.array_distinct("parsed.nodes"))
-    hops = valid.select("question_id", "rank", "score", labels.alias("_labels"), F.posexplode("parsed.rels").alias("pos", "r"))
-    a, b = F.try_element_at("_labels", F.col("r.src")), F.try_element_at("_labels", F.col("r.tgt"))
+    hops = valid.select("question_id", "rank", "score", F.col("parsed.nodes").alias("_nodes"), F.posexplode("parsed.rels").alias("pos", "r"))
+    a, b = label_of(F.col("_nodes"), F.col("r.src")), label_of(F.col("_nodes"), F.col("r.tgt"))
     back = F.col("r.direction") == "<-"
     rels = hops.select(
         "question_id", "rank", "score", (F.col("pos") + 1).alias("pos"), F.lit("relationship_type").alias("element_type"), F.col("r.type").alias("name"),
@@ -152,9 +151,45 @@ def render(committed: Column) -> Column:
     return F.array_join(parts, ", ")
 
 
-def committed_elements(pattern: Column | str) -> Column:
-    """Relationship and lone-label elements of a committed pattern's text, oriented from source to target."""
-    return parse_schema_pattern(pattern)
+def committed_elements(patterns: DataFrame, known: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """(question_id, slot, element columns, origin) of each committed pattern, one a question.
+
+    `known` has the element columns of a question's candidates. A typed relationship, oriented from source to target, is
+    looked up among its question's with the same active filter (origin `exact`), then among those without one (`plain`),
+    and stands for itself where neither is (`new`); an untyped one commits nothing. Labels that no typed relationship
+    touches follow as node_1, node_2, ...
+    """
+    parsed = patterns.select("question_id", parse_schema_pattern(pattern).alias("p")).where("p.ok")
+    hops = parsed.select("question_id", F.col("p.nodes").alias("_of"), F.posexplode("p.rels").alias("pos", "r")).where("r.type is not null")
+    a, b, back = label_of(F.col("_of"), F.col("r.src")), label_of(F.col("_of"), F.col("r.tgt")), F.col("r.direction") == "<-"
+    hops = hops.select(
+        "question_id", F.concat(F.lit("rel_"), (F.col("pos") + 1).cast("string")).alias("slot"), F.col("r.type").alias("name"),
+        F.when(back, b).otherwise(a).alias("source_label"), F.when(back, a).otherwise(b).alias("target_label"), F.col("r.active").alias("active"),
+    )
+    by = ["question_id", "name", "source_label", "target_label"]
+    have = known.where("element_type = 'relationship_type'").groupBy(*by).agg(F.bool_or("active").alias("_active"), F.bool_or(~F.col("active")).alias("_plain"))
+    have = have.select(*(F.col(c).alias(f"_{c}") for c in by), "_active", "_plain")
+    same = hops["question_id"] == have["_question_id"]
+    for c in by[1:]:
+        same = same & hops[c].eqNullSafe(have[f"_{c}"])
+    both = hops.join(have, same, "left")
+    exact = F.when(F.col("active"), F.col("_active")).otherwise(F.col("_plain"))
+    origin = F.when(exact, "exact").when(F.col("_plain"), "plain").otherwise("new")
+    rels = both.select(
+        "question_id", "slot", F.lit("relationship_type").alias("element_type"), "name", "source_label", "target_label",
+        F.when(origin == "plain", F.lit(False)).otherwise(F.col("active")).alias("active"), origin.alias("origin"),
+    )
+    typed = F.filter("p.rels", lambda r: r["type"].isNotNull())
+    label = lambda alias: label_of(F.col("p.nodes"), alias)
+    touched = F.flatten(F.transform(typed, lambda r: F.array(label(r["src"]), label(r["tgt"]))))
+    lone = F.filter("p.nodes", lambda n: n["label"].isNotNull() & ~F.coalesce(F.array_contains(F.array_compact(touched), n["label"]), F.lit(False)))
+    nodes = parsed.select("question_id", F.posexplode(F.transform(lone, lambda n: n["label"])).alias("pos", "name"))
+    none = F.lit(None).cast("string")
+    spots = nodes.select(
+        "question_id", F.concat(F.lit("node_"), (F.col("pos") + 1).cast("string")).alias("slot"), F.lit("node_label").alias("element_type"), "name",
+        none.alias("source_label"), none.alias("target_label"), F.lit(False).alias("active"), F.lit("new").alias("origin"),
+    )
+    return rels.union(spots)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -169,3 +204,12 @@ def cosine_prefilter(paths: DataFrame, question: Column, embedding: str, key: st
     near = scored.where(F.col("similarity") >= threshold).select(F.col(key).alias("_k"))
     keep = near.union(floor).distinct()
     return scored.join(keep, F.col(key) == F.col("_k"), "left_semi")
+
+
+def pruned(schema: GraphSchema, kept: list[tuple[str, str, str]]) -> GraphSchema:
+    """The schema of the kept paths (type, source, target): labels that no path touches, and their properties, go."""
+    wanted = set(kept)
+    paths = [p for p in schema.paths if (p.type, p.source, p.target) in wanted]
+    labels = {x for p in paths for x in (p.source, p.target)}
+    types = {p.type for p in paths}
+    return GraphSchema([x for x in schema.labels if x in labels], paths, {k: v for k, v in schema.props.items() if k in labels | types})

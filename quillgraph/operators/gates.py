@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import extract_schema_pattern, relationship_count, relationship_types
+from ..plans.catalog import GraphSchema
+from ..plans.session import validate
 
 
 def distribution(items: DataFrame, kind: str, expected: dict[str | None, int]) -> DataFrame:
@@ -46,6 +49,27 @@ def once(queries: DataFrame, text: str) -> DataFrame:
     return queries.select(text).distinct()
 
 
+VERDICT = "syntax boolean, schema_score double, property_score double, route string, problems array<string>"
+
+
+def validated(queries: DataFrame, schema: GraphSchema, text: str = "cypher") -> DataFrame:
+    """queries with `verdict` (VERDICT) of the validator; each distinct text of a batch is checked once."""
+
+    @F.pandas_udf(VERDICT)
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        known = {t: validate(t or "", schema) for t in texts.unique()}
+        rows = [known[t] for t in texts]
+        return pd.DataFrame([(v.syntax_valid, v.schema_score, v.properties_score, v.route_to, list(v.problems)) for v in rows], columns=["syntax", "schema_score", "property_score", "route", "problems"])
+
+    return queries.withColumn("verdict", judge(text))
+
+
+def invalid(queries: DataFrame, schema: GraphSchema, text: str = "cypher") -> tuple[DataFrame, DataFrame]:
+    """The violations of two gates: queries that do not parse, and those that name what the schema lacks."""
+    checked = validated(queries, schema, text)
+    return checked.where(~F.col("verdict.syntax")), checked.where(F.col("verdict.syntax") & (F.col("verdict.route") != "accept"))
+
+
 def empty_results(queries: DataFrame, counts: DataFrame, text: str, n: str = "n_rows") -> DataFrame:
     """Queries that return no row; those that failed (null count) are left to the gate of syntax."""
     return queries.join(counts, text, "left").where(F.col(n) == 0)

@@ -116,3 +116,25 @@ def render(metrics: DataFrame, names: list[str], titles: dict[str, str] | None =
     lines = ["| metric | " + " | ".join(order) + " |", "|---" * (len(order) + 1) + "|"]
     lines += [f"| {(titles or {}).get(n, n)} | " + " | ".join(show(rows[c][n]) for c in order) + " |" for n in names]
     return "\n".join(lines)
+
+
+#: Titles of the three tables and what each shows: the answers, the repair of queries, the detection of ambiguity.
+TABLES = {
+    "Answers": ("n_total", "ex", "ea", "ambiguous_ea", "pass_at_1"),
+    "Validity and repair": ("initial_valid", "post_valid", "kg_valid", "syntax", "schema_given_syntax", "structural_repair", "semantic_repair"),
+    "Ambiguity": ("prec", "rec", "f1", "dsr"),
+}
+
+
+def tables(metrics: DataFrame) -> DataFrame:
+    """(title, line_no, metric, condition, value) of the three tables, conditions in their order; NaN where a condition
+    has no such value."""
+    known = [(title, i, n) for title, names in TABLES.items() for i, n in enumerate(names) if n in metrics.columns]
+    place = metrics.sparkSession.createDataFrame(known, "title string, line_no int, metric string")
+    wide = metrics.select("condition", *(F.col(n).cast("double").alias(n) for _, _, n in known))
+    return long_form(wide, [n for _, _, n in known]).join(F.broadcast(place), "metric").select("title", "line_no", "metric", "condition", "value")
+
+
+def render_tables(metrics: DataFrame) -> str:
+    """The three tables as markdown, each under its title."""
+    return "\n\n".join(f"## {title}\n\n{render(metrics, [n for n in names if n in metrics.columns])}" for title, names in TABLES.items())

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import extract_schema_pattern, has_relationship_type
 from ..functions.strings import TextList, normalised_question
+from ..plans.catalog import GraphSchema
+from .gates import validated
 
 
 def hash_order(seed: int, key: Column | str) -> Column:
@@ -16,24 +18,31 @@ def hash_order(seed: int, key: Column | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
-def with_reasons(rows: DataFrame, cypher: str = "cypher", keep_node_only: bool = False) -> DataFrame:
-    """rows with `pattern` and `reason` (kept, parse or node_only)."""
+def with_reasons(rows: DataFrame, cypher: str = "cypher", keep_node_only: bool = False, schema: GraphSchema | None = None) -> DataFrame:
+    """rows with `pattern` and `reason` (kept, parse, node_only, or syntax where a schema is given to validate with)."""
     df = rows.withColumn("pattern", extract_schema_pattern(cypher))
     reason = F.when(F.col("pattern").isNull(), "parse")
+    if schema is not None:
+        df = validated(df, schema, cypher)
+        reason = reason.when(~F.col("verdict.syntax"), "syntax")
     if not keep_node_only:
         reason = reason.when(~has_relationship_type("pattern"), "node_only")
-    return df.withColumn("reason", reason.otherwise("kept"))
+    return df.withColumn("reason", reason.otherwise("kept")).drop("verdict")
 
 
 def first_wins(rows: DataFrame, text: str, position: list[str]) -> DataFrame:
-    """One row for each normalised text, the first by position. The minimum is pre-aggregated before it is joined."""
-    keyed = rows.withColumn("_norm", normalised_question(F.coalesce(text, F.lit(""))))
-    first = keyed.groupBy("_norm").agg(F.min(F.struct(*position)).alias("_first"))
-    same = [F.col(p).eqNullSafe(F.col(f"_first.{p}")) for p in position]
-    both = keyed.join(first, "_norm")
-    for s in same:
-        both = both.where(s)
-    return both.drop("_norm", "_first")
+    """One row for each normalised text, the first by position.
+
+    Texts are grouped by a 128-bit digest, on the way into the shuffle, and the first positions are joined back by
+    position and digest, so no text is shuffled as a key and no key is hot.
+    """
+    keyed = rows.withColumn("_digest", F.md5(normalised_question(F.coalesce(text, F.lit("")))))
+    first = keyed.groupBy(F.col("_digest").alias("_of")).agg(F.min(F.struct(*position)).alias("_first")).select("_of", "_first.*")
+    first = first.select("_of", *(F.col(p).alias(f"_{p}") for p in position))
+    same = keyed["_digest"] == first["_of"]
+    for p in position:
+        same = same & keyed[p].eqNullSafe(first[f"_{p}"])
+    return keyed.join(first, same, "left_semi").drop("_digest")
 
 
 def disjoint(rows: DataFrame, blocked: DataFrame, text: str, block_text: str, ratio: float = 0.9) -> DataFrame:
@@ -80,8 +89,8 @@ def cap(rows: DataFrame, key: str, most: int, seed: int = 13) -> DataFrame:
 
 
 def mix(own: DataFrame, replay: DataFrame, key: str, most: int, seed: int = 13) -> DataFrame:
-    """All own rows and at most `most` replayed ones."""
-    return own.unionByName(cap(replay, key, most, seed))
+    """All own rows and at most `most` replayed ones, shuffled by hash order."""
+    return own.unionByName(cap(replay, key, most, seed)).orderBy(hash_order(seed + 1, key), key)
 
 
 def model_inputs(rows: DataFrame, prompt: str, completion: str, length: int, pad: int) -> DataFrame:

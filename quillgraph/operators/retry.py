@@ -11,18 +11,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 SCHEMA_RETRIES, SYNTAX_RETRIES, WRONG_RETRIES = 3, 2, 1
-OUT = "question_id string, failed boolean, reason string, retry_count int, generations int, links int, commits int, evaluations int, first_flags string, verdict string, feedbacks string"
+OUT = "question_id string, failed boolean, reason string, retry_count int, generations int, links int, commits int, evaluations int, first_flags string, verdict string, feedbacks string, tried array<string>"
 
 
-def fold(condition: str, steps: list[str], linked: bool = True, ambiguous: bool = False, exhausted_at: int | None = None, outcomes: list[str] | None = None) -> dict:
+def fold(condition: str, steps: list[str], linked: bool = True, ambiguous: bool = False, exhausted_at: int | None = None, outcomes: list[str] | None = None, choices: list[str] | None = None) -> dict:
     """Run the state machine over scripted verdicts (accept, syntax, schema) and evaluation outcomes.
 
     The last verdict and outcome repeat if the script is shorter. `exhausted_at` is the commitment at which the
-    candidates run out.
+    candidates run out. With `choices`, the rendered candidates in order, each commitment takes the first whose text no
+    earlier one of the question had, in whichever loop, and runs out of them where there is none.
     """
     full = condition == "disambiguation_enhanced"
     out = dict(failed=False, reason=None, retry_count=0, generations=0, links=0, commits=0, evaluations=0, verdict=None)
-    firsts, feedbacks, feedback = [], [], False
+    firsts, feedbacks, feedback, tried = [], [], False, []
     outcomes = outcomes or ["correct"]
 
     def nth(script: list[str], i: int) -> str:
@@ -33,13 +34,16 @@ def fold(condition: str, steps: list[str], linked: bool = True, ambiguous: bool
         if condition != "baseline":
             out["links"] += 1
             if not linked:
-                return out | dict(failed=True, reason="schema_linker_no_valid_beams", first_flags="", feedbacks="")
+                return out | dict(failed=True, reason="schema_linker_no_valid_beams", first_flags="", feedbacks="", tried=tried)
         schema_failed = False
         for again in range(WRONG_RETRIES + 1):
             if full and (ambiguous or again or outer):
                 out["commits"] += 1
-                if exhausted_at is not None and out["commits"] >= exhausted_at:
+                fresh = next((c for c in choices if c and c not in tried), None) if choices is not None else None
+                if exhausted_at is not None and out["commits"] >= exhausted_at or choices is not None and fresh is None:
                     break
+                if fresh is not None:
+                    tried.append(fresh)
             for syntax in range(SYNTAX_RETRIES + 1):
                 feedbacks.append("1" if feedback else "0")
                 out["verdict"] = nth(steps, out["generations"])
@@ -61,21 +65,21 @@ def fold(condition: str, steps: list[str], linked: bool = True, ambiguous: bool
             break
     else:
         out |= dict(failed=True, reason="max_schema_retries_exhausted")
-    return out | dict(first_flags="".join(firsts), feedbacks="".join(feedbacks))
+    return out | dict(first_flags="".join(firsts), feedbacks="".join(feedbacks), tried=tried)
 
 
 def run(scripts: DataFrame) -> DataFrame:
     """Final states of questions.
 
-    scripts: question_id, condition, step, verdict, outcome (null where none), linked, ambiguous, exhausted_at; one row
-    a step.
+    scripts: question_id, condition, step, verdict, outcome (null where none), linked, ambiguous, exhausted_at and, if
+    there are candidates, choices (their texts in order); one row a step.
     """
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("step")
         first = g.iloc[0]
         limit = None if pd.isna(first["exhausted_at"]) else int(first["exhausted_at"])
-        state = fold(first["condition"], list(g["verdict"].dropna()) or ["accept"], bool(first["linked"]), bool(first["ambiguous"]), limit, list(g["outcome"].dropna()))
+        state = fold(first["condition"], list(g["verdict"].dropna()) or ["accept"], bool(first["linked"]), bool(first["ambiguous"]), limit, list(g["outcome"].dropna()), list(first["choices"]) if "choices" in g and first["choices"] is not None else None)
         return pd.DataFrame([{"question_id": first["question_id"], **state}])[[c.split()[0] for c in OUT.split(", ")]]
 
     return scripts.groupBy("question_id").applyInPandas(one, OUT)

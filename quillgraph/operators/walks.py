@@ -85,5 +85,13 @@ def phrases(rows: DataFrame, hops: str, wraps: dict[str, str], leaf: Column) ->
 
 
 def pick(pool: list[str], key: Column) -> Column:
-    """A member of a pool, decided by a hash of the key."""
-    return F.element_at(F.array(*map(F.lit, pool)), (F.pmod(F.xxhash64(key), F.lit(len(pool))) + 1).cast("int"))
+    """A member of a pool, decided by the md5 of the key: the same on every engine."""
+    number = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
+    return F.element_at(F.array(*map(F.lit, pool)), (number % len(pool) + 1).cast("int"))
+
+
+def attribute_questions(rows: DataFrame, attributes: dict[str, list[str]], phrase: str = "phrase", label: str = "label") -> DataFrame:
+    """rows once for each attribute of their label, with `attribute` and `question`; a label without any has no row."""
+    table = F.create_map(*(x for k, v in attributes.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
+    asked = rows.withColumn("attribute", F.explode(F.try_element_at(table, F.col(label))))
+    return asked.withColumn("question", F.concat(F.lit("What is the "), F.col("attribute"), F.lit(" of "), F.col(phrase), F.lit("?")))

@@ -21,6 +21,8 @@ from .catalog import EdgeTable, Graph
 from .lexer import CypherError
 from .syntax import AGGREGATES, Call, Index, Item, ListOf, Literal, Match, Node, Op, Param, Project, Prop, Query, Rel, Union, Unwind, Var, parse, walk
 
+#: Functions whose value is a list.
+LISTS = frozenset(("collect", "labels", "nodes", "relationships", "range", "split", "keys"))
 MOST_HOPS = 30
 
 
@@ -523,6 +525,9 @@ class Compiler:
 
     def operation(self, e: Op, scope: Scope) -> Column:
         args = [self.expr(a, scope) for a in e.args]
+        if e.name == "case":
+            whens = list(zip(args[:-1:2], args[1::2], strict=True))
+            return reduce(lambda out, x: out.when(*x), whens[1:], F.when(*whens[0])).otherwise(args[-1])
         a, b = args[0], args[-1]
         if e.name in ("=", "<>"):
             same = a == b
@@ -543,6 +548,9 @@ class Compiler:
                 return reduce(lambda x, y: x | y, (a == self.expr(x, scope) for x in e.args[1].items), F.lit(False))
             return F.array_contains(b, a)
         if e.name == "+":
+            lists = [isinstance(x, ListOf) or isinstance(x, Call) and x.name in LISTS for x in e.args]
+            if any(lists):  # an element is appended to a list, or put before it
+                return F.concat(*(x if known or isinstance(y, Var | Prop) else F.array(x) for x, y, known in zip(args, e.args, lists, strict=True)))
             text = any(isinstance(x, Literal) and isinstance(x.value, str) for x in e.args)
             return F.concat(a.cast("string"), b.cast("string")) if text else a + b
         raise CypherError(f"unknown operation {e.name}")
@@ -576,9 +584,12 @@ class Compiler:
             "date": lambda x: F.to_date(x), "datetime": lambda x: F.to_timestamp_ntz(x), "localdatetime": lambda x: F.to_timestamp_ntz(x), "time": lambda x: x.cast("string"),
             "tolower": F.lower, "toupper": F.upper, "trim": F.trim, "size": lambda x: F.size(x).cast("long"),
             "length": lambda x: x, "abs": F.abs, "round": lambda x: F.round(x), "floor": F.floor, "ceil": F.ceil, "sqrt": F.sqrt, "coalesce": F.coalesce, "tostring": lambda x: x.cast("string"),
-            "tointeger": lambda x: x.try_cast("long"), "tofloat": lambda x: x.try_cast("double"), "substring": lambda x, i, n: F.substr(x, i + 1, n), "split": lambda x, s: F.split(x, s),
+            "tointeger": lambda x: x.try_cast("long"), "tofloat": lambda x: x.try_cast("double"), "substring": lambda x, i, n=None: F.substr(x, i + 1, n), "split": lambda x, s: F.split(x, F.concat(F.lit("\\Q"), s, F.lit("\\E"))), "exists": lambda x: x.isNotNull(),
             "range": lambda x, y: F.sequence(x, y), "head": lambda x: F.get(x, F.lit(0)), "char_length": F.length,
         }
         if name not in known:
             raise CypherError(f"unknown function {name}")
-        return known[name](*args)
+        try:
+            return known[name](*args)
+        except TypeError as error:
+            raise CypherError(f"{name} does not take {len(args)} arguments") from error

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalog import Graph
+from .catalog import Graph, GraphSchema
 from .compiler import Compiler
 from .lexer import CypherError
 from .syntax import Match, Node, Prop, Rel, Var, parse, walk
@@ -78,38 +78,41 @@ class GraphSession:
             self.spark.removeTag(tag)
 
     def validate(self, text: str) -> Verdict:
-        """Syntax first, then labels and types, then properties; the first failure decides where to go back to."""
-        try:
-            tree = parse(text)
-        except CypherError as e:
-            return Verdict(False, 0.0, None, "query_generator", [str(e)])
-        schema = self.graph.schema
-        names, problems = [], []
-        owners: dict[str, list[str]] = {}
-        props: list[tuple[str, str, bool]] = []
-        for query in tree.parts:
-            owners.clear()
-            for part in _parts(query):
-                if isinstance(part, Node | Rel):
-                    legal, given = (schema.labels, part.labels) if isinstance(part, Node) else (schema.types, part.types)
-                    owners.setdefault(part.var, []).extend(given)
-                    for g in given:
-                        names.append(g in legal)
-                        if g not in legal:
-                            problems.append(f"unknown {'label' if isinstance(part, Node) else 'relationship type'} {g}")
-            for part in _parts(query):
-                found = [(part.var, k) for k, _ in part.props] if isinstance(part, Node | Rel) else []
-                if isinstance(part, Prop) and isinstance(part.owner, Var):
-                    found = [(part.owner.name, part.name)]
-                for var, key in found:
-                    if owners.get(var):
-                        props.append((var, key, any(key in schema.props.get(o, []) for o in owners[var])))
-        schema_score = sum(names) / len(names) if names else 1.0
-        if schema_score < 1.0:
-            return Verdict(True, schema_score, None, "schema_linker", problems)
-        problems += [f"{var} has no property {key}" for var, key, ok in props if not ok]
-        score = sum(ok for *_, ok in props) / len(props) if props else None
-        return Verdict(True, schema_score, score, "accept" if score in (None, 1.0) else "schema_linker", problems)
+        return validate(text, self.graph.schema)
+
+
+def validate(text: str, schema: GraphSchema) -> Verdict:
+    """Syntax first, then labels and types, then properties; the first failure decides where to go back to."""
+    try:
+        tree = parse(text)
+    except CypherError as e:
+        return Verdict(False, 0.0, None, "query_generator", [str(e)])
+    names, problems = [], []
+    owners: dict[str, list[str]] = {}
+    props: list[tuple[str, str, bool]] = []
+    for query in tree.parts:
+        owners.clear()
+        for part in _parts(query):
+            if isinstance(part, Node | Rel):
+                legal, given = (schema.labels, part.labels) if isinstance(part, Node) else (schema.types, part.types)
+                owners.setdefault(part.var, []).extend(given)
+                for g in given:
+                    names.append(g in legal)
+                    if g not in legal:
+                        problems.append(f"unknown {'label' if isinstance(part, Node) else 'relationship type'} {g}")
+        for part in _parts(query):
+            found = [(part.var, k) for k, _ in part.props] if isinstance(part, Node | Rel) else []
+            if isinstance(part, Prop) and isinstance(part.owner, Var):
+                found = [(part.owner.name, part.name)]
+            for var, key in found:
+                if owners.get(var):
+                    props.append((var, key, any(key in schema.props.get(o, []) for o in owners[var])))
+    schema_score = sum(names) / len(names) if names else 1.0
+    if schema_score < 1.0:
+        return Verdict(True, schema_score, None, "schema_linker", problems)
+    problems += [f"{var} has no property {key}" for var, key, ok in props if not ok]
+    score = sum(ok for *_, ok in props) / len(props) if props else None
+    return Verdict(True, schema_score, score, "accept" if score in (None, 1.0) else "schema_linker", problems)
 
 
 def _parts(query):

@@ -225,7 +225,7 @@ def p_schema_pattern(spark, sf_dir):
 @BOOK.add("p_clean_fence", "SELECT event_id, 'MATCH (u:User)' || chr(10) || 'RETURN u.' || event_type AS cypher FROM events")
 def p_clean_fence(spark, sf_dir):
     text = F.concat(F.lit("Sure!\n```cypher\nMATCH (u:User)\\nRETURN u."), F.col("event_type"), F.lit("\n```\nThis finds users."))
-    return table(spark, sf_dir, "events").select("event_id", patterns.cleaned_cypher(text).alias("cypher"))
+    return table(spark, sf_dir, "events").select("event_id", patterns.clean_cypher(text).alias("cypher"))
 
 
 @BOOK.add(
@@ -287,7 +287,19 @@ def e_entity_cache(spark, sf_dir):
     return cache.select("label", "node_id", "display_name", F.try_element_at("extra", F.lit("c_mktsegment")).alias("segment"))
 
 
-@BOOK.add("e_resolve")
+@BOOK.add(
+    "e_resolve",
+    r"""WITH names AS (SELECT DISTINCT p_name AS n, list_sort(list_distinct(string_split(p_name, ' '))) AS t FROM part),
+    pairs AS (SELECT a.n AS a, b.n AS b, list_sort(list_intersect(a.t, b.t)) AS w, list_sort(list_filter(a.t, lambda x: NOT list_contains(b.t, x))) AS oa, list_sort(list_filter(b.t, lambda x: NOT list_contains(a.t, x))) AS ob FROM names a, names b),
+    s AS (SELECT a, b, len(w) > 0 AND (len(oa) = 0 OR len(ob) = 0) AS subset, length(array_to_string(w, ' ')) AS c, CASE WHEN len(w) > 0 THEN length(array_to_string(w, ' ')) + 1 ELSE 0 END AS head, array_to_string(oa, ' ') AS ra, array_to_string(ob, ' ') AS rb FROM pairs),
+    m AS (SELECT *, list_reduce(list_concat([list_transform(range(0, length(rb) + 1), lambda i: 0)], list_transform(string_split(ra, ''), lambda ch: [CAST(ascii(ch) AS BIGINT)])),
+            lambda prev, ch: list_reduce(list_concat([[CAST(0 AS BIGINT)]], list_transform(range(1, length(rb) + 1), lambda j: [j])),
+                lambda acc, j: list_append(acc, greatest(acc[-1], prev[j[1] + 1], prev[j[1]] + CASE WHEN ascii(rb[j[1]]) = ch[1] THEN 1 ELSE 0 END))))[-1] AS lcs FROM s),
+    scored AS (SELECT a, b, CASE WHEN subset THEN 1 ELSE greatest(CASE WHEN c > 0 THEN 2 * c / (2 * c + 1 + length(ra)) ELSE 0 END, CASE WHEN c > 0 THEN 2 * c / (2 * c + 1 + length(rb)) ELSE 0 END, 2 * (head + lcs) / (2 * head + length(ra) + length(rb))) END AS score FROM m),
+    found AS (SELECT a AS span, 'Part' AS label, CAST(p_partkey AS VARCHAR) AS node_id, score FROM scored JOIN part ON p_name = b WHERE score >= 0.75),
+    top AS (SELECT *, row_number() OVER (PARTITION BY span ORDER BY round(score, 9) DESC, node_id) AS rank FROM found)
+    SELECT span, label, node_id, round(score, 6) AS match_score, round(score / sum(score) OVER (PARTITION BY span), 6) AS posterior, rank FROM top WHERE rank <= 10""",
+)
 def e_resolve(spark, sf_dir):
     """Part names as mentions, resolved among the supplier and part names of the graph."""
     registry = {"Part": ("p_partkey", ["p_name"], []), "Supplier": ("s_suppkey", ["s_name"], [])}

@@ -83,6 +83,12 @@ MOVES = """WITH RECURSIVE p AS (SELECT * FROM (VALUES (0, 'IN_REGION', 'Nation',
     w AS (SELECT label AS start, [idx] AS used, idx || arrow AS key, other AS at_, 1 AS n FROM m UNION ALL SELECT start, list_append(used, m.idx), key || ',' || m.idx || m.arrow, m.other, n + 1 FROM w JOIN m ON m.label = at_ WHERE n < 3 AND NOT list_contains(used, m.idx))"""
 
 
+#: The same walks with their labels, types and arrows in lists, for texts.
+SPELT = MOVES[: MOVES.index("m AS")] + """m AS (SELECT s AS label, idx, type, '->' AS arrow, t AS other FROM p WHERE idx <> 6 UNION ALL SELECT t, idx, type, '<-', s FROM p WHERE idx <> 6 UNION ALL SELECT s, idx, type, '-', t FROM p WHERE idx = 6),
+    w AS (SELECT label AS start, [idx] AS used, idx || arrow AS key, [label, other] AS labels, [type] AS types, [arrow] AS arrows, 1 AS n FROM m
+        UNION ALL SELECT start, list_append(used, m.idx), key || ',' || m.idx || m.arrow, list_append(labels, m.other), list_append(types, m.type), list_append(arrows, m.arrow), n + 1 FROM w JOIN m ON m.label = labels[-1] WHERE n < 3 AND NOT list_contains(used, m.idx))"""
+
+
 def star_walks(spark) -> DataFrame:
     return walks.walks(walks.moves(spark, SCHEMA, frozenset({"CO_LISTED"}), frozenset({"PLACED"})))
 
@@ -92,7 +98,13 @@ def t_walks(spark, sf_dir):
     return star_walks(spark).select("start", "key", "active_pos")
 
 
-@BOOK.add("t_walk_text", None)
+@BOOK.add(
+    "t_walk_text",
+    SPELT + """, a AS (SELECT *, CAST(NULL AS INTEGER) AS active_pos FROM w UNION ALL SELECT *, CAST(list_position(used, 3) - 1 AS INTEGER) FROM w WHERE list_contains(used, 3)),
+    v AS (SELECT *, list_transform(range(1, len(labels) + 1), lambda i: lower(labels[i][1]) || CASE WHEN len(list_filter(labels[1:i - 1], lambda x: x[1] = labels[i][1])) > 0 THEN CAST(len(list_filter(labels[1:i - 1], lambda x: x[1] = labels[i][1])) + 1 AS VARCHAR) ELSE '' END) AS vars FROM a)
+    SELECT start, key, active_pos, '(' || vars[1] || ':' || start || ')' || array_to_string(list_transform(range(1, len(types) + 1), lambda i: CASE arrows[i] WHEN '<-' THEN '<-' ELSE '-' END || '[:' || types[i] ||
+        CASE WHEN active_pos IS NOT NULL AND active_pos = i - 1 THEN ' {active:true}' ELSE '' END || ']' || CASE arrows[i] WHEN '->' THEN '->' ELSE '-' END || '(' || vars[i + 1] || ':' || labels[i + 1] || ')'), '') AS pattern FROM v""",
+)
 def t_walk_text(spark, sf_dir):
     """Every walk as a pattern."""
     short = {"Region": "r", "Nation": "n", "Customer": "c", "Supplier": "s", "Part": "p", "Order": "o"}
@@ -113,7 +125,10 @@ def t_round_robin(spark, sf_dir):
     return walks.ambiguous_rows(walks.multi_pairs(kinds), kinds, ["a {x}", "b {x}", "c {x}"], 7).select("form_no", "k", "type")
 
 
-@BOOK.add("t_phrases", None)
+@BOOK.add(
+    "t_phrases",
+    SPELT + " SELECT start, key, list_reduce(list_concat([lower(start)], list_transform(range(1, len(types) + 1), lambda i: lower(types[i]) || arrows[i])), lambda np, x: 'the ' || x || ' of ' || np) AS phrase FROM w",
+)
 def t_phrases(spark, sf_dir):
     """Nested noun phrases of every walk, by templates of type and arrow."""
     wraps = {f"{t}{a}": f"the {t.lower()}{a} of {{np}}" for t in SCHEMA.types for a in ("->", "<-", "-")}

@@ -86,17 +86,39 @@ def write_results(df: DataFrame, path: str, by: tuple[str, ...] = ("model_key",
 
 
 def merge_config(path: str, key: str, value) -> dict:
-    """Set one key of a JSON map and keep the others."""
+    """Set one key of a map in a file and keep the others: JSON, or YAML where the name says so and a reader is there."""
+    as_yaml = path.endswith((".yaml", ".yml"))
+    if as_yaml:
+        import yaml  # not a requirement of the package
+
+        load, dump = yaml.safe_load, lambda v, f: yaml.safe_dump(v, f, sort_keys=False)
+    else:
+        load, dump = json.load, lambda v, f: json.dump(v, f, indent=2)
     found = {}
     if os.path.exists(path):
         with open(path, encoding="utf-8") as f:
-            found = json.load(f)
+            found = load(f) or {}
     found[key] = value
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(found, f, indent=2)
+        dump(found, f)
     return found
 
 
+def read_split(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """(question, schema, cypher) of a data set's split, whatever else it has."""
+    return spark.read.format(form).load(path).select("question", "schema", "cypher")
+
+
+def cache_beams(completions: DataFrame, path: str) -> DataFrame:
+    """Write completions once, by stage, and read them back, so that scores can be recomputed without a model."""
+    completions.select("question_id", "attempt", "rank", "text", "score", "stage").write.mode("overwrite").partitionBy("stage").parquet(path)
+    return load_beams(completions.sparkSession, path)
+
+
+def load_beams(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(COMPLETION).parquet(path).select("question_id", "stage", "attempt", "rank", "text", "score")
+
+
 class CompletionSource(ABC):
     """Where model text comes from: a table of completions for a table of prompts."""
 

@@ -67,12 +67,15 @@ def test_entropies(spark):
 
 def test_spans(spark):
     asked = [
-        ("Show incidents linked to James Whitfield in Northbridge", ["James Whitfield", "Northbridge"]), ("Who was seen in west perth?", ["West Perth"]),
-        ("Which cases belong to Operation Night Owl", ["Operation Night Owl"]), ('Who drives a "blue van"', ["blue van"]), ("James", []), ("", []),
+        ("List the barges that Ada Quill moored near Saltmarsh", ["Saltmarsh", "Ada Quill"]), ("Who sailed for grey haven?", ["Grey Haven"]),
+        ("Which crews joined Operation Tall Ship", ["Operation Tall Ship"]), ('Find the "red buoy"', ["red buoy"]), ("Quill", []), ("", []),
+        # a mark of the other kind belongs to the mention
+        ('say "it\'s" and "that\'s"', ["that's", "it's"]), ("a 'so \"called\"' thing", ['so "called"']), ("Ask Ada or ADA or Ada Quill", ["Ada Quill", "Ask Ada"]),
     ]
     df = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(asked)], "i int, q string")
-    got = {r["i"]: r["s"] for r in df.select("i", entities.extract_spans("q").alias("s")).collect()}
-    assert [got[i] for i in range(len(asked))] == [s for _, s in asked]
+    places = ("Saltmarsh", "Grey Haven")
+    got = {r["i"]: r["s"] for r in df.select("i", entities.extract_spans("q", places).alias("s")).collect()}
+    assert [sorted(got[i]) for i in range(len(asked))] == [sorted(s) for _, s in asked]
 
 
 def test_posterior(spark):
@@ -83,12 +86,12 @@ def test_posterior(spark):
 
 
 def test_resolve(spark):
-    cache = spark.createDataFrame([("1", "Person", ["James Whitfield"], "James Whitfield"), ("2", "Person", ["James Cole", "Jim"], "James Cole"), ("3", "Case", ["James"], "James")], "node_id string, label string, name_values array<string>, display_name string")
-    spans = spark.createDataFrame([("q", "James"), ("q", "Whitfeild James"), ("q", "Nobody")], "question_id string, span string")
-    labels = spark.createDataFrame([("q", "Incident")], "question_id string, label string")
-    got = {(r["span"], r["node_id"]): round(r["posterior"], 3) for r in entities.resolve(spans, cache, labels).collect()}
-    assert got[("James", "1")] == got[("James", "2")] == 0.5 and ("James", "3") not in got and ("Nobody", "1") not in got
-    assert ("Whitfeild James", "1") in got
+    cache = spark.createDataFrame([("1", "Sailor", ["Ada Quill"], "Ada Quill"), ("2", "Sailor", ["Ada Fenn", "Addie"], "Ada Fenn"), ("3", "Barge", ["Ada"], "Ada")], "node_id string, label string, name_values array<string>, display_name string")
+    spans = spark.createDataFrame([("q", "Ada"), ("q", "Qiull Ada"), ("q", "Nobody")], "question_id string, span string")
+    labels = spark.createDataFrame([("q", "Port")], "question_id string, label string")
+    got = {(r["span"], r["node_id"]): round(r["posterior"], 3) for r in entities.resolve(spans, cache, labels, forced=("Sailor",)).collect()}
+    assert got[("Ada", "1")] == got[("Ada", "2")] == 0.5 and ("Ada", "3") not in got and ("Nobody", "1") not in got
+    assert ("Qiull Ada", "1") in got
 
 
 def test_row_sets(spark):

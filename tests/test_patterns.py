@@ -12,8 +12,8 @@ from quillgraph.plans.catalog import GraphSchema, PathDecl
 @pytest.mark.parametrize(
     ("cypher", "pattern"),
     [
-        ("MATCH (p:Person {name:'x'})-[:OWNS]->(v:Vehicle) RETURN v", "(p:Person)-[:OWNS]->(v:Vehicle)"),
-        ("MATCH (p)-[l:LIVES_AT {active:TRUE, from_date:date('2020-01-01')}]-(x) RETURN x", "(p)-[l:LIVES_AT {active:true, from_date}]-(x)"),
+        ("MATCH (p:Sailor {name:'x'})-[:OWNS]->(v:Barge) RETURN v", "(p:Sailor)-[:OWNS]->(v:Barge)"),
+        ("MATCH (p)-[l:MOORED_AT {active:TRUE, from_date:date('2020-01-01')}]-(x) RETURN x", "(p)-[l:MOORED_AT {active:true, from_date}]-(x)"),
         ("MATCH (a), (b {hidden:false, n:3}) MATCH (c)<-[:T]-(d) WITH c RETURN c", "(a), (b {hidden:false})\n(c)<-[:T]-(d)"),
         ("OPTIONAL MATCH (a {s:'MATCH (x'})--(b) WHERE a.x = ') RETURN' RETURN a", "(a)--(b)"),
         ("match (a)-->(b) return a", "(a)-->(b)"),
@@ -28,8 +28,8 @@ def test_schema_pattern(cypher, pattern):
 
 
 def test_parse_pattern():
-    got = P.parse_pattern("(p:Person)-[r:OWNS {active:true}]->(:Vehicle), (x)<-[]-(y:Z)--")
-    assert got["ok"] and [n["label"] for n in got["nodes"]] == ["Person", "Vehicle", None, "Z"]
+    got = P.parse_pattern("(p:Sailor)-[r:OWNS {active:true}]->(:Barge), (x)<-[]-(y:Z)--")
+    assert got["ok"] and [n["label"] for n in got["nodes"]] == ["Sailor", "Barge", None, "Z"]
     assert [(r["type"], r["direction"], r["active"]) for r in got["rels"]] == [("OWNS", "->", True), (None, "<-", False)]
     assert not P.parse_pattern("(a")["ok"] and not P.parse_pattern("")["ok"]
 
@@ -43,20 +43,30 @@ def test_json_object(text, found):
     assert (got and got.strip()) == found
 
 
-def test_clean_cypher():
-    assert P.clean_cypher("Sure:\n```cypher\nMATCH (a)\\nRETURN a\n```\nbye") == "MATCH (a)\nRETURN a"
-    assert P.clean_cypher("Here it is\nMATCH (a)\nRETURN a\n\nIt finds a.") == "MATCH (a)\nRETURN a"
-    assert P.clean_cypher("```\nno statement\n```") == "no statement"
+def test_clean_cypher(spark):
+    cases = {
+        "Sure:\n```cypher\nMATCH (a)\\nRETURN a\n```\nbye": "MATCH (a)\nRETURN a", "Here it is\nMATCH (a)\nRETURN a\n\nIt finds a.": "MATCH (a)\nRETURN a", "```\nno statement\n```": "no statement",
+        "```Cypher\nwith 1 AS x\n  RETURN x```": "with 1 AS x\n  RETURN x", "an open ```\nMATCH (b)": "MATCH (b)", "": "", "  prose only \n": "prose only", "CALL x()\r\nYIELD y\n \t\nRETURN z": "CALL x()\nYIELD y",
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert [r for r in df.select(P.clean_cypher("t").alias("got"), "want").collect() if r["got"] != r["want"]] == []
+    assert spark.createDataFrame([(None,)], "t string").select(P.clean_cypher("t").alias("x")).first()["x"] is None
+
+
+def test_referenced_names(spark):
+    q = "MATCH (a:Ship:Vessel {n:'x'})-[r:SAILS|:TOWS*1..3 {k:1}]->(:`Old Port`)<-[:AT]-(c) WHERE a.x > 1 RETURN c"
+    row = spark.createDataFrame([(q,)], "q string").select(*(c.alias(n) for c, n in zip(P.referenced_names("q"), ("labels", "types")))).first()
+    assert (row["labels"], row["types"]) == (["Old Port", "Ship", "Vessel"], ["AT", "SAILS", "TOWS"])
 
 
 def test_columns(spark):
-    df = spark.createDataFrame([("\n  \n a \nb", "MATCH (x)-[r:A_B|C]->(y)<-[:A_B]-(z)", "( p : Person)-[r:T]->()")], "t string, q string, p string")
+    df = spark.createDataFrame([("\n  \n a \nb", "MATCH (x)-[r:A_B|C]->(y)<-[:A_B]-(z)", "( p : Sailor)-[r:T]->()")], "t string, q string, p string")
     row = df.select(
         P.first_line("t").alias("line"), P.relationship_types("q").alias("types"), P.relationship_count("q").alias("n"), P.has_relationship_type("p").alias("typed"),
-        P.normalised_pattern(F.lit("(p:Person) -[r:T]-> (x:Y)")).alias("norm"), strings.normalised_question(F.lit("  Who\n IS it ")).alias("q2"),
-        strings.is_id(F.lit(" PER-001 ")).alias("id"), strings.is_id(F.lit("P-1")).alias("no"),
+        P.normalised_pattern(F.lit("(p:Sailor) -[r:T]-> (x:Y)")).alias("norm"), strings.normalised_question(F.lit("  Who\n IS it ")).alias("q2"),
+        strings.is_id(F.lit(" SAI-001 ")).alias("id"), strings.is_id(F.lit("P-1")).alias("no"),
     ).first()
-    assert tuple(row) == ("a", ["A_B", "C"], 2, True, "(:Person)-[:T]->(:Y)", "who is it", True, False)
+    assert tuple(row) == ("a", ["A_B", "C"], 2, True, "(:Sailor)-[:T]->(:Y)", "who is it", True, False)
 
 
 def lcs(a, b):
@@ -89,7 +99,7 @@ def test_token_set(spark):
         assert r["s"] == pytest.approx(brute_token_set(r["a"], r["b"])), r
 
 
-SCHEMA = GraphSchema(["Person", "Incident"], [PathDecl(t, "Person", "Incident") for t in ("SUSPECTED_OF", "WITNESSED", "VICTIM_OF")])
+SCHEMA = GraphSchema(["Sailor", "Storm"], [PathDecl(t, "Sailor", "Storm") for t in ("SAILED_IN", "LOGGED", "LOST_IN")])
 
 
 def mapping(spark, texts, scores=None):
@@ -98,19 +108,19 @@ def mapping(spark, texts, scores=None):
 
 
 def test_candidates_merge_and_rank(spark):
-    p = "(p:Person)-[:{}]->(i:Incident)"
-    got, status = mapping(spark, [p.format(t) for t in ("SUSPECTED_OF", "WITNESSED", "SUSPECTED_OF", "VICTIM_OF", "NO_SUCH")])
+    p = "(p:Sailor)-[:{}]->(i:Storm)"
+    got, status = mapping(spark, [p.format(t) for t in ("SAILED_IN", "LOGGED", "SAILED_IN", "LOST_IN", "NO_SUCH")])
     rows = {r["name"]: (r["slot"], r["rank"], round(r["prob"], 6)) for r in got.collect()}
-    assert rows == {"SUSPECTED_OF": ("rel_1", 1, 0.5), "WITNESSED": ("rel_1", 2, 0.25), "VICTIM_OF": ("rel_1", 3, 0.25)}
+    assert rows == {"SAILED_IN": ("rel_1", 1, 0.5), "LOGGED": ("rel_1", 2, 0.25), "LOST_IN": ("rel_1", 3, 0.25)}
     assert tuple(status.first())[1:] == (5, 4, "ok")
 
 
 def test_candidates_agree_and_temporal(spark):
-    same, _ = mapping(spark, ["(p:Person)-[:WITNESSED]->(i:Incident)", "(i:Incident)<-[:WITNESSED]-(p:Person)"][:1] * 2)
+    same, _ = mapping(spark, ["(p:Sailor)-[:LOGGED]->(i:Storm)", "(i:Storm)<-[:LOGGED]-(p:Sailor)"][:1] * 2)
     assert {(r["slot"], r["prob"]) for r in same.collect()} == {("rel_1", 1.0), ("node_1", 1.0), ("node_2", 1.0)}
-    temporal, _ = mapping(spark, ["(p:Person)-[:WITNESSED]->(i:Incident)", "(p:Person)-[:WITNESSED {active:true}]->(i:Incident)"])
+    temporal, _ = mapping(spark, ["(p:Sailor)-[:LOGGED]->(i:Storm)", "(p:Sailor)-[:LOGGED {active:true}]->(i:Storm)"])
     assert {(r["slot"], r["active"]) for r in temporal.collect()} == {("rel_1_temporal", True), ("rel_1_temporal", False)}
-    none, status = mapping(spark, ["(p)-[r]->(i:Incident)", "nothing"])
+    none, status = mapping(spark, ["(p)-[r]->(i:Storm)", "nothing"])
     assert none.count() == 0 and status.first()["status"] == "no_valid_beams"
 
 

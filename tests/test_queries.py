@@ -11,7 +11,7 @@ import duckdb
 import pytest
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-BOOKS = [importlib.import_module(f"quillgraph.queries.{n}").BOOK for n in ("graph", "linking", "evaluation", "preparation")]
+BOOKS = [importlib.import_module(f"quillgraph.queries.{n}").BOOK for n in ("graph", "linking", "evaluation", "preparation", "composition")]
 NAMES = [(b, n) for b in BOOKS for n in b.queries]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
