@@ -58,24 +58,29 @@ class GraphSession:
     def execute(self, text: str, params: dict | None = None, timeout_s: float = 10.0) -> Execution:
         """Run a query and collect its rows; errors and timeouts are reported, not raised."""
         tag, start = f"cypher-{uuid.uuid4().hex}", time.perf_counter()
-        late = threading.Event()
+        late, done = threading.Event(), threading.Event()
 
         def stop() -> None:
+            if done.wait(timeout_s):
+                return
             late.set()
-            self.spark.interruptTag(tag)
+            while not done.wait(0.2):  # the query may still be planned, and have no job to stop yet
+                self.spark.interruptTag(tag)
 
-        timer = threading.Timer(timeout_s, stop)
         self.spark.addTag(tag)
-        timer.start()
+        threading.Thread(target=stop, daemon=True).start()
+        rows, error = [], None
         try:
             rows = [r.asDict(recursive=True) for r in self.cypher(text, params).collect()]
-            return Execution(True, rows, None, (time.perf_counter() - start) * 1000)
         except Exception as e:
-            message = f"timed out after {timeout_s} s" if late.is_set() else str(e)
-            return Execution(False, [], message, (time.perf_counter() - start) * 1000)
+            error = str(e)
         finally:
-            timer.cancel()
+            done.set()
             self.spark.removeTag(tag)
+        elapsed = (time.perf_counter() - start) * 1000
+        if late.is_set():
+            return Execution(False, [], f"timed out after {timeout_s} s", elapsed)
+        return Execution(error is None, rows, error, elapsed)
 
     def validate(self, text: str) -> Verdict:
         return validate(text, self.graph.schema)

@@ -110,7 +110,7 @@ def test_cypher_expressions(spark):
     session = GraphSession(spark, load_seed(spark, "CREATE (:Ship {ship_id:'S1', name:'Ada.Bo', tons:3});\nCREATE (:Ship {ship_id:'S2', name:'Cy', tons:9});"))
     one = lambda text: [tuple(r) for r in session.cypher(text).collect()]
     assert one("MATCH (s:Ship) RETURN CASE WHEN s.tons > 5 THEN 'big' ELSE 'small' END AS x ORDER BY x") == [("big",), ("small",)]
-    assert one("MATCH (s:Ship) RETURN CASE s.name WHEN 'Cy' THEN 1 END AS x ORDER BY x") == [(None,), (1,)]
+    assert one("MATCH (s:Ship) RETURN CASE s.name WHEN 'Cy' THEN 1 END AS x ORDER BY x") == [(1,), (None,)]
     assert one("MATCH (s:Ship {ship_id:'S1'}) RETURN split(s.name, '.') AS x, substring(s.name, 1) AS y, substring(s.name, 0, 3) AS z") == [(["Ada", "Bo"], "da.Bo", "Ada")]
     assert one("MATCH (s:Ship {ship_id:'S1'}) RETURN [1, 2] + [3] AS x, [1] + 2 AS y, exists(s.name) AS z") == [([1, 2, 3], [1, 2], True)]
     with pytest.raises(CypherError):
