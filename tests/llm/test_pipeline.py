@@ -110,3 +110,24 @@ def test_contract(spark, name):
     from quillgraph.llm.queries import QUERIES
 
     assert ", ".join(f"{c} {t}" for c, t in QUERIES[name](spark, SF).dtypes) == CONTRACT[name]
+
+
+def test_stage_edges(spark):
+    """Extra and clashing columns are left out, repeated ids stay or go together, an empty table stays empty."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = rows()[2][1]
+    odd = [(1, text, "en", "a"), (1, text, "de", "a"), (2, text + " more", "en", "b"), (None, text, "en", None), (None, "", None, None), (4, None, None, "a"), (5, text[::-1] * 400, "en", "a")]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, keep boolean, score string, _copies int, node long, component long, kept int"
+    docs = spark.createDataFrame([(*r, 0, True, "x", 7, 1, 2, 3) for r in odd], schema)
+    out = {name: [tuple(r)[:4] for r in stage(spark, docs, "").collect()] for name, stage in pipeline.STAGES[:-1]}
+    for got in out.values():
+        assert set(got) <= set(odd)
+    # one document of the two near ones stays, once; texts without an id are near nothing
+    assert sorted(out["MinHash near-dedup"], key=str) == sorted([(1, text, "de", "a"), *odd[3:]], key=str)
+    quality = out["quality classifier"]
+    assert quality.count(odd[0]) == quality.count(odd[1]) and odd[5] not in quality
+    pieces = pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {r["doc_id"] for r in pieces} == {r[0] for r in odd} and [r["length"] for r in pieces if r["doc_id"] == 4] == [1]
+    for name, stage in pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), "")
+        assert empty.count() == 0 and (name == "packing" or empty.columns == pipeline.COLUMNS)
