@@ -22,10 +22,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of embeddings with its links at cosine 0.95 or more; vectors without a direction link with nothing."""
     return near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
 def op2_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows of largest inner product for every vector whose id is divisible by 20, among all other vectors."""
     return nearest(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
@@ -67,19 +69,23 @@ def op3_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each copy of a document, with its rate, its number of copies and the key by which rows are shuffled."""
     mixed = mix(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", F.col("_rate").alias("rate"), F.col("_copies").cast("long").alias("copies"), F.col("_copy").cast("long").alias("copy"), F.col("_order").alias("shuffle_key"))
 
 
 def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes."""
     return shards(_read(spark, sf_dir, "documents"))
 
 
 def op6_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract(_read(spark, sf_dir, "pages"))
 
 
 def op7_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labelled ones of two of three folds of ids; a null id is in none held out."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = identify(docs, lambda d: d.where(fold != 1))
@@ -87,16 +93,19 @@ def op7_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document: its votes, weak label, score and whether it is kept."""
     return score_quality(_read(spark, sf_dir, "documents"))
 
 
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
     import public_tokenizers
 
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of three-word shingles are similar by 85 of 100 or more."""
     return near_duplicates(_read(spark, sf_dir, "documents"), words_per_shingle=3, percent=85)
 
 
