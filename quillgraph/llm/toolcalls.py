@@ -10,6 +10,8 @@ parameters of the tool, and every row is written as canonical JSON: sorted keys,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,10 @@ def _level(calls: DataFrame) -> DataFrame:
 
     A call comes after the latest place of what it needs: places rise along depends_on until nothing changes. A chain
     has at most as many calls as its conversation, so a call with a longer chain lies in a cycle or behind one: its
-    level is -1. A conversation of at most GATHERED calls is settled in one row, whatever the number of
-    conversations; longer ones, which no row could hold, are settled by joins, a round for each link of their chains.
+    level is -1. A conversation of at most GATHERED calls is settled in one row, whatever the number of conversations.
+    Longer ones, which no row could hold, are settled by joins: where no call needs more than one, chains are followed
+    in steps that double, so rounds grow with the logarithm of their length; otherwise calls are placed as soon as all
+    they need are, a round for each link of the longest chain that ends. Cycles take no rounds.
     """
     edges = calls.select("conv", "call_id", F.explode("depends_on").alias("needs")).distinct()
     # rows of a table may repeat: one row for each call of a conversation
@@ -54,10 +58,14 @@ def _level(calls: DataFrame) -> DataFrame:
     sizes = now.groupBy(F.col("conv").alias("_conv")).agg(F.count("*").alias("calls"))
     short = sizes.where(F.col("calls") <= GATHERED)
     places = _gathered(*(df.join(short.select("_conv"), df["conv"].eqNullSafe(F.col("_conv")), "left_semi") for df in (now, edges)))
-    long = materialise(sizes.where(F.col("calls") > GATHERED))
-    most = long.agg(F.max("calls")).first()[0]
-    if most:
-        places = places.union(_by_rounds(*(df.join(long.select("_conv"), df["conv"].eqNullSafe(F.col("_conv")), "left_semi") for df in (now, edges)), most, at))
+    long = sizes.where(F.col("calls") > GATHERED)
+    needs = edges.groupBy("conv", "call_id").agg(F.count("*").alias("n")).groupBy(F.col("conv").alias("_c")).agg(F.max("n").alias("needs"))
+    long = materialise(long.join(needs, F.col("_conv").eqNullSafe(F.col("_c")), "left").select("_conv", "calls", F.coalesce("needs", F.lit(0)).alias("needs")))
+    for settle, which in ((_by_doubling, F.col("needs") <= 1), (_by_rounds, F.col("needs") > 1)):
+        some = long.where(which)
+        most = some.agg(F.max("calls")).first()[0]
+        if most:
+            places = places.union(settle(*(df.join(some.select("_conv"), df["conv"].eqNullSafe(F.col("_conv")), "left_semi") for df in (now, edges)), most))
     return calls.join(places, at(calls)).select(
         *calls.columns, F.when(F.col("loose"), F.col("turn")).otherwise(F.col("place.at_turn")).alias("at_turn"), F.when(F.col("loose"), F.lit(-1)).otherwise(F.col("place.level")).alias("level")
     )
@@ -85,22 +93,66 @@ def _gathered(now: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("_conv", F.col("r.calls.call_id").alias("_id"), F.col("r.known.place").alias("place"), (F.col("r.known.depth") >= F.col("n")).alias("loose"))
 
 
-def _by_rounds(now: DataFrame, edges: DataFrame, most: int, at) -> DataFrame:
-    """(_conv, _id, place, loose) of each call, by a join for each link of the longest chain."""
-    place = F.struct(F.col("turn").cast("long").alias("at_turn"), F.lit(0).alias("level")).alias("place")
-    now = materialise(now.select("conv", "call_id", place, F.lit(0).alias("depth"), F.lit(True).alias("moved")))
-    for _ in range(most):
-        above = now.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), F.col("place").alias("under"), F.col("depth").alias("below"))
-        least = edges.join(above, at(edges, "needs")).groupBy(F.col("conv").alias("_conv"), F.col("call_id").alias("_id")).agg(F.max("under").alias("under"), F.max("below").alias("below"))
-        after = F.struct(F.col("under.at_turn").alias("at_turn"), (F.col("under.level") + 1).alias("level"))
-        risen = now.drop("moved").join(least, at(now), "left").select(
-            "conv", "call_id", "place", "depth", F.when(F.col("under").isNull(), F.col("place")).otherwise(F.greatest("place", after)).alias("new"), F.greatest("depth", F.coalesce(F.col("below") + 1, F.lit(0))).alias("deep")
-        )
-        old, now = now, materialise(risen.select("conv", "call_id", F.col("new").alias("place"), F.col("deep").alias("depth"), ((F.col("new") > F.col("place")) | (F.col("deep") > F.col("depth"))).alias("moved")))
+def _keyed(df: DataFrame, conv: str, call: str, **more: str) -> DataFrame:
+    """df under the names _conv and _id, with further columns renamed: the side of a join that is looked up."""
+    return df.select(F.col(conv).alias("_conv"), F.col(call).alias("_id"), *(F.col(old).alias(new) for new, old in more.items()))
+
+
+def _place() -> Column:
+    return F.struct(F.col("turn").cast("long").alias("at_turn"), F.lit(0).alias("level")).alias("place")
+
+
+def _by_doubling(now: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """(_conv, _id, place, loose) where no call needs more than one other.
+
+    Each call knows the best place over a stretch of the calls before it and the call at the end of the stretch; a round
+    puts the stretch of that call behind its own. After as many rounds as double to `most`, a call whose stretch does
+    not end is in a cycle or behind one.
+    """
+    ahead = _keyed(edges, "conv", "call_id", next="needs")
+    walk = now.join(ahead, now["conv"].eqNullSafe(F.col("_conv")) & (now["call_id"] == F.col("_id")), "left")
+    walk = materialise(walk.select("conv", "call_id", _place(), "next", F.lit(1).alias("length")))
+    for _ in range(most.bit_length()):
+        there = _keyed(walk, "conv", "call_id", under="place", after="next", further="length")
+        step = walk.join(there, walk["conv"].eqNullSafe(F.col("_conv")) & (walk["next"] == F.col("_id")), "left")
+        moved = F.struct(F.col("under.at_turn").alias("at_turn"), (F.col("under.level") + F.col("length")).alias("level"))
+        met = F.col("_id").isNotNull()
+        old, walk = walk, materialise(
+            step.select(
+                "conv", "call_id", F.when(met, F.greatest("place", moved)).otherwise(F.col("place")).alias("place"), F.col("after").alias("next"),
+                F.when(met, F.col("length") + F.col("further")).otherwise(F.col("length")).alias("length"),
+            )
+        )
         discard(old)
-        if not now.where("moved").limit(1).count():
+        if not walk.where("next is not null").limit(1).count():
             break
-    return now.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), "place", (F.col("depth") >= most).alias("loose"))
+    return walk.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), "place", F.col("next").isNotNull().alias("loose"))
+
+
+def _by_rounds(now: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """(_conv, _id, place, loose): calls are placed once all that they need are; those never placed are loose."""
+    wanted = _keyed(edges, "conv", "call_id").groupBy("_conv", "_id").agg(F.count("*").alias("missing"))
+    open_ = now.join(wanted, now["conv"].eqNullSafe(F.col("_conv")) & (now["call_id"] == F.col("_id")), "left")
+    open_ = materialise(open_.select("conv", "call_id", _place(), F.coalesce("missing", F.lit(0).cast("long")).alias("missing")))
+    done = []
+    while open_.where("missing = 0").limit(1).count():
+        ready, rest = open_.where("missing = 0"), open_.where("missing > 0")
+        done.append(ready.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), "place", F.lit(False).alias("loose")))
+        above = _keyed(ready, "conv", "call_id", under="place")
+        met = edges.join(above, edges["conv"].eqNullSafe(F.col("_conv")) & (edges["needs"] == F.col("_id"))).groupBy(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"))
+        met = met.agg(F.count("*").alias("found"), F.max("under").alias("under"))
+        after = F.struct(F.col("under.at_turn").alias("at_turn"), (F.col("under.level") + 1).alias("level"))
+        step = rest.join(met, rest["conv"].eqNullSafe(F.col("_conv")) & (rest["call_id"] == F.col("_id")), "left")
+        open_ = materialise(
+            step.select(
+                "conv", "call_id", F.when(F.col("found").isNull(), F.col("place")).otherwise(F.greatest("place", after)).alias("place"),
+                (F.col("missing") - F.coalesce("found", F.lit(0))).alias("missing"),
+            )
+        )
+        if len(done) == 32:  # a union of few tables, however many rounds
+            done = [materialise(reduce(DataFrame.union, done))]
+    done.append(open_.select(F.col("conv").alias("_conv"), F.col("call_id").alias("_id"), "place", F.lit(True).alias("loose")))
+    return reduce(DataFrame.union, done)
 
 
 def _problem(params: Column) -> tuple[Column, Column]:
