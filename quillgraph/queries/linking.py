@@ -310,7 +310,27 @@ def e_resolve(spark, sf_dir):
     return out.select("span", "label", "node_id", F.round("match_score", 6).alias("match_score"), F.round("posterior", 6).alias("posterior"), F.col("rank").cast("long").alias("rank"))
 
 
-@BOOK.add("e_spans")
+PADDED = r"' ' || regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g') || ' '"
+
+
+@BOOK.add(
+    "e_spans",
+    r"""WITH tok AS (SELECT conv_id, turn, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS k FROM conversations),
+    f AS (SELECT conv_id, turn, s, i, regexp_full_match(s, '[A-Z][a-z]+') AS nm, regexp_full_match(s, '\s+') AS ws FROM (SELECT conv_id, turn, unnest(k) AS s, generate_subscripts(k, 1) AS i FROM tok)),
+    g AS (SELECT *, nm OR ws AND coalesce(lag(nm) OVER o, false) AND coalesce(lead(nm) OVER o, false) AS inside, first_value(ws) OVER o AS lead_ws FROM f WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i)),
+    h AS (SELECT *, sum((NOT inside)::INT) OVER (PARTITION BY conv_id, turn ORDER BY i) AS island FROM g),
+    quotes AS (SELECT conv_id, turn, unnest(q) AS s, generate_subscripts(q, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '"[^"]+"|''[^'']+''') AS q FROM conversations)),
+    found AS (
+        SELECT conv_id, turn, 1 AS rule, min(i) AS at_, string_agg(s, '' ORDER BY i) AS s FROM h WHERE inside GROUP BY conv_id, turn, island HAVING count(*) FILTER (nm) > 1
+        UNION ALL SELECT conv_id, turn, 2, i, s FROM g WHERE nm AND NOT (i = 1 OR i = 2 AND lead_ws)
+        UNION ALL SELECT conv_id, turn, 3, i, trim(substr(s, 2, length(s) - 2)) FROM quotes
+    ),
+    one AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, lower(s) ORDER BY rule, at_) AS again FROM found WHERE s <> ''),
+    listed AS (SELECT conv_id, turn, list(s ORDER BY length(s) DESC, rule, at_) AS l FROM one WHERE again = 1 GROUP BY ALL)
+    SELECT conv_id, turn, coalesce(array_to_string(list_reduce(list_concat([[]::VARCHAR[]], list_transform(l, lambda x: [x])), lambda acc, x:
+        CASE WHEN len(list_filter(acc, lambda k: lower(k) <> lower(x[1]) AND contains("""
+    + PADDED.format("k") + ", " + PADDED.format("x[1]") + r"""))) > 0 THEN acc ELSE list_append(acc, x[1]) END), '|'), '') AS spans FROM conversations LEFT JOIN listed USING (conv_id, turn)""",
+)
 def e_spans(spark, sf_dir):
     """Mentions in every conversation turn."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(entities.extract_spans("text"), "|").alias("spans"))
