@@ -175,17 +175,15 @@ def accuracies(patterns: dict[str, int], rounds: int = 200, trust: float = 2.0)
     return prior, right, dict(zip(keys, post.tolist(), strict=True))
 
 
-def train(at: list, value: list, target: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by full-batch Adam."""
+def train(lengths: np.ndarray, cols: np.ndarray, vals: np.ndarray, target: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets by full-batch Adam; features of all rows in a row, `lengths` of them each."""
     weights, bias = np.zeros(BUCKETS), 0.0
     if not len(target):
         return weights, bias
-    lengths = np.array([len(a) for a in at])
-    rows, cols = np.repeat(np.arange(len(at)), lengths), np.concatenate([np.asarray(a, np.int64) for a in at])
-    vals = np.concatenate([np.asarray(x, float) for x in value])
+    rows, cols, vals = np.repeat(np.arange(len(lengths)), lengths), cols.astype(np.int64), vals.astype(float)
     m, s, step = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), rate
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=weights[cols] * vals, minlength=len(at)) + bias, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=weights[cols] * vals, minlength=len(lengths)) + bias, -30, 30)))
         err = (p - target) / len(target)
         g = np.append(np.bincount(cols, weights=err[rows] * vals, minlength=BUCKETS) + decay * weights, err.sum())
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
@@ -213,8 +211,10 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = sum(patterns.values())
     share = min(1.0, fit_on / max(1, total))
     drawn = seen.where((F.col("n_words") > 0) & (F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1.0)))
-    sample = drawn.orderBy(F.xxhash64(F.lit(9), "id"), "id").limit(2 * fit_on).select("votes", "at", "value").collect()
-    weights, bias = train([r["at"] for r in sample], [r["value"] for r in sample], np.array([posterior[r["votes"]] for r in sample]))
+    sample = drawn.orderBy(F.xxhash64(F.lit(9), "id"), "id").limit(2 * fit_on).select("votes", "at", "value").toArrow()
+    at, value = (sample.column(c).combine_chunks() for c in ("at", "value"))
+    target = np.array([posterior[v] for v in sample.column("votes").to_pylist()])
+    weights, bias = train(np.diff(np.asarray(at.offsets)), np.asarray(at.flatten()), np.asarray(value.flatten()), target)
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias, posterior))
 
     def run(batches):
