@@ -299,7 +299,7 @@ def referenced_names(text: Column | str) -> tuple[Column, Column]:
     bare = F.regexp_replace(text, r"\{[^}]*\}", "")
 
     def inside(opening: str) -> Column:
-        heads = F.regexp_extract_all(bare, F.lit(rf"{opening}[^()\[\]:]*((?:[:|&]\s*`?[A-Za-z_][A-Za-z0-9_ ]*`?\s*)+)"), F.lit(1))
+        heads = F.regexp_extract_all(bare, F.lit(rf"{opening}[^()\[\]:]*((?:(?:[:|&]\s*)+`?[A-Za-z_][A-Za-z0-9_ ]*`?\s*)+)"), F.lit(1))
         names = F.flatten(F.transform(heads, lambda h: F.split(h, "[:|&]")))
         return F.array_sort(F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(F.replace(n, F.lit("`"), F.lit("")))), lambda n: n != "")))
 

@@ -11,21 +11,38 @@ TYPES = ("schema", "entity", "intent", "temporal")
 T_SCHEMA, T_ENTITY = 0.6, 0.8
 
 
+#: Sums of doubles depend on the order of the rows; sums of decimals do not, and partial sums still combine.
+_EXACT = "decimal(38,20)"
+
+
+def _order_free_sum(value: Column) -> Column:
+    return F.sum(value.try_cast(_EXACT)).cast("double")
+
+
 def entropy_of_candidates(df: DataFrame, keys: list[str], score: str, out: str = "entropy") -> DataFrame:
-    """Shannon entropy of the scores of a slot over log2 of their number; 0 for one candidate or no mass."""
-    share = df.withColumn("_p", F.try_divide(F.col(score), F.sum(score).over(Window.partitionBy(*keys))))
+    """Shannon entropy of the scores of a slot over log2 of their number; 0 for one candidate or no mass.
+
+    Scores count as shares of the largest one of the slot, so the sums are of numbers up to 1 and equal sets of scores
+    have equal entropies to the last bit, however the rows are dealt out.
+    """
+    slot = Window.partitionBy(*keys)
+    scaled = df.select(*keys, F.try_divide(F.col(score), F.max(score).over(slot)).alias("_x"), (F.max(score).over(slot) > 0).alias("_some"))
+    share = scaled.withColumn("_p", F.try_divide(F.col("_x"), F.sum(F.col("_x").try_cast(_EXACT)).over(slot).cast("double")))
     plogp = F.when(F.col("_p") > 0, F.col("_p") * F.log2("_p")).otherwise(F.lit(0.0))
-    agg = share.groupBy(*keys).agg(F.count("*").alias("_k"), F.sum(score).alias("_total"), (-F.sum(plogp)).alias("_h"))
-    return agg.select(*keys, F.when((F.col("_k") <= 1) | (F.col("_total") <= 0), F.lit(0.0)).otherwise(F.col("_h") / F.log2(F.col("_k").cast("double"))).alias(out))
+    agg = share.groupBy(*keys).agg(F.count("*").alias("_k"), F.bool_or("_some").alias("_some"), _order_free_sum(-plogp).alias("_h"))
+    return agg.select(*keys, F.when((F.col("_k") > 1) & F.col("_some"), F.col("_h") / F.log2(F.col("_k").cast("double"))).otherwise(F.lit(0.0)).alias(out))
 
 
 def entropy_of_beams(df: DataFrame, keys: list[str], beam: str, out: str = "entropy") -> DataFrame:
-    """Natural-log entropy of distinct beams over ln of the number of beams. Not the measure of candidates."""
+    """Natural-log entropy of distinct beams over ln of the number of beams. Not the measure of candidates.
+
+    A function of the counts alone, whatever the order of rows; all beams different is exactly 1, all the same exactly 0.
+    """
     counts = df.groupBy(*keys, beam).agg(F.count("*").alias("_c"))
-    n = F.sum("_c").over(Window.partitionBy(*keys))
-    parts = counts.withColumn("_n", n).withColumn("_h", -(F.col("_c") / F.col("_n")) * F.ln(F.col("_c") / F.col("_n")))
-    agg = parts.groupBy(*keys).agg(F.max("_n").alias("_n"), F.sum("_h").alias("_h"))
-    return agg.select(*keys, F.when(F.col("_n") > 1, F.col("_h") / F.ln(F.col("_n").cast("double"))).otherwise(F.lit(0.0)).alias(out))
+    agg = counts.groupBy(*keys).agg(F.sum("_c").cast("double").alias("_n"), _order_free_sum(F.col("_c") * F.ln(F.col("_c").cast("double"))).alias("_s"))
+    mixed = F.when(F.col("_s") == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.col("_s") / (F.col("_n") * F.ln("_n")))
+    single = F.abs(mixed) < F.lit(1e-15)
+    return agg.select(*keys, F.when((F.col("_n") > 1) & ~single, mixed).otherwise(F.lit(0.0)).alias(out))
 
 
 def with_normal_beams(df: DataFrame, beam: str) -> DataFrame:

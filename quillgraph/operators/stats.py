@@ -108,7 +108,8 @@ def score_settings(beams: DataFrame, gold: DataFrame, ambiguous: DataFrame, sig:
     hits = beams.join(keyed, ["item", sig], "left").withColumn("_bad", (F.size(F.array_except(names, legal)) > 0).cast("double"))
     item = hits.groupBy("setting", "item").agg(F.bool_or(F.coalesce("_gold", F.lit(False))).cast("double").alias("covered"), F.avg("_bad").alias("bad"))
     means = item.groupBy("setting").agg(F.avg("covered").alias("cov"), F.avg("bad").alias("hallucination"))
-    spread = entropy_of_beams(beams, ["setting", "item"], sig).join(ambiguous, "item")
+    # different counts may have the same entropy, up to the last bits: those are ties
+    spread = entropy_of_beams(beams, ["setting", "item"], sig).withColumn("entropy", F.round("entropy", 12)).join(ambiguous, "item")
     curve = roc_auc(spread, "entropy", F.col("is_ambiguous"), ["setting"]).select("setting", "auc")
     return means.join(curve, "setting")
 

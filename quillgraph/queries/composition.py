@@ -188,7 +188,7 @@ def q_gold_patterns(spark, sf_dir):
 def p_names(spark, sf_dir):
     """Labels and types that a query mentions, alternatives and back quotes too."""
     q = F.concat(
-        F.lit("MATCH (p:`Part_"), F.col("p_size").cast("string"), F.lit("` {p_name:'"), "p_name", F.lit("'})-[:MADE_BY"), F.when(F.col("p_partkey") % 3 == 0, "|SOLD_BY").otherwise(""), F.lit("]->(b"),
+        F.lit("MATCH (p:`Part_"), F.col("p_size").cast("string"), F.lit("` {p_name:'"), "p_name", F.lit("'})-[:MADE_BY"), F.when(F.col("p_partkey") % 6 == 0, "|:SOLD_BY").when(F.col("p_partkey") % 3 == 0, "|SOLD_BY").otherwise(""), F.lit("]->(b"),
         F.when(F.col("p_partkey") % 2 == 0, ":Brand").otherwise(""), F.lit(") RETURN b"),
     )
     labels, types = patterns.referenced_names(q)

@@ -221,3 +221,49 @@ def test_resolve_is_complete(spark):
         got = {(r["span"], r["node_id"]): r["match_score"] for r in entities.resolve(spans, cache, threshold=least, most=99).collect()}
         assert got == want
         assert {("johnson", "jhonson"), ("smith", "msith"), ("katherine", "catherine"), ("steven", "estevan"), ("aXbYc", "abc")} <= set(got)
+
+
+def test_entropies_do_not_depend_on_the_order_of_rows(spark):
+    """Equal multisets of counts or scores have the same entropy to the last bit, however the rows are dealt out."""
+    import math
+
+    rows = [(q, f"b{(i * (7 if q % 2 else 3)) % 11}", 1.0 / (1 + (i * (5 if q % 2 else 9)) % 13)) for q in range(6) for i in range(143)]
+    base = spark.createDataFrame(rows, "q long, beam string, score double")
+    seen = set()
+    for parts in (1, 3, 17):
+        for df in (base.repartition(parts), base.orderBy(F.desc("score"), "beam"), base.orderBy("beam")):
+            e = ambiguity.entropy_of_beams(df, ["q"], "beam").collect()
+            c = ambiguity.entropy_of_candidates(df, ["q"], "score").collect()
+            seen |= {("beam", r["entropy"]) for r in e} | {("candidate", r["entropy"]) for r in c}
+    assert len(seen) == 2
+    found = dict(seen)
+    assert abs(found["beam"] - math.log(11) / math.log(143)) < 1e-12
+    p = [1 / (1 + i) for i in range(13)]
+    want = -sum(x / sum(p) / 11 * math.log2(x / sum(p) / 11) for x in p) * 11 / math.log2(143)
+    assert abs(found["candidate"] - want) < 1e-12
+
+
+@pytest.mark.parametrize("parts", [1, 4, 200])
+def test_settings_under_any_partitioning(spark, parts):
+    rows = [(s, i, ("abc"[(i * k + s) % 3] if i % 2 else "abcd"[k % (1 + i % 4)]), ["a"]) for s in range(2) for i in range(40) for k in range(1 + i % 7)]
+    b = spark.createDataFrame(rows, "setting long, item long, sig string, names array<string>").repartition(parts)
+    gold = spark.createDataFrame([(i, "a") for i in range(40)], "item long, sig string")
+    flags = spark.createDataFrame([(i, i % 2 == 0) for i in range(40)], "item long, is_ambiguous boolean")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r["setting"]: r["auc"] for r in stats.score_settings(b, gold, flags, "sig", "names", F.array(F.lit("a"))).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    import math
+    from collections import Counter
+
+    for s in range(2):
+        e = {}
+        for i in range(40):
+            c = Counter(r[2] for r in rows if r[:2] == (s, i))
+            n = sum(c.values())
+            e[i] = round(1 - sum(x * math.log(x) for x in c.values()) / (n * math.log(n)), 10) if n > 1 else 0.0
+        pairs = [(a, b) for a in range(0, 40, 2) for b in range(1, 40, 2)]
+        want = sum((e[a] > e[b]) + 0.5 * (e[a] == e[b]) for a, b in pairs) / len(pairs)
+        assert abs(got[s] - want) < 1e-12
