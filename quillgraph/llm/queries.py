@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from .bayes_dedup import near_duplicates
 from .ivfpq import nearest
 from .langid import identify
+from .lexical import rank_documents
 from .mixing import mix
 from .packing import pack
 from .pages import extract
 from .pivot_dedup import near_vectors
+from .runs import find_runs, planted
+from .secrets import find_secrets
 from .sharding import shards
 from .toolcalls import link
 from .weak_quality import score_quality
@@ -109,6 +112,21 @@ def op10_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words_per_shingle=3, percent=85)
 
 
+def op11_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document: assignments, access keys, long hex, and encoded keys and tokens whose structure holds."""
+    return find_secrets(_read(spark, sf_dir, "documents"))
+
+
+def op12_csr_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of highest score for every benchmark item."""
+    return rank_documents(_read(spark, sf_dir, "benchmark"), _read(spark, sf_dir, "documents"))
+
+
+def op13_partition_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of repeated words in every document, one in ten of which is first made to repeat its end."""
+    return find_runs(_read(spark, sf_dir, "documents"), recur=planted)
+
+
 QUERIES = {
     "op1_pivot_dedup": op1_pivot_dedup,
     "op2_ivfpq": op2_ivfpq,
@@ -120,6 +138,9 @@ QUERIES = {
     "op8_weak_labels": op8_weak_labels,
     "op9_harmonic_packing": op9_harmonic_packing,
     "op10_bayes_minhash": op10_bayes_minhash,
+    "op11_structural_secrets": op11_structural_secrets,
+    "op12_csr_impacts": op12_csr_impacts,
+    "op13_partition_runs": op13_partition_runs,
 }
 
 SQL = {
@@ -217,4 +238,20 @@ SQL = {
         ), roots AS (SELECT n, min(r) AS root FROM reach GROUP BY n)
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, root AS component_id, s.doc_id = root AS kept FROM sets s JOIN roots ON roots.n = s.doc_id
     """,
+    "op12_csr_impacts": r"""
+        WITH held AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+        ), totals AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM held WHERE len(w) > 0),
+        asked AS (
+            SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark
+        ), postings AS (
+            SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM held) WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT n_docs FROM totals) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM postings GROUP BY term
+        ), impacts AS (
+            SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * (SELECT n_docs FROM totals)) // (SELECT n_words FROM totals)))) AS impact FROM postings JOIN weights USING (term)
+        ), scores AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impacts USING (term) GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+    """,
 }
