@@ -17,6 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import frontier
 from .catalog import EdgeTable, Graph
 from .lexer import CypherError
 from .syntax import AGGREGATES, Call, Index, Item, ListOf, Literal, Match, Node, Op, Param, Project, Prop, Query, Rel, Union, Unwind, Var, parse, walk
@@ -311,7 +312,7 @@ class Compiler:
                 step = at_hand[0]
                 _, a, r, b = step
                 left.remove(step)
-                df = self._hop(df, known, plan, a.var, r, b.var, bind)
+                df = self._hop(df, known, plan, a.var, r, b.var, nodes, bind)
                 done.append(r)
             waiting = [v for v in nodes if v not in known]
         df = self._apart(df, done)
@@ -341,13 +342,13 @@ class Compiler:
                 frame = frame.withColumn(_prop(r.var, p), F.lit(None))
         return frame
 
-    def _hop(self, df: DataFrame, known: Scope, plan: dict[str, Bound], a: str, r: Rel, b: str, bind) -> DataFrame:
+    def _hop(self, df: DataFrame, known: Scope, plan: dict[str, Bound], a: str, r: Rel, b: str, nodes: dict[str, Node], bind) -> DataFrame:
         """Follow a relationship from an end that is bound."""
         if a not in known:
             turned = {"out": "in", "in": "out", "both": "both"}[r.direction]
-            return self._hop(df, known, plan, b, replace(r, direction=turned), a, bind)
+            return self._hop(df, known, plan, b, replace(r, direction=turned), a, nodes, bind)
         if r.hi is not None:
-            return self._walk(df, known, plan, a, r, b, bind)
+            return self._walk(df, known, plan, a, r, b, nodes, bind)
         frame = self._renamed(self.edge_frame(r, known[a], known.get(b, plan[b])), r, a, b) if a != b else self.edge_frame(r, known[a], known[a])
         known[r.var] = self._rel_bound(r)
         if a == b:
@@ -362,43 +363,47 @@ class Compiler:
             return df.join(frame if _label(b) in on else frame.drop(_label(b)), on)
         return bind(df.join(frame, on), b)
 
-    def _walk(self, df: DataFrame, known: Scope, plan: dict[str, Bound], a: str, r: Rel, b: str, bind) -> DataFrame:
-        """Follow a relationship of variable length, no edge twice in a walk: one join a hop, up to the bound."""
-        if r.hi < 0 or r.hi > MOST_HOPS:
-            raise CypherError(f"a variable length needs an upper bound of at most {MOST_HOPS}")
+    def _leaving(self, r: Rel) -> frontier.Leaving:
+        """Relationships that leave nodes of some labels, of whatever label they reach."""
         every = Bound("node", frozenset(self.graph.nodes), (), True)
-        front, front_label, ids = f"{r.var}__front", f"{r.var}__front_label", f"{r.var}__ids"
-        carried = df.columns
-        step = df.withColumn(front, c(_id(a)).cast("string")).withColumn(front_label, c(_label(a))).withColumn(ids, F.array().cast("array<string>"))
-        walks, at = [step] if r.lo == 0 else [], known[a].labels
-        for n in range(1, r.hi + 1):
-            # only relationships that leave a label which n - 1 hops can reach
-            here = Bound("node", at, (), True)
-            fits = self.tables(r, at, every.labels)
+
+        def leaving(labels: frozenset[str]) -> tuple[DataFrame, frozenset[str]] | None:
+            fits = self.tables(r, labels, every.labels)
             if not fits:
-                break
-            at = frozenset(e.source if against else e.target for e, against in fits)
-            edges = self.edge_frame(r, here, every).select(
-                c(f"{r.var}__from").alias(front), c(f"{r.var}__from_label").alias(front_label), c(f"{r.var}__to").alias("__next"), c(f"{r.var}__to_label").alias("__next_label"), c(_id(r.var)).alias("__edge")
-            )
-            step = (
-                step.join(edges, [front, front_label])
-                .where(~F.array_contains(c(ids), c("__edge")))
-                .select(*(c(k) for k in carried), c("__next").alias(front), c("__next_label").alias(front_label), F.concat(c(ids), F.array("__edge")).alias(ids))
-            )
-            if n >= r.lo:
-                walks.append(step)
-        if not walks:
-            raise CypherError(f"no walk of {r.lo} hops leaves {sorted(known[a].labels)}")
-        out = reduce(DataFrame.unionByName, walks)
+                return None
+            edges = self.edge_frame(r, Bound("node", labels, (), True), every)
+            names = (f"{r.var}__from", f"{r.var}__from_label", f"{r.var}__to", f"{r.var}__to_label", _id(r.var))
+            return edges.select(*(c(x).alias(y) for x, y in zip(names, frontier.EDGE, strict=True))), frozenset(e.source if against else e.target for e, against in fits)
+
+        return leaving
+
+    def _walk(self, df: DataFrame, known: Scope, plan: dict[str, Bound], a: str, r: Rel, b: str, nodes: dict[str, Node], bind) -> DataFrame:
+        """Follow a relationship of variable length from the distinct nodes at hand, and from the other end too if that
+        is bound or has properties of its own; then join the trails back."""
+        if r.hi < 0 or r.hi > MOST_HOPS:
+            raise CypherError(f"a variable length needs an upper bound of at most {MOST_HOPS}")
+        if r.lo and self._leaving(r)(known[a].labels) is None:
+            raise CypherError(f"no relationship of [{r.var}] leaves {sorted(known[a].labels)}")
+        ids = f"{r.var}__ids"
+        ends = lambda frame, v: frame.select(c(_id(v)).cast("string").alias("start"), c(_label(v)).alias("start_label")).distinct()
+        turned = replace(r, direction={"out": "in", "in": "out", "both": "both"}[r.direction])
+        other = df if b in known else self.node_frame(nodes[b], plan[b]) if nodes[b].props else None
+        if other is not None:
+            trails = frontier.two_sided(ends(df, a), known[a].labels, self._leaving(r), ends(other, b), plan[b].labels, self._leaving(turned), r.lo, r.hi)
+        else:
+            trails = frontier.one_sided(ends(df, a), known[a].labels, self._leaving(r), r.lo, r.hi).where(c("at_label").isin(*plan[b].labels))
         known[r.var] = Bound("rels")
+        walked = trails.select(*(c(x).alias(f"{r.var}__{x}") for x in ("start", "start_label", "at", "at_label")), c("edges").alias(ids))
+        same = (c(_id(a)).cast("string") == c(f"{r.var}__start")) & (c(_label(a)) == c(f"{r.var}__start_label"))
+        if b in known:
+            same = same & (c(_id(b)).cast("string") == c(f"{r.var}__at")) & (c(_label(b)) == c(f"{r.var}__at_label"))
+        out = df.join(walked, same)
+        gone = [f"{r.var}__{x}" for x in ("start", "start_label", "at", "at_label")]
         if b in known:
-            out = out.where((c(front) == c(_id(b)).cast("string")) & (c(front_label) == c(_label(b))))
-            return out.drop(front, front_label)
-        out = out.where(c(front_label).isin(*plan[b].labels))
-        key = c(front) if plan[b].text_id else c(front).cast(self.graph.nodes[next(iter(plan[b].labels))].frame.schema[self.graph.nodes[next(iter(plan[b].labels))].id].dataType)
-        out = out.withColumn(_id(b), key).withColumn(_label(b), c(front_label)).drop(front, front_label)
-        return bind(out, b)
+            return out.drop(*gone)
+        table = self.graph.nodes[min(plan[b].labels)]
+        key = c(f"{r.var}__at") if plan[b].text_id else c(f"{r.var}__at").cast(table.frame.schema[table.id].dataType)
+        return bind(out.withColumn(_id(b), key).withColumn(_label(b), c(f"{r.var}__at_label")).drop(*gone), b)
 
     def _apart(self, df: DataFrame, rels: list[Rel]) -> DataFrame:
         """Within a MATCH no relationship is bound twice; only pairs that share a type can be."""

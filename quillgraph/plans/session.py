@@ -57,7 +57,7 @@ class GraphSession:
 
     def execute(self, text: str, params: dict | None = None, timeout_s: float = 10.0) -> Execution:
         """Run a query and collect its rows; errors and timeouts are reported, not raised."""
-        tag, start = f"cypher-{uuid.uuid4().hex}", time.perf_counter()
+        tag, start, jobs = f"cypher-{uuid.uuid4().hex}", time.perf_counter(), self.spark.sparkContext
         late, done = threading.Event(), threading.Event()
 
         def stop() -> None:
@@ -65,9 +65,9 @@ class GraphSession:
                 return
             late.set()
             while not done.wait(0.2):  # the query may still be planned, and have no job to stop yet
-                self.spark.interruptTag(tag)
+                jobs.cancelJobsWithTag(tag)
 
-        self.spark.addTag(tag)
+        jobs.addJobTag(tag)  # also holds for the jobs of tables that a plan writes on its way
         threading.Thread(target=stop, daemon=True).start()
         rows, error = [], None
         try:
@@ -76,7 +76,7 @@ class GraphSession:
             error = str(e)
         finally:
             done.set()
-            self.spark.removeTag(tag)
+            jobs.removeJobTag(tag)
         elapsed = (time.perf_counter() - start) * 1000
         if late.is_set():
             return Execution(False, [], f"timed out after {timeout_s} s", elapsed)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import EdgeTable, Graph, NodeTable
@@ -60,9 +60,28 @@ def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
     )
 
 
+def trail_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Users, and their events as nodes that are chained by time: chains as long as a user has events."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("kind"), "value")
+    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    placed = events.withColumn("place", F.row_number().over(by_time)).withColumn("next", F.lead("event_id").over(by_time))
+    users = events.select("user_id").distinct()
+    return Graph(
+        [NodeTable("Event", "event_id", placed.drop("next")), NodeTable("User", "user_id", users)],
+        [
+            EdgeTable("NEXT", "Event", "Event", "event_id", "next", ("event_id",), placed.where("next is not null").select("event_id", "next")),
+            EdgeTable("BY", "Event", "User", "event_id", "user_id", ("event_id",), events.select("event_id", "user_id")),
+        ],
+    )
+
+
 def star(spark: SparkSession, sf_dir: str) -> GraphSession:
     return GraphSession(spark, star_graph(spark, sf_dir))
 
 
 def stream(spark: SparkSession, sf_dir: str) -> GraphSession:
     return GraphSession(spark, event_graph(spark, sf_dir))
+
+
+def trail(spark: SparkSession, sf_dir: str) -> GraphSession:
+    return GraphSession(spark, trail_graph(spark, sf_dir))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans.tpch import star, star_graph, stream
+from ..plans.tpch import star, star_graph, stream, trail
 from . import Book
 
 BOOK = Book()
@@ -18,6 +18,10 @@ def _stream(name: str, cypher: str, sql: str | None) -> None:
     BOOK.add(name, sql)(lambda spark, sf_dir: stream(spark, sf_dir).cypher(cypher))
 
 
+def _trail(name: str, cypher: str, sql: str | None) -> None:
+    BOOK.add(name, sql)(lambda spark, sf_dir: trail(spark, sf_dir).cypher(cypher))
+
+
 FLAGSHIP = "MATCH (c:Customer)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region {r_name:'ASIA'}) RETURN c.c_name AS c_name, n.n_name AS n_name"
 
 _star("g_label_scan", "MATCH (r:Region) RETURN r.r_name AS name", "SELECT r_name AS name FROM region")
@@ -130,6 +134,23 @@ _star(
     "MATCH path = (n:Nation {n_nationkey:1})<-[:IN_NATION]-(:Customer)-[:PLACED*1..1]->(:Order) RETURN count(path) AS paths, min(length(path)) AS hops",
     "SELECT count(*) AS paths, CAST(min(2) AS BIGINT) AS hops FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 1",
 )
+PLACED = "placed AS (SELECT event_id, user_id, event_type, row_number() OVER w AS place, lead(event_id) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
+_trail(
+    "g_walk30",
+    "MATCH p = (a:Event {place:1})-[:NEXT*1..30]->(b:Event) RETURN length(p) AS hops, count(p) AS walks, count(DISTINCT b) AS ends",
+    f"""WITH RECURSIVE {PLACED}, walk AS (
+        SELECT event_id AS a, next AS b, 1 AS hops FROM placed WHERE place = 1 AND next IS NOT NULL
+        UNION ALL SELECT w.a, p.next, w.hops + 1 FROM walk w JOIN placed p ON p.event_id = w.b WHERE w.hops < 30 AND p.next IS NOT NULL
+    ) SELECT CAST(hops AS BIGINT) AS hops, count(*) AS walks, count(DISTINCT b) AS ends FROM walk GROUP BY hops""",
+)
+_trail(
+    "g_walk30_between",
+    "MATCH (a:Event {place:1})-[:BY]->(u:User)<-[:BY]-(b:Event {kind:'purchase'}) MATCH p = (a)-[:NEXT*1..30]->(b) RETURN u.user_id AS user_id, b.event_id AS event_id, length(p) AS hops",
+    f"""WITH RECURSIVE {PLACED}, walk AS (
+        SELECT user_id, next AS b, 1 AS hops FROM placed WHERE place = 1 AND next IS NOT NULL
+        UNION ALL SELECT w.user_id, p.next, w.hops + 1 FROM walk w JOIN placed p ON p.event_id = w.b WHERE w.hops < 30 AND p.next IS NOT NULL
+    ) SELECT w.user_id, b AS event_id, CAST(hops AS BIGINT) AS hops FROM walk w JOIN placed p ON p.event_id = w.b WHERE event_type = 'purchase'""",
+)
 BOOK.add(
     "g_catalog_counts",
     """SELECT 'label' AS kind, 'Region' AS name, count(*) AS n FROM region UNION ALL SELECT 'label', 'Nation', count(*) FROM nation UNION ALL SELECT 'label', 'Customer', count(*) FROM customer

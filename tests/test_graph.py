@@ -146,3 +146,55 @@ def test_random_patterns(spark):
         except CypherError:
             got = 0  # no relationship type fits the labels
         assert got == found, text
+
+
+def _dense(spark, seed: int, n: int, m: int):
+    rng = random.Random(seed)
+    edges = [(k, rng.randrange(n), rng.randrange(n)) for k in range(m)]
+    nodes = spark.createDataFrame([(i, i % 3) for i in range(n)], "id long, colour long")
+    frame = spark.createDataFrame(edges, "eid long, src long, dst long")
+    return edges, GraphSession(spark, Graph([NodeTable("N", "id", nodes)], [EdgeTable("E", "N", "N", "src", "dst", ("eid",), frame)]))
+
+
+@pytest.mark.parametrize("way", ["out", "both"])
+def test_long_walks(spark, way):
+    """Trails from one end and from both, at bounds that are planned whole and at ones that are iterated."""
+    edges, session = _dense(spark, 8, 7, 9)
+    found = []
+
+    def go(at, used, start):
+        if used:
+            found.append((start, at, len(used)))
+        if len(used) == 6:
+            return
+        for k, i, j in edges:
+            if k not in used:
+                ends = {j} if i == at else set()
+                ends |= {i} if way == "both" and j == at else set()
+                for e in ends:
+                    go(e, (*used, k), start)
+
+    for i in range(7):
+        go(i, (), i)
+    arrow = "->" if way == "out" else "-"
+    for lo, hi in ((1, 2), (2, 5), (3, 6), (5, 5)):
+        want = sorted(x for x in found if lo <= x[2] <= hi)
+        got = session.cypher(f"MATCH p = (a:N)-[:E*{lo}..{hi}]{arrow}(b:N) RETURN a.id AS a, b.id AS b, length(p) AS n")
+        assert sorted(map(tuple, got.collect())) == want
+        got = session.cypher(f"MATCH p = (a:N {{colour:1}})-[:E*{lo}..{hi}]{arrow}(b:N {{colour:0}}) RETURN a.id AS a, b.id AS b, length(p) AS n")
+        assert sorted(map(tuple, got.collect())) == [x for x in want if x[0] % 3 == 1 and x[1] % 3 == 0]
+        got = session.cypher(f"MATCH (a:N {{colour:1}})-[:E]->(b:N) WITH DISTINCT a, b MATCH p = (a)-[:E*{lo}..{hi}]{arrow}(b) RETURN a.id AS a, b.id AS b, length(p) AS n")
+        pairs = {(i, j) for _, i, j in edges if i % 3 == 1}
+        assert sorted(map(tuple, got.collect())) == [x for x in want if x[:2] in pairs]
+    loops = session.cypher(f"MATCH p = (a:N)-[:E*1..5]{arrow}(a) RETURN a.id AS a, length(p) AS n")
+    assert sorted(map(tuple, loops.collect())) == sorted((a, n) for a, b, n in found if a == b and n <= 5)
+    # no trail is longer than there are relationships, so the iteration ends long before its bound
+    assert session.cypher(f"MATCH p = (a:N {{id:0}})-[:E*7..30]{arrow}(b:N) RETURN max(length(p)) AS n").first()["n"] in (None, 7, 8, 9)
+
+
+def test_walks_end_at_a_time_limit(spark):
+    """A bound of 30 on a dense graph has more trails than can be counted: the time limit ends it."""
+    _, session = _dense(spark, 9, 12, 120)
+    out = session.execute("MATCH p = (a:N)-[*1..30]-(b:N) RETURN count(p) AS n", timeout_s=4.0)
+    assert not out.success and "timed out" in out.error and out.rows == [] and out.elapsed_ms < 60_000
+    assert spark.range(3).count() == 3
