@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,54 +78,3 @@ def lcs_length(a: str, b: str) -> int:
         both = row & at.get(ch, 0)
         row = (row + both | row - both) & full
     return len(a) - row.bit_count()
-
-
-class TextList:
-    """A bounded list of normalised texts that others are compared with, all of them, by token_set()."""
-
-    BUCKETS = 64
-
-    def __init__(self, texts: list[str]):
-        found = {frozenset(t.split(" ")) - {""} for t in texts} - {frozenset()}
-        self.words = sorted(found, key=sorted)
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.chars = np.array([sum(map(len, w)) for w in self.words], np.int64)
-        self.letters = np.stack([self._letters(w) for w in self.words]) if self.words else None
-        index: dict[str, list[int]] = {}
-        for i, own in enumerate(self.words):
-            for w in own:
-                index.setdefault(w, []).append(i)
-        self.index = {w: np.array(v) for w, v in index.items()}
-
-    def _letters(self, words) -> np.ndarray:
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        return np.bincount(points % self.BUCKETS, minlength=self.BUCKETS)
-
-    def near(self, text: str | None, ratio: float) -> bool:
-        """Whether token_set(text, t) >= ratio for a t of the list. Bounds only spare alignments that cannot get there."""
-        words = set((text or "").split(" ")) - {""}
-        if not words or not self.words:
-            return ratio <= 0 and bool(self.words)
-        shared, common = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
-        for w in words:
-            if (at := self.index.get(w)) is not None:
-                shared[at] += 1
-                common[at] += len(w)
-        some, chars = shared > 0, sum(map(len, words))
-        more_a, more_b = len(words) - shared, self.sizes - shared
-        ra, rb = chars - common + np.maximum(more_a - 1, 0), self.chars - common + np.maximum(more_b - 1, 0)
-        lead = np.where(some, common + shared - 1, 0)
-        if (some & ((more_a == 0) | (more_b == 0) | (2.0 * lead / (2 * lead + 1 + np.minimum(ra, rb)) >= ratio))).any():
-            return True
-        head = np.where(some, lead + 1, 0)
-        total = 2 * head + ra + rb
-        letters = self._letters(words)
-        for i in np.flatnonzero(2.0 * (head + np.minimum(ra, rb)) / total >= ratio).tolist():
-            # letters in both rests, and at most the blanks of the shorter one
-            most = np.minimum(letters, self.letters[i]).sum() - common[i] + min(more_a[i], more_b[i]) - 1
-            if 2.0 * (head[i] + most) / total[i] < ratio:
-                continue
-            a, b = (" ".join(sorted(x)) for x in (words - self.words[i], self.words[i] - words))
-            if 2.0 * (head[i] + lcs_length(a, b)) / total[i] >= ratio:
-                return True
-        return False

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import extract_schema_pattern, has_relationship_type
-from ..functions.strings import TextList, normalised_question
+from ..functions.strings import normalised_question
 from ..plans.catalog import GraphSchema
 from .gates import validated
+from .similar import near_any
 
 
 def hash_order(seed: int, key: Column | str) -> Column:
@@ -48,18 +48,16 @@ def first_wins(rows: DataFrame, text: str, position: list[str]) -> DataFrame:
 def disjoint(rows: DataFrame, blocked: DataFrame, text: str, block_text: str, ratio: float = 0.9) -> DataFrame:
     """Rows whose text is neither equal to a blocked one (normalised) nor within `ratio` of one by token sets.
 
-    Exact copies go by an anti-join. Every other text is compared with the whole list, which is bounded: it is broadcast.
+    Exact copies go by an anti-join on digests, others by a similarity join of the distinct texts that are left
+    (similar.near_any), which a ratio over 1 leaves out. Rows without a text stay.
     """
-    norm = normalised_question(text)
-    block = blocked.select(normalised_question(block_text).alias("_b")).distinct()
-    left = rows.withColumn("_n", norm).join(block, F.col("_n") == F.col("_b"), "left_anti")
-    shared = rows.sparkSession.sparkContext.broadcast(TextList([r["_b"] for r in block.where("_b is not null").collect()]))
-
-    def near(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.near(t, ratio) for t in texts.to_pylist()], pa.bool_())
-
-    near.__annotations__ = {"texts": pa.Array, "return": pa.Array}  # the names are strings here
-    return left.where(~F.arrow_udf(near, "boolean")("_n")).drop("_n")
+    block = blocked.select(normalised_question(block_text).alias("text")).where("text is not null").distinct()
+    keyed = rows.withColumn("_n", normalised_question(text)).withColumn("_key", F.md5("_n"))
+    left = keyed.join(block.select(F.md5("text").alias("_key")), "_key", "left_anti")
+    if ratio > 1:
+        return left.drop("_n", "_key")
+    found = near_any(left.where("_n is not null").groupBy(F.col("_key").alias("key")).agg(F.any_value("_n").alias("text")), block, ratio)
+    return left.join(found.select(F.col("key").alias("_key")), "_key", "left_anti").drop("_n", "_key")
 
 
 def split(rows: DataFrame, key: str, seed: int = 13, share: float = 0.1) -> DataFrame:

@@ -32,7 +32,20 @@ def t_gate_exact(spark, sf_dir):
     return d.join(blocked, normalised_question("text") == F.col("_b"), "left_anti").select("doc_id")
 
 
-@BOOK.add("t_gate_fuzzy")
+@BOOK.add(
+    "t_gate_fuzzy",
+    f"""WITH d AS (SELECT doc_id, n, list_distinct(list_filter(string_split(n, ' '), lambda x: x <> '')) AS t FROM (SELECT doc_id, {NORM} AS n FROM documents)),
+    b AS (SELECT DISTINCT {NORM} AS bn FROM benchmark), bt AS (SELECT bn, list_distinct(list_filter(string_split(bn, ' '), lambda x: x <> '')) AS bt FROM b),
+    pairs AS (SELECT doc_id, list_sort(list_intersect(t, bt)) AS w, list_sort(list_filter(t, lambda x: NOT list_contains(bt, x))) AS oa, list_sort(list_filter(bt, lambda x: NOT list_contains(t, x))) AS ob FROM d, bt WHERE len(t) > 0 AND len(bt) > 0),
+    s AS (SELECT doc_id, len(w) > 0 AND (len(oa) = 0 OR len(ob) = 0) AS subset, length(array_to_string(w, ' ')) AS c, CASE WHEN len(w) > 0 THEN length(array_to_string(w, ' ')) + 1 ELSE 0 END AS head, array_to_string(oa, ' ') AS ra, array_to_string(ob, ' ') AS rb FROM pairs),
+    lead AS (SELECT DISTINCT doc_id FROM s WHERE subset OR (c > 0 AND 2 * c / (2 * c + 1 + least(length(ra), length(rb))) >= 0.9)),
+    alike AS (SELECT * FROM s WHERE doc_id NOT IN (FROM lead) AND 2 * (head + least(length(ra), length(rb))) / (2 * head + length(ra) + length(rb)) >= 0.9
+        AND levenshtein(ra, rb) <= 2 * (0.1 * (2 * head + length(ra) + length(rb)) + 1)),
+    m AS (SELECT *, list_reduce(list_concat([list_transform(range(0, length(rb) + 1), lambda i: 0)], list_transform(string_split(ra, ''), lambda ch: [CAST(ascii(ch) AS BIGINT)])),
+            lambda prev, ch: list_reduce(list_concat([[CAST(0 AS BIGINT)]], list_transform(range(1, length(rb) + 1), lambda j: [j])),
+                lambda acc, j: list_append(acc, greatest(acc[-1], prev[j[1] + 1], prev[j[1]] + CASE WHEN ascii(rb[j[1]]) = ch[1] THEN 1 ELSE 0 END))))[-1] AS lcs FROM alike)
+    SELECT doc_id FROM d WHERE n IS NULL OR (n NOT IN (FROM b) AND doc_id NOT IN (FROM lead) AND doc_id NOT IN (SELECT doc_id FROM m WHERE 2 * (head + lcs) / (2 * head + length(ra) + length(rb)) >= 0.9))""",
+)
 def t_gate_fuzzy(spark, sf_dir):
     """Documents that are neither equal to a text of the benchmark nor within 0.9 of one."""
     return prep.disjoint(docs(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"), "text", "text", 0.9).select("doc_id")

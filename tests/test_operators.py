@@ -223,6 +223,49 @@ def test_resolve_is_complete(spark):
         assert {("johnson", "jhonson"), ("smith", "msith"), ("katherine", "catherine"), ("steven", "estevan"), ("aXbYc", "abc")} <= set(got)
 
 
+@pytest.mark.parametrize("ratio", [0.6, 0.82, 0.9, 1.0])
+def test_similarity_join_equals_all_pairs(spark, ratio):
+    """Random texts and variants of them, with words left out, added, joined, cut and misspelt: no pair is missed."""
+    import random
+
+    from quillgraph.operators import similar
+
+    rng = random.Random(int(ratio * 100))
+    vocab = ["".join(rng.choice("abcdeé") for _ in range(rng.choice([1, 2, 3, 5, 6, 8, 11, 40]))) for _ in range(60)]
+
+    def vary(t):
+        w = t.split(" ")
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(w))
+            how = rng.randrange(6)
+            if how == 0:
+                w.insert(i, rng.choice(vocab))
+            elif how == 1 and len(w) > 1:
+                del w[i]
+            elif how == 2 and i:
+                w[i - 1 : i + 1] = [w[i - 1] + w[i]]
+            elif how == 3:
+                k = rng.randrange(len(w[i]) + 1)
+                w[i] = w[i][:k] + rng.choice("abz") + w[i][k:]
+            elif how == 4 and len(w[i]) > 1:
+                k = rng.randrange(len(w[i]))
+                w[i] = w[i][:k] + w[i][k + 1 :]
+            else:
+                rng.shuffle(w)
+        return " ".join(w)
+
+    blocks = list({" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 14))) for _ in range(60)})
+    texts = list({vary(rng.choice(blocks)) for _ in range(500)} | {" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 30))) for _ in range(100)} | {"", " "})
+    t = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    b = spark.createDataFrame([(x,) for x in blocks], "text string")
+    want = {i for i, x in enumerate(texts) if any(similar.near_pair(x, y, ratio) for y in blocks)}
+    assert {r["key"] for r in similar.near_any(t, b, ratio).collect()} == want and 100 < len(want) < len(texts) + (ratio < 0.7)
+    # the exact test is token_set() itself
+    some = spark.createDataFrame([(i, texts[i], rng.choice(blocks)) for i in range(0, len(texts), 9)], "i long, a string, b string")
+    for r in some.select("a", "b", (strings.token_set(F.col("a"), F.col("b")) >= ratio).alias("near")).collect():
+        assert similar.near_pair(r["a"], r["b"], ratio) == r["near"]
+
+
 def test_entropies_do_not_depend_on_the_order_of_rows(spark):
     """Equal multisets of counts or scores have the same entropy to the last bit, however the rows are dealt out."""
     import math
