@@ -5,6 +5,8 @@ Events stand in for attempts: a user is a question, its events are attempts in o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,6 +129,37 @@ def x_rowset_equal(spark, sf_dir):
     return out
 
 
+@BOOK.add(
+    "x_similar",
+    """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, 'x' || l_returnflag AS t, l_returnflag AS f, CAST(l_quantity AS BIGINT) AS q, [l_orderkey % 50, l_linenumber, 1.0]::DOUBLE[] AS e FROM lineitem),
+    r AS (SELECT k, n, t || '!' AS t, f, CASE WHEN f = 'A' THEN q + 1 ELSE q END AS q, CASE WHEN n = 6 THEN [1.0, e[1], -e[2]] ELSE [e[1] + 1, e[2], e[3]] END AS e FROM l),
+    pairs AS (
+        SELECT 'wording' AS pair, row_number() OVER (ORDER BY list_sort([k::VARCHAR, n::VARCHAR, t]), [k::VARCHAR, n::VARCHAR, t]) AS at, 'l' AS side, [k::VARCHAR, n::VARCHAR] AS own, e FROM l
+        UNION ALL SELECT 'wording', row_number() OVER (ORDER BY list_sort([k::VARCHAR, n::VARCHAR, t]), [k::VARCHAR, n::VARCHAR, t]), 'r', [k::VARCHAR, n::VARCHAR], e FROM r
+        UNION ALL SELECT 'repeats', row_number() OVER (ORDER BY list_sort([f, q::VARCHAR]), [f, q::VARCHAR]), 'l', [f, q::VARCHAR], NULL FROM l
+        UNION ALL SELECT 'repeats', row_number() OVER (ORDER BY list_sort([f, q::VARCHAR]), [f, q::VARCHAR]), 'r', [f, q::VARCHAR], NULL FROM r
+        UNION ALL SELECT 'fewer', row_number() OVER (ORDER BY list_sort([f, q::VARCHAR]), [f, q::VARCHAR]), 'l', [f, q::VARCHAR], NULL FROM l
+        UNION ALL SELECT 'fewer', row_number() OVER (ORDER BY list_sort([f, q::VARCHAR]), [f, q::VARCHAR]), 'r', [f, q::VARCHAR], NULL FROM l WHERE n < 7
+        UNION ALL SELECT 'same', row_number() OVER (ORDER BY list_sort([f, q::VARCHAR]), [f, q::VARCHAR]), 'l', [f, q::VARCHAR], NULL FROM l
+        UNION ALL SELECT 'same', row_number() OVER (ORDER BY list_sort([f, q::VARCHAR]), [f, q::VARCHAR]), 'r', [f, q::VARCHAR], NULL FROM l
+    ), met AS (SELECT a.pair, a.own = b.own AND (a.e IS NULL OR coalesce(list_cosine_similarity(a.e, b.e) >= 0.95, false)) AS fits FROM pairs a JOIN pairs b ON a.pair = b.pair AND a.at = b.at AND a.side = 'l' AND b.side = 'r'),
+    n AS (SELECT pair, count(*) FILTER (side = 'l') AS n_left, count(*) FILTER (side = 'r') AS n_right FROM pairs GROUP BY 1), u AS (SELECT pair, count(*) FILTER (NOT fits) AS unlike FROM met GROUP BY 1)
+    SELECT pair, n_left, n_right, unlike, unlike = 0 AND n_left = n_right AS similar FROM n JOIN u USING (pair)""",
+)
+def x_similar(spark, sf_dir):
+    """Two results as long as lineitem, place by place: other wording, repeats of few rows, fewer rows, the same."""
+    li = table(spark, sf_dir, "lineitem")
+    n, a = F.col("n"), F.col("f") == "A"
+    left = li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.concat(F.lit("x"), "l_returnflag").alias("t"), F.col("l_returnflag").alias("f"), F.col("l_quantity").cast("long").alias("q"), F.array((F.col("l_orderkey") % 50).cast("double"), F.col("l_linenumber").cast("double"), F.lit(1.0)).alias("e"))
+    e = F.when(n == 6, F.array(F.lit(1.0), F.col("e")[0], -F.col("e")[1])).otherwise(F.array(F.col("e")[0] + 1, F.col("e")[1], F.col("e")[2]))
+    right = left.select("k", "n", F.concat("t", F.lit("!")).alias("t"), "f", F.when(a, F.col("q") + 1).otherwise(F.col("q")).alias("q"), e.alias("e"))
+    parts = {
+        "wording": (left, right, ["k", "n", "t"], {"t": "e"}), "repeats": (left, right, ["f", "q"], {}), "fewer": (left, left.where("n < 7"), ["f", "q"], {}), "same": (left, left, ["f", "q"], {}),
+    }
+    rows = [evaluate.similar_sets(x, y, values, vectors).select(F.lit(name).alias("pair"), "*") for name, (x, y, values, vectors) in parts.items()]
+    return reduce(DataFrame.union, rows)
+
+
 @BOOK.add("x_divergence", "SELECT 'i1' AS item, CAST(0 AS INTEGER) AS first, CAST(2 AS INTEGER) AS second")
 def x_divergence(spark, sf_dir):
     """Interpretations of one item whose results are the same set: reading one and three are the same question."""

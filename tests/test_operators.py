@@ -266,6 +266,30 @@ def test_similarity_join_equals_all_pairs(spark, ratio):
         assert similar.near_pair(r["a"], r["b"], ratio) == r["near"]
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_similar_sets_equals_alignment_by_hand(spark, parts):
+    """Places of sorted rows, repeats and all, under any dealing out; identifiers and numbers are exact."""
+    import random
+
+    rng = random.Random(parts)
+    where = {"red": [1.0, 0.0], "crimson": [0.99, 0.05], "green": [0.0, 1.0], "AB-001": [1.0, 0.0], "AB-002": [1.0, 0.0]}
+
+    def draw(n, words):
+        return [(rng.randrange(3), rng.choice(words)) for _ in range(n)]
+
+    def by_hand(a, b):
+        order = lambda rows: sorted(rows, key=lambda r: (sorted(map(str, r)), list(map(str, r))))
+        cos = lambda x, y: sum(p * q for p, q in zip(where[x], where[y], strict=True)) / (sum(p * p for p in where[x]) * sum(p * p for p in where[y])) ** 0.5
+        fits = lambda x, y: x == y or ("-" not in x + y and cos(x, y) >= 0.95)
+        unlike = sum(not (x[0] == y[0] and fits(x[1], y[1])) for x, y in zip(order(a), order(b), strict=False))
+        return (len(a), len(b), unlike, unlike == 0 and len(a) == len(b))
+
+    cases = [(draw(40, ["red", "green"]), draw(40, ["crimson", "green"])), (draw(30, list(where)), draw(33, list(where))), ([(1, "red")] * 9 + [(2, "red")], [(1, "crimson")] * 9 + [(2, "red")]), ([(1, "AB-001")], [(1, "AB-002")]), ([], []), ([], [(1, "red")])]
+    for a, b in cases:
+        frames = [spark.createDataFrame([(n, t, where[t]) for n, t in rows], "n long, t string, e array<double>").repartition(parts) for rows in (a, b)]
+        assert tuple(evaluate.similar_sets(*frames, ["n", "t"], {"t": "e"}).first()) == by_hand(a, b)
+
+
 def test_entropies_do_not_depend_on_the_order_of_rows(spark):
     """Equal multisets of counts or scores have the same entropy to the last bit, however the rows are dealt out."""
     import math
