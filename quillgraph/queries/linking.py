@@ -10,7 +10,7 @@ from functools import partial
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import patterns, prompts, strings
+from ..functions import patterns, prompts, strings, tables
 from ..operators import ambiguity, candidates, entities, stats
 from ..plans.catalog import GraphSchema, PathDecl
 from ..plans.tpch import star_graph, table
@@ -103,6 +103,21 @@ def c_candidate_mapping(spark, sf_dir, k: int | None = 5):
     return mapping.select("question_id", "slot", "name", F.round("prob", 6).alias("prob"))
 
 
+@BOOK.add(
+    "p_rows",
+    """WITH s AS (SELECT event_id, upper(event_type) AS kind, user_id, value >= 50 AS on_, event_id % 2 = 0 AS back FROM events)
+    SELECT event_id, 'node' AS kind, 1 AS pos, CASE WHEN back THEN 'd' ELSE 'u' END AS alias, CASE WHEN back THEN 'Day' ELSE 'User_' || user_id END AS name, NULL::VARCHAR AS src, NULL::VARCHAR AS tgt, NULL::VARCHAR AS direction, NULL::BOOLEAN AS active FROM s
+    UNION ALL SELECT event_id, 'node', 2, CASE WHEN back THEN '_n0' ELSE 'd' END, CASE WHEN back THEN 'User_' || user_id ELSE 'Day' END, NULL, NULL, NULL, NULL FROM s
+    UNION ALL SELECT event_id, 'relationship', 1, NULL, kind, CASE WHEN back THEN 'd' ELSE 'u' END, CASE WHEN back THEN '_n0' ELSE 'd' END, CASE WHEN back THEN '<-' ELSE '->' END, on_ FROM s""",
+)
+def p_rows(spark, sf_dir):
+    """Nodes and relationships of a pattern for every event as rows, by the table function in a lateral join."""
+    user = F.concat(F.lit("User_"), F.col("user_id").cast("string"))
+    box = F.concat(F.lit("[:"), F.upper("event_type"), F.when(F.col("value") >= 50, " {since, active:true}]").otherwise(" {since}]"))
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("(d:Day {n:1})<-"), box, F.lit("-(:"), user, F.lit(")"))).otherwise(F.concat(F.lit("(u:"), user, F.lit(")-"), box, F.lit("->(d:Day)")))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("text")).lateralJoin(tables.pattern_rows(F.col("text").outer())).drop("text")
+
+
 @BOOK.add(
     "c_prefilter_cosine",
     """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),

@@ -127,3 +127,18 @@ def test_candidates_agree_and_temporal(spark):
 def test_prompt_pieces(spark):
     row = spark.range(1).select(prompts.paraphrases(F.lit("1. a?\n\n2) b?\nc"), 2).alias("p"), prompts.tried_block(F.array().cast("array<string>")).alias("t")).first()
     assert row["p"] == ["a?", "b?"] and row["t"] == "none"
+
+
+def test_pattern_rows(spark):
+    """The table function gives the rows that the parsed pattern exploded gives, in a lateral join."""
+    from quillgraph.functions import tables
+
+    texts = ["(a:A)-[:R {active:true}]->(b:B), (c)--(:D)", "(a)<-[r:S]-()", "", None, "(a", "no pattern", "(a:A)-[:R]->(b)-[:T]-(c:C)"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = sorted(map(tuple, df.select("id", F.inline(tables.parts_of(F.col("text")))).collect()), key=str)
+    got = df.lateralJoin(tables.pattern_rows(F.col("text").outer())).drop("text")
+    assert sorted(map(tuple, got.collect()), key=str) == want and len(want) == 14
+    tables.register(spark)
+    df.createOrReplaceTempView("pattern_texts")
+    sql = spark.sql("SELECT id, p.* FROM pattern_texts t, LATERAL pattern_rows(t.text) p")
+    assert sorted(map(tuple, sql.collect()), key=str) == want
