@@ -14,6 +14,83 @@ SCHEMA_RETRIES, SYNTAX_RETRIES, WRONG_RETRIES = 3, 2, 1
 OUT = "question_id string, failed boolean, reason string, retry_count int, generations int, links int, commits int, evaluations int, first_flags string, verdict string, feedbacks string, tried array<string>"
 
 
+class Machine:
+    """Where a question stands in its loops: advance() takes one generation's verdict and, if that was accepted, the
+    outcome of its evaluation. `state` is all there is to it, a dict of plain values that can be stored and taken up."""
+
+    def __init__(self, condition: str, linked: bool = True, ambiguous: bool = False, exhausted_at: int | None = None, choices: list[str] | None = None, state: dict | None = None):
+        self.full = condition == "disambiguation_enhanced"
+        self.links, self.linked, self.ambiguous, self.exhausted_at, self.choices = condition != "baseline", linked, ambiguous, exhausted_at, choices
+        fresh = dict(failed=False, reason=None, retry_count=0, generations=0, links=0, commits=0, evaluations=0, first_flags="", verdict=None, feedbacks="", tried=[])
+        self.state = state or fresh | dict(again=0, syntax=0, feedback=False, done=False)
+        if state is None:
+            self._link()
+
+    def _fail(self, reason: str) -> None:
+        self.state |= dict(failed=True, reason=reason, done=True)
+
+    def _link(self) -> None:
+        """A round of the outer loop begins."""
+        self.state["again"] = 0
+        if self.links:
+            self.state["links"] += 1
+            if not self.linked:
+                return self._fail("schema_linker_no_valid_beams")
+        return self._commit()
+
+    def _commit(self) -> None:
+        """A pattern is committed to; without a candidate that is left the question ends."""
+        s = self.state
+        s["syntax"] = 0
+        if not (self.full and (self.ambiguous or s["again"] or s["retry_count"])):
+            return
+        s["commits"] += 1
+        fresh = next((c for c in self.choices if c and c not in s["tried"]), None) if self.choices is not None else None
+        if self.exhausted_at is not None and s["commits"] >= self.exhausted_at or self.choices is not None and fresh is None:
+            s["done"] = True
+        elif fresh is not None:
+            s["tried"] = [*s["tried"], fresh]
+
+    def advance(self, verdict: str, outcome: str | None = None) -> None:
+        s = self.state
+        if s["done"]:
+            return
+        s["feedbacks"] += "1" if s["feedback"] else "0"
+        s["generations"] += 1
+        s["verdict"], s["feedback"] = verdict, verdict != "accept"
+        if verdict == "syntax":
+            s["syntax"] += 1
+            if s["syntax"] > SYNTAX_RETRIES:
+                self._fail("max_syntax_retries_exhausted")
+        elif verdict == "schema":
+            if s["retry_count"] == SCHEMA_RETRIES:
+                self._fail("max_schema_retries_exhausted")
+            else:
+                s["retry_count"] += 1
+                self._link()
+        elif verdict == "accept":
+            s["first_flags"] += "0" if s["retry_count"] or s["again"] else "1"
+            s["evaluations"] += 1
+            if self.full and outcome == "wrong_result" and s["again"] < WRONG_RETRIES:
+                s["again"] += 1
+                self._commit()
+            else:
+                s["done"] = True
+        else:
+            s["done"] = True
+
+    def final(self) -> dict:
+        return {c.split()[0]: self.state[c.split()[0]] for c in OUT.split(", ")[1:]}
+
+
+def finish(machine: Machine, verdict: str, outcomes: list[str]) -> dict:
+    """The final state if the last verdict and outcome repeat."""
+    while not machine.state["done"]:
+        n = machine.state["evaluations"]
+        machine.advance(verdict, outcomes[min(n, len(outcomes) - 1)])
+    return machine.final()
+
+
 def fold(condition: str, steps: list[str], linked: bool = True, ambiguous: bool = False, exhausted_at: int | None = None, outcomes: list[str] | None = None, choices: list[str] | None = None) -> dict:
     """Run the state machine over scripted verdicts (accept, syntax, schema) and evaluation outcomes.
 
@@ -21,51 +98,10 @@ def fold(condition: str, steps: list[str], linked: bool = True, ambiguous: bool
     candidates run out. With `choices`, the rendered candidates in order, each commitment takes the first whose text no
     earlier one of the question had, in whichever loop, and runs out of them where there is none.
     """
-    full = condition == "disambiguation_enhanced"
-    out = dict(failed=False, reason=None, retry_count=0, generations=0, links=0, commits=0, evaluations=0, verdict=None)
-    firsts, feedbacks, feedback, tried = [], [], False, []
-    outcomes = outcomes or ["correct"]
-
-    def nth(script: list[str], i: int) -> str:
-        return script[min(i, len(script) - 1)]
-
-    for outer in range(SCHEMA_RETRIES + 1):
-        out["retry_count"] = outer
-        if condition != "baseline":
-            out["links"] += 1
-            if not linked:
-                return out | dict(failed=True, reason="schema_linker_no_valid_beams", first_flags="", feedbacks="", tried=tried)
-        schema_failed = False
-        for again in range(WRONG_RETRIES + 1):
-            if full and (ambiguous or again or outer):
-                out["commits"] += 1
-                fresh = next((c for c in choices if c and c not in tried), None) if choices is not None else None
-                if exhausted_at is not None and out["commits"] >= exhausted_at or choices is not None and fresh is None:
-                    break
-                if fresh is not None:
-                    tried.append(fresh)
-            for syntax in range(SYNTAX_RETRIES + 1):
-                feedbacks.append("1" if feedback else "0")
-                out["verdict"] = nth(steps, out["generations"])
-                out["generations"] += 1
-                feedback = out["verdict"] != "accept"
-                if out["verdict"] != "syntax":
-                    break
-                if syntax == SYNTAX_RETRIES:
-                    out |= dict(failed=True, reason="max_syntax_retries_exhausted")
-            schema_failed = out["verdict"] == "schema"
-            if out["verdict"] != "accept":
-                break
-            firsts.append("1" if not outer and not again else "0")
-            result = nth(outcomes, out["evaluations"])
-            out["evaluations"] += 1
-            if not (full and result == "wrong_result"):
-                break
-        if not schema_failed or out["failed"]:
-            break
-    else:
-        out |= dict(failed=True, reason="max_schema_retries_exhausted")
-    return out | dict(first_flags="".join(firsts), feedbacks="".join(feedbacks), tried=tried)
+    machine, outcomes = Machine(condition, linked, ambiguous, exhausted_at, choices), outcomes or ["correct"]
+    for verdict in steps[:-1]:
+        machine.advance(verdict, outcomes[min(machine.state["evaluations"], len(outcomes) - 1)])
+    return finish(machine, steps[-1], outcomes)
 
 
 def run(scripts: DataFrame) -> DataFrame:

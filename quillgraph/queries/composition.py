@@ -5,10 +5,13 @@ The event stream stands in for model output here too: an event, or a user, is a
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns, prompts, strings
-from ..operators import ambiguity, candidates, compose, gates, metrics, prep, stats, walks
+from ..operators import ambiguity, candidates, compose, gates, metrics, prep, retry, stats, walks
 from ..plans.catalog import GraphSchema, PathDecl
 from ..plans.tpch import star, table
 from ..sources import benchmark
@@ -405,3 +408,53 @@ def g_case(spark, sf_dir):
     return star(spark, sf_dir).cypher(
         "MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.n_name AS n_name, CASE WHEN r.r_name = 'ASIA' THEN 'east' WHEN r.r_name = 'EUROPE' THEN 'west' ELSE 'other' END AS side, split(r.r_name, 'I') AS parts, substring(n.n_name, 1) AS rest"
     )
+
+
+RETRIES = """WITH RECURSIVE a AS (
+        SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, CASE event_type WHEN 'click' THEN 'syntax' WHEN 'error' THEN 'schema' ELSE 'accept' END AS v, event_type <> 'purchase' AND user_id % 2 = 0 AS wrong FROM events
+    ), n AS (SELECT user_id, max(step) AS n FROM a GROUP BY 1), m AS (
+        SELECT user_id, 0 AS step, 0 AS rounds, 0 AS again, 0 AS syn, 0 AS evaluations, '' AS first_flags, '' AS feedbacks, false AS feedback, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS verdict, false AS done FROM n
+        UNION ALL
+        SELECT user_id, step + 1, CASE WHEN v = 'schema' AND rounds < 3 THEN rounds + 1 ELSE rounds END, CASE WHEN v = 'schema' THEN 0 WHEN once THEN again + 1 ELSE again END,
+            CASE WHEN v = 'syntax' THEN syn + 1 ELSE 0 END, evaluations + (v = 'accept')::INT, first_flags || CASE WHEN v = 'accept' THEN CASE WHEN rounds = 0 AND again = 0 THEN '1' ELSE '0' END ELSE '' END,
+            feedbacks || feedback::INT, v <> 'accept', CASE WHEN v = 'syntax' AND syn = 2 THEN 'max_syntax_retries_exhausted' WHEN v = 'schema' AND rounds = 3 THEN 'max_schema_retries_exhausted' END, v,
+            CASE v WHEN 'syntax' THEN syn = 2 WHEN 'schema' THEN rounds = 3 ELSE NOT once END
+        FROM (SELECT m.*, a.v, a.v = 'accept' AND a.wrong AND m.again = 0 AS once FROM m JOIN n ON n.user_id = m.user_id JOIN a ON a.user_id = m.user_id AND a.step = least(m.step + 1, n.n) WHERE NOT m.done)
+    ) SELECT CAST(user_id AS VARCHAR) AS question_id, reason IS NOT NULL AS failed, reason, rounds AS retry_count, step AS generations, evaluations, first_flags, feedbacks, verdict FROM m WHERE done"""
+RETRY_COLUMNS = ("question_id", "failed", "reason", "retry_count", "generations", "evaluations", "first_flags", "feedbacks", "verdict")
+
+
+def attempts_of(spark, sf_dir):
+    """Events as attempts: clicks fail on syntax, errors on the schema, and only a purchase is right."""
+    kind = F.col("event_type")
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    verdict = F.when(kind == "click", "syntax").when(kind == "error", "schema").otherwise("accept")
+    condition = F.when(F.col("user_id") % 2 == 0, "disambiguation_enhanced").otherwise("schema_linked")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("question_id"), step.alias("step"), F.col("ts").cast("timestamp").alias("ts"), condition.alias("condition"), verdict.alias("verdict"),
+        F.when(verdict == "accept", F.when(kind == "purchase", "correct").otherwise("wrong_result")).alias("outcome"), F.lit(True).alias("linked"), F.lit(False).alias("ambiguous"), F.lit(None).cast("int").alias("exhausted_at"), F.lit(None).cast("array<string>").alias("choices"),
+    )
+
+
+@BOOK.add("x_retry", RETRIES)
+def x_retry(spark, sf_dir):
+    """The retry loops of every user, folded over the whole script."""
+    return retry.run(attempts_of(spark, sf_dir)).select(*RETRY_COLUMNS)
+
+
+@BOOK.add("x_retry_stream", RETRIES)
+def x_retry_stream(spark, sf_dir):
+    """The same over a stream of attempts, with a state for each user; a row of a later time ends the stream's time."""
+    from ..plans.written import shared_dir
+    from ..streaming.retries import final_states
+
+    own = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    attempts = attempts_of(spark, sf_dir)
+    end = attempts.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(
+        *(F.col("ts") if f.name == "ts" else F.lit(0 if f.name == "step" else "end" if f.name == "question_id" else None).cast(f.dataType).alias(f.name) for f in attempts.schema.fields)
+    )
+    attempts.unionByName(end).write.parquet(f"{own}/attempts")
+    stream = spark.readStream.schema(attempts.schema).parquet(f"{own}/attempts").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    query = final_states(stream).writeStream.format("parquet").option("path", f"{own}/final").option("checkpointLocation", f"{own}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{own}/final").where("question_id <> 'end'").select(*RETRY_COLUMNS)
