@@ -14,13 +14,13 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import frontier
 from .catalog import EdgeTable, Graph
 from .lexer import CypherError
-from .syntax import AGGREGATES, Call, Index, Item, ListOf, Literal, Match, Node, Op, Param, Project, Prop, Query, Rel, Union, Unwind, Var, parse, walk
+from .syntax import AGGREGATES, Call, Exists, Index, Item, ListOf, Literal, Match, Node, Op, Param, Procedure, Project, Prop, Query, Rel, Subquery, Union, Unwind, Var, parse, walk
 
 #: Functions whose value is a list.
 LISTS = frozenset(("collect", "labels", "nodes", "relationships", "range", "split", "keys"))
@@ -91,23 +91,34 @@ class Uses:
         elif isinstance(e, ListOf):
             for a in e.items:
                 self.expression(a, whole)
+        elif isinstance(e, Exists):
+            self.match(e.match)
+
+    def match(self, match: Match) -> None:
+        if match.where is not None:
+            self.expression(match.where, False)
+        for path in match.paths:
+            for part in (*path.nodes, *path.rels):
+                for _, e in part.props:
+                    self.expression(e, False)
 
     @classmethod
-    def of(cls, query: Query) -> Uses:
-        uses = cls()
+    def of(cls, query: Query, inner: bool = False, uses: Uses | None = None) -> Uses:
+        uses = uses or cls()
         for clause in query.clauses:
             if isinstance(clause, Match):
-                if clause.where is not None:
-                    uses.expression(clause.where, False)
-                for path in clause.paths:
-                    for part in (*path.nodes, *path.rels):
-                        for _, e in part.props:
-                            uses.expression(e, False)
+                uses.match(clause)
             elif isinstance(clause, Unwind):
                 uses.expression(clause.source, False)
+            elif isinstance(clause, Subquery):
+                for part in clause.query.parts:
+                    cls.of(part, True, uses)
+            elif isinstance(clause, Procedure):
+                if clause.where is not None:
+                    uses.expression(clause.where, False)
             else:
                 for item in clause.items:
-                    uses.expression(item.expr, clause.final)
+                    uses.expression(item.expr, clause.final and not inner)
                 for e, _ in clause.order:
                     uses.expression(e, False)
                 if clause.where is not None:
@@ -115,6 +126,38 @@ class Uses:
         return uses
 
 
+def _aggregates(e) -> bool:
+    return any(isinstance(x, Call) and x.name in AGGREGATES for x in walk(e))
+
+
+def _emptied(e):
+    """An expression with its aggregates over no rows."""
+    if isinstance(e, Call) and e.name in AGGREGATES:
+        return Literal(0) if e.name in ("count", "sum") else ListOf(()) if e.name == "collect" else Literal(None)
+    if isinstance(e, Call | Op):
+        return replace(e, args=tuple(map(_emptied, e.args)))
+    return e
+
+
+def _replaced(e, old, new):
+    """An expression with a part of it replaced."""
+    if e == old:
+        return new
+    return replace(e, args=tuple(_replaced(a, old, new) for a in e.args)) if isinstance(e, Call | Op) else e
+
+
+def _deep(e):
+    """An expression and the conditions of patterns inside it."""
+    for x in walk(e):
+        yield x
+        if isinstance(x, Exists):
+            for part in (p for path in x.match.paths for p in (*path.nodes, *path.rels)):
+                for _, own in part.props:
+                    yield from _deep(own)
+            if x.match.where is not None:
+                yield from _deep(x.match.where)
+
+
 class Compiler:
     def __init__(self, spark: SparkSession, graph: Graph, params: dict | None = None):
         self.spark, self.graph, self.params = spark, graph, params or {}
@@ -131,17 +174,110 @@ class Compiler:
 
     def single(self, query: Query) -> DataFrame:
         self.uses = Uses.of(query)
-        df, scope = None, {}
-        for clause in query.clauses:
+        return self.clauses(None, {}, query.clauses, ())[0]
+
+    def clauses(self, df: DataFrame | None, scope: Scope, clauses: list, keep: tuple[str, ...]) -> tuple[DataFrame, Scope]:
+        """Clauses in order. `keep` are variables of an outer query, for each binding of which they stand alone."""
+        for clause in clauses:
             if isinstance(clause, Match):
                 df, scope = self.optional(df, scope, clause) if clause.optional else self.match(df, scope, clause)
             elif isinstance(clause, Unwind):
                 source = self.expr(clause.source, scope)
                 df = (self.one_row() if df is None else df).withColumn(_value(clause.var), F.explode(source))
                 scope = scope | {clause.var: Bound("value")}
+            elif isinstance(clause, Subquery):
+                df, scope = self.subquery(self.one_row() if df is None else df, scope, clause.query)
+            elif isinstance(clause, Procedure):
+                df, scope = self.procedure(df, scope, clause)
             else:
-                df, scope = self.project(self.one_row() if df is None else df, scope, clause)
-        return df
+                df, scope = self.project(self.one_row() if df is None else df, scope, clause, keep)
+        return df, scope
+
+    # subqueries and procedures
+    def filtered(self, df: DataFrame, scope: Scope, where) -> DataFrame:
+        """Rows for which a condition holds. An EXISTS that stands alone, or negated, is a semi or anti join; inside
+        other conditions it is a flag that is joined on."""
+        if isinstance(where, Op) and where.name == "and":
+            return self.filtered(self.filtered(df, scope, where.args[0]), scope, where.args[1])
+        negated, e = False, where
+        while isinstance(e, Op) and e.name == "not":
+            negated, e = not negated, e.args[0]
+        if isinstance(e, Exists):
+            return self.found(df, scope, e.match, "left_anti" if negated else "left_semi")
+        columns = df.columns
+        for n, inner in enumerate(dict.fromkeys(x for x in walk(where) if isinstance(x, Exists))):
+            df = self.found(df, scope, inner.match, "left", f"__found{n}")
+            where, scope = _replaced(where, inner, Var(f"__found{n}")), scope | {f"__found{n}": Bound("value")}
+        return df.where(self.expr(where, scope)).select(*(c(k) for k in columns))
+
+    def found(self, df: DataFrame, scope: Scope, match: Match, how: str, flag: str = "") -> DataFrame:
+        """df joined with the distinct bindings of its variables for which the pattern is found."""
+        named = {x.var for p in match.paths for x in (*p.nodes, *p.rels)}
+        inside = [match.where, *(e for p in match.paths for x in (*p.nodes, *p.rels) for _, e in x.props)]
+        named |= {x.name for e in inside if e is not None for y in _deep(e) for x in walk(y) if isinstance(x, Var)} | {x.var for e in inside if e is not None for y in _deep(e) if isinstance(y, Exists) for p in y.match.paths for x in p.nodes}
+        shared = [v for v in scope if v in named and scope[v].kind != "rels"]
+        held = [k for v in shared for k in _columns(v, scope[v])]
+        inner, _ = self.match(df.select(*(c(k) for k in held)).distinct() if held else None, {v: scope[v] for v in shared}, match)
+        keys = inner.select(*(c(k).alias(f"__{k}") for k in held), F.lit(True).alias("__hit"))
+        keys = keys.distinct() if held else keys.limit(1)
+        on = reduce(lambda x, y: x & y, (c(k).eqNullSafe(c(f"__{k}")) for k in held), F.lit(True))
+        out = df.join(keys, on, how)
+        return out if how != "left" else out.withColumn(_value(flag), F.coalesce("__hit", F.lit(False))).drop("__hit", *(f"__{k}" for k in held))
+
+    def subquery(self, df: DataFrame, scope: Scope, union: Union) -> tuple[DataFrame, Scope]:
+        """A query for each row: run once for the distinct values of what it imports, grouped and cut by them, and joined back.
+
+        Where it only aggregates, a row for which nothing is found has the aggregates of no rows.
+        """
+        parts, held, defaults, after = [], None, {}, {}
+        for query in union.parts:
+            first, clauses = query.clauses[0], list(query.clauses)
+            imports: tuple[str, ...] = ()
+            if isinstance(first, Project) and not first.final and not first.order and first.limit is None and first.where is None and all(isinstance(i.expr, Var) and i.alias == i.expr.name for i in first.items):
+                imports, clauses = tuple(i.alias for i in first.items) or tuple(v for v in scope if scope[v].kind != "rels"), clauses[1:]
+            for v in imports:
+                self._lookup(v, scope)
+            own = [k for v in imports for k in _columns(v, scope[v])]
+            if held is not None and held != own:
+                raise CypherError("the parts of a subquery must import the same variables")
+            held = own
+            last = clauses[-1] = replace(clauses[-1], final=False)
+            inner, found = self.clauses(df.select(*(c(k) for k in held)).distinct() if held else None, {v: scope[v] for v in imports}, clauses, imports)
+            after = {v: b for v, b in found.items() if v not in imports}
+            if any(v in scope for v in after):
+                raise CypherError("a subquery returns a variable that is bound already")
+            if len(union.parts) == 1 and last.items and not last.star and all(_aggregates(i.expr) for i in last.items):
+                defaults = {_value(i.alias): self.expr(_emptied(i.expr), {}) for i in last.items}
+            fresh = [k for v, b in after.items() for k in _columns(v, b)]
+            parts.append(inner.select(*(c(k).alias(f"__{k}") for k in held), *(c(k) for k in fresh)))
+        if any(sorted(p.columns) != sorted(parts[0].columns) for p in parts):
+            raise CypherError("the parts of a UNION must return the same columns")
+        found = reduce(DataFrame.unionByName, parts)
+        found = found if union.all or len(parts) == 1 else found.distinct()
+        if not held:
+            return df.crossJoin(found), scope | after
+        on = reduce(lambda x, y: x & y, (c(k).eqNullSafe(c(f"__{k}")) for k in held))
+        out = df.join(found, on, "left" if defaults else "inner").drop(*(f"__{k}" for k in held))
+        kinds = {f.name: f.dataType for f in found.schema.fields}
+        return out.withColumns({k: F.coalesce(c(k), e.cast(kinds[k])) for k, e in defaults.items()}), scope | after
+
+    def procedure(self, df: DataFrame | None, scope: Scope, call: Procedure) -> tuple[DataFrame, Scope]:
+        """A table of the catalog for every row so far."""
+        schema = self.graph.schema
+        tables = {
+            "db.labels": ("label", schema.labels), "db.relationshiptypes": ("relationshipType", schema.types),
+            "db.propertykeys": ("propertyKey", sorted({p for names in schema.props.values() for p in names})),
+        }
+        if call.name not in tables:
+            raise CypherError(f"unknown procedure {call.name}")
+        column, values = tables[call.name]
+        yields = call.yields or ((column, column),)
+        if any(name != column for name, _ in yields):
+            raise CypherError(f"{call.name} yields {column}")
+        rows = self.spark.createDataFrame([(v,) for v in values], "v string").select(*(c("v").alias(_value(v)) for _, v in yields))
+        df = rows if df is None else df.crossJoin(rows)  # as many rows as the catalog has names
+        scope = scope | {v: Bound("value") for _, v in yields}
+        return (df if call.where is None else self.filtered(df, scope, call.where)), scope
 
     def one_row(self) -> DataFrame:
         return self.spark.range(1).select()
@@ -322,7 +458,7 @@ class Compiler:
                 length = reduce(lambda x, y: x + y, (F.size(c(f"{r.var}__ids")) for r in path.rels if r.hi is not None), F.lit(fixed))
                 df, known[path.var] = df.withColumn(_value(path.var), length.cast("long")), Bound("value")
         if match.where is not None:
-            df = df.where(self.expr(match.where, known))
+            df = self.filtered(df, known, match.where)
         return df, known
 
     @staticmethod
@@ -436,14 +572,11 @@ class Compiler:
         return out, scope | {v: b for v, b in found.items() if v not in scope}
 
     # projections
-    def project(self, df: DataFrame, scope: Scope, p: Project) -> tuple[DataFrame, Scope]:
+    def project(self, df: DataFrame, scope: Scope, p: Project, keep: tuple[str, ...] = ()) -> tuple[DataFrame, Scope]:
         items = ([Item(Var(v), v) for v, b in scope.items() if not v.startswith("_") and b.kind != "rels"] if p.star else []) + list(p.items)
+        items = [Item(Var(v), v) for v in keep if all(i.alias != v for i in items)] + items
         if len({i.alias for i in items}) < len(items):
             raise CypherError("a column name occurs twice")
-
-        def aggregate(e) -> bool:
-            return any(isinstance(x, Call) and x.name in AGGREGATES for x in walk(e))
-
         after: Scope = {}
         columns: list[Column] = []
         sums: list[Column] = []
@@ -455,22 +588,22 @@ class Compiler:
                 columns += [c(x).alias(y) for x, y in zip(_columns(e.name, b), _columns(item.alias, b), strict=True)]
             else:
                 after[item.alias] = Bound("value")
-                (sums if aggregate(e) else columns).append(self.expr(e, scope).alias(_value(item.alias)))
+                (sums if _aggregates(e) else columns).append(self.expr(e, scope).alias(_value(item.alias)))
         names = [n for v, b in after.items() for n in _columns(v, b)]
         if sums:
             df = df.groupBy(*columns).agg(*sums) if columns else df.agg(*sums)
-            df = self._sorted(df, p, after, dict(after), items)
+            df = self._sorted(df, p, after, dict(after), items, keep)
         elif p.distinct:
-            df = self._sorted(df.select(*columns).distinct(), p, after, dict(after), items)
+            df = self._sorted(df.select(*columns).distinct(), p, after, dict(after), items, keep)
         elif p.order:
             # sort keys may be variables that are not returned
             both = df.select("*", *(x for x in columns if self._name(x) not in df.columns))
-            df = self._sorted(both, p, after, scope | after, items)
+            df = self._sorted(both, p, after, scope | after, items, keep)
         else:
-            df = self._sorted(df.select(*columns), p, after, dict(after), items)
+            df = self._sorted(df.select(*columns), p, after, dict(after), items, keep)
         df = df.select(*(c(n) for n in names))
         if p.where is not None:
-            df = df.where(self.expr(p.where, after))
+            df = self.filtered(df, after, p.where)
         if p.final:
             df = df.select(*(self._returned(v, b).alias(v) for v, b in after.items()))
         return df, after
@@ -479,13 +612,21 @@ class Compiler:
     def _name(column: Column) -> str:
         return column._jc.toString().rsplit(" AS ", 1)[-1].strip("`")
 
-    def _sorted(self, df: DataFrame, p: Project, after: Scope, scope: Scope, items: list[Item]) -> DataFrame:
-        if p.order:
-            known = {i.expr: i.alias for i in items}
-            keys = []
-            for e, down in p.order:
-                k = self.expr(Var(known[e]), after) if e in known else self.expr(e, scope)
-                keys.append(k.desc_nulls_first() if down else k.asc_nulls_last())
+    def _sorted(self, df: DataFrame, p: Project, after: Scope, scope: Scope, items: list[Item], keep: tuple[str, ...]) -> DataFrame:
+        keys = []
+        known = {i.expr: i.alias for i in items}
+        for e, down in p.order:
+            k = self.expr(Var(known[e]), after) if e in known else self.expr(e, scope)
+            keys.append(k.desc_nulls_first() if down else k.asc_nulls_last())
+        if keep:
+            # inside a subquery the first rows are those of each binding; an order alone says nothing outside it
+            if p.skip or p.limit is not None:
+                part = Window.partitionBy(*(c(k) for v in keep for k in _columns(v, after[v]))).orderBy(*(keys or [F.lit(0)]))
+                low = p.skip or 0
+                place = F.row_number().over(part)
+                df = df.withColumn("__place", place).where((c("__place") > low) & (F.lit(True) if p.limit is None else c("__place") <= low + p.limit)).drop("__place")
+            return df
+        if keys:
             df = df.orderBy(*keys)
         if p.skip:
             df = df.offset(p.skip)

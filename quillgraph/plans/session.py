@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .catalog import Graph, GraphSchema
 from .compiler import Compiler
 from .lexer import CypherError
-from .syntax import Match, Node, Prop, Rel, Var, parse, walk
+from .syntax import Exists, Match, Node, Procedure, Prop, Rel, Subquery, Var, parse, walk
 
 
 @dataclass
@@ -121,21 +121,34 @@ def validate(text: str, schema: GraphSchema) -> Verdict:
 
 
 def _parts(query):
-    """Every node, relationship and expression of a query."""
+    """Every node, relationship and expression of a query, and of the queries and patterns inside it."""
     for clause in query.clauses:
-        exprs = []
         if isinstance(clause, Match):
-            for path in clause.paths:
-                for part in (*path.nodes, *path.rels):
-                    yield part
-                    exprs += [e for _, e in part.props]
-            exprs += [clause.where] if clause.where is not None else []
+            yield from _match_parts(clause)
+        elif isinstance(clause, Subquery):
+            for part in clause.query.parts:
+                yield from _parts(part)
         elif hasattr(clause, "items"):
-            exprs += [i.expr for i in clause.items] + [e for e, _ in clause.order] + ([clause.where] if clause.where is not None else [])
+            for e in [i.expr for i in clause.items] + [e for e, _ in clause.order] + [clause.where]:
+                yield from _expressions(e)
         else:
-            exprs.append(clause.source)
-        for e in exprs:
-            yield from walk(e)
+            yield from _expressions(clause.where if isinstance(clause, Procedure) else clause.source)
+
+
+def _match_parts(match: Match):
+    for path in match.paths:
+        for part in (*path.nodes, *path.rels):
+            yield part
+            for _, e in part.props:
+                yield from _expressions(e)
+    yield from _expressions(match.where)
+
+
+def _expressions(e):
+    for x in walk(e) if e is not None else ():
+        yield x
+        if isinstance(x, Exists):
+            yield from _match_parts(x.match)
 
 
 _RELATION = re.compile(r"\[[^\]{]*:")

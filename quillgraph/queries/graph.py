@@ -170,6 +170,40 @@ _star(
 )
 _star("g_union", "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN n.n_name AS nation UNION MATCH (s:Supplier)-[:BASED_IN]->(n:Nation) RETURN n.n_name AS nation", "SELECT n_name AS nation FROM nation JOIN customer ON c_nationkey = n_nationkey UNION SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey")
 _star("g_union_all", "MATCH (c:Customer {c_mktsegment:'MACHINERY'}) RETURN c.c_name AS name UNION ALL MATCH (s:Supplier) RETURN s.s_name AS name", "SELECT c_name AS name FROM customer WHERE c_mktsegment = 'MACHINERY' UNION ALL SELECT s_name FROM supplier")
+_star(
+    "g_exists",
+    "MATCH (c:Customer) WHERE EXISTS { MATCH (c)-[:PLACED]->(o:Order {o_orderstatus:'P'}) WHERE o.o_totalprice > c.c_acctbal * 20 } AND NOT EXISTS { (c)-[:PLACED]->(:Order)-[:SUPPLIED_BY]->(:Supplier)-[:BASED_IN]->(n:Nation)<-[:IN_NATION]-(c) } RETURN c.c_custkey AS ckey",
+    """SELECT c_custkey AS ckey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > c_acctbal * 20)
+       AND NOT EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_custkey = c_custkey AND s_nationkey = c_nationkey)""",
+)
+_star(
+    "g_exists_either",
+    "MATCH (p:Part) WHERE p.p_size = 5 OR EXISTS { (p)<-[l:CONTAINS]-(o:Order {o_orderstatus:'P'}) WHERE l.l_quantity >= 48 AND EXISTS { (o)<-[:PLACED]-(:Customer {c_mktsegment:'MACHINERY'}) } } RETURN p.p_partkey AS pkey",
+    """SELECT p_partkey AS pkey FROM part WHERE p_size = 5 OR EXISTS (SELECT 1 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+       WHERE l_partkey = p_partkey AND l_quantity >= 48 AND o_orderstatus = 'P' AND c_mktsegment = 'MACHINERY')""",
+)
+_star(
+    "g_call_count",
+    "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) CALL { WITH c MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_orderstatus = 'P' RETURN count(o) AS pending, sum(o.o_totalprice) AS total } RETURN n.n_name AS nation, max(pending) AS most, count(*) AS customers, round(sum(total)) AS total",
+    """SELECT n_name AS nation, max(pending) AS most, count(*) AS customers, round(sum(total)) AS total FROM customer JOIN nation ON n_nationkey = c_nationkey,
+       LATERAL (SELECT count(*) AS pending, coalesce(sum(o_totalprice), 0) AS total FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') GROUP BY n_nationkey, n_name""",
+)
+_star(
+    "g_call_topk",
+    "MATCH (c:Customer {c_mktsegment:'MACHINERY'}) CALL { WITH c MATCH (c)-[:PLACED]->(o:Order) RETURN o ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 2 } RETURN c.c_name AS name, o.o_orderkey AS okey, o.o_totalprice AS price",
+    """SELECT c_name AS name, o_orderkey AS okey, o_totalprice AS price FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r
+       FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY') WHERE r <= 2""",
+)
+_star(
+    "g_db_labels",
+    "CALL db.labels() YIELD label MATCH (x) WHERE labels(x)[0] = label RETURN label, count(x) AS n",
+    "SELECT 'Region' AS label, count(*) AS n FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders",
+)
+_stream(
+    "g_db_types",
+    "CALL db.relationshipTypes() YIELD relationshipType AS kind WHERE kind <> 'VIEW' CALL { WITH kind MATCH (:User)-[r]->(:Day) WHERE type(r) = kind RETURN count(r) AS n, avg(r.value) AS mean } RETURN kind, n, round(mean * 100) AS mean",
+    "SELECT upper(event_type) AS kind, count(*) AS n, round(avg(value) * 100) AS mean FROM events WHERE event_type <> 'view' GROUP BY 1",
+)
 _star("g_unwind", "UNWIND [1, 3, 5] AS size MATCH (p:Part) WHERE p.p_size = size RETURN size, count(p) AS parts", "SELECT CAST(p_size AS INTEGER) AS size, count(*) AS parts FROM part WHERE p_size IN (1, 3, 5) GROUP BY 1")
 _star("g_skip", "MATCH (c:Customer) RETURN c.c_custkey AS ckey ORDER BY c.c_custkey SKIP 20 LIMIT 15", "SELECT c_custkey AS ckey FROM customer ORDER BY 1 LIMIT 15 OFFSET 20")
 _star(

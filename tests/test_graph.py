@@ -86,6 +86,41 @@ def test_variable_length(session):
         session.cypher("MATCH (a)-[*]->(b) RETURN a")
 
 
+def test_exists(session):
+    assert rows(session, "MATCH (p:Sailor) WHERE EXISTS { (p)-[:MOORED_AT {active:true}]->() } RETURN p.name") == [("Ann; Lee",), ("Bo",)]
+    assert rows(session, "MATCH (p:Sailor) WHERE NOT EXISTS { MATCH (p)-[:MOORED_AT]->(l) WHERE l.coast = 'Y' } RETURN p.name") == [("Bo",), ("Cy",)]
+    assert rows(session, "MATCH (p:Sailor) WHERE p.name = 'Cy' OR NOT NOT EXISTS { (p)-[:MOORED_AT]->({coast:'Y'}) } RETURN p.name") == [("Ann; Lee",), ("Cy",)]
+    assert rows(session, "MATCH (p:Sailor)-[:MOORED_AT]->(l) WITH p, l WHERE EXISTS { (q:Sailor)-[:MOORED_AT]->(l) WHERE q.name <> p.name } RETURN DISTINCT p.name") == [("Ann; Lee",), ("Bo",)]
+    # nested, and without a variable of the outer query
+    assert rows(session, "MATCH (p:Sailor) WHERE EXISTS { (p)-[:MET_WITH]-(q) WHERE EXISTS { (q)-[:MOORED_AT]->({coast:'Y'}) } } RETURN p.name") == [("Bo",)]
+    assert len(rows(session, "MATCH (p:Sailor) WHERE EXISTS { (:Harbour {coast:'X'}) } RETURN p.name")) == 3
+    assert rows(session, "MATCH (p:Sailor) WHERE EXISTS { (:Harbour {coast:'Z'}) } RETURN p.name") == []
+
+
+def test_subqueries(session):
+    each = "MATCH (p:Sailor) CALL { WITH p MATCH (p)-[:MOORED_AT]->(l) RETURN count(l) AS n, collect(l.coast) AS coasts, max(l.coast) AS last } RETURN p.name AS name, n, size(coasts) AS k, last"
+    assert rows(session, each) == [("Ann; Lee", 2, 2, "Y"), ("Bo", 1, 1, "X"), ("Cy", 0, 0, None)]
+    assert rows(session, "MATCH (p:Sailor) CALL { WITH p MATCH (p)-[:MOORED_AT]->(l) RETURN l ORDER BY l.coast DESC LIMIT 1 } RETURN p.name AS name, l.coast AS t") == [("Ann; Lee", "Y"), ("Bo", "X")]
+    assert rows(session, "MATCH (p:Sailor) CALL { WITH p MATCH (p)-[:MOORED_AT]->(l) RETURN l.coast AS t SKIP 1 } RETURN p.name AS name, count(t) AS n") == [("Ann; Lee", 1)]
+    assert rows(session, "MATCH (p:Sailor) CALL { MATCH (l:Harbour) RETURN count(l) AS n } RETURN p.name AS name, n") == [("Ann; Lee", 2), ("Bo", 2), ("Cy", 2)]
+    both = "MATCH (p:Sailor) CALL { WITH p MATCH (p)-[:MOORED_AT]->(l) RETURN l.coast AS t UNION WITH p MATCH (p)-[:MET_WITH]-(q) RETURN q.name AS t } RETURN p.name AS name, t"
+    assert rows(session, both) == [("Ann; Lee", "Bo"), ("Ann; Lee", "X"), ("Ann; Lee", "Y"), ("Bo", "Ann; Lee"), ("Bo", "X"), ("Cy", "Cy")]
+    # aggregates inside are those of each row, in WITH too
+    assert rows(session, "MATCH (p:Sailor) CALL { WITH p MATCH (p)-[:MOORED_AT]->(l) WITH count(l) AS n WHERE n > 1 RETURN n } RETURN p.name AS name, n") == [("Ann; Lee", 2)]
+    for text in ("MATCH (p:Sailor) CALL { WITH q RETURN 1 AS x } RETURN x", "MATCH (p:Sailor) CALL { MATCH (l:Harbour) RETURN l AS p } RETURN p", "CALL db.nothing() YIELD label RETURN label", "CALL db.labels() YIELD name RETURN name"):
+        with pytest.raises(CypherError):
+            session.cypher(text)
+
+
+def test_procedures(session):
+    assert rows(session, "CALL db.labels()") == [("Harbour",), ("Sailor",)]
+    assert rows(session, "CALL db.relationshipTypes() YIELD relationshipType AS t WHERE t STARTS WITH 'MET' RETURN t") == [("MET_WITH",)]
+    assert ("coast",) in rows(session, "CALL db.propertyKeys() YIELD propertyKey RETURN propertyKey")
+    v = session.validate("MATCH (p:Sailor) WHERE EXISTS { (p)-[:NO_SUCH]->() } CALL { WITH p MATCH (p)-[:MET_WITH]->(q:Nobody) RETURN q } RETURN p")
+    assert (v.route_to, len(v.problems)) == ("schema_linker", 2)
+    assert session.validate("CALL db.labels() YIELD label MATCH (p:Sailor) WHERE p.name = label RETURN p").is_valid
+
+
 def test_errors_and_verdicts(session):
     assert session.execute("MATCH (p:Sailor {sailor_id:'none'}) RETURN p.name AS n").rows == []
     bad = session.execute("MATCH (p:Sailor RETURN p")
