@@ -39,72 +39,72 @@ def parse_beams(completions: DataFrame, schema: GraphSchema, check: bool = True)
     return df.withColumn("valid", F.col("parsed.ok") & nodes & rels)
 
 
-def _elements(valid: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Relationships and labelled nodes of valid beams by position, relationships from source to target."""
-    hops = valid.select("question_id", "rank", "score", F.col("parsed.nodes").alias("_nodes"), F.posexplode("parsed.rels").alias("pos", "r"))
-    a, b = label_of(F.col("_nodes"), F.col("r.src")), label_of(F.col("_nodes"), F.col("r.tgt"))
-    back = F.col("r.direction") == "<-"
-    rels = hops.select(
-        "question_id", "rank", "score", (F.col("pos") + 1).alias("pos"), F.lit("relationship_type").alias("element_type"), F.col("r.type").alias("name"),
-        F.when(back, b).otherwise(a).alias("source_label"), F.when(back, a).otherwise(b).alias("target_label"), F.col("r.active").alias("active"),
-    )
-    spots = valid.select("question_id", "rank", "score", F.posexplode("parsed.nodes").alias("pos", "n")).where("n.label is not null")
-    nodes = spots.select("question_id", "rank", "score", (F.col("pos") + 1).alias("pos"), F.lit("node_label").alias("element_type"), F.col("n.label").alias("name"))
-    return rels, nodes
+ELEMENT = ["element_type", "name", "source_label", "target_label", "active"]
 
 
-ELEMENT = ["element_type", "name", "source_label", "target_label", "active"]
+def _elements(parsed: Column) -> Column:
+    """Relationships, from source to target, and labelled nodes of a parsed pattern as (kind, pos, ELEMENT), each by position from 1."""
+    none = F.lit(None).cast("string")
+
+    def rel(r: Column, i: Column) -> Column:
+        a, b, back = label_of(parsed["nodes"], r["src"]), label_of(parsed["nodes"], r["tgt"]), r["direction"] == "<-"
+        return F.struct(
+            F.lit("rel_").alias("kind"), (i + 1).alias("pos"), F.lit("relationship_type").alias("element_type"), r["type"].alias("name"),
+            F.when(back, b).otherwise(a).alias("source_label"), F.when(back, a).otherwise(b).alias("target_label"), r["active"].alias("active"),
+        )
+
+    def node(n: Column, i: Column) -> Column:
+        return F.struct(F.lit("node_").alias("kind"), (i + 1).alias("pos"), F.lit("node_label").alias("element_type"), n["label"].alias("name"), none.alias("source_label"), none.alias("target_label"), F.lit(False).alias("active"))
 
+    return F.concat(F.transform(parsed["rels"], rel), F.filter(F.transform(parsed["nodes"], node), lambda x: x["name"].isNotNull()))
 
-def align(valid: DataFrame) -> DataFrame:
-    """Slots that vary across the beams of a question: (question_id, slot, element columns, first_seen, score).
 
-    A hop whose triple varies is slot rel_N; one whose triple agrees but whose active filter varies is rel_N_temporal;
-    a node whose label varies is node_N. Scores of equal elements are merged by log-sum-exp.
+def align(beams: DataFrame) -> DataFrame:
+    """(question_id, slot, ELEMENT, first_seen, score) of beams (question_id, rank, score, elements), which are dealt out
+    by question already: every step after that is a window or a grouping inside the question, without a shuffle.
+
+    A hop whose triple varies across the beams of a question is slot rel_N; one whose triple agrees but whose active
+    filter varies is rel_N_temporal; a node whose label varies is node_N. Scores of equal elements are merged by
+    log-sum-exp. Where nothing varies, every element of the first beam is a slot.
     """
-    rels, nodes = _elements(valid)
+    question = Window.partitionBy("question_id")
+    spot = Window.partitionBy("question_id", "kind", "pos")
+    rows = beams.select("question_id", "rank", "score", F.min("rank").over(question).alias("_first"), "elements").select("question_id", "rank", "score", "_first", F.inline("elements"))
     triple = F.struct("name", "source_label", "target_label")
-    state = rels.groupBy("question_id", "pos").agg(F.count_distinct(triple).alias("triples"), F.count_distinct("active").alias("states"))
-    kind = F.when(F.col("triples") > 1, F.concat(F.lit("rel_"), "pos")).when(F.col("states") > 1, F.concat(F.lit("rel_"), "pos", F.lit("_temporal")))
-    rels = rels.join(state.withColumn("slot", kind).where("slot is not null"), ["question_id", "pos"])
-    rels = rels.withColumn("active", F.when(F.col("triples") > 1, F.lit(False)).otherwise(F.col("active")))
-    spread = nodes.groupBy("question_id", "pos").agg(F.count_distinct("name").alias("names")).where("names > 1")
-    nodes = nodes.join(spread, ["question_id", "pos"]).withColumn("slot", F.concat(F.lit("node_"), "pos"))
-    nodes = nodes.withColumn("source_label", F.lit(None).cast("string")).withColumn("target_label", F.lit(None).cast("string")).withColumn("active", F.lit(False))
-    both = rels.select("question_id", "slot", *ELEMENT, "rank", "score").unionByName(nodes.select("question_id", "slot", *ELEMENT, "rank", "score"))
-    return _merged(both)
-
-
-def _merged(df: DataFrame) -> DataFrame:
+    differs = lambda x: ~F.min(x).over(spot).eqNullSafe(F.max(x).over(spot))
+    seen = rows.withColumns({"_triples": differs(triple), "_states": differs(F.col("active"))})
+    own = F.concat("kind", F.col("pos").cast("string"))
+    seen = seen.withColumn("slot", F.when(F.col("_triples"), own).when(F.col("_states"), F.concat(own, F.lit("_temporal"))))
+    seen = seen.withColumn("_varies", F.count("slot").over(question) > 0)
+    kept = seen.where(F.col("slot").isNotNull() | (~F.col("_varies") & (F.col("rank") == F.col("_first"))))
+    kept = kept.withColumn("active", F.col("active") & F.col("_states") & ~F.col("_triples")).withColumn("slot", F.coalesce("slot", own))
     by = ["question_id", "slot", *ELEMENT]
-    top = Window.partitionBy(*by)
-    shifted = df.withColumn("_top", F.max("score").over(top))
+    # elements that all beams share have probability 1, whatever their scores
+    shifted = kept.withColumn("score", F.when(F.col("_varies"), F.col("score")).otherwise(F.lit(0.0))).withColumn("_top", F.max("score").over(Window.partitionBy(*by)))
     return shifted.groupBy(*by).agg(F.min("rank").alias("first_seen"), (F.max("_top") + F.ln(F.sum(F.exp(F.col("score") - F.col("_top"))))).alias("score"))
 
 
+def beam_status(beams: DataFrame, min_valid: int = 1) -> DataFrame:
+    """(question_id, n_beams, n_valid, status) of parsed beams: no_valid_beams where fewer than `min_valid` are valid."""
+    status = beams.groupBy("question_id").agg(F.count("*").alias("n_beams"), F.count_if("valid").alias("n_valid"))
+    return status.withColumn("status", F.when(F.col("n_valid") < max(min_valid, 1), "no_valid_beams").otherwise("ok"))
+
+
 def candidate_mapping(completions: DataFrame, schema: GraphSchema, min_valid: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Distributions (question_id, slot, rank, element columns, prob) and status (question_id, n_beams, n_valid, status).
+    """Distributions (question_id, slot, rank, ELEMENT, prob) and status (question_id, n_beams, n_valid, status).
 
     Where all valid beams agree, every element of the first is a slot of its own with probability 1. Questions with
     fewer than `min_valid` valid beams have the status `no_valid_beams` and no candidates.
+
+    The beams are shuffled once, by question and with their elements only; a question's beams, which a decoder's width
+    bounds, are in one task.
     """
-    beams = parse_beams(completions, schema).persist()  # read by every branch below; the scanner runs once
-    status = beams.groupBy("question_id").agg(F.count("*").alias("n_beams"), F.count_if("valid").alias("n_valid"))
-    status = status.withColumn("status", F.when(F.col("n_valid") < max(min_valid, 1), "no_valid_beams").otherwise("ok"))
-    valid = beams.where("valid").join(status.where("status = 'ok'").select("question_id"), "question_id", "left_semi")
-    varying = align(valid)
-    ranked = softmax_rank(varying, ["question_id", "slot"], "score", [F.asc("first_seen"), F.asc("name"), F.asc("active")])
-    first = valid.join(varying.select("question_id").distinct(), "question_id", "left_anti")
-    lead = first.groupBy("question_id").agg(F.min("rank").alias("rank"))
-    first = first.join(lead, ["question_id", "rank"], "left_semi")
-    rels, nodes = _elements(first)
-    agreed = rels.withColumn("slot", F.concat(F.lit("rel_"), "pos")).withColumn("active", F.lit(False)).select("question_id", "slot", *ELEMENT)
-    lone = nodes.withColumn("slot", F.concat(F.lit("node_"), "pos")).select(
-        "question_id", "slot", "element_type", "name", F.lit(None).cast("string").alias("source_label"), F.lit(None).cast("string").alias("target_label"), F.lit(False).alias("active")
-    )
-    single = agreed.unionByName(lone).withColumn("rank", F.lit(1)).withColumn("prob", F.lit(1.0))
-    columns = ["question_id", "slot", "rank", *ELEMENT, "prob"]
-    return ranked.select(*columns).unionByName(single.select(*columns)), status
+    beams = parse_beams(completions, schema)
+    status = beam_status(beams, min_valid)
+    dealt = beams.where("valid").select("question_id", "rank", "score", _elements(F.col("parsed")).alias("elements")).repartition("question_id")
+    enough = dealt.withColumn("_n", F.count("*").over(Window.partitionBy("question_id"))).where(F.col("_n") >= min_valid) if min_valid > 1 else dealt
+    ranked = softmax_rank(align(enough), ["question_id", "slot"], "score", [F.asc("first_seen"), F.asc("name"), F.asc("active")])
+    return ranked.select("question_id", "slot", "rank", *ELEMENT, "prob"), status
 
 
 def top1(candidates: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame:
