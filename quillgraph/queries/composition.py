@@ -5,15 +5,16 @@ The event stream stands in for model output here too: an event, or a user, is a
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns, prompts, strings
-from ..operators import ambiguity, candidates, compose, gates, metrics, prep, retry, stats, walks
+from ..operators import ambiguity, candidates, compose, gates, metrics, prep, registry, retry, stats, walks
 from ..plans.catalog import GraphSchema, PathDecl
-from ..plans.tpch import star, table
+from ..plans.tpch import star, stream, table
 from ..sources import benchmark
 from ..sources.benchmark import RecordedCompletions
 from . import Book
@@ -458,3 +459,43 @@ def x_retry_stream(spark, sf_dir):
     query = final_states(stream).writeStream.format("parquet").option("path", f"{own}/final").option("checkpointLocation", f"{own}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{own}/final").where("question_id <> 'end'").select(*RETRY_COLUMNS)
+
+
+@BOOK.add(
+    "e_registry_versions",
+    """SELECT 'v2' AS version, 'Customer' AS label, CAST(c_custkey AS VARCHAR) AS node_id, c_name AS display_name, c_mktsegment AS segment FROM customer
+    UNION ALL SELECT 'v2', 'Supplier', CAST(s_suppkey AS VARCHAR), s_name, NULL FROM supplier UNION ALL SELECT 'v3', 'User', CAST(c_custkey AS VARCHAR), c_name, NULL FROM customer""",
+)
+def e_registry_versions(spark, sf_dir):
+    """Entity caches of two versions of the registry, each over its own graph, in one plan."""
+    day = datetime.date
+    entries = [
+        ("v2", "Customer", "c_custkey", ["c_address"], [], None, day(2023, 12, 31)), ("v2", "Customer", "c_custkey", ["c_name"], ["c_mktsegment"], day(2024, 1, 1), None), ("v2", "Supplier", "s_suppkey", ["s_name"], [], None, None),
+        ("v2", "Part", "p_partkey", ["p_name"], [], day(2025, 1, 1), None), ("v3", "User", "user_id", ["name"], [], day(2024, 3, 1), None), ("v4", "User", "user_id", ["segment"], [], None, None),
+    ]
+    table_ = spark.createDataFrame(entries, registry.SCHEMA)
+    caches = registry.entity_caches({"v2": star(spark, sf_dir).graph, "v3": stream(spark, sf_dir).graph}, table_, ["v2", "v3"], day(2024, 6, 1))
+    return caches.select("version", "label", "node_id", "display_name", F.try_element_at("extra", F.lit("c_mktsegment")).alias("segment"))
+
+
+@BOOK.add(
+    "s_script_graph",
+    """SELECT n_name AS nation, count(*) AS customers, max(c_acctbal) AS most, count(*) FILTER (c_custkey % 3 = 0) AS active FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name""",
+)
+def s_script_graph(spark, sf_dir):
+    """A seed script of all customers and nations, written by Spark into several files, loaded in several tasks and queried."""
+    from ..plans.session import GraphSession
+    from ..plans.written import shared_dir
+    from ..sources.scripts import load_scripts
+
+    own = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    said = lambda c: F.concat(F.lit("'"), F.regexp_replace(c, r"(['\\\\])", r"\\$1"), F.lit("'"))
+    c = table(spark, sf_dir, "customer").repartition(4)
+    key = F.col("c_custkey").cast("string")
+    people = F.concat(F.lit("CREATE (:Customer {c_id:"), key, F.lit(", name:"), said(F.concat("c_name", F.lit("; // it's")))  , F.lit(", balance:"), F.format_string("%.2f", "c_acctbal"), F.lit("});"))
+    homes = F.concat(F.lit("MATCH (c:Customer {c_id:"), key, F.lit("}), (n:Nation {n_id:"), F.col("c_nationkey").cast("string"), F.lit("}) CREATE (c)-[:LIVES_IN {active:"), (F.col("c_custkey") % 3 == 0).cast("string"), F.lit("}]->(n);"))
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("CREATE (:Nation {n_id:"), F.col("n_nationkey").cast("string"), F.lit(", name:"), said(F.col("n_name")), F.lit("}); // a nation")))
+    keys = spark.range(1).select(F.explode(F.array(*(F.lit(f"CREATE CONSTRAINT k{x} IF NOT EXISTS FOR (x:{x}) REQUIRE x.{k} IS UNIQUE;") for x, k in (("Customer", "c_id"), ("Nation", "n_id"))))))
+    c.select(people).union(c.select(homes)).union(nations).union(keys).write.text(own)
+    graph = GraphSession(spark, load_scripts(spark, own))
+    return graph.cypher("MATCH (c:Customer)-[l:LIVES_IN]->(n:Nation) RETURN n.name AS nation, count(c) AS customers, max(c.balance) AS most, sum(CASE WHEN l.active THEN 1 ELSE 0 END) AS active")
