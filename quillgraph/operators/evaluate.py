@@ -28,21 +28,29 @@ def normalised(value: Column, kind: T.DataType) -> Column:
     return F.coalesce(value.cast("string"), F.lit("\\N"))
 
 
+def _text(types: dict[str, T.DataType], columns: list[str]) -> Column:
+    """The normalised values of a row by position; names do not matter, places do."""
+    parts = [F.regexp_replace(normalised(F.col(f"`{c}`"), types[c]), "([\\u0001\\\\])", "\\\\$1") for c in columns]
+    return F.concat_ws("\u0001", *parts) if parts else F.lit("")
+
+
 def row_text(df: DataFrame) -> DataFrame:
-    """One column `row`: the normalised values of a row by position; names do not matter, places do."""
-    parts = [F.regexp_replace(normalised(F.col(f"`{f.name}`"), f.dataType), "([\\u0001\\\\])", "\\\\$1") for f in df.schema.fields]
-    return df.select(F.concat_ws("\u0001", *parts).alias("row")) if parts else df.select(F.lit("").alias("row"))
+    """One column `row`, the text of every row."""
+    return df.select(_text({f.name: f.dataType for f in df.schema.fields}, df.columns).alias("row"))
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """One row (n_rows, n_columns, fingerprint) that equal sets of rows share, whatever their order and repeats.
+def fingerprint(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, n_rows, n_columns, fingerprint) that equal sets of rows share, whatever their order and repeats; one row
+    without keys.
 
     Rows are deduplicated and their hashes added up, so nothing is gathered; two independent hashes make a chance
     agreement of different sets negligible, and row_sets_equal decides exactly.
     """
-    distinct = row_text(df).distinct()
+    own = [c for c in df.columns if c not in keys]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    distinct = df.select(*keys, _text(types, own).alias("row")).distinct()
     total = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), "row").cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).cast("string")
-    return distinct.agg(F.count("*").alias("n_rows"), F.concat_ws(":", total(1), total(2)).alias("fingerprint")).withColumn("n_columns", F.lit(len(df.columns)))
+    return distinct.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.concat_ws(":", total(1), total(2)).alias("fingerprint")).withColumn("n_columns", F.lit(len(own)))
 
 
 def row_sets_equal(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.written import materialise
 
-PIECES = 64
+#: Distinct values that one window may rank by itself.
+FEW_VALUES = 1 << 18
 
 
 def running(grid: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
     """grid with `_upto` and `_all`: the sums of `n` up to a row's value, itself included, and over its key.
 
-    The values are cut into about PIECES ranges of equal many rows; a window runs inside each range of a key and the
-    few sums of ranges give where it starts, so no task sorts all values of a key.
+    The grid is written once. A small one is ranked by a window over each key. The rows of a larger one are dealt out by
+    ranges of key and value, a window runs inside each range, and the sums of a key's ranges, as many as there are
+    partitions, give where it starts; so no task sorts all values of a key.
     """
-    cuts = sorted(set(grid.approxQuantile(value, [i / PIECES for i in range(1, PIECES)], 0.005)))
-    piece = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(value))) if cuts else F.lit(0)
-    dealt = grid.withColumn("_piece", piece)
-    sums = dealt.groupBy(*keys, "_piece").agg(F.sum(n).alias("_sum"))
+    written = materialise(grid)
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    if written.count() <= FEW_VALUES:
+        upto = F.sum(n).over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        return written.withColumns({"_upto": upto, "_all": F.sum(n).over(whole)})
+    dealt = materialise(written.repartitionByRange(*keys, value).withColumn("_piece", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "_piece").agg(F.sum(n).alias("_sum"))
     before = F.sum("_sum").over(whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")
     starts = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_piece").alias("_place"), before.alias("_before"), F.sum("_sum").over(whole).alias("_all"))
     same = dealt["_piece"] == starts["_place"]

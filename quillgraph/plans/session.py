@@ -55,8 +55,8 @@ class GraphSession:
         """The plan of a query; CypherError if it is no query of the subset or names what the graph lacks."""
         return Compiler(self.spark, self.graph, params).query(text)
 
-    def execute(self, text: str, params: dict | None = None, timeout_s: float = 10.0) -> Execution:
-        """Run a query and collect its rows; errors and timeouts are reported, not raised."""
+    def execute(self, text: str, params: dict | None = None, timeout_s: float = 10.0, limit: int = 1_000_000) -> Execution:
+        """Run a query and collect its rows; errors, timeouts and more than `limit` rows are reported, not raised."""
         tag, start, jobs = f"cypher-{uuid.uuid4().hex}", time.perf_counter(), self.spark.sparkContext
         late, done = threading.Event(), threading.Event()
 
@@ -71,7 +71,9 @@ class GraphSession:
         threading.Thread(target=stop, daemon=True).start()
         rows, error = [], None
         try:
-            rows = [r.asDict(recursive=True) for r in self.cypher(text, params).collect()]
+            rows = [r.asDict(recursive=True) for r in self.cypher(text, params).limit(limit + 1).collect()]
+            if len(rows) > limit:
+                rows, error = [], f"more than {limit} rows"
         except Exception as e:
             error = str(e)
         finally:

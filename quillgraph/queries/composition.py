@@ -499,3 +499,56 @@ def s_script_graph(spark, sf_dir):
     c.select(people).union(c.select(homes)).union(nations).union(keys).write.text(own)
     graph = GraphSession(spark, load_scripts(spark, own))
     return graph.cypher("MATCH (c:Customer)-[l:LIVES_IN]->(n:Nation) RETURN n.name AS nation, count(c) AS customers, max(c.balance) AS most, sum(CASE WHEN l.active THEN 1 ELSE 0 END) AS active")
+
+
+def _own(spark) -> str:
+    from ..plans.written import shared_dir
+
+    return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
+@BOOK.add("s_jsonl", "SELECT text AS prompt, source AS completion, count(*) AS n FROM documents GROUP BY ALL")
+def s_jsonl(spark, sf_dir):
+    """Training rows written as JSON lines and read back, whatever is in their texts; with blank lines beside them."""
+    own = _own(spark)
+    benchmark.write_jsonl(table(spark, sf_dir, "documents").select(F.col("text").alias("prompt"), F.col("source").alias("completion")), own)
+    spark.range(3).select(F.lit("").alias("value")).write.mode("append").text(own)
+    return benchmark.read_jsonl(spark, own).groupBy("prompt", "completion").agg(F.count("*").alias("n"))
+
+
+@BOOK.add("s_split", "SELECT item_id, 'q' || item_id AS question, text AS schema, 'RETURN ' || item_id AS cypher FROM benchmark")
+def s_split(spark, sf_dir):
+    """A data set's split with more columns than are asked for."""
+    own = _own(spark)
+    item = F.col("item_id").cast("string")
+    rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), item).alias("question"), F.lit(1).alias("more"), F.col("text").alias("schema"), F.concat(F.lit("RETURN "), item).alias("cypher"))
+    rows.write.parquet(own)
+    return benchmark.read_split(spark, own).select(F.substring("question", 2, 20).cast("long").alias("item_id"), "question", "schema", "cypher")
+
+
+@BOOK.add("s_results", "SELECT event_type AS model_key, user_id % 3 AS tag, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL UNION ALL SELECT 'again', 0, count(*), round(sum(value), 4) FROM events WHERE user_id % 3 = 0")
+def s_results(spark, sf_dir):
+    """Results of several runs in one place: a later run adds its partition and leaves the others."""
+    own = _own(spark)
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("model_key"), (F.col("user_id") % 3).alias("tag"), "value")
+    benchmark.write_results(e, own)
+    benchmark.write_results(e.where("tag = 0").withColumn("model_key", F.lit("again")), own)
+    return spark.read.parquet(own).groupBy("model_key", F.col("tag").cast("long").alias("tag")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@BOOK.add("s_beam_cache", f"WITH {ALL_BEAMS} SELECT CASE WHEN rank % 2 = 0 THEN 'linker' ELSE 'generator' END AS stage, CAST(question_id AS VARCHAR) AS question_id, kind AS text, count(*) AS n, round(sum(score), 6) AS score FROM beams GROUP BY ALL")
+def s_beam_cache(spark, sf_dir):
+    """Beams written once by stage, and scored again from there."""
+    b = beams(spark, sf_dir, None)
+    said = b.select(F.col("question_id").cast("string").alias("question_id"), F.when(F.col("rank") % 2 == 0, "linker").otherwise("generator").alias("stage"), F.lit(0).alias("attempt"), F.col("rank").cast("int").alias("rank"), F.col("kind").alias("text"), "score")
+    return benchmark.cache_beams(said, _own(spark)).groupBy("stage", "question_id", "text").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"))
+
+
+@BOOK.add("t_blocklist", "SELECT text AS question, count(*) AS n FROM benchmark WHERE item_id % 5 <> 4 GROUP BY 1")
+def t_blocklist(spark, sf_dir):
+    """Questions of two benchmark files, of objects that have one, where a third file is missing."""
+    own = _own(spark)
+    items = table(spark, sf_dir, "benchmark").withColumn("question", F.when(F.col("item_id") % 5 != 4, F.col("text")))
+    for part in (0, 1):  # a benchmark file is one JSON array
+        items.where(F.col("item_id") % 2 == part).agg(F.to_json(F.collect_list(F.struct("item_id", "question"))).alias("value")).coalesce(1).write.text(f"{own}/{part}")
+    return compose.blocklist(spark, f"{own}/0", f"{own}/1", f"{own}/none").groupBy("question").agg(F.count("*").alias("n"))

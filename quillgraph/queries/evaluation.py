@@ -160,16 +160,17 @@ def x_similar(spark, sf_dir):
     return reduce(DataFrame.union, rows)
 
 
-@BOOK.add("x_divergence", "SELECT 'i1' AS item, CAST(0 AS INTEGER) AS first, CAST(2 AS INTEGER) AS second")
+@BOOK.add(
+    "x_divergence",
+    """WITH s AS (SELECT user_id AS item, list_position(['click', 'error', 'view'], event_type) - 1 AS pos, list_sort(list(DISTINCT strftime(ts, '%a'))) AS days FROM events WHERE event_type IN ('click', 'error', 'view') GROUP BY ALL)
+    SELECT a.item, CAST(a.pos AS INTEGER) AS first, CAST(b.pos AS INTEGER) AS second FROM s a JOIN s b ON a.item = b.item AND a.pos < b.pos AND a.days = b.days""",
+)
 def x_divergence(spark, sf_dir):
-    """Interpretations of one item whose results are the same set: reading one and three are the same question."""
-    s = star(spark, sf_dir)
-    texts = [
-        "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN DISTINCT n.n_name AS a", "MATCH (s:Supplier)-[:BASED_IN]->(n:Nation {n_regionkey:1}) RETURN n.n_name AS a",
-        "MATCH (n:Nation)<-[:IN_NATION]-(:Customer) RETURN n.n_name AS b",
-    ]
-    parts = [evaluate.fingerprint(s.cypher(t)).select(F.lit("i1").alias("item"), F.lit(i).alias("pos"), "fingerprint") for i, t in enumerate(texts)]
-    return evaluate.divergent(parts[0].union(parts[1]).union(parts[2]), "item", "pos")
+    """Interpretations of one item whose results are the same set: weekdays on which a user clicked, failed or looked."""
+    e = table(spark, sf_dir, "events").where("event_type in ('click', 'error', 'view')")
+    pos = F.array_position(F.array(*map(F.lit, ("click", "error", "view"))), F.col("event_type")) - 1
+    sets = evaluate.fingerprint(e.select(F.col("user_id").alias("item"), pos.cast("int").alias("pos"), F.date_format("ts", "E").alias("day")), ("item", "pos"))
+    return evaluate.divergent(sets, "item", "pos")
 
 
 @BOOK.add("x_outcome", "SELECT event_id, CASE WHEN value >= 90 THEN 'invalid_query' WHEN event_type IN ('purchase', 'signup') THEN NULL WHEN event_type <> 'error' THEN 'valid_non_default' ELSE 'wrong_result' END AS failure FROM events")
@@ -246,12 +247,18 @@ def b_coverage(spark, sf_dir):
     return gates.cover(wanted, used, "type", "items", 20)
 
 
-@BOOK.add("b_type_coverage", "SELECT t AS type, CAST(n AS BIGINT) AS items FROM (VALUES ('ERROR', 0), ('SIGNUP', 0)) AS v(t, n)")
+@BOOK.add(
+    "b_type_coverage",
+    """WITH t AS (SELECT k || '_' || d AS type FROM (VALUES ('CLICK'), ('VIEW'), ('PURCHASE'), ('NEVER')) AS a(k), (VALUES ('MON'), ('TUE'), ('WED'), ('THU'), ('FRI'), ('SAT'), ('SUN')) AS b(d)),
+    u AS (SELECT upper(event_type) || '_' || upper(strftime(ts, '%a')) AS type, count(DISTINCT user_id) AS n FROM events GROUP BY 1)
+    SELECT type, coalesce(n, 0) AS items FROM t LEFT JOIN u USING (type) WHERE coalesce(n, 0) < 130""",
+)
 def b_type_coverage(spark, sf_dir):
-    """Types that occur in fewer than three items: those that no item's query mentions."""
-    kinds = table(spark, sf_dir, "events").where("event_type in ('click', 'view', 'purchase')")
-    items = kinds.select(F.col("event_id").alias("item"), F.concat(F.lit("MATCH (u)-[:"), F.upper("event_type"), F.lit("]->(d) RETURN u")).alias("cypher"))
-    return gates.type_coverage(items, "item", "cypher", ["CLICK", "VIEW", "PURCHASE", "ERROR", "SIGNUP"])
+    """Types that occur in the queries of fewer than 130 users, by kind of event and weekday, or in none."""
+    used = F.concat(F.upper("event_type"), F.lit("_"), F.upper(F.date_format("ts", "E")))
+    items = table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.concat(F.lit("MATCH (u)-[:"), used, F.lit("|SEEN]->(d) RETURN u")).alias("cypher"))
+    wanted = [f"{k}_{d}" for k in ("CLICK", "VIEW", "PURCHASE", "NEVER") for d in ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")]
+    return gates.type_coverage(items, "item", "cypher", wanted, 130)
 
 
 @BOOK.add("b_unique", "SELECT p_name AS key, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
@@ -259,21 +266,29 @@ def b_unique(spark, sf_dir):
     return gates.duplicates(table(spark, sf_dir, "part"), F.col("p_name"))
 
 
-@BOOK.add("b_hops", "SELECT event_id, CAST(2 AS BIGINT) AS hops FROM events WHERE event_type = 'error'")
+@BOOK.add("b_hops", "SELECT event_id, event_id % 5 AS hops FROM events WHERE event_id % 5 <> user_id % 4 OR event_id % 5 > 3")
 def b_hops(spark, sf_dir):
-    q = F.concat(F.lit("MATCH (a)-[:A]->(b)"), F.when(F.col("event_type") == "error", "-[:B]->(c)").otherwise(""), F.lit(" RETURN a"))
-    items = table(spark, sf_dir, "events").select("event_id", q.alias("cypher"), F.lit(1).alias("declared"))
+    """Queries of none to four hops whose declared number, made of the user, is another, or which have too many."""
+    hop = F.concat(F.lit("-[:HOP {at:'"), F.col("user_id").cast("string"), F.lit("]'}]->()"))
+    q = F.concat(F.lit("MATCH (a)"), F.repeat(hop, (F.col("event_id") % 5).cast("int")), F.lit(" RETURN a"))
+    items = table(spark, sf_dir, "events").select("event_id", q.alias("cypher"), (F.col("user_id") % 4).alias("declared"))
     return gates.hop_honesty(items, "cypher", "declared").select("event_id", "hops")
 
 
-@BOOK.add("b_nonempty", "SELECT 'MATCH (c:Customer {c_custkey:-1}) RETURN c.c_name AS a' AS cypher")
+@BOOK.add(
+    "b_nonempty",
+    """SELECT 'MATCH (n:Nation {n_nationkey:' || n_nationkey || '})<-[:BASED_IN]-(s:Supplier) WHERE s.s_acctbal > 9000 RETURN s.s_name AS a' AS cypher
+    FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)""",
+)
 def b_nonempty(spark, sf_dir):
-    """Every distinct query is executed once; those without rows are reported."""
+    """The same question of every nation, asked twice, executed once; those without rows are reported."""
     s = star(spark, sf_dir)
-    texts = ["MATCH (r:Region) RETURN r.r_name AS a", "MATCH (c:Customer {c_custkey:-1}) RETURN c.c_name AS a", "MATCH (r:Region) RETURN r.r_name AS a"]
-    queries = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item int, cypher string")
-    counts = [s.cypher(t).agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("cypher"), "n_rows") for t in dict.fromkeys(texts)]
-    return gates.empty_results(gates.once(queries, "cypher"), counts[0].union(counts[1]), "cypher").select("cypher")
+    text = F.concat(F.lit("MATCH (n:Nation {n_nationkey:"), F.col("n_nationkey").cast("string"), F.lit("})<-[:BASED_IN]-(s:Supplier) WHERE s.s_acctbal > 9000 RETURN s.s_name AS a"))
+    asked = table(spark, sf_dir, "nation").select(text.alias("cypher"))
+    texts = gates.once(asked.union(asked), "cypher")
+    # each text is a plan of its own; there are as many as nations
+    counts = [s.cypher(r["cypher"]).agg(F.count("*").alias("n_rows")).select(F.lit(r["cypher"]).alias("cypher"), "n_rows") for r in texts.collect()]
+    return gates.empty_results(texts, reduce(DataFrame.union, counts), "cypher").select("cypher")
 
 
 @BOOK.add(

@@ -158,14 +158,17 @@ def a_dominance(spark, sf_dir, k: int | None = 5):
 @BOOK.add(
     "a_scores",
     SCORED + """, h AS (SELECT question_id, count(*) AS k, -sum(prob * log2(prob)) AS h FROM ranked WHERE prob > 0 GROUP BY 1), x AS (SELECT question_id, CASE WHEN k <= 1 THEN 0 ELSE h / log2(k) END AS s FROM h)
-    SELECT c_custkey AS question_id, round(coalesce(s, 0), 6) AS schema_entropy, CAST(0 AS DOUBLE) AS entity_entropy FROM customer LEFT JOIN x ON c_custkey = question_id""",
+    , p AS (SELECT user_id, event_id % 3 AS span, value / sum(value) OVER (PARTITION BY user_id, event_id % 3) AS p FROM events),
+    e AS (SELECT user_id, span, CASE WHEN count(*) <= 1 THEN 0 ELSE coalesce(-sum(CASE WHEN p > 0 THEN p * log2(p) END), 0) / log2(count(*)) END AS e FROM p GROUP BY ALL), m AS (SELECT user_id, max(e) AS e FROM e GROUP BY 1)
+    SELECT c_custkey AS question_id, round(coalesce(s, 0), 6) AS schema_entropy, round(coalesce(e, 0), 6) AS entity_entropy FROM customer LEFT JOIN x ON c_custkey = question_id LEFT JOIN m ON c_custkey = user_id""",
 )
 def a_scores(spark, sf_dir, k: int | None = 5):
     asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("question_id"))
     slots = ranked(spark, sf_dir, k).withColumn("slot", F.lit("rel_1"))
-    spans = slots.select("question_id", F.lit("one").alias("span"), F.col("prob").alias("posterior")).where("false")
+    # the values of a user's events stand for the posteriors of candidates, every third event for a span
+    spans = table(spark, sf_dir, "events").select(F.col("user_id").alias("question_id"), (F.col("event_id") % 3).alias("span"), F.col("value").alias("posterior"))
     out = ambiguity.ambiguity_scores(asked, slots, spans)
-    return out.select("question_id", F.round("schema_entropy", 6).alias("schema_entropy"), "entity_entropy")
+    return out.select("question_id", F.round("schema_entropy", 6).alias("schema_entropy"), F.round("entity_entropy", 6).alias("entity_entropy"))
 
 
 @BOOK.add(
@@ -218,28 +221,41 @@ def p_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(strings.normalised_question("text")).alias("digest"))
 
 
+#: Digits as letters, for names of relationship types.
+LETTERS = "translate(user_id::VARCHAR, '0123456789', 'ABCDEFGHIJ')"
+
+
 @BOOK.add(
     "p_rel_types",
-    "SELECT event_id, CASE event_type WHEN 'click' THEN 'CLICK|VIEW' ELSE upper(event_type) END AS types, CAST(2 AS BIGINT) AS hops, true AS typed FROM events",
+    f"""SELECT event_id, array_to_string(list_sort(list_distinct(list_concat([upper(event_type), 'BY_' || {LETTERS}], CASE event_type WHEN 'click' THEN ['VIEW'] ELSE [] END))), '|') AS types,
+    2 + event_id % 2 AS hops, true AS typed FROM events""",
 )
 def p_rel_types(spark, sf_dir):
-    q = F.concat(F.lit("MATCH (u:User)-[r:"), F.when(F.col("event_type") == "click", "VIEW|CLICK").otherwise(F.upper("event_type")), F.lit(" {active:true}]->(d), (d)-[:"), F.upper("event_type"), F.lit("]-(x) RETURN u"))
+    by = F.concat(F.lit("BY_"), F.translate(F.col("user_id").cast("string"), "0123456789", "ABCDEFGHIJ"))
+    q = F.concat(
+        F.lit("MATCH (u:User)-[r:"), F.when(F.col("event_type") == "click", "VIEW|CLICK").otherwise(F.upper("event_type")), F.lit(" {active:true}]->(d), (d)-[:"), by, F.lit("]-(x)"),
+        F.when(F.col("event_id") % 2 == 1, F.concat(F.lit("<-[:"), F.upper("event_type"), F.lit("]-(y)"))).otherwise(""), F.lit(" RETURN u"),
+    )
     df = table(spark, sf_dir, "events").select("event_id", q.alias("q")).withColumn("p", patterns.extract_schema_pattern("q"))
     return df.select("event_id", F.array_join(patterns.relationship_types("q"), "|").alias("types"), patterns.relationship_count("p").alias("hops"), patterns.has_relationship_type("p").alias("typed"))
 
 
 @BOOK.add(
     "p_schema_pattern",
-    "SELECT event_id, '(u:User)-[r:' || upper(event_type) || ' {ts, active:true}]->(d:Day)' AS pattern FROM events",
+    "SELECT event_id, '(u:User_' || user_id || ')-[r:' || upper(event_type) || ' {e' || event_id || ', active:true}]->(d:Day' || CASE WHEN event_id % 2 = 0 THEN ' {open:false}' ELSE '' END || ')' AS pattern FROM events",
 )
 def p_schema_pattern(spark, sf_dir):
-    q = F.concat(F.lit("MATCH (u:User {name:'a) {b'})-[r:"), F.upper("event_type"), F.lit(" {ts:date('2024-01-01'), active:TRUE}]->(d:Day {month:"), F.month("ts").cast("string"), F.lit("}) WHERE r.value > 3 RETURN u.name ORDER BY u.name"))
+    day = F.when(F.col("event_id") % 2 == 0, ", open:False").otherwise("")
+    q = F.concat(
+        F.lit("MATCH (u:User_"), F.col("user_id").cast("string"), F.lit(" {name:'a) {b'})-[r:"), F.upper("event_type"), F.lit(" {e"), F.col("event_id").cast("string"), F.lit(":date('2024-01-01'), active:TRUE}]->(d:Day {month:"),
+        F.month("ts").cast("string"), day, F.lit("}) WHERE r.value > 3 RETURN u.name ORDER BY u.name"),
+    )
     return table(spark, sf_dir, "events").select("event_id", patterns.extract_schema_pattern(q).alias("pattern"))
 
 
-@BOOK.add("p_clean_fence", "SELECT event_id, 'MATCH (u:User)' || chr(10) || 'RETURN u.' || event_type AS cypher FROM events")
+@BOOK.add("p_clean_fence", "SELECT event_id, 'MATCH (u:User {user_id:' || user_id || '})' || chr(10) || 'RETURN u.' || event_type || '_' || event_id AS cypher FROM events")
 def p_clean_fence(spark, sf_dir):
-    text = F.concat(F.lit("Sure!\n```cypher\nMATCH (u:User)\\nRETURN u."), F.col("event_type"), F.lit("\n```\nThis finds users."))
+    text = F.concat(F.lit("Sure!\n```cypher\nMATCH (u:User {user_id:"), F.col("user_id").cast("string"), F.lit("})\\nRETURN u."), F.col("event_type"), F.lit("_"), F.col("event_id").cast("string"), F.lit("\n```\nThis finds users."))
     return table(spark, sf_dir, "events").select("event_id", patterns.clean_cypher(text).alias("cypher"))
 
 

@@ -87,8 +87,10 @@ def test_gates(spark):
     assert syntax.count() == 2 and [r["cypher"] for r in schema.collect()] == ["MATCH (s:Boat) RETURN s"]
 
 
-def test_running_sums(spark):
-    """Against a plain cumulative sum, with and without keys, more values than ranges."""
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_running_sums(spark, monkeypatch, few):
+    """Against a plain cumulative sum, with and without keys, by ranges and by one window a key."""
+    monkeypatch.setattr(stats, "FEW_VALUES", few)
     rows = [(i % 3, float((i * 37) % 500), 1 + i % 4) for i in range(1500)]
     grid = spark.createDataFrame(rows, "k int, v double, n int").groupBy("k", "v").agg(F.sum("n").alias("n"))
     want = {(r["k"], r["v"]): r["n"] for r in grid.collect()}

@@ -123,6 +123,9 @@ def test_procedures(session):
 
 def test_errors_and_verdicts(session):
     assert session.execute("MATCH (p:Sailor {sailor_id:'none'}) RETURN p.name AS n").rows == []
+    many = session.execute("MATCH (p:Sailor) RETURN p.name AS n", limit=2)
+    assert not many.success and many.rows == [] and "more than 2" in many.error
+    assert len(session.execute("MATCH (p:Sailor) RETURN p.name AS n", limit=3).rows) == 3
     bad = session.execute("MATCH (p:Sailor RETURN p")
     assert not bad.success and bad.error
     assert session.validate("MATCH (p:Sailor RETURN p").route_to == "query_generator"
