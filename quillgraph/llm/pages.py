@@ -44,9 +44,14 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond replies related recommended share sharing social pagination pager toolbar topbar".split()
 )
+#: Of these, the ones that name parts of an article as well: inside it only their lines of nothing but links go.
+SOFT = frozenset("related recommended share sharing social".split())
 COMMENTS = frozenset("comment comments reply replies disqus respond".split())
 #: Words that say nothing beside such a name.
 NEUTRAL = frozenset("site page post posts article main top bottom left right box bar list item items section area block wrapper container widget links link buttons button inner outer slot".split())
+#: Fixed values of HTML: elements that a form around a whole page has inside it, and a form in a page has not.
+PAGE_PARTS = regex.compile(r"<(?:article|main|nav|header|footer|section|h1)\b", regex.I)
+FORM_END = regex.compile("</form", regex.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: How a line is marked between stages: inside the article or not, nothing but links or not.
 FLAGS = {(False, False): "n", (True, False): "c", (True, True): "l", (False, True): "o"}
@@ -61,7 +66,8 @@ def _names(value: str, wanted: frozenset[str]) -> bool:
 
 
 @lru_cache(4096)
-def _boilerplate(name: str, attributes: str) -> bool:
+def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is boilerplate; `inside` says that it stands in the article."""
     if name in ("html", "body"):
         return False
     own = name in ("article", "main")
@@ -69,37 +75,57 @@ def _boilerplate(name: str, attributes: str) -> bool:
         return True
     if not attributes.strip():
         return False
+    named = COMMENTS if own else NAMES - SOFT if inside else NAMES
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and any(_names(v, COMMENTS if own else NAMES) for v in value.split()):
+        if key in ("class", "id") and any(_names(v, named) for v in value.split()):
             return True
         if not own and (key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "")):
             return True
     return False
 
 
+@lru_cache(4096)
+def _soft(attributes: str) -> bool:
+    return any(key.lower() in ("class", "id") and any(_names(v, SOFT) for v in value.strip("\"'").lower().split()) for key, value in ATTRIBUTE.findall(attributes))
+
+
+class _Forms:
+    """Which forms of a page hold the parts of a page: places of these and of the ends of forms, found once if asked for."""
+
+    def __init__(self, html: str):
+        self.html, self.parts, self.ends = html, None, None
+
+    def around_page(self, at: int) -> bool:
+        if self.parts is None:
+            self.parts, self.ends = ([m.start() for m in x.finditer(self.html)] for x in (PAGE_PARTS, FORM_END))
+        i, j = bisect_right(self.parts, at), bisect_right(self.ends, at)
+        return i < len(self.parts) and (j == len(self.ends) or self.parts[i] < self.ends[j])
+
+
 def lines(html: str) -> list[tuple[str, bool, bool]]:
     """(text, inside the article, nothing but links) of each line outside boilerplate."""
     out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: name, drops its content, is an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # open containers: name, drops its content, is an article, drops lines of links
     text: list[str] = []
-    dropped = core = anchors = plain = at = 0
-    heading = False
+    dropped = core = soft = anchors = plain = at = 0
+    heading, forms = False, _Forms(html)
 
     def flush() -> None:
         nonlocal plain
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
-            if line:
+            if line and (plain or not soft):
                 out.append((line, core > 0, not plain))
             text.clear()
         plain = 0
 
     def close(upto: int) -> None:
-        nonlocal dropped, core
-        for _, drops, article in stack[upto:]:
+        nonlocal dropped, core, soft
+        for _, drops, article, links in stack[upto:]:
             dropped -= drops
             core -= article
+            soft -= links
         del stack[upto:]
 
     def take(piece: str) -> None:
@@ -158,13 +184,17 @@ def lines(html: str) -> list[tuple[str, bool, bool]]:
                     close(len(stack) - 1)
             if name in VOID:
                 continue
-            drops = _boilerplate(name, m[3])
+            drops = _boilerplate(name, m[3], core > 0)
+            if name == "form" and drops and forms.around_page(at - 1):
+                drops = _boilerplate("div", m[3], core > 0)
+            links = core > 0 and not drops and _soft(m[3])
             heading = heading or name in HEADINGS and bool(stack) and stack[-1][0] in ("header", "hgroup")
             if drops or block and name not in ("p", "li", *HEADINGS, "td", "th", "tr", "dt", "dd", "option", "hr"):
                 article = name in ("article", "main") and not drops and not dropped
-                stack.append((name, drops, article))
+                stack.append((name, drops, article, links))
                 dropped += drops
                 core += article
+                soft += links
     flush()
     return out
 

@@ -236,6 +236,18 @@ def test_cut_off_tag():
     assert [t for t, *_ in lines("<p>one</p")] == ["one"]
 
 
+def test_forms_and_named_parts():
+    """A form around the page is none of its forms, and parts of an article that share a name with boilerplate keep their prose."""
+    page = '<body><form action="/x"><header>top</header><article><h1>Title</h1><p>One.</p><form><label>Mail</label><input><p>Join us</p></form>{}</article><footer>end</footer></form></body>'
+    text = lambda part: [t for t, core, _ in lines(page.format(part)) if core]
+    assert text("") == ["Title", "One."]
+    assert text('<section class="share"><p>Share price rose.</p><p><a href="#">Tweet</a> <a href="#">Post</a></p></section>') == ["Title", "One.", "Share price rose."]
+    assert text('<div class="newsletter"><p>Subscribe now.</p></div><div class="comments"><p>First!</p></div>') == ["Title", "One."]
+    assert [t for t, *_ in lines('<body><p>Text.</p><div class="share"><p>Share this</p></div><form class="search"><p>Find</p></form></body>')] == ["Text."]
+    assert [t for t, *_ in lines('<form role="search"><section><p>Find</p></section></form><p>Text.</p>')] == ["Text."]
+    assert [t for t, *_ in lines("<form>" * 50_000 + "<p>x")] == [] and [t for t, *_ in lines("<FORM><main><p>x</p></main></FORM><p>y")] == ["x", "y"]
+
+
 def test_lines_flags():
     got = lines("<body>x<article><header><h1>Title</h1><p>by me</p></header><p><a>Only</a> <a>links</a></p>y</article></body>")
     assert [t for t, *_ in got] == ["x", "Title", "Only links", "y"] and [c for _, c, _ in got] == [False, True, True, True] and got[2][2]
