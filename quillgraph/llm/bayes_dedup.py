@@ -16,7 +16,7 @@ adaptive execution splits the partition of such a key.
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -282,13 +282,16 @@ def _links(size: int, percent: int, hashes: int, table: list[tuple[int, int]]):
         import pandas as pd
 
         own = _Group(group, percent, hashes, table)
-        sets = _shingles(pa.array(own.rows["text"]), size)
+        texts = own.rows["text"].to_list()
+        sets = _shingles(pa.array(texts), size)
+        whole = lru_cache(8)(lambda i: shingle_set(texts[i], size))
         found = []
         for i in range(len(own.nodes) - 1):
             for j in own.partners(i):
                 if own.component[i] != own.component[j]:
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    # hashes say which pairs to look at, the words themselves decide
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) and _similar(whole(i), whole(j), percent):
                         found.append((own.nodes[i], own.nodes[j]))
                         own.component[own.component == own.component[j]] = own.component[i]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
@@ -296,33 +299,25 @@ def _links(size: int, percent: int, hashes: int, table: list[tuple[int, int]]):
     return run
 
 
-def _exact(size: int, percent: int):
-    """Which of the pairs (a, b) with texts ta and tb have full shingle sets that reach the threshold."""
+def shingle_set(text: str, size: int) -> frozenset:
+    """The distinct shingles of a text as words; one that is shorter than a shingle is one shingle."""
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    return frozenset(zip(*(w[k:] for k in range(size)), strict=False)) if len(w) >= size else frozenset([tuple(w)])
 
-    def shingle_set(text: str):
-        w = text.encode("utf-8", "surrogatepass").lower().split()
-        return frozenset(zip(*(w[k:] for k in range(size)), strict=False)) if len(w) >= size else frozenset([tuple(w)])
 
-    def run(batches):
-        cache: OrderedDict = OrderedDict()
+def _similar(x: frozenset, y: frozenset, percent: int) -> bool:
+    both = len(x & y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-        def of(text):
-            if text in cache:
-                cache.move_to_end(text)
-            else:
-                cache[text] = shingle_set(text)
-                while len(cache) > 8:
-                    cache.popitem(last=False)
-            return cache[text]
 
+def _exact(size: int, percent: int):
+    """Which of the pairs (a, b) with texts ta and tb have full shingle sets that reach the threshold."""
+
+    def run(batches):
+        of = lru_cache(8)(lambda text: shingle_set(text, size))
         for batch in batches:
-            keep = []
             cols = [batch.column(c) for c in ("a", "b", "ta", "tb")]
-            for i in range(batch.num_rows):
-                x, y = of(cols[2][i].as_py()), of(cols[3][i].as_py())
-                both = len(x & y)
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
+            keep = [i for i in range(batch.num_rows) if _similar(of(cols[2][i].as_py()), of(cols[3][i].as_py()), percent)]
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([cols[0].take(at), cols[1].take(at)], names=["a", "b"])
 

@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
-from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -15,47 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 16 << 20
-
+from ..plans.written import discard, materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it.
+__all__ = ["components", "discard", "join_counted", "materialise", "shared_dir", "slices", "small_batches", "words"]
 
-    Where none is named, a session whose executors are threads of this machine gets a folder of its own, which goes
-    when the driver ends; on a cluster a machine-local folder would lose results without an error, so that raises.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="checkpoints-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(own)
-        found = sc.getCheckpointDir()
-    return found
-
-
-_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df once under the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[out] = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialise() that nothing will read again."""
-    for df in tables:
-        path = _PATHS.pop(df, None)
-        if path:
-            own = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            own.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(own, True)
+SLICE_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:

@@ -183,12 +183,13 @@ def _count_grams(batches):
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_on: int = 20_000) -> Model:
     """A model of every word and n-gram of a bounded sample of labelled texts.
 
-    `fit_on` is the expected number of texts in the sample, drawn by a hash of the id; that alone bounds the model.
+    `fit_on` is the expected number of texts in the sample, drawn by a hash of the id and the text; that alone bounds the
+    model. Rows of one id, or of none, are drawn each by its text; rows that repeat both are in the sample together.
     """
     small_batches(labelled.sparkSession)
     base = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     share = min(1.0, fit_on / max(1, base.select("lang").count()))
-    drawn = base.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1.0))
+    drawn = base.where(F.pmod(F.xxhash64(F.lit(11), "id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1.0))
     counts = materialise(drawn.select("text", "lang").mapInArrow(_count_words, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")))
     by_key = counts.mapInArrow(_count_grams, "key long, size int, lang string, n long").groupBy("key", "size", "lang").agg(F.sum("n").alias("n"))
     # the counts of the bounded sample

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialise, slices, small_batches, words
 
 #: Fixed values of the vocabulary's pre-tokenizer: contractions, runs of letters, single digits, runs of others.
+LEAST_WORKERS, DOCS_A_WORKER = 256, 20_000
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Within these characters Unicode composition changes nothing and lower-casing goes character by character.
 PLAIN = regex.compile(r"[\x21-\x7e¡-į]+")
@@ -182,7 +183,7 @@ def _cut(tokenizer: str, capacity: int, tail: int, closing: int, with_ids: bool)
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tail: int = 64, closing: int = 1, workers: int = 256, with_ids: bool = False
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tail: int = 64, closing: int = 1, workers: int | None = None, with_ids: bool = False
 ) -> DataFrame:
     """Pack documents into sequences of at most `capacity` ids, one row a piece.
 
@@ -190,8 +191,9 @@ def pack(
     empty text is one piece that holds the closing id. Each row of docs is a document of its own, repeated rows and
     null ids too; very long texts are cut into as many pieces as they need; other columns, whatever their names, are
     ignored. Pieces of equal length are placed in the order of id and start. Sequence ids are unique, not gapless. An
-    empty table gives no rows.
+    empty table gives no rows. There is a worker for every DOCS_A_WORKER documents, LEAST_WORKERS at least.
     """
+    workers = workers or max(LEAST_WORKERS, docs.count() // DOCS_A_WORKER)
     small_batches(docs.sparkSession, rows=2000, size=8 << 20)
     kinds = "id long, row long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<long>" if with_ids else "")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("row"))
@@ -202,7 +204,7 @@ def pack(
         .drop("row")
     )
     counts = pieces.groupBy("class", "worker").agg(F.count("*").alias("n"))
-    # at most workers x (quotients of the capacity) rows, whatever the input
+    # at most workers x (quotients of the capacity) rows: a window of one row for each worker
     before, all_of = Window.partitionBy("class").orderBy("worker"), Window.partitionBy("class")
     first = counts.select("class", "worker", (F.sum("n").over(before) - F.col("n")).alias("first"), F.sum("n").over(all_of).alias("total"))
     own = Window.partitionBy("class", "worker").orderBy("id", "start", "ids_crc32")

@@ -218,8 +218,10 @@ def link(
         kinds = {"call_id": "string", "name": "string", "arguments": "string", "content": "string", "depends_on": "array<string>"}
         return F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("item"), *(fields.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()))
 
+    # arguments come as an object or as JSON in a string: read and written once, equal numbers are equal text in both
+    written = lambda a: F.coalesce(F.to_json(F.try_parse_json(a)), a)
     calls = F.transform(
-        F.col("c.tool_calls"), lambda c, i: item("call", i + 1, call_id=c["id"], name=c["name"], arguments=c["arguments"], depends_on=c["depends_on"])
+        F.col("c.tool_calls"), lambda c, i: item("call", i + 1, call_id=c["id"], name=c["name"], arguments=written(c["arguments"]), depends_on=c["depends_on"])
     )
     said = F.when(F.col("c.content").isNotNull(), F.array(item("message", F.lit(0), content=F.col("c.content"))))
     result_item = F.array(item("result", F.lit(0), call_id=F.col("r.tool_call_id"), content=F.coalesce(F.to_json("r.content"), F.lit("null"))))

@@ -339,3 +339,18 @@ def test_toolcalls_null_conversation_and_repeats(spark):
             level = {r["call_id"]: r["level"] for r in calls}
             assert level["d2"] < level["d1"] and all(r["linked"] == (r["call_id"] == "d1") for r in calls)
             assert [(r["linked"], r["problem"]) for r in got if r["conv_id"] == c and r["kind"] == "result"] == [(True, None)] * 2
+
+
+def test_numbers_are_written_in_one_way(spark):
+    """Arguments as an object and as JSON in a string: equal numbers are equal text and pass the same checks."""
+    numbers = ["1e2", "100", "100.0", "1.50", "1E-2", "-0", "0.0", "12345678901234567890123", "2.5e3"]
+    rows = []
+    for i, n in enumerate(numbers):
+        for k, arguments in enumerate((f'{{"x":{n},"y":[{n}]}}', json.dumps(f'{{"x":{n},"y":[{n}]}}'))):
+            rows.append((2 * i + k, 0, "assistant", f'{{"tool_calls":[{{"id":"a","name":"f","arguments":{arguments}}}]}}'))
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    tools = spark.createDataFrame([("f", "x", "integer", True)], "name string, parameter string, type string, required boolean")
+    got = {r["conv_id"]: (r["json"], r["problem"]) for r in link(chats, tools).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(len(numbers)))
+    assert {got[0][0], got[2][0], got[4][0]} == {'{"arguments":{"x":100,"y":[100]},"id":"a","name":"f","role":"assistant","type":"call"}'}
+    assert [n for i, n in enumerate(numbers) if got[2 * i][1]] == ["1.50", "1E-2"]

@@ -259,3 +259,10 @@ def test_quality_edges(spark):
     rows = [(1, "the house is green and the garden is quiet. " * 3000), (2, "same words here. " * 20), (2, "same words here. " * 20), (3, "same words here. " * 20), (None, "no id but text.")]
     got = score_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 5 and len({(r["score"], r["keep"]) for r in got if r["doc_id"] in (2, 3)}) == 1
+
+
+def test_sample_is_drawn_row_by_row(spark):
+    """Rows of one id, and rows without any, are drawn each by itself, not in or out together."""
+    rows = [(None, f"der hund und die katze {i}", "de") for i in range(300)] + [(7, f"the dog and the cat {i}", "en") for i in range(300)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_on=60)
+    assert model.langs == ["de", "en"]
