@@ -2,7 +2,7 @@
 
 Centroids and codebooks are fitted on a bounded sample; every vector is indexed under its nearest centroid with the
 codes of its residual and the length of its quantisation error. Lists are laid out in shards of bounded size (a long
-list is dealt over several), and a block of queries meets the shards that hold lists it probes. There an asymmetric
+list is dealt over several), and a block of queries meets the shards that hold lists it probes, each a packed row. There an asymmetric
 distance table per query estimates the inner product of every row of the probed lists; the best rows are scored
 exactly, and so is every other row whose estimate plus its error could still reach the k-th of them, so nothing that is
 probed is missed. How many lists are probed is learned: a few queries are answered exactly over all rows, and as many
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 from .vectors import matrix, read, sample
 
 SHARD = 8192
@@ -71,20 +71,34 @@ class Index:
         return out
 
 
+def _pack_rows(group: pd.DataFrame) -> pd.DataFrame:
+    """A shard of at most about SHARD rows as one row of arrays, by id."""
+    rows = group.sort_values("id")
+    flat = lambda c, kind: rows[c].to_numpy().astype(kind).tobytes()
+    return pd.DataFrame({"shard": rows["shard"].iloc[:1], "ids": [flat("id", "<i8")], "lists": [flat("list", "<i4")], "err": [flat("err", "<f8")], "x": [b"".join(rows["vec"])], "codes": [b"".join(rows["codes"])]})
+
+
+def _pack_queries(group: pd.DataFrame) -> pd.DataFrame:
+    """At most about QUERIES queries of a shard as one row of arrays."""
+    probes = [np.asarray(p, "<i4") for p in group["probes"]]
+    counts = np.array([len(p) for p in probes], "<i4")
+    return pd.DataFrame({"shard": group["shard"].iloc[:1], "own": [group["id"].to_numpy().astype("<i8").tobytes()], "q": [b"".join(group["vec"])], "many": [counts.tobytes()], "probes": [np.concatenate(probes).tobytes()]})
+
+
 def _search(index: Index, dim: int, k: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or queries.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        rows = rows.sort_values("id")
-        ids, lists, err = rows["id"].to_numpy(), rows["list"].to_numpy(), rows["err"].to_numpy()
-        x, codes = matrix(rows["vec"], dim), np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(ids), -1)
+    """The k best rows of a shard for each query of a block, for rows that hold one of each."""
+
+    def one(row: dict) -> list[tuple]:
+        ids, lists, err = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["lists"], "<i4"), np.frombuffer(row["err"], "<f8")
+        x, codes = np.frombuffer(row["x"], "<f8").reshape(-1, dim), np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
+        asked, every, many = np.frombuffer(row["own"], "<i8"), np.frombuffer(row["q"], "<f8").reshape(-1, dim), np.frombuffer(row["many"], "<i4")
+        whose, probes = np.repeat(np.arange(len(many)), many), np.frombuffer(row["probes"], "<i4")
         found = []
-        for at in range(0, len(queries), 32):
-            part = queries.iloc[at : at + 32]
-            q, own = matrix(part["vec"], dim), part["id"].to_numpy()
+        for at in range(0, len(asked), 32):
+            q, own = every[at : at + 32], asked[at : at + 32]
+            inside = (whose >= at) & (whose < at + 32)
             probed = np.zeros((len(q), len(index.centres)), bool)
-            for i, p in enumerate(part["probes"]):
-                probed[i, np.asarray(p)] = True
+            probed[whose[inside] - at, probes[inside]] = True
             guess = index.estimate(q, lists, codes)
             guess[~probed[:, lists] | (ids[None, :] == own[:, None])] = -np.inf
             reach = guess + np.sqrt((q * q).sum(axis=1))[:, None] * err * (1 + 1e-9) + 1e-9
@@ -100,9 +114,14 @@ def _search(index: Index, dim: int, k: int):
                     best, score = np.append(best, more), np.append(score, (x[more] * q[i]).sum(axis=1))
                 top = np.lexsort((ids[best], -score))[:k]
                 found.append((np.full(len(top), own[i]), ids[best[top]], score[top]))
-        if not found:
-            return run(rows.iloc[:0], queries)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*found, strict=True)), strict=True)))
+        return found
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                found = one(batch.slice(at, 1).to_pylist()[0])
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -203,7 +222,10 @@ def nearest(
 
     blocks = max(1, -(-asked.count() // QUERIES))
     asked = asked.mapInArrow(probe, "shard long, id long, vec binary, probes array<int>").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    needed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = needed.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_search(index, dim, k), "query_id long, vec_id long, score double")
+    # shards and blocks of queries meet as packed rows: each is shuffled once, however many of the others it meets
+    packed = placed.groupBy("shard").applyInPandas(_pack_rows, "shard long, ids binary, lists binary, err binary, x binary, codes binary")
+    asking = asked.groupBy("shard", "block").applyInPandas(_pack_queries, "shard long, own binary, q binary, many binary, probes binary")
+    small_batches(spark)
+    found = asking.join(packed, "shard").mapInArrow(_search(index, dim, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
