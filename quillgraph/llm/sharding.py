@@ -14,7 +14,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import BROADCAST_ROWS, materialise
 
 OVERHEAD = 16
 DRAWS = 40.0
@@ -31,11 +31,16 @@ def _splitters(keys: DataFrame, draws: Column, scope: Column, seed: int) -> Data
     `draws` is a record's expected number of draws; one below 1 is the chance to be drawn once, a heavy record counts
     for all its draws. So the sample has about DRAWS rows a boundary, whatever the input.
     """
-    drawn = keys.withColumn("draws", draws).where(_uniform("h", "key", seed=seed) < F.col("draws"))
-    order = Window.partitionBy(scope).orderBy("h", "key")
-    upto = F.sum(F.greatest("draws", F.lit(1.0))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    step = drawn.withColumn("step", F.floor(upto / DRAWS))
-    return step.withColumn("last", F.lag("step", 1, 0).over(order)).where("step > last").select("h", "key").distinct()
+    drawn = keys.select("h", "key", scope.alias("scope"), F.greatest(draws, F.lit(1.0)).alias("w"), draws.alias("draws")).where(_uniform("h", "key", seed=seed) < F.col("draws"))
+    # the sample is dealt out by ranges of its order, and sums of the ranges before tell where the sum of one begins
+    dealt = materialise(drawn.select("scope", "h", "key", "w").repartitionByRange("scope", "h", "key").withColumn("piece", F.spark_partition_id()))
+    sums = dealt.groupBy("scope", "piece").agg(F.sum("w").alias("sum"))
+    ahead = Window.partitionBy("scope").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("scope", "piece", F.coalesce(F.sum("sum").over(ahead), F.lit(0.0)).alias("before"))
+    inside = Window.partitionBy("scope", "piece").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("before") + F.sum("w").over(inside)
+    step = dealt.join(starts, ["scope", "piece"]).withColumn("upto", upto)
+    return step.where(F.floor(F.col("upto") / DRAWS) > F.floor((F.col("upto") - F.col("w")) / DRAWS)).select("h", "key").distinct()
 
 
 def shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", seed: int = 5, rows_per_range: int = 50_000) -> DataFrame:
@@ -115,8 +120,9 @@ def _place(rows: DataFrame, cut: DataFrame, wanted: int) -> DataFrame:
     every = every.withColumn("cuts", F.coalesce("cuts", F.array().cast("array<struct<h:bigint,key:bigint>>")))
     step = F.greatest(F.ceil(F.sqrt(F.size("cuts"))), F.lit(1)).cast("int")
     heads = F.filter("cuts", lambda _, i: i % F.col("step") == 0)
-    # a row a slot and all boundaries: as many as ranges, one in rows_per_range records
-    table = F.broadcast(every.withColumn("step", step).select("slot", "before", "cuts", "step", heads.alias("heads")))
+    # a row a slot and all boundaries, as many as ranges: one in rows_per_range records
+    table = every.withColumn("step", step).select("slot", "before", "cuts", "step", heads.alias("heads"))
+    table = F.broadcast(table) if wanted <= BROADCAST_ROWS else table
     own = F.struct("h", "key")
     passed = lambda of: F.size(F.filter(of, lambda c: c <= own))
     block = F.greatest(passed("heads") - 1, F.lit(0)) * F.col("step")
