@@ -30,13 +30,16 @@ def with_reasons(rows: DataFrame, cypher: str = "cypher", keep_node_only: bool =
     return df.withColumn("reason", reason.otherwise("kept")).drop("verdict")
 
 
-def first_wins(rows: DataFrame, text: str, position: list[str]) -> DataFrame:
-    """One row for each normalised text, the first by position.
+def first_wins(rows: DataFrame, text: str, position: list[str], keep: list[str] | None = None) -> DataFrame:
+    """One row for each normalised text, the first by position; with `keep`, these columns of it.
 
-    Texts are grouped by a 128-bit digest, on the way into the shuffle, and the first positions are joined back by
-    position and digest, so no text is shuffled as a key and no key is hot.
+    Texts are grouped by a 128-bit digest, on the way into the shuffle. With `keep` the wanted columns go with the
+    position, in one aggregation. Without, the first positions are joined back by position and digest, so no text is
+    shuffled as a key and no key is hot.
     """
     keyed = rows.withColumn("_digest", F.md5(normalised_question(F.coalesce(text, F.lit("")))))
+    if keep is not None:
+        return keyed.groupBy("_digest").agg(F.min_by(F.struct(*keep), F.struct(*position)).alias("_first")).select("_first.*")
     first = keyed.groupBy(F.col("_digest").alias("_of")).agg(F.min(F.struct(*position)).alias("_first")).select("_of", "_first.*")
     first = first.select("_of", *(F.col(p).alias(f"_{p}") for p in position))
     same = keyed["_digest"] == first["_of"]

@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few files over all cores, for work in which parsing is the cost and not reading."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1))
+
+
 def co_listed(lineitem: DataFrame) -> DataFrame:
     """Distinct pairs (p1, p2), p1 < p2, of parts that occur in the same order: an undirected edge, stored once."""
     a = lineitem.select("l_orderkey", F.col("l_partkey").alias("p1"))

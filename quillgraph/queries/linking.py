@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns, prompts, strings, tables
 from ..operators import ambiguity, candidates, entities, stats
 from ..plans.catalog import GraphSchema, PathDecl
-from ..plans.tpch import star_graph, table
+from ..plans.tpch import spread, star_graph, table
 from . import Book
 
 BOOK = Book()
@@ -115,7 +115,7 @@ def p_rows(spark, sf_dir):
     user = F.concat(F.lit("User_"), F.col("user_id").cast("string"))
     box = F.concat(F.lit("[:"), F.upper("event_type"), F.when(F.col("value") >= 50, " {since, active:true}]").otherwise(" {since}]"))
     text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("(d:Day {n:1})<-"), box, F.lit("-(:"), user, F.lit(")"))).otherwise(F.concat(F.lit("(u:"), user, F.lit(")-"), box, F.lit("->(d:Day)")))
-    return table(spark, sf_dir, "events").select("event_id", text.alias("text")).lateralJoin(tables.pattern_rows(F.col("text").outer())).drop("text")
+    return spread(table(spark, sf_dir, "events").select("event_id", text.alias("text"))).lateralJoin(tables.pattern_rows(F.col("text").outer())).drop("text")
 
 
 @BOOK.add(
@@ -236,7 +236,7 @@ def p_rel_types(spark, sf_dir):
         F.lit("MATCH (u:User)-[r:"), F.when(F.col("event_type") == "click", "VIEW|CLICK").otherwise(F.upper("event_type")), F.lit(" {active:true}]->(d), (d)-[:"), by, F.lit("]-(x)"),
         F.when(F.col("event_id") % 2 == 1, F.concat(F.lit("<-[:"), F.upper("event_type"), F.lit("]-(y)"))).otherwise(""), F.lit(" RETURN u"),
     )
-    df = table(spark, sf_dir, "events").select("event_id", q.alias("q")).withColumn("p", patterns.extract_schema_pattern("q"))
+    df = spread(table(spark, sf_dir, "events").select("event_id", q.alias("q"))).withColumn("p", patterns.extract_schema_pattern("q"))
     return df.select("event_id", F.array_join(patterns.relationship_types("q"), "|").alias("types"), patterns.relationship_count("p").alias("hops"), patterns.has_relationship_type("p").alias("typed"))
 
 
@@ -250,7 +250,7 @@ def p_schema_pattern(spark, sf_dir):
         F.lit("MATCH (u:User_"), F.col("user_id").cast("string"), F.lit(" {name:'a) {b'})-[r:"), F.upper("event_type"), F.lit(" {e"), F.col("event_id").cast("string"), F.lit(":date('2024-01-01'), active:TRUE}]->(d:Day {month:"),
         F.month("ts").cast("string"), day, F.lit("}) WHERE r.value > 3 RETURN u.name ORDER BY u.name"),
     )
-    return table(spark, sf_dir, "events").select("event_id", patterns.extract_schema_pattern(q).alias("pattern"))
+    return spread(table(spark, sf_dir, "events").select("event_id", q.alias("q"))).select("event_id", patterns.extract_schema_pattern("q").alias("pattern"))
 
 
 @BOOK.add("p_clean_fence", "SELECT event_id, 'MATCH (u:User {user_id:' || user_id || '})' || chr(10) || 'RETURN u.' || event_type || '_' || event_id AS cypher FROM events")

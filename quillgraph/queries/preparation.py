@@ -20,7 +20,7 @@ def docs(spark, sf_dir) -> DataFrame:
 
 @BOOK.add("t_dedup_first", f"SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, {NORM} AS t FROM documents) GROUP BY t")
 def t_dedup_first(spark, sf_dir):
-    return prep.first_wins(docs(spark, sf_dir), "text", ["doc_id"]).select("doc_id")
+    return prep.first_wins(docs(spark, sf_dir), "text", ["doc_id"], ["doc_id"])
 
 
 @BOOK.add("t_gate_exact", f"SELECT doc_id FROM documents WHERE {NORM} NOT IN (SELECT {NORM} FROM documents WHERE source = 'src1')")

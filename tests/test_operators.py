@@ -125,6 +125,7 @@ def test_split_and_gates(spark):
     assert parts.where("part = 'eval'").count() == 13 and parts.count() == 137
     rows = spark.createDataFrame([(1, "Who  IS it?"), (2, "who is it?"), (3, "who is at home?"), (4, "where is the car")], "id int, q string")
     assert [r["id"] for r in prep.first_wins(rows, "q", ["id"]).orderBy("id").collect()] == [1, 3, 4]
+    assert sorted(tuple(r) for r in prep.first_wins(rows, "q", ["id"], ["q", "id"]).collect()) == [("Who  IS it?", 1), ("where is the car", 4), ("who is at home?", 3)]
     blocked = spark.createDataFrame([("Where is the cars",), ("WHO is it?",)], "b string")
     assert [r["id"] for r in prep.disjoint(rows, blocked, "q", "b").orderBy("id").collect()] == [3]
 
