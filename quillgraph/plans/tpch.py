@@ -53,13 +53,14 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Users and days; every kind of event is a relationship type of its own between the same two labels."""
-    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    # an event of a small value lasts two days, others are open
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).withColumn("until", F.when(F.col("value") < 50, F.col("ts") + F.expr("INTERVAL 2 DAYS")))
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     days = events.select("day").distinct().withColumn("month", F.month("day").cast("long"))
     return Graph(
         [NodeTable("User", "user_id", users), NodeTable("Day", "day", days)],
         [
-            EdgeTable(kind.upper(), "User", "Day", "user_id", "day", ("event_id",), events.where(F.col("event_type") == kind), ("value", "ts"))
+            EdgeTable(kind.upper(), "User", "Day", "user_id", "day", ("event_id",), events.where(F.col("event_type") == kind), ("value", "ts", "until"))
             for kind in EVENT_TYPES
         ],
     )

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans.tpch import star, star_graph, stream, trail
+from ..plans.catalog import EdgeTable, Graph, NodeTable
+from ..plans.tpch import star, star_graph, stream, table, trail
 from . import Book
 
 BOOK = Book()
@@ -90,8 +91,9 @@ _star(
 )
 _stream(
     "g_temporal_overlap",
-    "MATCH (u:User)-[r:PURCHASE]->(d:Day) WHERE r.ts <= datetime('2024-01-20T00:00:00') AND (r.value IS NULL OR r.ts >= datetime('2024-01-10T00:00:00')) RETURN u.name AS name, r.ts AS ts",
-    "SELECT c_name AS name, ts FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'purchase' AND ts <= TIMESTAMP '2024-01-20 00:00:00' AND (value IS NULL OR ts >= TIMESTAMP '2024-01-10 00:00:00')",
+    "MATCH (u:User)-[r:PURCHASE]->(d:Day) WHERE r.ts <= datetime('2024-01-20T00:00:00') AND (r.until IS NULL OR r.until >= datetime('2024-01-10T00:00:00')) RETURN u.name AS name, r.ts AS ts, r.until AS until",
+    """SELECT c_name AS name, ts, CASE WHEN value < 50 THEN ts + INTERVAL 2 DAY END AS until FROM events JOIN customer ON user_id = c_custkey
+       WHERE event_type = 'purchase' AND ts <= TIMESTAMP '2024-01-20 00:00:00' AND (value >= 50 OR ts + INTERVAL 2 DAY >= TIMESTAMP '2024-01-10 00:00:00')""",
 )
 _star("g_date", "MATCH (o:Order) WHERE o.o_orderdate >= date('2000-01-01') RETURN count(o) AS n", "SELECT count(*) AS n FROM orders WHERE o_orderdate >= DATE '2000-01-01'")
 _star("g_distinct", "MATCH (c:Customer)-[:PLACED]->(o:Order {o_orderstatus:'P'}) RETURN DISTINCT c.c_name AS name", "SELECT DISTINCT c_name AS name FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'P'")
@@ -233,3 +235,18 @@ def g_constraints(spark, sf_dir):
     dangling = graph.dangling().where("end = 'source' AND type = 'PLACED' OR end = 'target' AND type = 'CONTAINS'")
     found = unique.union(dangling.select(F.lit("dangling"), "type", "n"))
     return wanted.join(found, ["gate", "name"], "left").select("gate", "name", F.coalesce("bad", F.lit(0).cast("long")).alias("n"))
+
+
+@BOOK.add(
+    "g_violations",
+    """SELECT 'unique' AS gate, 'Segment' AS name, CAST(c_nationkey AS VARCHAR) AS id, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 1
+       UNION ALL SELECT 'dangling', 'PLACED source', NULL, count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+       UNION ALL SELECT 'dangling', 'PLACED target', NULL, count(*) FROM orders WHERE o_orderstatus = 'P'""",
+)
+def g_violations(spark, sf_dir):
+    """A graph that breaks its constraints: ids that repeat, and relationships whose ends are missing."""
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    nodes = [NodeTable("Customer", "c_custkey", customer.where("c_acctbal > 0")), NodeTable("Segment", "c_nationkey", customer), NodeTable("Order", "o_orderkey", orders.where("o_orderstatus <> 'P'"))]
+    graph = Graph(nodes, [EdgeTable("PLACED", "Customer", "Order", "o_custkey", "o_orderkey", ("o_orderkey",), orders)])
+    lost = graph.dangling().select(F.lit("dangling").alias("gate"), F.concat_ws(" ", "type", "end").alias("name"), F.lit(None).cast("string").alias("id"), "n")
+    return graph.duplicate_ids().select(F.lit("unique").alias("gate"), F.col("label").alias("name"), "id", "n").union(lost)
