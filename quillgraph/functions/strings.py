@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,23 +20,32 @@ def tokens(text: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")))
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two strings: one fold per character of a over the row of b."""
-    left, right = F.split(a, ""), F.split(b, "")
-    zero = F.transform(F.sequence(F.lit(0), F.greatest(F.length(b), F.lit(0))), lambda i: F.lit(0))
+def lcs_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence of two strings, a row of bits at a time."""
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for ch in b:
+        both = row & at.get(ch, 0)
+        row = (row + both | row - both) & full
+    return len(a) - row.bit_count()
+
+
+def _lcs(a: pa.Array, b: pa.Array) -> pa.Array:
+    known: dict[tuple, int | None] = {}
+    for pair in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        if pair not in known:
+            known[pair] = None if None in pair else lcs_length(*pair)
+    return pa.array([known[pair] for pair in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
+
 
-    def step(row: Column, x: Column) -> Column:
-        # new[j] = max(new[j-1], row[j], row[j-1] + 1 if the characters agree)
-        return F.aggregate(
-            F.sequence(F.lit(1), F.length(b)),
-            F.array(F.lit(0)),
-            lambda new, j: F.concat(
-                new,
-                F.array(F.greatest(F.element_at(new, -1), F.get(row, j), F.get(row, j - 1) + F.when(F.get(right, j - 1) == x, 1).otherwise(0))),
-            ),
-        )
+_lcs.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}  # the names are strings here
 
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.element_at(F.aggregate(left, zero, step), -1))
+
+def lcs(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two strings, in an Arrow function: bit vectors have no column form."""
+    return F.arrow_udf(_lcs, "int")(a, b)
 
 
 def indel(a: Column, b: Column) -> Column:
@@ -66,15 +76,3 @@ def _rest(common: Column, ra: Column, rb: Column, shared: Column) -> Column:
     """Indel of common + ' ' + rest on both sides: only the rests need aligning."""
     head = F.when(shared, F.length(common) + 1).otherwise(0)
     return F.lit(2.0) * (head + lcs(ra, rb)) / (2 * head + F.length(ra) + F.length(rb))
-
-
-def lcs_length(a: str, b: str) -> int:
-    """lcs() of two Python strings, a row of bits at a time."""
-    at: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        at[ch] = at.get(ch, 0) | 1 << i
-    full = row = (1 << len(a)) - 1
-    for ch in b:
-        both = row & at.get(ch, 0)
-        row = (row + both | row - both) & full
-    return len(a) - row.bit_count()
