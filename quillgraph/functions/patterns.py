@@ -54,14 +54,14 @@ def tree(text: str) -> list:
         elif piece in ")]}":
             opening, items = stack.pop()
             if not opening or _PAIRS[opening] != piece:
-                raise ValueError("unbalanced brackets")
+                raise ValueError("a bracket has no partner")
             stack[-1][1].append(Group(opening, items))
         elif piece in "'\"":
             raise ValueError("unterminated string")
         else:
             stack[-1][1].append(piece)
     if len(stack) > 1:
-        raise ValueError("unbalanced brackets")
+        raise ValueError("a bracket has no partner")
     return stack[0][1]
 
 
