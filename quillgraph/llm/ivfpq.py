@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialise, small_batches
 from .vectors import matrix, read, sample
 
-SHARD = 2048
+SHARD = 8192
 QUERIES = 4096
 FIRST = 64
 
