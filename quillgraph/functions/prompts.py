@@ -10,15 +10,21 @@ def lines(items: Column, one) -> Column:
     return F.array_join(F.transform(items, one), "\n")
 
 
+def two_decimals(x: Column) -> Column:
+    """A number with two decimals, the nearest to the double itself and ties to even, as printf does: format_string rounds
+    the decimal text of a double, and ties up."""
+    return F.call_function("format_number", x.cast("double"), F.lit("0.00"))
+
+
 def candidate_block(slots: Column) -> Column:
     """slots: array of (slot, candidates: array of (text, prob)); scores with two decimals."""
-    one = lambda c: F.concat(F.lit("  - "), c["text"], F.lit(" ("), F.format_string("%.2f", c["prob"]), F.lit(")"))
+    one = lambda c: F.concat(F.lit("  - "), c["text"], F.lit(" ("), two_decimals(c["prob"]), F.lit(")"))
     return lines(slots, lambda s: F.concat(s["slot"], F.lit(":\n"), lines(s["candidates"], one)))
 
 
 def entity_block(spans: Column) -> Column:
     """spans: array of (span, candidates: array of (label, name, posterior))."""
-    one = lambda c: F.concat(F.lit("  - "), c["label"], F.lit(" "), c["name"], F.lit(" ("), F.format_string("%.2f", c["posterior"]), F.lit(")"))
+    one = lambda c: F.concat(F.lit("  - "), c["label"], F.lit(" "), c["name"], F.lit(" ("), two_decimals(c["posterior"]), F.lit(")"))
     return lines(spans, lambda s: F.concat(F.lit('"'), s["span"], F.lit('":\n'), lines(s["candidates"], one)))
 
 

@@ -129,6 +129,17 @@ def test_prompt_pieces(spark):
     assert row["p"] == ["a?", "b?"] and row["t"] == "none"
 
 
+def test_prompt_decimals(spark):
+    """Scores are rounded as doubles are printed: 0.845 is less than it says, and ties go to the even digit."""
+    values = [0.125, 0.375, 0.845, 0.005, 1.0, 0.0]
+    one = lambda *names: F.array(*(F.struct(*(F.lit("x").alias(n) for n in names[:-1]), F.lit(v).alias(names[-1])) for v in values))
+    slots = F.array(F.struct(F.lit("s").alias("slot"), one("text", "prob").alias("candidates")))
+    spans = F.array(F.struct(F.lit("s").alias("span"), one("label", "name", "posterior").alias("candidates")))
+    row = spark.range(1).select(prompts.candidate_block(slots).alias("c"), prompts.entity_block(spans).alias("e")).first()
+    assert row["c"] == "\n".join(["s:", *(f"  - x ({v:.2f})" for v in values)])
+    assert row["e"] == "\n".join(['"s":', *(f"  - x x ({v:.2f})" for v in values)])
+
+
 def test_pattern_rows(spark):
     """The table function gives the rows that the parsed pattern exploded gives, in a lateral join."""
     from quillgraph.functions import tables
