@@ -11,6 +11,12 @@ from ..plans.written import materialise
 FEW_VALUES = 1 << 18
 
 
+def exact_sum(value: Column | str) -> Column:
+    """The sum of finite doubles by their first six decimals, added as decimals: the same in whatever order rows come."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.sum(value.cast("decimal(28,6)")).cast("double")
+
+
 def running(grid: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
     """grid with `_upto` and `_all`: the sums of `n` up to a row's value, itself included, and over its key.
 

@@ -335,3 +335,21 @@ def test_settings_under_any_partitioning(spark, parts):
         pairs = [(a, b) for a in range(0, 40, 2) for b in range(1, 40, 2)]
         want = sum((e[a] > e[b]) + 0.5 * (e[a] == e[b]) for a, b in pairs) / len(pairs)
         assert abs(got[s] - want) < 1e-12
+
+
+def test_equal_results_whatever_the_order_of_rows(spark, monkeypatch):
+    """Sums that are computed twice are equal, though rows come in another order each time."""
+    import random
+
+    from quillgraph.queries import evaluation
+
+    dice = F.udf(lambda _: random.random(), "double").asNondeterministic()
+    rows = spark.range(20000).select(F.lit("A").alias("l_returnflag"), F.lit("F").alias("l_linestatus"), (F.col("id") * 997.13 + 0.37).alias("l_extendedprice"))
+    monkeypatch.setattr(evaluation, "table", lambda *_: rows.withColumn("d", dice("l_extendedprice")).repartitionByRange(4, "d"))
+    # without reuse rows are dealt anew for either side, as on a cluster blocks arrive in any order
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        found = evaluation.x_rowset_equal(spark, "").collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert {r["pair"]: r["equal"] for r in found}["rounding"]
