@@ -8,7 +8,8 @@ No group is expanded into all its pairs. Documents with the same shingle set are
 with one bucket leader (the member of most company; of its leaders the one with which it shares most bands), by the
 first bands alone, then by all bands where a bucket still spans components. Only members of such a bucket that are in
 different components afterwards are compared with each other: in small buckets by a join, in large ones in block pairs
-of bounded size, where signatures alone decide first who has a partner at all, and which only links leave.
+of bounded size, where signatures alone decide first who has a partner at all, and which only links leave. Large buckets
+that the same component fills are compared as one, so a member goes out once and not once a bucket.
 
 Joins on a key that many rows may share broadcast the few commonest keys (common.join_counted) or end in a write, where
 adaptive execution splits the partition of such a key.
@@ -210,31 +211,53 @@ class _Corpus:
         y = x.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
         return x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
 
+    def units(self, members: DataFrame) -> DataFrame:
+        """(unit, whole, node, component, bulk): the members of large buckets by the units in which they are compared.
+
+        A group of near copies fills many buckets with much the same members, so all buckets of which one component, the
+        bulk, has most members are one unit, each member in it once, and every pair that shares a bucket is its business
+        (whole). Where a bulk holds so many members of different buckets that this would be more pairs than bucket by
+        bucket, each bucket stays a unit of its own.
+        """
+        large = members.where(F.col("size") > SMALL_BUCKET).select("key", "node", "component")
+        shares = large.groupBy("key", "component").agg(F.count("*").alias("n"))
+        buckets = materialise(shares.groupBy("key").agg(F.sum("n").alias("size"), F.max_by("component", F.struct("n", -F.col("component"))).alias("bulk")))
+        named = materialise(large.join(buckets.select("key", "bulk"), "key"))
+        apart = buckets.groupBy("bulk").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
+        together = named.select("bulk", "node").distinct().groupBy("bulk").agg(F.count("*").alias("n"))
+        chosen = materialise(together.join(apart, "bulk").select("bulk", (F.col("n") * F.col("n") <= F.col("pairs")).alias("whole")))
+        unit = F.when(F.col("whole"), F.col("bulk")).otherwise(F.col("key"))
+        return materialise(named.join(chosen, "bulk").select(unit.alias("unit"), "whole", "node", "component", "bulk").distinct())
+
     def block_links(self, members: DataFrame) -> DataFrame:
         """The links across components in large buckets, one row a link that is needed to join two of them.
 
         Members meet in block pairs, where a pair passes the same tests as elsewhere: set sizes, the posterior bound on
-        signatures, then the exact sets. It is the business of the first bucket that both share only. Signatures go
-        first, in wide blocks without texts, and only members with a plausible partner go on with theirs.
+        signatures, then the exact sets. In a unit of one bucket a pair is its business if no earlier one is shared.
+        Signatures go first, in wide blocks without texts, and only members with a plausible partner go on with theirs.
         """
         kinds = self.nodes.select("node", "n", "sig", "keys")
-        signed = _dealt(members.where(F.col("size") > SMALL_BUCKET), WIDE_BLOCK).join(kinds, "node")
-        open_ = signed.groupBy("key", "lo", "hi").applyInPandas(_partners(self.percent, self.hashes, self.table), "key long, node long, component long").distinct()
-        open_ = materialise(open_)
-        sizes = open_.groupBy("key").agg(F.count("*").alias("size"))
+        signed = _dealt(self.units(members), WIDE_BLOCK).join(kinds, "node")
+        of = "unit long, whole boolean, node long, component long, bulk long"
+        open_ = materialise(signed.groupBy("unit", "whole", "lo", "hi").applyInPandas(_partners(self.percent, self.hashes, self.table), of).distinct())
         named = self.nodes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "id", "h")
         texts = named.join(self.texts_of(named.select("id", "h")), ["id", "h"]).select("node", "text")
-        dealt = _dealt(open_.join(sizes, "key"), BLOCK).join(kinds, "node").join(texts, "node")
-        return materialise(dealt.groupBy("key", "lo", "hi").applyInPandas(_links(self.size, self.percent, self.hashes, self.table), "a long, b long"))
+        dealt = _dealt(open_, BLOCK).join(kinds, "node").join(texts, "node")
+        return materialise(dealt.groupBy("unit", "whole", "lo", "hi").applyInPandas(_links(self.size, self.percent, self.hashes, self.table), "a long, b long"))
 
 
 def _dealt(members: DataFrame, block: int) -> DataFrame:
-    """Members once for each pair of blocks (lo, hi) of their bucket that theirs is one of."""
+    """Members once for each pair of blocks (lo, hi) of their unit that theirs is one of and in which components meet:
+    blocks of the bulk, which come first, meet those of other members only, so a bulk with few others goes out once."""
+    of_bulk = F.col("component") == F.col("bulk")
+    parts = lambda n: F.ceil(F.count_if(n) / block).cast("int")
+    sizes = members.groupBy("unit", "whole").agg(parts(of_bulk).alias("bulks"), parts(~of_bulk).alias("rest"))
+    within = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
     return (
-        members.withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "node", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        members.join(sizes.where("rest > 0"), ["unit", "whole"])
+        .withColumn("block", F.when(of_bulk, within(F.col("bulks"))).otherwise(F.col("bulks") + within(F.col("rest"))))
+        .withColumn("other", F.explode(F.sequence(F.when(of_bulk, F.col("bulks")).otherwise(F.lit(0)), F.col("bulks") + F.col("rest") - 1)))
+        .select("unit", "whole", "node", "component", "bulk", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     )
 
 
@@ -246,7 +269,8 @@ class _Group:
         self.nodes, self.component, self.blocks, self.n = (group[c].to_numpy().copy() for c in ("node", "component", "block", "n"))
         self.sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, hashes)
         self.keys = np.stack(group["keys"].to_numpy())
-        self.key, self.lo, self.hi = (int(group[c].iloc[0]) for c in ("key", "lo", "hi"))
+        self.unit, self.lo, self.hi = (int(group[c].iloc[0]) for c in ("unit", "lo", "hi"))
+        self.whole = bool(group["whole"].iloc[0])
         self.percent, self.table = percent, table
 
     def partners(self, i: int) -> np.ndarray:
@@ -257,7 +281,8 @@ class _Group:
         ok &= 100 * np.minimum(self.n[i], self.n[i + 1 :]) >= self.percent * np.maximum(self.n[i], self.n[i + 1 :])
         at = i + 1 + np.flatnonzero(ok)
         if len(at):
-            at = at[self.keys[i][(self.keys[at] == self.keys[i]).argmax(axis=1)] == self.key]
+            shared = self.keys[at] == self.keys[i]
+            at = at[shared.any(axis=1) if self.whole else self.keys[i][shared.argmax(axis=1)] == self.unit]
         if not len(at):
             return at
         m = _plausible(np.broadcast_to(self.sig[i], (len(at), self.sig.shape[1])), self.sig[at], self.table)
@@ -272,7 +297,7 @@ def _partners(percent: int, hashes: int, table: list[tuple[int, int]]):
             at = own.partners(i)
             some[at] = True
             some[i] |= len(at) > 0
-        return own.rows[["key", "node", "component"]][some]
+        return own.rows[["unit", "whole", "node", "component", "bulk"]][some]
 
     return run
 

@@ -112,3 +112,20 @@ def test_hub(spark):
         rows.append((i, " ".join(w), 0, ""))
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA), words_per_shingle=3, percent=85)
     assert got.select(F.count_distinct("component_id"), F.count_if("kept")).first()[:] == (1, 1)
+
+
+def test_near_copies_go_out_once(spark):
+    """Buckets that one component fills are one unit, and its members meet the others only; where a component has
+    different members in each bucket, buckets stay apart."""
+    from quillgraph.llm.bayes_dedup import _Corpus, _dealt
+
+    of = "key long, node long, component long, size long"
+    same = [(k, n, n if n < 10 else 1000, 300) for k in range(36) for n in range(300)]
+    units = _Corpus.units(None, spark.createDataFrame(same, of))
+    rows = units.collect()
+    assert len(rows) == 300 and {(r["unit"], r["whole"]) for r in rows} == {(1000, True)}
+    dealt = _dealt(units, 50).collect()
+    assert len(dealt) == 290 + 10 * 7  # 36 * 300 * 6 in blocks of each bucket
+    apart = [(k, k * 100 + n, k * 100 if n == 0 else 9000, 100) for k in range(20) for n in range(100)]
+    rows = _Corpus.units(None, spark.createDataFrame(apart, of)).collect()
+    assert len(rows) == 2000 and len({r["unit"] for r in rows}) == 20 and not any(r["whole"] for r in rows)
