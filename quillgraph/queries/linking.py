@@ -111,11 +111,12 @@ def c_candidate_mapping(spark, sf_dir, k: int | None = 5):
     UNION ALL SELECT event_id, 'relationship', 1, NULL, kind, CASE WHEN back THEN 'd' ELSE 'u' END, CASE WHEN back THEN '_n0' ELSE 'd' END, CASE WHEN back THEN '<-' ELSE '->' END, on_ FROM s""",
 )
 def p_rows(spark, sf_dir):
-    """Nodes and relationships of a pattern for every event as rows, by the table function in a lateral join."""
+    """Nodes and relationships of a pattern for every event as rows; texts are parsed by batches, where the table function
+    would be entered row by row."""
     user = F.concat(F.lit("User_"), F.col("user_id").cast("string"))
     box = F.concat(F.lit("[:"), F.upper("event_type"), F.when(F.col("value") >= 50, " {since, active:true}]").otherwise(" {since}]"))
     text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("(d:Day {n:1})<-"), box, F.lit("-(:"), user, F.lit(")"))).otherwise(F.concat(F.lit("(u:"), user, F.lit(")-"), box, F.lit("->(d:Day)")))
-    return spread(table(spark, sf_dir, "events").select("event_id", text.alias("text"))).lateralJoin(tables.pattern_rows(F.col("text").outer())).drop("text")
+    return spread(table(spark, sf_dir, "events").select("event_id", text.alias("text"))).select("event_id", F.inline(tables.parts_of(F.col("text"))))
 
 
 @BOOK.add(

@@ -153,3 +153,14 @@ def test_pattern_rows(spark):
     df.createOrReplaceTempView("pattern_texts")
     sql = spark.sql("SELECT id, p.* FROM pattern_texts t, LATERAL pattern_rows(t.text) p")
     assert sorted(map(tuple, sql.collect()), key=str) == want
+
+
+def test_rows_of_patterns_are_parsed_by_batches(spark, tmp_path):
+    """No Python call for each row: the plan has a vectorised parser and no table function."""
+    from quillgraph.queries import linking
+
+    spark.sql("SELECT 1L AS event_id, 2L AS user_id, 'view' AS event_type, 60D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    rows = linking.p_rows(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "UDTF" not in plan and "ArrowEvalPython" in plan
+    assert {(r["kind"], r["pos"], r["name"], r["active"]) for r in rows.collect()} == {("node", 1, "User_2", None), ("node", 2, "Day", None), ("relationship", 1, "VIEW", True)}
