@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, gates, metrics, stats
-from ..plans.tpch import star, table
+from ..plans.tpch import spread, star, table
 from . import Book
 
 BOOK = Book()
@@ -272,7 +272,7 @@ def b_hops(spark, sf_dir):
     """Queries of none to four hops whose declared number, made of the user, is another, or which have too many."""
     hop = F.concat(F.lit("-[:HOP {at:'"), F.col("user_id").cast("string"), F.lit("]'}]->()"))
     q = F.concat(F.lit("MATCH (a)"), F.repeat(hop, (F.col("event_id") % 5).cast("int")), F.lit(" RETURN a"))
-    items = table(spark, sf_dir, "events").select("event_id", q.alias("cypher"), (F.col("user_id") % 4).alias("declared"))
+    items = spread(table(spark, sf_dir, "events")).select("event_id", q.alias("cypher"), (F.col("user_id") % 4).alias("declared"))
     return gates.hop_honesty(items, "cypher", "declared").select("event_id", "hops")
 
 

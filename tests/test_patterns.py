@@ -164,3 +164,14 @@ def test_rows_of_patterns_are_parsed_by_batches(spark, tmp_path):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "UDTF" not in plan and "ArrowEvalPython" in plan
     assert {(r["kind"], r["pos"], r["name"], r["active"]) for r in rows.collect()} == {("node", 1, "User_2", None), ("node", 2, "Day", None), ("relationship", 1, "VIEW", True)}
+
+
+def test_hops_are_parsed_once_after_rows_are_dealt(spark, tmp_path):
+    """The filter on hops stays above the shuffle that spreads the rows, and the parser is called once."""
+    from quillgraph.queries import evaluation
+
+    spark.sql("SELECT id AS event_id, id AS user_id FROM range(20)").write.parquet(f"{tmp_path}/events.parquet")
+    rows = evaluation.b_hops(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Exchange")
+    assert {r["event_id"] for r in rows.collect()} == {i for i in range(20) if i % 5 != i % 4 or i % 5 > 3}
