@@ -1,7 +1,7 @@
 """Walks of variable length: trails (no relationship twice) of lo to hi hops, hop by hop.
 
 The state of a trail is (start, start_label, at, at_label, edges). A few hops are one lazy plan. More are an iteration:
-the relationships are written once, every hop reads the table of the hop before and writes its own, and the iteration
+the relationships are written once, in buckets by the node they leave, so no hop shuffles them again; every hop reads the table of the hop before and writes its own, and the iteration
 ends with the first empty one, so the work is one join a hop and grows with the trails there are, not with hi. With both
 ends known, trails are grown from both, half the hops each, and meet: one of n hops is its first (n + 1) / 2, rounded
 down, and the rest, whose relationships must be others.
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .written import discard, materialise
+from .written import discard, materialise, materialise_by
 
 #: Walks of up to so many hops stay one plan.
 LAZY_HOPS = 3
@@ -30,7 +30,7 @@ def _start(starts: DataFrame) -> DataFrame:
 
 
 def _hop(trails: DataFrame, edges: DataFrame) -> DataFrame:
-    joined = trails.join(edges.withColumnsRenamed({"from": "at", "from_label": "at_label"}), ["at", "at_label"])
+    joined = trails.join(edges, ["at", "at_label"])
     fresh = joined.where(~F.array_contains("edges", F.col("edge")))
     return fresh.select("start", "start_label", F.col("to").alias("at"), F.col("to_label").alias("at_label"), F.concat("edges", F.array("edge")).alias("edges"))
 
@@ -43,9 +43,10 @@ def grow(starts: DataFrame, labels: frozenset[str], leaving: Leaving, hops: int,
         step = leaving(labels)
         if step is None:
             break
+        edges = step[0].withColumnsRenamed({"from": "at", "from_label": "at_label"})
         if not lazy and labels not in written:
-            written[labels] = materialise(step[0])
-        trails = _hop(found[-1], step[0] if lazy else written[labels])
+            written[labels] = materialise_by(edges, "at", "at_label")
+        trails = _hop(found[-1], edges if lazy else written[labels])
         if not lazy:
             trails = materialise(trails)
             if trails.isEmpty():

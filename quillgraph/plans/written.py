@@ -30,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_NAMES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -42,10 +43,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def materialise_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Like materialise(), in buckets by the keys: a join on all of them, in this order, shuffles the other side only."""
+    spark = df.sparkSession
+    name = f"written_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    _PATHS[out], _NAMES[out] = path, name
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialise() that nothing will read again."""
     for df in tables:
-        path = _PATHS.pop(df, None)
+        path, name = _PATHS.pop(df, None), _NAMES.pop(df, None)
+        if name:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path:
             own = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             own.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(own, True)

@@ -236,3 +236,19 @@ def test_walks_end_at_a_time_limit(spark):
     out = session.execute("MATCH p = (a:N)-[*1..30]-(b:N) RETURN count(p) AS n", timeout_s=4.0)
     assert not out.success and "timed out" in out.error and out.rows == [] and out.elapsed_ms < 60_000
     assert spark.range(3).count() == 3
+
+
+def test_hops_do_not_shuffle_relationships(spark):
+    """Relationships are written in buckets by the node they leave: a join on it shuffles the trails alone."""
+    from pyspark.sql import functions as F
+
+    from quillgraph.plans.written import discard, materialise, materialise_by
+
+    edges = materialise_by(spark.range(50).select(F.col("id").cast("string").alias("at"), F.lit("A").alias("at_label"), (F.col("id") + 1).alias("to")), "at", "at_label")
+    trails = materialise(spark.range(5).select(F.col("id").cast("string").alias("at"), F.lit("A").alias("at_label"))).hint("merge")
+    joined = trails.join(edges, ["at", "at_label"])
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(r["to"] for r in joined.collect()) == [1, 2, 3, 4, 5]
+    before = spark.catalog.listTables()
+    discard(edges)
+    assert len(spark.catalog.listTables()) == len(before) - 1
