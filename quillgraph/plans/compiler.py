@@ -275,7 +275,8 @@ class Compiler:
         if any(name != column for name, _ in yields):
             raise CypherError(f"{call.name} yields {column}")
         rows = self.spark.createDataFrame([(v,) for v in values], "v string").select(*(c("v").alias(_value(v)) for _, v in yields))
-        df = rows if df is None else df.crossJoin(rows)  # as many rows as the catalog has names
+        rows = F.broadcast(rows)  # as many as the catalog has names: Spark does not know, and would move the nodes to them
+        df = rows if df is None else df.crossJoin(rows)
         scope = scope | {v: Bound("value") for _, v in yields}
         return (df if call.where is None else self.filtered(df, scope, call.where)), scope
 

@@ -252,3 +252,12 @@ def test_hops_do_not_shuffle_relationships(spark):
     before = spark.catalog.listTables()
     discard(edges)
     assert len(spark.catalog.listTables()) == len(before) - 1
+
+
+def test_names_of_the_catalog_go_to_the_nodes(spark, capsys):
+    """The few labels are broadcast; the nodes, one value of six for each, are neither broadcast nor shuffled to them."""
+    from quillgraph.plans.tpch import star
+
+    star(spark, "/root/testdata/sf0.001").cypher("CALL db.labels() YIELD label MATCH (x) WHERE labels(x)[0] = label RETURN label, count(x) AS n").explain()
+    plan = capsys.readouterr().out
+    assert "BuildLeft" in plan and "BuildRight" not in plan and "SortMergeJoin" not in plan
