@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import extract_schema_pattern, has_relationship_type
 from ..functions.strings import normalised_question
 from ..plans.catalog import GraphSchema
+from ..plans.written import materialise
 from .gates import validated
 from .similar import near_any
 
@@ -59,6 +60,7 @@ def disjoint(rows: DataFrame, blocked: DataFrame, text: str, block_text: str, ra
     left = keyed.join(block.select(F.md5("text").alias("_key")), "_key", "left_anti")
     if ratio > 1:
         return left.drop("_n", "_key")
+    left = materialise(left)  # texts are normalised once
     found = near_any(left.where("_n is not null").groupBy(F.col("_key").alias("key")).agg(F.any_value("_n").alias("text")), block, ratio)
     return left.join(found.select(F.col("key").alias("_key")), "_key", "left_anti").drop("_n", "_key")
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,16 +30,24 @@ from ..plans.written import discard, materialise
 LONGEST_PIECE = 16
 
 
+@lru_cache(64)  # pairs of one text follow each other
+def _set_of(text: str) -> tuple[frozenset[str], int]:
+    """The words of a text and their length in all."""
+    words = frozenset(text.split(" ")) - {""}
+    return words, sum(map(len, words))
+
+
 def near_pair(a: str, b: str, ratio: float) -> bool:
     """Whether token_set() of two normalised texts reaches the ratio; bounds only spare alignments that cannot."""
-    x, y = set(a.split(" ")) - {""}, set(b.split(" ")) - {""}
+    (x, nx), (y, ny) = _set_of(a), _set_of(b)
     if not x or not y:
         return False
-    size = lambda words: sum(map(len, words)) + max(len(words) - 1, 0)
-    both, ra, rb = x & y, sorted(x - y), sorted(y - x)
-    if both and (not ra or not rb):
+    both = x & y
+    if both and len(both) == min(len(x), len(y)):
         return True
-    common, na, nb = size(both), size(ra), size(rb)
+    length = lambda letters, words: letters + max(words - 1, 0)
+    shared = sum(map(len, both))
+    common, na, nb = length(shared, len(both)), length(nx - shared, len(x) - len(both)), length(ny - shared, len(y) - len(both))
     if both and 2 * common / (2 * common + 1 + min(na, nb)) >= ratio:
         return True
     head = common + 1 if both else 0
@@ -46,7 +55,7 @@ def near_pair(a: str, b: str, ratio: float) -> bool:
     most = min(na, nb)
     if 2 * (head + most) / total < ratio:
         return False
-    one, two = " ".join(ra), " ".join(rb)
+    one, two = " ".join(sorted(x - y)), " ".join(sorted(y - x))
     most = sum((Counter(one) & Counter(two)).values())
     return 2 * (head + most) / total >= ratio and 2 * (head + lcs_length(one, two)) / total >= ratio
 
@@ -60,12 +69,12 @@ def _near(ratio: float):
 
 
 def _words(text: Column | str) -> Column:
-    return F.array_distinct(F.filter(F.split(text, " "), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(F.split(text, " "), ""))
 
 
 def _length(words: Column | str) -> Column:
     """Length of words joined by blanks."""
-    return (F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w) + 1) - 1).cast("long")
+    return F.length(F.array_join(words, " ")).cast("long")
 
 
 def _pieces(words: Column, need: Column) -> Column:
@@ -73,16 +82,19 @@ def _pieces(words: Column, need: Column) -> Column:
     which all texts share, if there are fewer characters (with a ratio of 0.8 or less, in texts of short words)."""
     cuts = lambda w, k: F.greatest(F.lit(1), F.floor(F.length(w) / k)).cast("int")
     enough = F.filter(F.sequence(F.lit(1), F.lit(LONGEST_PIECE)), lambda k: F.aggregate(words, F.lit(0), lambda n, w: n + cuts(w, k)) >= need)
-    k = F.coalesce(F.array_max(enough), F.lit(1))
 
-    def cut(w: Column) -> Column:
+    def cut(w: Column, k: Column) -> Column:
         n = cuts(w, k)
         edge = lambda i: F.floor(F.length(w) * i / n).cast("int")
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(w, edge(i) + 1, edge(i + 1) - edge(i)))
 
-    every = F.flatten(F.transform(words, cut))
-    ordered = F.array_sort(F.transform(every, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))))
-    return F.when(F.size(every) < need, F.array(F.lit(""))).otherwise(F.array_distinct(F.transform(F.slice(ordered, F.lit(1), need), lambda x: x["p"])))
+    def longest(every: Column) -> Column:
+        ordered = F.array_sort(F.transform(every, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))))
+        return F.when(F.size(every) < need, F.array(F.lit(""))).otherwise(F.array_distinct(F.transform(F.slice(ordered, F.lit(1), need), lambda x: x["p"])))
+
+    # a lambda binds what it is given: the length and the pieces are found once a text, not anew for each word and use
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    return once(F.coalesce(F.array_max(enough), F.lit(1)), lambda k: once(F.flatten(F.transform(words, lambda w: cut(w, k))), longest))
 
 
 def _parts(words: Column) -> Column:
@@ -113,7 +125,8 @@ def candidates(texts: DataFrame, block: DataFrame, ratio: float) -> DataFrame:
     words = texts.select("key", "size", F.explode("words").alias("word"))
     # how many texts hold each word of the block: counted on the way into the shuffle
     counts = materialise(vocabulary.join(words.join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n")), "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")))
-    entered = _rarest(b_words.join(counts, "word"), "b_id", "b_size", 1 - most)
+    # written, so that its size is known before all words of the texts are shuffled to it
+    entered = materialise(_rarest(b_words.join(counts, "word"), "b_id", "b_size", 1 - most))
     held = words.join(entered.select("word", "b_id"), "word").select("key", "b_id")
     # texts that are mostly words of one of the block: those of no block word count as missing
     short = texts.where(F.col("size") * most <= longest + 1e-9).select("key", "size", F.explode("words").alias("word")).join(counts, "word")
@@ -143,9 +156,10 @@ def near_any(texts: DataFrame, block: DataFrame, ratio: float) -> DataFrame:
     """
     sized = lambda df: df.where(F.size("words") > 0).withColumn("size", _length("words"))
     b = materialise(sized(block.select(F.xxhash64("text").alias("b_id"), F.col("text").alias("b_text"), _words("text").alias("words"))).withColumnsRenamed({"words": "b_words", "size": "b_size"}))
-    own = sized(texts.select("key", "text", _words("text").alias("words")))
+    # read several times by each way to be alike: words are cut once, and adaptive plans can't merge these readings into few tasks
+    own = materialise(sized(texts.select("key", "text", _words("text").alias("words"))))
     pairs = materialise(candidates(own.drop("text"), b, ratio).distinct())
-    met = pairs.join(b.select("b_id", "b_text"), "b_id").join(texts, "key")
+    met = pairs.join(b.select("b_id", "b_text"), "b_id").join(own.select("key", "text"), "key")
     found = materialise(met.where(_near(ratio)("text", "b_text")).select("key").distinct())
-    discard(b, pairs)
+    discard(b, own, pairs)
     return found
