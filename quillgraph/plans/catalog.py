@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,10 @@ class NodeTable:
 
 @dataclass(frozen=True)
 class EdgeTable:
-    """Relationships of a type between two labels, with an id of their own (a column name, or several)."""
+    """Relationships of a type between two labels, with an id of their own (a column name, or several).
+
+    The table is a DataFrame, or a function that makes one when the type is first read.
+    """
 
     type: str
     source: str
@@ -32,9 +36,13 @@ class EdgeTable:
     src: str
     dst: str
     id: tuple[str, ...]
-    frame: DataFrame
+    table: DataFrame | Callable[[], DataFrame]
     props: tuple[str, ...] = ()
 
+    @cached_property
+    def frame(self) -> DataFrame:
+        return self.table() if callable(self.table) else self.table
+
 
 @dataclass(frozen=True)
 class PathDecl:

@@ -261,3 +261,16 @@ def test_names_of_the_catalog_go_to_the_nodes(spark, capsys):
     star(spark, "/root/testdata/sf0.001").cypher("CALL db.labels() YIELD label MATCH (x) WHERE labels(x)[0] = label RETURN label, count(x) AS n").explain()
     plan = capsys.readouterr().out
     assert "BuildLeft" in plan and "BuildRight" not in plan and "SortMergeJoin" not in plan
+
+
+def test_pairs_of_parts_are_dealt_out_by_number(spark, monkeypatch):
+    """Tasks grow with the lines, whatever few bytes a shuffle has; the pairs are those of a nested loop."""
+    from pyspark.sql import functions as F
+
+    from quillgraph.plans import tpch
+
+    monkeypatch.setattr(tpch, "LINES_PER_TASK", 100, raising=False)
+    rows = [(i // 3, i * 7 % 41) for i in range(900)] + [(5, p) for p in range(40)]
+    pairs = tpch.co_listed(spark.createDataFrame(rows, "l_orderkey long, l_partkey long"))
+    assert sorted(map(tuple, pairs.collect())) == sorted({(p, q) for o, p in rows for x, q in rows if o == x and p < q})
+    assert pairs.select(F.spark_partition_id().alias("task")).distinct().count() > 10
