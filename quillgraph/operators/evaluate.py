@@ -62,23 +62,24 @@ def row_sets_equal(left: DataFrame, right: DataFrame) -> DataFrame:
     return lonely.select(((F.col("n") == 0) | (same & (F.col("lonely") == 0))).alias("equal"))
 
 
-def _ranked(df: DataFrame, values: list[str], vectors: list[str], tag: str) -> DataFrame:
+def _ranked(df: DataFrame, values: list[str], own: list[str], tag: str) -> DataFrame:
     """A written table of the distinct rows of df in order, each with the places [_from, _to) that its repeats take.
 
-    The order is that of a row's values as sorted texts, then by position. Rows are dealt out by ranges of it, and the
-    counts of the ranges before tell where a range begins; repeats are counted first, so no row is a hot key.
+    A row is its normalised values (`_row`) and the columns `own`. The order is that of the values as sorted texts, then
+    by position. Rows are dealt out by ranges of it, and the counts of the ranges before tell where a range begins;
+    repeats are counted first, by hash and without a sort, so no row is a hot key.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    texts = [normalised(F.col(f"`{v}`"), types[v]) for v in values]
-    rows = df.select(F.array_sort(F.array(*texts)).alias("_key"), F.array(*texts).alias("_row"), *values, *vectors)
-    distinct = rows.groupBy("_key", "_row").agg(F.count("*").alias("_n"), *(F.any_value(v).alias(v) for v in (*values, *vectors)))
-    dealt = materialise(distinct.repartitionByRange("_key", "_row").withColumn("_part", F.spark_partition_id()))
+    rows = df.select(F.array(*(normalised(F.col(f"`{v}`"), types[v]) for v in values)).alias("_row"), *(F.col(f"`{v}`") for v in own))
+    order = ["_key", "_row", *(f"`{v}`" for v in own)]
+    distinct = rows.groupBy("_row", *(f"`{v}`" for v in own)).agg(F.count("*").alias("_n")).withColumn("_key", F.array_sort("_row"))
+    dealt = materialise(distinct.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     parts = dealt.groupBy("_part").agg(F.sum("_n").alias("_c"))  # a row for each range
     before = F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
-    inside = F.sum("_n").over(Window.partitionBy("_part").orderBy("_key", "_row").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.sum("_n").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     placed = dealt.withColumn("_inside", inside).join(F.broadcast(parts.select("_part", before.alias("_before"))), "_part")
     end = F.col("_before") + F.col("_inside")
-    return materialise(placed.select((end - F.col("_n")).alias("_from"), end.alias("_to"), F.struct(*values, *vectors).alias(tag)))
+    return materialise(placed.select((end - F.col("_n")).alias("_from"), end.alias("_to"), F.struct("_row", *(F.col(f"`{v}`") for v in own)).alias(tag)))
 
 
 def similar_sets(left: DataFrame, right: DataFrame, values: list[str], embedding_of: dict[str, str], threshold: float = 0.95) -> DataFrame:
@@ -91,9 +92,8 @@ def similar_sets(left: DataFrame, right: DataFrame, values: list[str], embedding
     Distinct rows take ranges of places. Ranges are cut into blocks of places, each a task's work, and inside a block
     every row goes with the one of the other side that holds its place: as many comparisons as there are rows at most.
     """
-    vectors = list(dict.fromkeys(embedding_of.values()))
-    types = {f.name: f.dataType for f in left.schema.fields}
-    a, b = _ranked(left, values, vectors, "a"), _ranked(right, values, vectors, "b")
+    own = list(dict.fromkeys([*(v for v in values if v in embedding_of), *embedding_of.values()]))
+    a, b = _ranked(left, values, own, "a"), _ranked(right, values, own, "b")
     n_left, n_right = (x.agg(F.coalesce(F.max("_to"), F.lit(0))).first()[0] for x in (a, b))
     block = max(1 << 16, max(n_left, n_right) // 20_000)
 
@@ -101,24 +101,25 @@ def similar_sets(left: DataFrame, right: DataFrame, values: list[str], embedding
         blocks = F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block))).alias("_block")
         return df.select(blocks, "_from", F.col(tag)).select("_block", F.greatest("_from", F.col("_block") * block).alias("_at"), tag, F.lit(None).cast((b if other == "b" else a).schema[other].dataType).alias(other))
 
-    events = cut(a, "a", "b").unionByName(cut(b, "b", "a")).groupBy("_block", "_at").agg(F.any_value("a", True).alias("a"), F.any_value("b", True).alias("b"))
+    events = cut(a, "a", "b").unionByName(cut(b, "b", "a"))
     so_far = Window.partitionBy("_block").orderBy("_at")
+    # rows of both sides that begin at one place see each other, and the first of them takes no place
+    seen = so_far.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     both = events.select(
-        "_block", "_at", F.last("a", True).over(so_far).alias("a"), F.last("b", True).over(so_far).alias("b"),
+        "_block", "_at", F.last("a", True).over(seen).alias("a"), F.last("b", True).over(seen).alias("b"),
         F.coalesce(F.lead("_at").over(so_far), F.least((F.col("_block") + 1) * block, F.lit(max(n_left, n_right)))).alias("_end"),
     )
     fits = F.lit(True)
-    for v in values:
-        x, y = F.col(f"a.`{v}`"), F.col(f"b.`{v}`")
-        same = normalised(x, types[v]).eqNullSafe(normalised(y, types[v]))
+    for i, v in enumerate(values):
+        same = F.col("a._row")[i].eqNullSafe(F.col("b._row")[i])
         if v in embedding_of:
-            e = embedding_of[v]
+            x, y, e = F.col(f"a.`{v}`"), F.col(f"b.`{v}`"), embedding_of[v]
             near = ~is_id(x) & ~is_id(y) & (cosine(F.col(f"a.`{e}`"), F.col(f"b.`{e}`")) >= threshold)
             same = same | F.coalesce(near, F.lit(False))
         fits = fits & same
     short = F.lit(min(n_left, n_right))
     places = F.greatest(F.least("_end", short) - F.col("_at"), F.lit(0))
-    unlike = both.agg(F.coalesce(F.sum(F.when(fits, F.lit(0)).otherwise(places)), F.lit(0)).alias("unlike"))
+    unlike = both.agg(F.coalesce(F.sum(F.when((places == 0) | fits, F.lit(0)).otherwise(places)), F.lit(0)).alias("unlike"))
     return unlike.select(F.lit(n_left).cast("long").alias("n_left"), F.lit(n_right).cast("long").alias("n_right"), "unlike", ((F.col("unlike") == 0) & F.lit(n_left == n_right)).alias("similar"))
 
 

@@ -368,3 +368,25 @@ def test_pieces_are_cut_once_a_text(spark):
     began = time.time()
     sizes = texts.select(F.size(similar._pieces(F.col("words"), F.lit(40))).alias("n")).agg(F.min("n"), F.max("n")).first()
     assert tuple(sizes)[1] == 40 and time.time() - began < 30
+
+
+def test_similar_sets_counts_rows_without_sorting_them(spark, capsys, monkeypatch):
+    """Repeats are counted by hash and places meet in one window: no aggregation sorts rows to carry their values along."""
+    from pyspark.sql import functions as F
+
+    from quillgraph.operators import evaluate
+
+    write, plans = evaluate.materialise, []
+
+    def seen(df):
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return write(df)
+
+    monkeypatch.setattr(evaluate, "materialise", seen)
+    rows = spark.range(60).select((F.col("id") % 7).alias("n"), F.concat(F.lit("t"), F.col("id") % 3).alias("t"), F.array(F.lit(1.0), F.lit(2.0)).alias("e"))
+    out = evaluate.similar_sets(rows, rows.withColumn("t", F.concat("t", F.lit("!"))), ["n", "t"], {"t": "e"})
+    out.explain()
+    plans.append(capsys.readouterr().out)
+    assert tuple(out.first()) == (60, 60, 0, True)
+    assert len(plans) == 5 and not any("SortAggregate" in p for p in plans)
