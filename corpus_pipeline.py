@@ -24,7 +24,7 @@ LEAST_SCORE = 0.5
 
 def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of docs whose id is among those decided; null ids are kept if a null is."""
-    docs, ids = docs.select(*COLUMNS), decided.select("doc_id")
+    docs, ids = docs.select(*COLUMNS), materialise(decided.select("doc_id"))  # read twice
     known = docs.join(ids.where("doc_id is not null").distinct(), "doc_id", "left_semi")
     null = ids.where("doc_id is null").limit(1).select(F.lit(True).alias("_null"))  # one row at most
     return known.union(docs.where("doc_id is null").join(F.broadcast(null), F.col("_null"), "left_semi"))
@@ -54,9 +54,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat an id are one document, of which the least row stays, by text, language, source and size; texts
     that are null, empty or without an id are near nothing and stay, each row of them without an id.
     """
-    found = _kept(docs, near_duplicates(docs).where("kept"))
-    known = found.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("_row")).select("doc_id", "_row.*")
-    return known.union(found.where("doc_id is null"))
+    docs, ids = docs.select(*COLUMNS), materialise(near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct())
+    known = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("_row")).select("doc_id", "_row.*")
+    return known.union(docs.where("doc_id is null"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

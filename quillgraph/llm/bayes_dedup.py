@@ -189,19 +189,24 @@ class _Corpus:
         names = ["a", "b", "ia", "ha", "ib", "hb"]
         left = self.nodes.select(F.col("node").alias("a"), F.col("id").alias("ia"), F.col("h").alias("ha"), F.col("sig").alias("sa"))
         right = self.nodes.select(F.col("node").alias("b"), F.col("id").alias("ib"), F.col("h").alias("hb"), F.col("sig").alias("sb"))
-        if not pairs.limit(1).count():
-            return pairs
         open_ = materialise(pairs.join(left, "a").join(right, "b").select(*names, "sa", "sb").mapInArrow(run, ", ".join(f"{c} long" for c in names)))
-        texts = self.texts_of(open_.select(F.col("ia").alias("id"), F.col("ha").alias("h")).union(open_.select("ib", "hb")).distinct())
+        found = open_.count()
+        if not found:
+            return open_.select("a", "b")
+        ends = F.array(F.struct(F.col("ia").alias("id"), F.col("ha").alias("h")), F.struct(F.col("ib").alias("id"), F.col("hb").alias("h")))
+        texts = self.texts_of(open_.select(F.inline(ends)), 2 * found)
         x = texts.select(F.col("id").alias("ia"), F.col("h").alias("ha"), F.col("text").alias("ta"))
         y = texts.select(F.col("id").alias("ib"), F.col("h").alias("hb"), F.col("text").alias("tb"))
         both = open_.join(x, ["ia", "ha"]).join(y, ["ib", "hb"]).select("a", "b", "ta", "tb")
         return materialise(both.mapInArrow(_exact(self.size, self.percent), "a long, b long"))
 
-    def texts_of(self, wanted: DataFrame) -> DataFrame:
-        """The texts of the wanted (id, h): few enough of those to be broadcast keep the others out of a shuffle."""
-        wanted = materialise(wanted)
-        if wanted.count() <= BROADCAST_ROWS:
+    def texts_of(self, wanted: DataFrame, rows: int | None = None) -> DataFrame:
+        """The texts of the wanted (id, h): few enough of those to be broadcast keep the others out of a shuffle. `rows`
+        is the number of wanted rows with repeats, where it is known."""
+        if rows is None or rows > BROADCAST_ROWS:
+            wanted = materialise(wanted.distinct())
+            rows = wanted.count()
+        if rows <= BROADCAST_ROWS:
             return self.texts.join(F.broadcast(wanted), ["id", "h"], "left_semi")
         return self.texts
 
@@ -377,7 +382,7 @@ def near_duplicates(
     repeated = materialise(sets.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1"))
     texts = base.where("id is not null and text is not null")
     links = []
-    if repeated.limit(1).count():
+    if not repeated.isEmpty():
         # the texts of one id hang together, and each is read once
         texts = texts.dropDuplicates(["id", "h"])
         whose = sets.select("id", "print").join(repeated.select("id"), "id", "left_semi").distinct().join(nodes.select("print", "node"), "print")
@@ -387,24 +392,24 @@ def near_duplicates(
     found, tested = None, None
     for upto in (FIRST_BANDS, None):
         members = corpus.members(found, upto)
-        if found is not None and not members.limit(1).count():
+        if found is not None and members.isEmpty():
             break
         first = corpus.leaders(members)
         if tested is not None:
             first = materialise(first.join(tested, ["a", "b"], "left_anti"))
         links.append(corpus.verified(first))
-        if found is None or links[0].limit(1).count():
+        if found is None or not links[0].isEmpty():
             stars = [] if found is None else [found.select(F.col("node").alias("a"), F.col("component").alias("b"))]
             found = components(_union([*stars, *links]))
         discard(members, *links)
         tested, links = first if tested is None else tested.union(first), []
     members = corpus.members(found)
-    if members.limit(1).count():
+    if not members.isEmpty():
         ordered = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = [corpus.verified(materialise(corpus.pairs(members).join(ordered, ["a", "b"], "left_anti")))]
-        if members.where(F.col("size") > SMALL_BUCKET).limit(1).count():
+        if not members.where(F.col("size") > SMALL_BUCKET).isEmpty():
             more.append(corpus.block_links(members))
-        if any(m.limit(1).count() for m in more):
+        if not all(m.isEmpty() for m in more):
             found = components(_union([found.select(F.col("node").alias("a"), F.col("component").alias("b")), *more]))
     # the smallest id of each component, for every node
     lows = materialise(found.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("root"), F.count("*").alias("size")))

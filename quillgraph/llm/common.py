@@ -31,17 +31,19 @@ HOT_SHARE = 1000
 EDGES_PER_TASK = 200_000
 #: Rows of a few dozen bytes that a broadcast may have; beyond it another way takes its place.
 BROADCAST_ROWS = 500_000
+#: Rows that join_counted() broadcasts: the driver holds them collected, hashed and in blocks, several times their size.
+HASHED_ROWS = 100_000
 
 
 def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int, rows: int) -> DataFrame:
     """left joined to right, a written table of at most `rows` rows, one for each key, which has in `n` the number of
     rows of left with that key; `n` is left out of the result.
 
-    A table of at most BROADCAST_ROWS is broadcast. Of a larger one, the keys with more than one in HOT_SHARE of the
+    A table of at most HASHED_ROWS is broadcast. Of a larger one, the keys with more than one in HOT_SHARE of the
     `total` rows, fewer than HOT_SHARE keys whatever the input, are broadcast, so that no task gets all rows of one, and
     the others are shuffled.
     """
-    if rows <= BROADCAST_ROWS:
+    if rows <= HASHED_ROWS:
         return left.join(F.broadcast(right.drop(n)), key)
     hot = F.broadcast(right.where(F.col(n) * HOT_SHARE > total).drop(n))
     cold = right.where(F.col(n) * HOT_SHARE <= total).drop(n)
@@ -88,18 +90,13 @@ def words(texts: pa.Array, lower: bool = False, letters: bool = False) -> tuple[
     return np.asarray(coded.indices, dtype=np.int64), coded.dictionary, offsets
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    return tuple(row)
-
-
-def _stars(edges: DataFrame) -> bool:
-    """Whether each larger end has one link and is no smaller end: then the smaller ends are the components."""
-    tips, n = edges.agg(F.approx_count_distinct("u", 0.01), F.count("*")).first()
-    if tips < 0.9 * n:
-        return False
-    ends = edges.select("u", F.lit(1).alias("up")).union(edges.select("v", F.lit(2)))
-    return not ends.groupBy("u").agg(F.count_if(F.col("up") == 1).alias("up"), F.count_if(F.col("up") == 2).alias("down")).where("up > 1 or up = 1 and down > 0").limit(1).count()
+def _shape(edges: DataFrame) -> tuple[int, bool]:
+    """The number of distinct links, and whether they are stars: each larger end has one link and is no smaller end, so
+    the smaller ends are the components. Neither of the steps below changes stars, and one of them changes all else."""
+    ends = edges.select(F.inline(F.array(F.struct("u", F.lit(1).alias("up")), F.struct(F.col("v").alias("u"), F.lit(0).alias("up")))))
+    by_end = ends.groupBy("u").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    links, others = by_end.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | (F.col("up") == 1) & (F.col("n") > 1))).first()
+    return links, not others
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -113,25 +110,22 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     parts = max(1, links.count() // EDGES_PER_TASK)
     keep = lambda df: materialise(df.coalesce(parts))
     edges = keep(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    before = _signature(edges)
-    while before[0] and not _stars(edges):
-        n = before[0]
-        small = n <= BROADCAST_ROWS
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    n, done = _shape(edges)
+    while not done:
+        small = n <= HASHED_ROWS
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         low = low if small else keep(low)
+        # no more rows than links, repeats among them; the few of a small graph are derived twice rather than written
         large = join_counted(both, low, "u", "n", 2 * n, 2 * n if not small else n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = keep(large.distinct())
+        large = large if small else keep(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         least = least if small else keep(least)
         stars = least.select("u", F.col("m").alias("v"))
         old = (edges, low, large, least)
         edges = keep(join_counted(large, least, "u", "n", n, n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(stars).distinct())
         discard(*old)
-        after = _signature(edges)
-        if after == before:
-            break
-        before = after
+        n, done = _shape(edges)
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = keep(stars.union(stars.select(F.col("component").alias("node"), "component")).distinct())
     discard(edges)
